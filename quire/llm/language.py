@@ -91,31 +91,33 @@ class Classifier:
         return sizes[0][1], share, self._margin(sizes)
 
 
-def _predictor(samples: dict[str, bytes]):
+def _predictor(samples: dict[str, bytes], keep: set[str], prefix: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Classifier(samples)
         for batch in batches:
             found = [model.predict(t.as_py()) for t in batch.column("text")]
             lang, score, margin = zip(*found) if found else ((), (), ())
             new = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.float64())]
-            kept = [(c, n) for c, n in zip(batch.columns, batch.schema.names) if n != "text"]
-            yield pa.RecordBatch.from_arrays([c for c, _ in kept] + new, names=[n for _, n in kept] + ["lang_pred", "score", "margin"])
+            kept = [(c, n) for c, n in zip(batch.columns, batch.schema.names) if n in keep]
+            yield pa.RecordBatch.from_arrays([c for c, _ in kept] + new, names=[n for _, n in kept] + [prefix + n for n in ("lang_pred", "score", "margin")])
 
     return run
 
 
-def identify(docs: DataFrame, samples: dict[str, bytes], keep: list[str]) -> DataFrame:
+def identify(docs: DataFrame, samples: dict[str, bytes], keep: list[str], prefix: str = "") -> DataFrame:
     """keep, lang_pred, score (0 to 1), margin, accepted; from the whole text of each row.
 
+    A prefix to the new names keeps them apart from those in keep.
+
     Null text and text without a letter are `und` with score 0 and rejected, and so is all
     text if nothing was learnt. A narrow margin (below MIN_MARGIN) is rejected, with its
     nearest language named. Equal texts get equal results; an empty table gives no rows.
     Map-side only: no shuffle, one batch of rows in memory.
     """
-    rows = pick(docs, [*keep, "text"])
-    kinds = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c != "text")
-    out = rows.mapInArrow(_predictor(samples), f"{kinds}, lang_pred string, score double, margin double")
-    return out.withColumn("accepted", (F.col("lang_pred") != UNKNOWN) & (F.col("margin") >= MIN_MARGIN))
+    rows = pick(docs, dict.fromkeys([*keep, "text"]))
+    kinds = "".join(f"`{c}` {t}, " for c, t in rows.dtypes if c in keep)
+    out = rows.mapInArrow(_predictor(samples, set(keep), prefix), f"{kinds}`{prefix}lang_pred` string, `{prefix}score` double, `{prefix}margin` double")
+    return out.withColumn(f"{prefix}accepted", (F.col(f"{prefix}lang_pred") != UNKNOWN) & (F.col(f"{prefix}margin") >= MIN_MARGIN))
 
 
 def held_out(doc_id: Column) -> Column:
