@@ -122,6 +122,9 @@ def search_segment(q: np.ndarray, x: np.ndarray, starts: np.ndarray, docs: np.nd
     qt = np.ascontiguousarray(q.T)
     q_norm = np.sqrt((q * q).sum(1))
     left = (x * x).sum(1)
+    # beyond what doubles hold exactly, allow for rounding; 0 otherwise
+    whole = np.where(left * (q_norm**2).max(initial=0) < EXACT**2 / max(1, x.shape[1]), 0, left)
+    top = float(1 << 63)  # scores are held to the range of a long, and tie at its ends
     allowed = np.ones((n, m), bool)
     has = own >= 0
     allowed[own[has], np.flatnonzero(has)] = False
@@ -138,10 +141,10 @@ def search_segment(q: np.ndarray, x: np.ndarray, starts: np.ndarray, docs: np.nd
             left[who] -= v * v
             i += 1
         # a level's postings are in; bound what is still to come (a unit more than rounding can lose)
-        slack = np.sqrt(np.maximum(left, 0))[:, None] * q_norm * (1 + 1e-12) + 1
-        low = np.where(allowed, acc - slack, -np.inf)
+        slack = (np.sqrt(np.maximum(left, 0) + 1e-10 * whole) + 1e-10 * np.sqrt(whole))[:, None] * q_norm * (1 + 1e-12) + 1
+        low = np.where(allowed, np.clip(acc - slack, -top, top), -np.inf)
         bar = np.partition(low, n - want, axis=0)[n - want]
-        maybe = allowed & (acc + slack >= bar)
+        maybe = allowed & (np.clip(acc + slack, -top, top) >= bar)
         if maybe.sum() <= max(RESCORE_SHARE * n * m, k * m):
             break
     return [np.flatnonzero(maybe[:, j]) for j in range(m)]
