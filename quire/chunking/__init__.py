@@ -1,0 +1 @@
+"""Chunkers: typed blocks and Markdown to ordered, typed chunks."""
