@@ -1,6 +1,6 @@
 """Queries: the operators applied to tables, each with equivalent SQL."""
 
-from . import relational, state, text
+from . import more, relational, state, text
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
