@@ -386,3 +386,42 @@ def test_pipeline(spark):
     assert three.columns == docs.columns
     assert c.pack(spark, three, SMALL).count() > 0
     assert [n for n, _ in c.STAGES] == ["language_id", "ngram_jaccard_join", "mix_sources", "pack"]
+
+
+# --- token counts
+
+
+def brute_count(word, entries, longest):
+    n = at = 0
+    while at < len(word):
+        size = next(k for k in range(min(longest, len(word) - at), 0, -1) if word[at : at + k] in entries)
+        at, n = at + size, n + 1
+    return n
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.sets(st.text("abc", min_size=2, max_size=6), max_size=12), st.lists(st.text("abcd", min_size=1, max_size=25), min_size=1, max_size=8))
+def test_automaton_is_greedy(entries, texts):
+    from quire.llm.token_counts import Automaton
+
+    entries = {e.encode() for e in entries} | {bytes([b]) for b in range(256)}
+    got = Automaton(sorted(entries)).count([t.encode() for t in texts]).tolist()
+    assert got == [brute_count(t.encode(), entries, 6) for t in texts]
+
+
+def test_token_counts(spark):
+    import public_tokenizers
+    from quire.llm.token_counts import token_counts
+    from quire.llm.tokens import _byte_letters
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    letters = {c: b for b, c in _byte_letters().items()}
+    entries = {bytes(letters[c] for c in t) for t in Tokenizer.from_file(path).get_vocab() if all(c in letters for c in t)}
+    longest = max(map(len, entries))
+    rows = ROWS + [(7000, "Ünï çode — 日本語 x" + "y" * 500, None, None, 1)]
+    got = sorted((r.n_words, r.n_tokens, r.doc_id) for r in token_counts(frame(spark, rows), path).collect())
+    memo = {}
+    count = lambda w: memo.setdefault(w, brute_count(b" " + w, entries, longest))
+    want = sorted((len((r[1] or "").encode().split()), sum(count(w) for w in (r[1] or "").encode().split()), r[0]) for r in rows)
+    assert got == want and token_counts(frame(spark, rows).limit(0), path).count() == 0
