@@ -5,8 +5,9 @@ its transpose. The product is blocked so that only blocks that can hold a link a
 
 1. Equal sets are one row of the matrix.
 2. Two sets that are alike enough share an n-gram among the first few of either, in any one
-   order of all n-grams; how many follows from the sets' sizes. The order puts n-grams that
-   many documents have last, so passages that recur everywhere bring nothing together.
+   order of all n-grams; how many follows from the sets' sizes. The order is by how many
+   documents have an n-gram, as counted in hashed cells, so passages that recur everywhere
+   and turns of phrase bring nothing together.
    Rows that share such an n-gram, and whose sizes allow a link, are put into one block.
 3. Within a block, overlap counts are accumulated over n-grams: frequent columns by dense
    products of column ranges, rare ones by counting the pairs they hold. Pairs below the
@@ -17,11 +18,13 @@ A block larger than a tile is cut into tiles, and each pair of tiles is a task o
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F, Window as W
 
 from .common import materialize, pick, table
@@ -29,10 +32,10 @@ from .graph import components, forest
 
 #: Rows and shingles of a tile at most, on average; bytes that are hashed at a time.
 TILE_ROWS, TILE_SHINGLES, CHUNK = 1024, 1_000_000, 1 << 20
-#: A frequent n-gram is in this share of the documents, or in so many of them.
-FREQUENT_SHARE, FREQUENT_LEAST = 1e-3, 40
-#: Shingles that a worker counts at a time; n-grams it has seen in fewer documents are not reported.
-COUNT_AT_ONCE, REPORT_FROM = 4_000_000, 3
+#: N-grams are counted in so many cells (a table of 16 MB), which are summed in blocks.
+CELL_BITS, CELL_BLOCK = 24, 1 << 16
+#: Shingles that a worker counts at a time.
+COUNT_AT_ONCE = 2_000_000
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SPACE = np.zeros(256, bool)
@@ -120,54 +123,70 @@ def _bytes(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     return batch.column(name).cast(pa.binary()).to_pylist()
 
 
-def _frequent_counter(k: int):
-    """(shingle, n): of each run of documents, the shingles that several distinct sets of it have."""
+def _cells(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(64 - CELL_BITS)).astype(np.uint32)
+
+
+def _cell_counter(k: int):
+    """(block, salt, counts): of each run of documents, in how many distinct sets the n-grams of each cell are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << CELL_BITS, np.uint32)
         held: list[np.ndarray] = []
         seen: set[int] = set()
         size = 0
 
-        def out() -> pa.RecordBatch:
-            s, n = np.unique(np.concatenate(held), return_counts=True)
-            s, n = s[n >= REPORT_FROM], n[n >= REPORT_FROM]
-            return pa.RecordBatch.from_arrays([pa.array(s.astype(np.int64)), pa.array(n.astype(np.int64))], names=["shingle", "n"])
+        def fold() -> None:
+            if held:
+                at, n = np.unique(np.concatenate(held), return_counts=True)
+                counts[at] += n.astype(np.uint32)
 
         for batch in batches:
             for s in shingle_sets(_bytes(batch, "text"), k):
                 if len(s) and (key := set_hash(s)) not in seen:
                     seen.add(key)
-                    held.append(s)
+                    held.append(_cells(s))
                     size += len(s)
                     if size >= COUNT_AT_ONCE:
-                        yield out()
+                        fold()
                         held, seen, size = [], set(), 0
-        if held:
-            yield out()
+        fold()
+        salt = TaskContext.get().partitionId() % 64
+        for block, part in enumerate(counts.reshape(-1, CELL_BLOCK)):
+            if part.any():
+                packed = zlib.compress(part.astype("<u4").tobytes(), 1)
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([salt], pa.int32()), pa.array([packed])], names=["block", "salt", "counts"])
 
     return run
 
 
-def frequent_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles of at least FREQUENT_SHARE of the documents, sorted, with their counts.
+def _sum_blocks(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    total = np.zeros(CELL_BLOCK, np.uint32)
+    for raw in pdf["counts"]:
+        total += np.frombuffer(zlib.decompress(raw), "<u4")
+    return pd.DataFrame({"block": [key[0]], "counts": [zlib.compress(total.tobytes(), 1)]})
+
+
+def common_order(docs: DataFrame, k: int) -> np.ndarray:
+    """How common n-grams are: a step for each of the cells they are hashed to, by the logarithm of its count over all documents.
 
-    Every task counts all its documents; a shingle that is frequent over the corpus is seen
-    REPORT_FROM times in some task. Their number is at most the mean set size divided by
-    FREQUENT_SHARE whatever the corpus, so they fit in memory. They only order the
-    n-grams: a count that misses some costs time, no link.
+    The table has one byte a cell whatever the corpus. It only puts n-grams in an order that
+    is the same for all documents; that n-grams share a cell costs time, no link.
     """
-    least = max(FREQUENT_LEAST, int(docs.count() * FREQUENT_SHARE))
-    counts = docs.select("text").mapInArrow(_frequent_counter(k), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    found = counts.where(F.col("n") >= least).toPandas()
-    s = found["shingle"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(s)
-    return s[order], found["n"].to_numpy(np.int64)[order]
+    parts = docs.select("text").mapInArrow(_cell_counter(k), "block int, salt int, counts binary")
+    once = parts.groupBy("block", "salt").applyInPandas(_sum_blocks, "block int, counts binary")
+    steps = np.zeros((1 << CELL_BITS) // CELL_BLOCK * CELL_BLOCK, np.uint8).reshape(-1, CELL_BLOCK)
+    for r in once.groupBy("block").applyInPandas(_sum_blocks, "block int, counts binary").toLocalIterator():
+        n = np.frombuffer(zlib.decompress(r["counts"]), "<u4")
+        steps[r["block"]] = np.minimum(255, 8 * np.log2(1.0 + n)).astype(np.uint8)
+    return steps.ravel()
 
 
-def _prefixes(k: int, percent: int, frequent: np.ndarray, counts: np.ndarray):
+def _prefixes(k: int, percent: int, order: Broadcast):
     """Per document: set size, set hash, and its first shingles in the common order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steps = order.value
         for batch in batches:
             sizes, nodes, first = [], [], []
             for s in shingle_sets(_bytes(batch, "text"), k):
@@ -175,11 +194,8 @@ def _prefixes(k: int, percent: int, frequent: np.ndarray, counts: np.ndarray):
                 sizes.append(n)
                 nodes.append(set_hash(s) if n else None)
                 take = n - -(-percent * n // 100) + 1
-                if n and len(frequent):
-                    at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-                    often = np.where(frequent[at] == s, counts[at], 0)
-                    if often.any():
-                        s = s[np.lexsort((s, often))]
+                if n > 1:
+                    s = s[np.lexsort((s, steps[_cells(s)]))]
                 first.append(s[:take].astype(np.int64) if n else s[:0].astype(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(first, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "node", "first"])
 
@@ -254,12 +270,12 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     Scale: texts are shuffled once, and again for rows in blocks of several; the rest moves
     the first tenth (at 90 %) of each set's hashes. Groups of equal texts are one row from
-    the first shuffle on, in which each task sends a set once. Frequent n-grams never bring
+    the first shuffle on, in which each task sends a set once. Common n-grams don't bring
     rows together unless rows consist of them; large blocks are dealt out by pairs of tiles.
     """
     docs = pick(docs, ["doc_id", "text"])
-    frequent, counts = frequent_shingles(docs, k)
-    nodes = materialize(docs.mapInArrow(_prefixes(k, percent, frequent, counts), "doc_id long, n_shingles long, node long, first array<long>"), "jaccard-sets")
+    order = docs.sparkSession.sparkContext.broadcast(common_order(docs, k))
+    nodes = materialize(docs.mapInArrow(_prefixes(k, percent, order), "doc_id long, n_shingles long, node long, first array<long>"), "jaccard-sets")
     with_set = nodes.where("node is not null")
     classes = materialize(with_set.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n")), "jaccard-classes")
 
