@@ -55,16 +55,19 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of edges (a, b: longs); root is its component's smallest node.
 
-    Each partition first folds its edges into stars. Rounds of large stars and small stars
-    (every node links its neighbours to the smallest of them) then make one star of each
-    component; a round is written to the shared folder. Edges from a node to itself and
-    repeated edges are harmless; no edges, no rows.
+    Each partition first folds its edges into stars, and what is left is dealt to as many
+    tasks as hold FOLD edges each and folded again. If that took several tasks, rounds of
+    large stars and small stars (every node links its neighbours to the smallest of them)
+    make one star of each component; a round is written to the shared folder. Edges from a
+    node to itself and repeated edges are harmless; no edges, no rows.
     """
     e = materialize(edges.select("a", "b").mapInArrow(_fold, "a long, b long"), "stars")
+    tasks = max(1, -(-e.count() // FOLD))
+    e = materialize(e.repartition(tasks).mapInArrow(_fold, "a long, b long"), "stars")
     seen = None
     while True:
         state = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == seen or state[0] == 0:
+        if tasks == 1 or state == seen or state[0] == 0:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select("b", "b").distinct())
         seen = state
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))

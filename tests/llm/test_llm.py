@@ -209,9 +209,13 @@ def test_jaccard_join(spark, k, percent, monkeypatch):
     assert j.jaccard_join(frame(spark, rows).limit(0), k, percent).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("fold", [10, 500_000])
+def test_components(spark, fold, monkeypatch):
+    import quire.llm.graph
     from quire.llm.graph import components
 
+    monkeypatch.setattr(quire.llm.graph, "FOLD", fold)  # on the driver: several tasks, then rounds of stars
+
     r = random.Random(1)
     edges = [(i, i + 1) for i in range(0, 200) if i % 50] + [(r.randint(300, 400), r.randint(300, 400)) for _ in range(60)] + [(500, 500)]
     got = {x.node: x.root for x in components(spark.createDataFrame(edges, "a long, b long").repartition(7)).collect()}
