@@ -289,7 +289,8 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     tiles = members.groupBy("block").agg(F.greatest(F.ceil(F.count("*") / TILE_ROWS), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int").alias("tiles"))
     placed = members.join(tiles, "block").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     meets = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, "tile").alias("i"), F.greatest(t, "tile").alias("j")))
-    texts = docs.withColumnRenamed("doc_id", "id").join(placed, F.col("id").eqNullSafe(F.col("doc_id"))).withColumn("p", F.explode(meets))
+    # a merge join at every size: what is placed grows with the corpus
+    texts = docs.withColumnRenamed("doc_id", "id").join(placed.hint("merge"), F.col("id").eqNullSafe(F.col("doc_id"))).withColumn("p", F.explode(meets))
     groups = texts.select("block", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "tile", "node", "copies", "text").groupBy("block", "i", "j")
     found = materialize(groups.applyInPandas(_tile_links(k, percent), "node long, root long, links long"), "jaccard-links")
 
