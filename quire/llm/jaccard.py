@@ -25,7 +25,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast, TaskContext
-from pyspark.sql import DataFrame, SparkSession, functions as F, Window as W
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window as W
 
 from .common import materialize, pick, table
 from .graph import components, forest
@@ -183,7 +183,7 @@ def common_order(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def _prefixes(k: int, percent: int, order: Broadcast):
-    """Per document: set size, set hash, and its first shingles in the common order."""
+    """Per document: its key and id, set size, set hash, and its first shingles in the common order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         steps = order.value
@@ -197,7 +197,7 @@ def _prefixes(k: int, percent: int, order: Broadcast):
                 if n > 1:
                     s = s[np.lexsort((s, steps[_cells(s)]))]
                 first.append(s[:take].astype(np.int64) if n else s[:0].astype(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(first, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "node", "first"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(first, pa.list_(pa.int64()))], names=["key", "doc_id", "n_shingles", "node", "first"])
 
     return run
 
@@ -237,11 +237,11 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
 def _tile_links(k: int, percent: int):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         _, i, j = key
-        pdf = pdf.drop_duplicates("node")
         texts = [t.encode("utf-8", "surrogatepass") for t in pdf["text"]]
         sets = list(shingle_sets(texts, k))
         nodes = np.array([set_hash(s) if len(s) else 0 for s in sets], np.int64)
         keep = np.flatnonzero(nodes == pdf["node"].to_numpy(np.int64))
+        keep = keep[np.sort(np.unique(nodes[keep], return_index=True)[1])]
         sets, nodes = [sets[x] for x in keep], nodes[keep]
         copies, tile = pdf["copies"].to_numpy(np.int64)[keep], pdf["tile"].to_numpy(np.int64)[keep]
         sizes = np.array([len(s) for s in sets], np.int64)
@@ -257,27 +257,24 @@ def _tile_links(k: int, percent: int):
     return run
 
 
-def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, n_links.
+def row_key(names: list[str]) -> Column:
+    """A 64-bit hash of these columns; a null is told from every value."""
+    cols = [F.col(f"`{n}`") for n in names]
+    return F.xxhash64(*cols, *[c.isNull() for c in cols])
 
-    docs: doc_id, text; other columns are ignored. Two documents are linked when the Jaccard
-    similarity of their sets of k-word shingles is percent / 100 or more; component_id is the
-    smallest doc_id that links reach, its own included, and n_links the number of documents
-    linked to this one. Null and blank texts have no shingles, are linked with nothing and
-    are their own component. Repeated rows and ids are documents of their own, linked as
-    equal texts; a null id is never a component's id unless all its documents' are null. An
-    empty table gives no rows. Sets are told apart by 64-bit hashes.
 
-    Scale: texts are shuffled once, and again for rows in blocks of several; the rest moves
-    the first tenth (at 90 %) of each set's hashes. Groups of equal texts are one row from
-    the first shuffle on, in which each task sends a set once. Common n-grams don't bring
-    rows together unless rows consist of them; large blocks are dealt out by pairs of tiles.
+def _classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Per document with its key, and per class of equal sets with its component.
+
+    docs: key, doc_id, text; rows of one key have one id and one text. Classes have the root
+    of their component, the first document of theirs (smallest id, null last, then key), how
+    many documents they are and how many links these have to other classes.
     """
-    docs = pick(docs, ["doc_id", "text"])
     order = docs.sparkSession.sparkContext.broadcast(common_order(docs, k))
-    nodes = materialize(docs.mapInArrow(_prefixes(k, percent, order), "doc_id long, n_shingles long, node long, first array<long>"), "jaccard-sets")
+    nodes = materialize(docs.mapInArrow(_prefixes(k, percent, order), "key long, doc_id long, n_shingles long, node long, first array<long>"), "jaccard-sets")
     with_set = nodes.where("node is not null")
-    classes = materialize(with_set.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n")), "jaccard-classes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key"))
+    classes = materialize(with_set.groupBy("node").agg(first.alias("least"), F.count("*").alias("copies"), F.first("n_shingles").alias("n")), "jaccard-classes")
 
     postings = with_set.select("node", "n_shingles", "first").dropDuplicates(["node"]).select("node", F.col("n_shingles").alias("n"), F.explode("first").alias("shingle"))
     by_size = W.partitionBy("shingle").orderBy("n", "node")
@@ -288,19 +285,40 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     members = materialize(classes.join(blocks, "node"), "jaccard-blocks")
     tiles = members.groupBy("block").agg(F.greatest(F.ceil(F.count("*") / TILE_ROWS), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int").alias("tiles"))
     placed = members.join(tiles, "block").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    placed = placed.select(F.col("least.key").alias("of"), "block", "tiles", "tile", "node", "copies")
     meets = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, "tile").alias("i"), F.greatest(t, "tile").alias("j")))
-    # a merge join at every size: what is placed grows with the corpus
-    texts = docs.withColumnRenamed("doc_id", "id").join(placed.hint("merge"), F.col("id").eqNullSafe(F.col("doc_id"))).withColumn("p", F.explode(meets))
+    # a merge join at every size: what is placed grows with the corpus; rows of one key lie together after it, and one of them is enough
+    texts = docs.select("key", "text").join(placed.hint("merge"), F.col("key") == F.col("of")).dropDuplicates(["key"]).withColumn("p", F.explode(meets))
     groups = texts.select("block", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "tile", "node", "copies", "text").groupBy("block", "i", "j")
     found = materialize(groups.applyInPandas(_tile_links(k, percent), "node long, root long, links long"), "jaccard-links")
 
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
-    merged = classes.select("node", "doc_id", "copies").join(roots, "node", "left").join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = merged.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_node = merged.join(least, "root").select("node", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return nodes, classes.select("node", "least", "copies").join(roots, "node", "left").join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, n_links.
+
+    docs: doc_id, text; other columns are ignored. Two documents are linked when the Jaccard
+    similarity of their sets of k-word shingles is percent / 100 or more; component_id is the
+    smallest doc_id that links reach, its own included, and n_links the number of documents
+    linked to this one. Null and blank texts have no shingles, are linked with nothing and
+    are their own component. Repeated rows and ids are documents of their own, linked as
+    equal texts; a null id is never a component's id unless all its documents' are null. An
+    empty table gives no rows. Sets, and pairs of id and text, are told apart by 64-bit hashes.
+
+    Scale: texts are shuffled once, and again for rows in blocks of several; the rest moves
+    the first tenth (at 90 %) of each set's hashes. Groups of equal texts are one row from
+    the first shuffle on, in which each task sends a set once. Common n-grams don't bring
+    rows together unless rows consist of them; large blocks are dealt out by pairs of tiles.
+    """
+    docs = pick(docs, ["doc_id", "text"])
+    nodes, classes = _classes(docs.select(row_key(docs.columns).alias("key"), "doc_id", "text"), k, percent)
+    least = classes.groupBy("root").agg(F.min("least.doc_id").alias("component_id"))
+    of_node = classes.join(least, "root").select("node", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     alone = nodes.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    return with_set.join(of_node, "node").select("doc_id", "n_shingles", "component_id", "n_links").union(alone)
+    return nodes.where("node is not null").join(of_node, "node").select("doc_id", "n_shingles", "component_id", "n_links").union(alone)
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

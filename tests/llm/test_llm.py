@@ -209,6 +209,32 @@ def test_jaccard_join(spark, k, percent, monkeypatch):
     assert j.jaccard_join(frame(spark, rows).limit(0), k, percent).count() == 0
 
 
+def rows_of_shared_ids():
+    """Near copies whose ids are null or those of other texts, the same row several times, and blank texts."""
+    r = random.Random(8)
+    rows = []
+    for family in range(12):
+        base = [f"f{family}w{r.randint(0, 999)}" for _ in range(120)]
+        for copy in range(4):
+            w = list(base)
+            w[copy] = f"c{copy}"
+            rows.append(((None, 7, 7, 10 + family)[copy] if family % 2 else (None, None, 8, None)[copy], " ".join(w), "en", "s1", 1))
+    return rows + rows[:3] + rows[:3] + [(None, None, "en", "s1", 1), (None, " ", "en", "s1", 1), (7, "", "en", "s1", 1), (7, "", "en", "s1", 1)]
+
+
+@pytest.mark.parametrize("tile", [2, 1024])
+def test_jaccard_join_of_shared_ids(spark, tile, monkeypatch):
+    import quire.llm.jaccard as j
+
+    monkeypatch.setattr(j, "TILE_ROWS", tile)
+    rows = rows_of_shared_ids()
+    order = lambda x: (x[0] is None, x[0] or 0, x[1], x[2] is None, x[2] or 0, x[3])
+    got = sorted(((x.doc_id, x.n_shingles, x.component_id, x.n_links) for x in j.jaccard_join(frame(spark, rows), 3, 80).collect()), key=order)
+    # the brute force orders ids: a null counts as one above all others
+    want = [tuple(None if x == 10**9 else x for x in w) for w in brute_components([(10**9 if x[0] is None else x[0], *x[1:]) for x in rows], 3, 80)]
+    assert got == sorted(want, key=order) and max(x[3] for x in got) > 3
+
+
 @pytest.mark.parametrize("fold", [10, 500_000])
 def test_components(spark, fold, monkeypatch):
     import quire.llm.graph
