@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quire.llm.common import shared_dir, table
-from quire.llm.jaccard import jaccard_join
+from quire.llm.jaccard import one_of_each
 from quire.llm.language import fit, identify
 from quire.llm.mixing import mix
 from quire.llm.packing import WORD_BPE, WORD_BPE_END, pack_sequences
@@ -28,9 +28,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each component of near duplicates (five-word shingles, 0.8) the document with the smallest id."""
-    kept = jaccard_join(docs, 5, 80).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__id").dropDuplicates(["doc_id"])
+    """Keeps of each component of near duplicates (five-word shingles, 0.8) the document with the smallest id, and one row of it."""
+    return one_of_each(docs, 5, 80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

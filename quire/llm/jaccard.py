@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window as W
 
-from .common import materialize, pick, table
+from .common import WORD, materialize, pick, table
 from .graph import components, forest
 
 #: Rows and shingles of a tile at most, on average; bytes that are hashed at a time.
@@ -321,6 +321,22 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     return nodes.where("node is not null").join(of_node, "node").select("doc_id", "n_shingles", "component_id", "n_links").union(alone)
 
 
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, all columns, that stand for a component: one each.
+
+    It is the row with the smallest doc_id (null last), then the smallest hash of the whole
+    row, so reruns keep the same. Rows without shingles are their own component and stay.
+    """
+    names = docs.columns
+    keyed = docs.withColumn("__key", row_key(names))
+    _, classes = _classes(keyed.select(F.col("__key").alias("key"), "doc_id", "text"), k, percent)
+    kept = classes.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.key").alias("__of"))
+    # rows of one key are the same in every column: any of them will do
+    first = keyed.join(kept.hint("merge"), F.col("__key") == F.col("__of")).dropDuplicates(["__key"])
+    has_words = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    return pick(first, names).union(docs.where(~has_words))
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents at 90 % of 3-word shingles."""
     return jaccard_join(table(spark, sf_dir, "documents"), 3, 90)

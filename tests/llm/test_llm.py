@@ -418,6 +418,20 @@ def test_pipeline(spark):
     assert [n for n, _ in c.STAGES] == ["language_id", "ngram_jaccard_join", "mix_sources", "pack"]
 
 
+def test_one_row_of_each_component(spark):
+    """Rows that only share an id, or have none, stay; of a component, one row does."""
+    import corpus_pipeline as c
+
+    rows = rows_of_shared_ids()
+    got = [tuple(r)[:5] for r in c.one_of_each_group(spark, frame(spark, rows), SMALL).collect()]
+    with_set = [r for r in got if (r[1] or "").strip()]
+    assert len(with_set) == 12 and len({re.search(r"f\d+w", r[1])[0] for r in with_set}) == 12
+    assert {r[0] for r in with_set} == {7, 8}  # the smallest id of each
+    assert len(got) - len(with_set) == 4  # the four rows without words
+    again = [tuple(r)[:5] for r in c.one_of_each_group(spark, frame(spark, rows[::-1]).repartition(5), SMALL).collect()]
+    assert sorted(got, key=str) == sorted(again, key=str)
+
+
 # --- token counts
 
 
