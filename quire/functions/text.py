@@ -19,6 +19,9 @@ _GREEK = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu
 GLYPHS |= {chr(0x3B1 + i): f"\\{n} " for i, n in enumerate(_GREEK) if n != "-"}
 GLYPHS |= {chr(0x391 + i): f"\\{n.capitalize()} " for i, n in enumerate(_GREEK) if n in ("gamma", "delta", "theta", "lambda", "xi", "pi", "sigma", "phi", "psi", "omega")}
 
+# Characters that speak for a line of mathematics.
+SCORED = "αβγδεζηθικλμνξοπρςστυφχψωΑΒΓΔΕΘΛΞΠΣΦΨΩ∑∏∫√∞≈≠≤≥≪≫⋅·∂∇·×÷±∓⊕⊗⊙∅⌊⌋⌈⌉←→↔⇒⇔∈∉⊂⊆⊃⊇∪∩∀∃ℝℕℤℚℂ²³⁴⁵⁶⁷⁸⁹⁰¹⁺⁻ⁿ₀₁₂₃₄₅₆₇₈₉₊₋"
+
 _TRIM = "^\\s+|\\s+$"
 
 
@@ -152,7 +155,7 @@ def image_refs(x: Column) -> Column:
     return F.transform(refs, lambda p: F.element_at(F.split(strip(p), "/"), -1))
 
 
-def math_score(x: Column, glyphs: str = "".join(GLYPHS)) -> Column:
+def math_score(x: Column, glyphs: str = SCORED) -> Column:
     s = strip(x)
     hits = F.regexp_count(s, F.lit(f"[{glyphs}]")) + F.regexp_count(s, F.lit("[=≈]")) * F.lit(0.3)
     return F.when(F.length(s) < 3, F.lit(0.0)).otherwise(hits / F.length(s))

@@ -47,12 +47,22 @@ def _(t):
     return t("documents").where(~F.trim("text").startswith("*")).select("doc_id", x.is_footnote(c("text"), F.lit(1)).alias("footnote"))
 
 
+@query("X8_footnotes_whole")
+def _(t):
+    return t("documents").select("doc_id", x.is_footnote(c("text"), F.lit(1)).alias("footnote"))
+
+
 @query("X10_math_glyphs", "SELECT doc_id, regexp_replace(replace(replace(text, '×', '\\times '), 'α', '\\alpha '), ' {2,}', ' ', 'g') AS latex FROM documents WHERE NOT regexp_matches(text, '[√÷·−≤≥≠≈≡∝∈∉⊂⊃⊆⊇∅∪∩∑∏∫∞∂∇ℝℕℤℚℂ→←↔⇒⇐β-ωΓ-Ω]')")
 def _(t):
     odd = "[√÷·−≤≥≠≈≡∝∈∉⊂⊃⊆⊇∅∪∩∑∏∫∞∂∇ℝℕℤℚℂ→←↔⇒⇐β-ωΓ-Ω]"
     return t("documents").where(~c("text").rlike(odd)).select("doc_id", x.math_glyphs(c("text")).alias("latex"))
 
 
+@query("X10_math_glyphs_whole")
+def _(t):
+    return t("documents").select("doc_id", x.math_glyphs(c("text")).alias("latex"))
+
+
 @query("X12_json", "SELECT event_id, json_valid(props) AND length(props) >= 12 AS is_json FROM events WHERE props IS NOT NULL")
 def _(t):
     return t("events").where("props is not null").select("event_id", x.is_json(c("props")).alias("is_json"))
@@ -100,6 +110,11 @@ def _(t):
     return d.select("doc_id", F.round(x.math_score(c("text"), "×÷α"), 9).alias("score"))
 
 
+@query("X22_math_score_whole")
+def _(t):
+    return t("documents").select("doc_id", F.round(x.math_score(c("text")), 9).alias("score"))
+
+
 @query(
     "X23_two_columns",
     "SELECT l_suppkey, count(*) >= 12 AND least(count(*) FILTER (l_quantity < 23), count(*) FILTER (l_quantity >= 27)) >= greatest(4, count(*) * 0.2) AND count(*) FILTER (l_quantity < 25 AND l_partkey % 10 = 0) / count(*) < 0.25 AS two_columns FROM lineitem GROUP BY l_suppkey",

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 import random
+import re
 
 import pytest
 
@@ -161,3 +162,54 @@ def test_sources(spark, tmp_path):
     assert [(b.document_id, b.type) for b in blocks] == [("x_content_list.json", "text"), ("x_content_list.json", "table")]
     assert largest_by_folder(spark, str(tmp_path), "*.md").first().path.endswith("b.md")
     assert uploads(spark, str(tmp_path / "d" / "p.pdf"), 100).first().accepted and not uploads(spark, str(tmp_path / "d" / "a.md"), 100).first().accepted
+
+
+def whole(name, spark, rows, at, table="documents", schema="doc_id long, text string"):
+    """Rows of a query over a table of these rows only."""
+    import __spark_entry__ as e
+
+    spark.createDataFrame(rows, schema).write.parquet(f"{at}/{table}.parquet")
+    return [tuple(r) for r in e.queries()[name](spark, str(at)).collect()]
+
+
+ODD_TEXTS = ["√{a+b} × √x2 − √", "∑ α ≤ β  Ω ℝ→", "* Equal contribution of all", "* a star only", "** bold", "† now in a lab", "at the workshop, work done there", "work done " * 30, "x", " = ", "", " \n ", "¹note", None]
+
+
+def test_footnotes_of_every_text(spark, tmp_path):
+    from quire.functions.text import FOOTNOTE_MARKS, FOOTNOTE_PHRASES
+
+    def brute(text):
+        s = (text or "").strip()
+        phrase = any(p in s.lower() for p in FOOTNOTE_PHRASES)
+        first = s.split("\n")[0]
+        if re.match(rf"[{FOOTNOTE_MARKS}]+\s*\S", first):
+            return phrase if re.match(r"\*(?!\*)", first) else True
+        return len(s) < 200 and phrase
+
+    got = dict(whole("X8_footnotes_whole", spark, list(enumerate(ODD_TEXTS)), tmp_path))
+    assert {i: bool(v) for i, v in got.items()} == {i: brute(v) for i, v in enumerate(ODD_TEXTS)}
+
+
+def test_glyphs_of_every_text(spark, tmp_path):
+    from quire.functions.text import GLYPHS
+
+    def brute(text):
+        s = re.sub(r"√\s*([A-Za-z][A-Za-z0-9_]*)", r"\\sqrt{\1}", re.sub(r"√\s*\{([^}]+)\}", r"\\sqrt{\1}", text)).replace("√", "\\sqrt{}")
+        return re.sub(" {2,}", " ", "".join(GLYPHS.get(ch, ch) for ch in s))
+
+    texts = [*ODD_TEXTS, *[f"a {g} b" for g in GLYPHS]]
+    got = dict(whole("X10_math_glyphs_whole", spark, list(enumerate(texts)), tmp_path))
+    assert got == {i: None if v is None else brute(v) for i, v in enumerate(texts)}
+    assert got[0] == "\\sqrt{a+b} \\times \\sqrt{x2} - \\sqrt{}"
+
+
+def test_math_scores_of_every_text(spark, tmp_path):
+    from quire.functions.text import GLYPHS, SCORED
+
+    def brute(text):
+        s = text.strip()
+        return 0.0 if len(s) < 3 else round((sum(ch in SCORED for ch in s) + 0.3 * (s.count("=") + s.count("≈"))) / len(s), 9)
+
+    texts = [*ODD_TEXTS, *[f"a {g} b = c" for g in [*GLYPHS, *SCORED]]]
+    got = dict(whole("X22_math_score_whole", spark, list(enumerate(texts)), tmp_path))
+    assert got == {i: None if v is None else brute(v) for i, v in enumerate(texts)}
