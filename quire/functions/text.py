@@ -69,6 +69,15 @@ def paragraphs(x: Column, longest: int = 850, pack: int = 620) -> Column:
     return F.filter(pieces, lambda p: F.length(p) > 3)
 
 
+def reveal_paragraphs(x: Column, longest: int = 600) -> Column:
+    """Paragraphs at blank lines; a single one of more than longest characters is cut before lines that open with a capital, digit, quote or bracket."""
+    s = strip(F.replace(x, F.lit("\r\n"), F.lit("\n")))
+    cut = lambda pattern: F.filter(F.transform(F.split(s, pattern), strip), lambda p: p != "")
+    blocks = cut("\n\\s*\n+")
+    found = F.when((F.size(blocks) == 1) & (F.length(s) > longest), cut("\n(?=[A-Z0-9\"'“‘(])")).otherwise(blocks)
+    return F.when(F.coalesce(x, F.lit("")) == "", F.array().cast("array<string>")).when(F.size(found) > 0, found).otherwise(F.array(s))
+
+
 def isolate_footnotes(x: Column) -> Column:
     """A blank line before lines that open with a footnote sign, in the first 3,500 characters."""
     head = F.regexp_replace(F.substring(x, 1, 3500), "\n(?=[∗⋆★✱✲†‡§¶])", "\n\n")

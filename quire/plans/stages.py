@@ -41,6 +41,11 @@ def _(t):
     return d.select("doc_id", F.when((F.size(blocks) == 1) & (F.length("text") > 600), again).otherwise(blocks).alias("paragraphs"))
 
 
+@query("X49_reveal_paragraphs_whole")
+def _(t):
+    return t("documents").select("doc_id", x.reveal_paragraphs(c("text")).alias("paragraphs"))
+
+
 @query("M5_finalise_note", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN o_orderpriority ELSE '' END AS content, CASE WHEN o_orderstatus IN ('left', 'right') THEN o_orderstatus ELSE 'right' END AS margin_side FROM orders")
 def _(t):
     o = t("orders").select(c("o_orderkey").alias("id"), F.lit(1).alias("v"), F.lit("U").alias("op"), F.lit("").alias("content"), F.when(c("o_orderstatus").isin("left", "right"), c("o_orderstatus")).otherwise("right").alias("margin_side"))

@@ -213,3 +213,17 @@ def test_math_scores_of_every_text(spark, tmp_path):
     texts = [*ODD_TEXTS, *[f"a {g} b = c" for g in [*GLYPHS, *SCORED]]]
     got = dict(whole("X22_math_score_whole", spark, list(enumerate(texts)), tmp_path))
     assert got == {i: None if v is None else brute(v) for i, v in enumerate(texts)}
+
+
+def test_revealed_paragraphs_of_every_text(spark, tmp_path):
+    def brute(text):
+        s = (text or "").replace("\r\n", "\n").strip()
+        found = [p.strip() for p in re.split(r"\n\s*\n+", s) if p.strip()]
+        if len(found) == 1 and len(s) > 600:
+            found = [p.strip() for p in re.split("\n(?=[A-Z0-9\"'“‘(])", s) if p.strip()]
+        return found or ([s] if text else [])
+
+    long = "word " * 130
+    texts = ["one\n\ntwo\n \t\n\n three ", "one\r\n\r\ntwo", f" {long}\nNext\nlower\n9 lives\n“Quote”\n(b)\n'c' ", f"{long}\n\nSecond\nThird", "short\nNext", "", " \n ", None]
+    got = dict(whole("X49_reveal_paragraphs_whole", spark, list(enumerate(texts)), tmp_path))
+    assert got == {i: brute(v) for i, v in enumerate(texts)} and len(got[2]) == 6
