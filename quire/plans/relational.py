@@ -101,7 +101,12 @@ def _(t):
 
 @query("P14_library", "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'a') ORDER BY lower(p_name), p_partkey LIMIT 100")
 def _(t):
-    return t("part").where(F.lower("p_name").contains("a")).orderBy(F.lower("p_name"), "p_partkey").limit(100).select("p_partkey", "p_name")
+    return _library(t).limit(100)
+
+
+@query("P14_library_whole")
+def _library(t):
+    return t("part").where(F.lower("p_name").contains("a")).orderBy(F.lower("p_name"), "p_partkey").select("p_partkey", "p_name")
 
 
 @query("P15_any_field", "SELECT c_custkey FROM customer WHERE contains(lower(coalesce(c_name, '')), '1') OR contains(lower(coalesce(c_mktsegment, '')), 'auto')")
@@ -467,12 +472,22 @@ def _(t):
 
 @query("T1_nulls_last", "SELECT c_custkey, nullif(c_nationkey, 3) AS n FROM customer ORDER BY n NULLS LAST, c_custkey LIMIT 500")
 def _(t):
-    return t("customer").select("c_custkey", F.nullif(c("c_nationkey"), F.lit(3)).alias("n")).orderBy(c("n").asc_nulls_last(), "c_custkey").limit(500)
+    return _nulls_last(t).limit(500)
+
+
+@query("T1_nulls_last_whole")
+def _nulls_last(t):
+    return t("customer").select("c_custkey", F.nullif(c("c_nationkey"), F.lit(3)).alias("n")).orderBy(c("n").asc_nulls_last(), "c_custkey")
 
 
 @query("T3_note_order", "SELECT event_id, user_id FROM events ORDER BY user_id, ts, event_id LIMIT 1000")
 def _(t):
-    return t("events").orderBy("user_id", "ts", "event_id").limit(1000).select("event_id", "user_id")
+    return _note_order(t).limit(1000)
+
+
+@query("T3_note_order_whole")
+def _note_order(t):
+    return t("events").orderBy("user_id", "ts", "event_id").select("event_id", "user_id")
 
 
 @query(
@@ -516,8 +531,13 @@ def _(t):
     "SELECT p_name AS name, cloud FROM (SELECT p_name, p_partkey, (p_name ILIKE '%a' OR p_size = 1) AS cloud FROM part WHERE NOT contains(lower(p_name), 'e')) ORDER BY cloud, lower(p_name), p_partkey LIMIT 50",
 )
 def _(t):
+    return _model_catalog(t).limit(50)
+
+
+@query("T9_model_catalog_whole")
+def _model_catalog(t):
     m = t("part").where(~F.lower("p_name").contains("e")).withColumn("cloud", F.lower("p_name").endswith("a") | (c("p_size") == 1))
-    return m.orderBy("cloud", F.lower("p_name"), "p_partkey").limit(50).select(c("p_name").alias("name"), "cloud")
+    return m.orderBy("cloud", F.lower("p_name"), "p_partkey").select(c("p_name").alias("name"), "cloud")
 
 
 @query("T10_turn_order", "SELECT conv_id, max(turn) AS last_at FROM conversations GROUP BY conv_id ORDER BY last_at DESC, conv_id LIMIT 20")

@@ -227,3 +227,21 @@ def test_revealed_paragraphs_of_every_text(spark, tmp_path):
     texts = ["one\n\ntwo\n \t\n\n three ", "one\r\n\r\ntwo", f" {long}\nNext\nlower\n9 lives\n“Quote”\n(b)\n'c' ", f"{long}\n\nSecond\nThird", "short\nNext", "", " \n ", None]
     got = dict(whole("X49_reveal_paragraphs_whole", spark, list(enumerate(texts)), tmp_path))
     assert got == {i: brute(v) for i, v in enumerate(texts)} and len(got[2]) == 6
+
+
+def test_orders_are_whole(spark, tmp_path):
+    n = 1100
+    events = [(n - i, i % 7, i % 13) for i in range(n)]
+    want = [(e, u) for e, u, _ in sorted(events, key=lambda x: (x[1], x[2], x[0]))]
+    assert whole("T3_note_order_whole", spark, events, tmp_path, "events", "event_id long, user_id long, ts long") == want
+    customers = [(n - i, i % 5) for i in range(n)]
+    want = sorted(((k, None if v == 3 else v) for k, v in customers), key=lambda x: (x[1] is None, x[1] or 0, x[0]))
+    assert whole("T1_nulls_last_whole", spark, customers, tmp_path, "customer", "c_custkey long, c_nationkey long") == want
+    parts = [(i, f"{'aBcX'[i % 4]}{i % 90}{'aot'[i % 3]}", i % 2) for i in range(n)]
+    want = [(i, name) for i, name, _ in sorted(parts, key=lambda x: (x[1].lower(), x[0])) if "a" in name.lower()]
+    assert whole("P14_library_whole", spark, parts, tmp_path, "part", "p_partkey long, p_name string, p_size int") == want
+    import __spark_entry__ as e
+
+    cloud = lambda x: x[1].lower().endswith("a") or x[2] == 1
+    want = [(x[1], cloud(x)) for x in sorted(parts, key=lambda x: (cloud(x), x[1].lower(), x[0])) if "e" not in x[1].lower()]
+    assert [tuple(r) for r in e.queries()["T9_model_catalog_whole"](spark, str(tmp_path)).collect()] == want
