@@ -29,10 +29,11 @@ _TOKEN = re.compile(
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?=>))|[^>]*)(?:>|\Z)",
     re.S,
 )
-# HTML's void, raw-text and never-shown elements, its inline elements, and which open elements a start tag closes.
+# HTML's void, raw-text and never-shown elements, what may stand in a head, its inline elements, and which open elements a start tag closes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 UNSEEN = frozenset("head script style title template noscript iframe object svg math textarea select datalist noembed noframes xmp".split())
+HEAD = frozenset("html head base basefont bgsound link meta title noscript noframes script style template".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr img".split())
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select", "datalist"})}
 TEXT = "#text"
@@ -68,6 +69,8 @@ def parse(source: str | None) -> Page:
     def say(text: str) -> None:
         nonlocal edge
         if text:
+            if tags[stack[-1]] == "head" and text.strip():
+                stack.pop()
             add(TEXT, "", entities.unescape(text) if "&" in text else text, edge)
             edge = False
 
@@ -114,6 +117,8 @@ def parse(source: str | None) -> Page:
             while tags[stack[-1]] != "head":
                 stack.pop()
             stack.pop()
+        if tags[stack[-1]] == "head" and tag not in HEAD:
+            stack.pop()
         if tag in VOID:
             continue
         node = add(tag, m["attrs"], None, False)

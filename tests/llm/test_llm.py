@@ -398,6 +398,15 @@ def test_pages_of_any_shape(spark):
     assert main_text(df.limit(0), ["page_id"]).count() == 0
 
 
+def test_pages_without_head_end_and_body(spark):
+    from quire.llm.html_text import main_text
+
+    words = " ".join(f"<p>Sentence {i} of the article says a little more, and then it ends.</p>" for i in range(12))
+    pages = [(1, f"<html><head><title>t</title><meta charset=utf-8><article>{words}</article></html>"), (2, f"<html><head><title>t</title></head><body><article>{words}</article></body></html>"), (3, "<head><title>t</title>Only text stands here, and it is a whole sentence of its own.")]
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(pages, "page_id long, html string"), ["page_id"]).collect()}
+    assert got[1] == got[2] and "Sentence 11" in got[1] and got[3].startswith("Only text")
+
+
 # --- pipeline
 
 
