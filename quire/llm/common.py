@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -18,15 +19,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Where the session names none (tests, a local shell) it is set here.
+    A local session that names none uses a folder of this machine; on a cluster that is an
+    error, for other machines could not read it.
     """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         conf = "/tmp/checkpoints/quire"
-        spark.conf.set("spark.checkpoint.dir", conf)
     return conf.rstrip("/")
 
 
+def new_folder(spark: SparkSession, label: str) -> str:
+    """Path of a new folder in the shared one; it goes when the session's process ends, or by drop_folder."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _file_system(spark, path, lambda fs, p: fs.deleteOnExit(p))
+    return path
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    _file_system(spark, path, lambda fs, p: fs.delete(p, True))
+
+
+def _file_system(spark: SparkSession, path: str, do: Callable) -> None:
+    """Acts on a path through the file system that Spark uses for it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(p.getParent())
+    do(fs, p)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back.
 
@@ -34,7 +56,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     stages before. Row identifiers made before the write stay as they are.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = new_folder(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -44,8 +66,30 @@ def pick(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
-def parts(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: Bytes of text that a range of rows holds, about.
+RANGE_BYTES = 64 << 20
+
+
+def parts(spark: SparkSession, size: int = 0) -> int:
+    """Number of ranges for so many bytes: that of the session's shuffles, or more if ranges would exceed RANGE_BYTES."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / RANGE_BYTES))
+
+
+def text_bytes(docs: DataFrame) -> int:
+    """Bytes of all texts."""
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+# --- what a Python worker remembers from one task to the next
+
+_remembered: dict[str, dict] = {}
+
+
+def remembered(owner: str) -> dict:
+    """What this operator has kept in this worker. Workers outlive stages, so what other operators have kept is let go first."""
+    for other in [o for o in _remembered if o != owner]:
+        del _remembered[other]
+    return _remembered.setdefault(owner, {})
 
 
 def word_count(text: Column) -> Column:

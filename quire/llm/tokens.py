@@ -5,18 +5,31 @@ tokenizers used here always cut between a character that is not white space and
 space or newline. So a text is split at spaces and newlines, each distinct unit is encoded
 once by the tokenizers library and remembered, and a document's ids are the concatenation.
 A text where the cut would not be sure (white space next to white space, a special
-token's string) is encoded whole by the library.
+token's string) is encoded whole by the library, and so is every text if the tokenizer is
+of another make than these two: how it cuts texts is compared with what is known on load.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from array import array
 
 import numpy as np
 
-#: Units, and pieces, in one generation of a worker's memory; it keeps two generations of either.
-MEMO_UNITS = 500_000
+from .common import remembered
+
+#: Bytes that one generation of units, or of pieces, may take in a worker, which keeps two of either; longer units are not kept.
+MEMO_BYTES, MEMO_LONGEST = 40 << 20, 64
+#: Bytes of an entry besides those of its unit: two objects and a place in a table.
+ENTRY_BYTES = 200
+
+# How the two known makes of tokenizers normalise and cut texts, as their files say it.
+SPACED = {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}}
+LOWERED = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
 
 #: A word and marks after it: two pieces for either tokenizer. No apostrophe, which may start a contraction.
 _SIMPLE = re.compile(r"(\n?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*%#$&|()-]*)")
@@ -41,13 +54,18 @@ class Encoder:
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        spec = json.loads(self.tokenizer.to_str())
+        make = {k: spec[k] for k in SPACED}
+        plain = spec["model"]["type"] == "BPE" and not spec["model"]["dropout"] and all(t["special"] for t in spec["added_tokens"])
+        self.known = plain and make in (SPACED, LOWERED)
         #: a tokenizer that keeps case and white space puts the space before a word into its piece
-        self.spaced = self.tokenizer.normalizer is None
+        self.spaced = make == SPACED
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.units: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         self.old_units: dict[str, bytes] = {}
         self.old_pieces: dict[str, bytes] = {}
+        self.unit_bytes = self.piece_bytes = 0
 
     def whole(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -55,8 +73,8 @@ class Encoder:
     def piece(self, piece: str) -> bytes:
         got = self.pieces.get(piece)
         if got is None:
-            if len(self.pieces) >= MEMO_UNITS:
-                self.old_pieces, self.pieces = self.pieces, {}
+            if self.piece_bytes >= MEMO_BYTES:
+                self.old_pieces, self.pieces, self.piece_bytes = self.pieces, {}, 0
             got = self.old_pieces.get(piece)
             if got is None:
                 if piece.isascii():
@@ -64,7 +82,9 @@ class Encoder:
                 else:
                     letters = piece.encode().decode("latin-1").translate(self.letters)
                 got = array(self.code, [t.id for t in self.model.tokenize(letters)]).tobytes()
-            self.pieces[piece] = got
+            if len(piece) <= MEMO_LONGEST:
+                self.pieces[piece] = got
+                self.piece_bytes += ENTRY_BYTES + len(piece) + len(got)
         return got
 
     def unit(self, unit: str, first: bool) -> bytes | None:
@@ -85,16 +105,19 @@ class Encoder:
     def remember(self, unit: str) -> bytes | None:
         """Ids of a unit that was not among the young ones when its text was looked up."""
         got = self.units.get(unit) or self.old_units.get(unit) or self.unit(unit, False)
-        if got is not None:
-            if len(self.units) >= MEMO_UNITS:
-                self.old_units, self.units = self.units, {}
+        if got is not None and len(unit) <= MEMO_LONGEST:
+            if self.unit_bytes >= MEMO_BYTES:
+                self.old_units, self.units, self.unit_bytes = self.units, {}, 0
             self.units[unit] = got
+            self.unit_bytes += ENTRY_BYTES + len(unit) + len(got)
         return got
 
     def encode(self, text: str | None) -> bytes:
         """Bytes of the ids of the whole text; null is empty."""
         if not text:
             return b""
+        if not self.known:
+            return self.whole(text)
         head, *units = text.replace("\n", " \n").split(" ")
         found = list(map(self.units.get, units))
         at = -1
@@ -109,11 +132,11 @@ class Encoder:
         return start + b"".join(found)
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """The worker's encoder for a vocabulary file; kept between the tasks of a worker."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """The worker's encoder for a vocabulary file; kept between the tasks of a worker that encode."""
+    kept = remembered("tokens")
+    if path not in kept:
+        if len(kept) > 1:
+            kept.clear()
+        kept[path] = Encoder(path)
+    return kept[path]
