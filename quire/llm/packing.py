@@ -4,25 +4,33 @@ A document is a vector of hashed three-byte counts. A fixed random projection ta
 DIMS dimensions, the cell of its place has a Hilbert key, and a global range sort by that
 key lays documents out so that neighbours on the curve are alike. Each range is then cut
 into sequences in curve order, so a sequence holds documents that resemble one another.
+Ranges are bounded by bytes of text, so that long documents that lie together on the curve,
+and a key that very many documents share, are dealt over several ranges.
 
 A range's last ids fill sequences whose lengths are powers of two, which need no padding;
-padding is therefore zero however many ranges there are.
+padding is therefore zero however many ranges there are. A repeated document lies next to
+its copies on the curve; a copy waits until the sequence that holds the one before is full.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, Window as W
 
-from .common import parts, pick, table
+from .common import materialize, parts, pick, table
 from .tokens import encoder
 
 BUCKETS, DIMS, LEVEL_BITS, REACH = 64, 4, 8, 0.5
 WORD_BPE, WORD_BPE_END, SEQUENCE = "word_bpe_49k.json", 2, 4096
+#: Sequences of ids that a task gathers before it cuts them, and copies' ids that may wait besides.
+GATHER = 64
+#: Waiting copies that are looked through for one that may go.
+LOOK = 64
 PIECE_SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
@@ -89,6 +97,42 @@ def _with_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=[*batch.schema.names, "curve"])
 
 
+def byte_ranges(keyed: DataFrame) -> tuple[list[int], list[int], list[int], int]:
+    """Bounds of ranges of the curve that hold as many bytes each: keys, and the first and last range that a key falls into.
+
+    keyed: curve, text. A range may begin inside a key, whose documents are then dealt over
+    the ranges by a hash. Bytes are summed by key, then over the curve in two steps (the
+    high half of a key has 65,536 values at most); a few keys a range reach the driver.
+    """
+    cells = materialize(keyed.groupBy("curve").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("size")).withColumn("high", F.shiftright("curve", 16)), "pack-cells")
+    total = cells.agg(F.sum("size")).first()[0] or 0
+    n = parts(keyed.sparkSession, total)
+    highs = cells.groupBy("high").agg(F.sum("size").alias("all")).select("high", (F.sum("all").over(W.orderBy("high")) - F.col("all")).alias("before_high"))
+    inside = F.sum("size").over(W.partitionBy("high").orderBy("curve")) - F.col("size")
+    placed = cells.withColumn("inside", inside).join(highs, "high").withColumn("before", F.col("before_high") + F.col("inside"))
+    first = F.least(F.floor(F.col("before") * F.lit(n) / F.lit(max(1, total))), F.lit(n - 1)).cast("int")
+    last = F.least(F.floor((F.col("before") + F.col("size") - 1) * F.lit(n) / F.lit(max(1, total))), F.lit(n - 1)).cast("int")
+    placed = placed.select("curve", first.alias("first"), last.alias("last"))
+    # of the keys that lie in one range whole, the least bounds it; keys that span ranges bound them too
+    whole = placed.where("first = last").groupBy("first", "last").agg(F.min("curve").alias("curve")).select("curve", "first", "last")
+    bounds = sorted(tuple(r) for r in whole.union(placed.where("first < last")).collect())
+    return [b[0] for b in bounds], [b[1] for b in bounds], [b[2] for b in bounds], n
+
+
+def _dealer(keys: list[int], first: list[int], last: list[int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k, a, b = np.array(keys, np.int64), np.array(first, np.int64), np.array(last, np.int64)
+        for batch in batches:
+            curve, h = batch.column("curve").to_numpy(), batch.column("h").to_numpy().astype(np.uint64)
+            at = np.searchsorted(k, curve, "right") - 1
+            # a key after one that spans ranges, and before the next bound, goes to the last of them
+            spread = np.where(k[at] == curve, b[at] - a[at] + 1, 1).astype(np.uint64)
+            part = np.where(k[at] == curve, a[at], b[at]) + ((h >> np.uint64(32)) * spread >> np.uint64(32)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part, pa.int32())], names=[*batch.schema.names, "part"])
+
+    return run
+
+
 def sequence_lengths(n: int, sequence: int) -> list[int]:
     """Lengths of the sequences for n ids: full ones, then the powers of two that add up to the rest."""
     full, rest = divmod(n, sequence)
@@ -103,7 +147,11 @@ def _packer(path: str, end_id: int, sequence: int):
         sequence_id = TaskContext.get().partitionId() << 40
         names = [c.split()[0] for c in PIECE_SCHEMA.split(", ")]
         waiting: list[tuple[int | None, int, int, bytes]] = []  # doc_id, ids before, ids of the document, ids left
-        n_waiting = 0
+        n_waiting = n_placed = 0
+        copies: deque[tuple[list[int], int | None, bytes]] = deque()  # copies that wait; the list holds where the next one of its document may go
+        n_copies = 0
+        latest: tuple[int | None, bytes] | None = None
+        free = [0]
 
         def cut(lengths: list[int]) -> Iterator[pa.RecordBatch]:
             nonlocal sequence_id, waiting, n_waiting
@@ -128,13 +176,38 @@ def _packer(path: str, end_id: int, sequence: int):
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "ids" else pa.int64()) for n, c in zip(names, zip(*rows))], names=names)
 
+        def place(doc_id: int | None, ids: bytes) -> None:
+            nonlocal n_waiting, n_placed
+            waiting.append((doc_id, 0, len(ids) // width, ids))
+            n_waiting += len(ids) // width
+            n_placed += len(ids) // width
+
+        def release(most: int) -> None:
+            """Places copies that may go, and the first ones whatever they follow while more than so many ids wait."""
+            nonlocal n_copies
+            while copies:
+                k = next((k for k in range(min(len(copies), LOOK)) if copies[k][0][0] <= n_placed), 0 if n_copies > most else None)
+                if k is None:
+                    return
+                after, doc_id, ids = copies[k]
+                del copies[k]
+                n_copies -= len(ids) // width
+                place(doc_id, ids)
+                after[0] = -(-n_placed // sequence) * sequence  # where the sequence ends that holds this one's end
+
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
                 ids = enc.encode(text.as_py()) + end
-                waiting.append((doc_id, 0, len(ids) // width, ids))
-                n_waiting += len(ids) // width
-                if n_waiting >= 64 * sequence:
+                if latest == (doc_id, ids):
+                    copies.append((free, doc_id, ids))
+                    n_copies += len(ids) // width
+                else:
+                    place(doc_id, ids)
+                    latest, free = (doc_id, ids), [-(-n_placed // sequence) * sequence]
+                release(GATHER * sequence)
+                if n_waiting >= GATHER * sequence:
                     yield from cut([sequence] * (n_waiting // sequence))
+        release(0)
         yield from cut(sequence_lengths(n_waiting, sequence))
 
     return run
@@ -146,14 +219,20 @@ def pack_sequences(docs: DataFrame, vocabulary: str, end_id: int, sequence: int
     A document's ids are those of its whole text (null: none) and the end id; documents are
     cut where a sequence ends. Sequences have `sequence` ids, a power of two, or a smaller
     power of two. Equal texts share a curve key and are told apart by doc_id, then by hash.
-    Repeated rows and repeated ids are packed as often as they come; null ids are kept. An
-    empty table gives no pieces. Other columns are ignored.
+    Repeated rows and repeated ids are packed as often as they come, copies of a row in
+    different sequences as long as other documents of the range can stand between them; null
+    ids are kept. An empty table gives no pieces. Other columns are ignored.
 
-    Scale: one shuffle of the texts, by ranges of the curve; a task holds 64 sequences.
+    Scale: texts are written once with their keys and shuffled once, by ranges of the curve
+    that hold as many bytes each; a task holds GATHER sequences, and as many ids of copies.
     """
-    keyed = pick(docs, ["doc_id", "text"]).mapInArrow(_with_keys, "doc_id long, text string, curve long")
-    order = ["curve", "doc_id", F.xxhash64("text")]
-    placed = keyed.repartitionByRange(parts(docs.sparkSession), *order).sortWithinPartitions(*order).select("doc_id", "text")
+    keyed = materialize(pick(docs, ["doc_id", "text"]).mapInArrow(_with_keys, "doc_id long, text string, curve long"), "pack-keys")
+    keys, first, last, n = byte_ranges(keyed)
+    if not keys:
+        return docs.sparkSession.createDataFrame([], PIECE_SCHEMA)
+    hashed = keyed.withColumn("h", F.xxhash64("doc_id", "text"))
+    dealt = hashed.mapInArrow(_dealer(keys, first, last), "doc_id long, text string, curve long, h long, part int")
+    placed = dealt.repartitionById(n, F.col("part")).sortWithinPartitions("curve", "doc_id", "h").select("doc_id", "text")
     return placed.mapInArrow(_packer(vocabulary, end_id, sequence), PIECE_SCHEMA)
 
 
