@@ -1,25 +1,31 @@
 """Mixing sources to target weights by weighted fair queueing.
 
-Every source is a flow. Its documents are shuffled by a hash, and each one gets the
-virtual time at which a fair queue would finish serving it: the source's cumulative
-words divided by the source's target. Ordering all documents by that time interleaves
-the sources in proportion to their targets, and the mix ends where the words served
-reach the total budget, which is virtual time 1. A source whose target exceeds its
-size is served again from the start, up to max_repeats times.
+Every source is a flow. Its documents are shuffled by a hash and served in packets of
+QUANTUM words at most, and each packet gets the virtual time at which a fair queue would
+finish serving it: the source's cumulative words divided by the source's target. Ordering
+all packets by that time interleaves the sources in proportion to their targets. The mix is
+cut where the words in that order reach the total budget, which is the sum of all sizes; a
+source is then within a packet of its target. A source whose target exceeds its size is
+served again from the start, up to max_repeats times.
 
 Scale: the text is read once, for its word count. Cumulative sums run in hash buckets
 of a source whose number grows with the row count, so that a source with a third of
 all rows is summed by many tasks; only one row per (source, bucket) meets in a window.
+The global order is a range sort; words are summed by range, then inside ranges. Sources
+themselves are ranked in one task: thousands of them are no trouble, but a column with about
+as many values as rows, such as a page's address, is no source.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from .common import materialize, parts, pick, table, word_count
+from .common import materialize, parts, pick, table, text_bytes, word_count
 
 HASH_SPACE = 65536
 ROWS_PER_BUCKET = 512
+#: Words of a packet at most; bytes that a packet takes in a shuffle, about.
+QUANTUM, PACKET_BYTES = 32, 48
 
 
 def _source_key(source: Column) -> Column:
@@ -54,70 +60,88 @@ def source_targets(sizes: DataFrame, weights: list[float], max_repeats: int) ->
 
 
 def schedule(docs: DataFrame, weights: list[float] = (5, 2, 1), max_repeats: int = 3, seed: str = "") -> DataFrame:
-    """The service schedule: one row per document and copy that starts before virtual time 1.
+    """The service schedule: one row per document, copy and packet that starts before virtual time 1.
 
-    docs: id_col doc_id, text, source; other columns are ignored. Documents that are never
-    served have one row with null copy. Columns: row_id, doc_id, source, size, source_size,
-    target, copy, start, finish (virtual times), words (served before time 1; the document
-    that the end of the mix cuts counts in part). Rows are range-partitioned and sorted by
-    finish, so reading the partitions in order is reading the mix in order.
+    docs: doc_id, text, source, and row_id if rows have a number already; other columns are
+    ignored. Documents that are never served have one row with null copy. Columns: row_id,
+    doc_id, source, size, source_size, target, copy, packet, start, finish (virtual times),
+    place (words before the packet in the global order), words (how many of the packet's
+    words the mix takes before it has the budget: all, none, or a part of one packet).
 
     Null text and text of white space have size 0 and are never served. A null source is a
     source. Repeated rows and repeated ids are documents of their own. An empty table gives
-    an empty schedule. Ties in the hash are broken by row_id.
+    an empty schedule. Packets that finish together follow the hash, then row_id.
     """
+    of_rows, packets, _ = _schedule(docs, weights, max_repeats, seed)
+    return of_rows.join(packets, "row_id", "left").withColumn("words", F.coalesce("words", F.lit(0).cast("long")))
+
+
+def _schedule(docs: DataFrame, weights: list[float], max_repeats: int, seed: str) -> tuple[DataFrame, DataFrame, int]:
+    """Rows with their source's target, the packets with their places, and the budget in words."""
     spark = docs.sparkSession
     key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    slim = pick(docs, ["doc_id", "text", "source"]).select(
-        F.monotonically_increasing_id().alias("row_id"), "doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("k")
-    )
-    slim = materialize(slim, "mix-sizes")
-    buckets = max(1, min(HASH_SPACE, slim.count() // ROWS_PER_BUCKET))
-    slim = slim.withColumn("skey", _source_key(F.col("source"))).withColumn(
-        "bucket", F.floor(F.conv(F.substring("k", 1, 4), 16, 10).cast("long") * buckets / HASH_SPACE).cast("int")
-    )
-    per_bucket = slim.groupBy("skey", "bucket").agg(F.sum("size").alias("bucket_size"), F.first("source").alias("source"))
-    per_bucket = materialize(per_bucket, "mix-buckets")
+    key = F.conv(F.substring(key, 1, 15), 16, 10).cast("long").alias("k")
+    row_id = F.col("row_id") if "row_id" in docs.columns else F.monotonically_increasing_id().alias("row_id")
+    slim = materialize(docs.select(row_id, "doc_id", "source", word_count(F.col("text")).alias("size"), key), "mix-sizes")
+    count, budget = slim.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    buckets = max(1, min(HASH_SPACE, count // ROWS_PER_BUCKET))
+    slim = slim.withColumn("skey", _source_key(F.col("source")))
+    dealt = slim.select("row_id", "size", "k", "skey", F.floor(F.shiftright("k", 44) * buckets / HASH_SPACE).cast("int").alias("bucket"), "source")
+    per_bucket = materialize(dealt.groupBy("skey", "bucket").agg(F.sum("size").alias("bucket_size"), F.first("source").alias("source")), "mix-buckets")
     offsets = per_bucket.select(
         "skey", "bucket", (F.sum("bucket_size").over(W.partitionBy("skey").orderBy("bucket")) - F.col("bucket_size")).alias("before_bucket")
     )
     targets = source_targets(per_bucket.groupBy("skey").agg(F.first("source").alias("source"), F.sum("bucket_size").alias("source_size")), list(weights), max_repeats)
-    offsets = offsets.join(targets, "skey")
     before = F.sum("size").over(W.partitionBy("skey", "bucket").orderBy("k", "row_id")) - F.col("size")
-    placed = slim.withColumn("inside", before).join(offsets, ["skey", "bucket"]).withColumn("before", F.col("before_bucket") + F.col("inside"))
-    begun = lambda c: (c * F.col("source_size") + F.col("before")).cast("double")
-    copies = F.when(F.col("size") > 0, F.filter(F.sequence(F.lit(0), F.lit(max_repeats - 1)), lambda c: begun(c) < F.col("target")))
-    served = placed.withColumn("copy", F.explode_outer(copies))
-    start = begun(F.col("copy")) / F.col("target")
-    served = served.select(
-        "row_id", "doc_id", "source", "size", "source_size", "target", "copy",
-        start.alias("start"), ((begun(F.col("copy")) + F.col("size")) / F.col("target")).alias("finish"),
-        F.when(F.col("copy").isNotNull(), F.greatest(F.lit(0), F.least(F.col("size"), F.floor("target") - begun(F.col("copy")).cast("long")))).otherwise(0).cast("long").alias("words"),
-    )
-    return served.repartitionByRange(parts(spark), F.col("finish").asc_nulls_last(), "row_id").sortWithinPartitions(F.col("finish").asc_nulls_last(), "row_id")
+    placed = dealt.drop("source").where("size > 0").withColumn("inside", before).join(offsets.join(targets, "skey"), ["skey", "bucket"]).withColumn("before", F.col("before_bucket") + F.col("inside"))
+    begun = lambda c: c * F.col("source_size") + F.col("before")
+    copies = F.filter(F.sequence(F.lit(0), F.lit(max_repeats - 1)), lambda c: begun(c).cast("double") < F.col("target"))
+    served = placed.withColumn("copy", F.explode(copies)).withColumn("begun", begun(F.col("copy")))
+    packets = F.filter(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / QUANTUM)), lambda p: (F.col("begun") + p * QUANTUM).cast("double") < F.col("target"))
+    served = served.withColumn("packet", F.explode(packets))
+    first, held = F.col("packet") * QUANTUM, F.least(F.lit(QUANTUM), F.col("size") - F.col("packet") * QUANTUM)
+    served = served.select("row_id", "k", "copy", "packet", held.alias("held"), ((F.col("begun") + first).cast("double") / F.col("target")).alias("start"), ((F.col("begun") + first + held).cast("double") / F.col("target")).alias("finish"))
+    order = ["finish", "k", "row_id", "copy", "packet"]
+    ranges = parts(spark, (budget // QUANTUM + count) * PACKET_BYTES)
+    ranged = materialize(served.repartitionByRange(ranges, *order).withColumn("range", F.spark_partition_id()), "mix-order")
+    sums = ranged.groupBy("range").agg(F.sum("held").alias("all"))
+    sums = sums.select("range", (F.sum("all").over(W.orderBy("range")) - F.col("all")).alias("before_range"))
+    inside = F.sum("held").over(W.partitionBy("range").orderBy(*order)) - F.col("held")
+    done = ranged.withColumn("inside", inside).join(F.broadcast(sums), "range").withColumn("place", F.col("before_range") + F.col("inside"))  # one row a range
+    taken = F.greatest(F.lit(0).cast("long"), F.least(F.col("held"), F.lit(budget) - F.col("place")))
+    of_rows = slim.join(targets, "skey").select("row_id", "doc_id", "source", "size", "source_size", "target")
+    return of_rows, done.select("row_id", "copy", "packet", "start", "finish", "place", taken.alias("words")), budget
 
 
 def mix(docs: DataFrame, weights: list[float] = (5, 2, 1), max_repeats: int = 3) -> DataFrame:
-    """The mixed documents themselves, whole, with every column of docs.
+    """The mixed documents themselves, whole, with every column of docs, then mix_copy (from 0) and mix_place.
+
+    A document that is served k times is k rows. Of the documents that the end of the mix
+    cuts, a copy stays when at least half of it is served. mix_place is how many words of the
+    mix come before the copy is served whole; rows are range-partitioned and sorted by it, so
+    reading the partitions in order is reading the mix in order. Repeated rows and ids are
+    documents of their own. An empty table gives no rows.
 
-    A document that is served k times is k rows. Of the document that the end of the mix
-    cuts, the last copy stays when at least half of it is served. doc_id must identify the
-    documents; rows with equal doc_id are served together.
+    Scale: rows are written once with a number, then shuffled to their places in the mix.
     """
-    kept = schedule(pick(docs, ["doc_id", "text", "source"]), weights, max_repeats).where(F.col("words") * 2 >= F.col("size")).where("words > 0")
-    times = kept.groupBy("doc_id", "row_id").agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.max("n").alias("__times"))
-    times = times.withColumnRenamed("doc_id", "__doc_id")
-    joined = docs.join(times, docs["doc_id"].eqNullSafe(times["__doc_id"]))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(*[docs[f"`{c}`"] for c in docs.columns])
+    spark, names = docs.sparkSession, docs.columns
+    rows = materialize(docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"), F.monotonically_increasing_id().alias("row_id")), "mix-rows")
+    slim = rows.select("row_id", "row.doc_id", "row.text", "row.source")
+    of_rows, packets, budget = _schedule(slim, weights, max_repeats, "")
+    served = packets.where("words > 0").groupBy("row_id", "copy").agg(F.sum("words").alias("words"), F.max("place").alias("mix_place"))
+    kept = served.join(of_rows.select("row_id", "size"), "row_id").where("words * 2 >= size")
+    n = parts(spark, text_bytes(slim))
+    part = F.least(F.floor(F.col("mix_place") * n / max(1, budget)), F.lit(n - 1)).cast("int")
+    placed = rows.join(kept.select("row_id", F.col("copy").alias("mix_copy"), "mix_place", part.alias("part")), "row_id")
+    placed = placed.repartitionById(n, F.col("part")).sortWithinPartitions("mix_place", "row_id")
+    return placed.select(*[F.col(f"row.`{c}`") for c in names], "mix_copy", "mix_place")
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its size, its source's size and target, and the words the mix takes."""
-    done = schedule(table(spark, sf_dir, "documents"))
-    return done.groupBy("row_id").agg(
-        F.first("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("source_size").alias("source_size"),
-        F.first("target").alias("target"), F.sum("words").alias("taken"),
-    ).drop("row_id")
+    of_rows, packets, _ = _schedule(pick(table(spark, sf_dir, "documents"), ["doc_id", "text", "source"]), [5, 2, 1], 3, "")
+    taken = packets.groupBy("row_id").agg(F.sum("words").alias("taken"))
+    return of_rows.join(taken, "row_id", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
 
 
 SQL = {
@@ -129,9 +153,12 @@ r AS (SELECT *, 3.0::DOUBLE * source_size AS cap, 3.0::DOUBLE * source_size / w
 l AS (SELECT a.r, (any_value(a.budget) - coalesce(sum(b.cap) FILTER (b.r < a.r), 0)) / sum(b.w) FILTER (b.r >= a.r) AS level FROM r a, r b GROUP BY a.source, a.r),
 h AS (SELECT level FROM l WHERE level <= r ORDER BY r, level LIMIT 1),
 t AS (SELECT source, source_size, CASE WHEN source_size = 0 THEN 0 ELSE least(cap, coalesce((SELECT level FROM h) * w, cap)) END AS target FROM r),
-c AS (SELECT doc_id, size, source, sum(size) OVER (PARTITION BY source ORDER BY k, doc_id ROWS UNBOUNDED PRECEDING) - size AS before FROM d)
-SELECT c.doc_id, c.size, t.source_size, t.target,
-  (greatest(0, least(size, floor(target)::BIGINT - before)) + greatest(0, least(size, floor(target)::BIGINT - source_size - before)) + greatest(0, least(size, floor(target)::BIGINT - 2 * source_size - before)))::BIGINT AS taken
-FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source"""
+c AS (SELECT doc_id, size, source, k, sum(size) OVER (PARTITION BY source ORDER BY k, doc_id ROWS UNBOUNDED PRECEDING) - size AS before FROM d),
+f AS (SELECT c.*, t.source_size, t.target FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source),
+p AS (SELECT doc_id, k, size, target, copy, copy * source_size + before AS begun, unnest(range((size + 31) // 32)) AS packet FROM f, range(3) AS n(copy)),
+o AS (SELECT doc_id, least(32, size - packet * 32) AS held, sum(least(32, size - packet * 32)) OVER (ORDER BY (begun + packet * 32 + least(32, size - packet * 32))::DOUBLE / target, k, doc_id, copy, packet ROWS UNBOUNDED PRECEDING) AS place
+  FROM p WHERE (begun + packet * 32)::DOUBLE < target),
+m AS (SELECT doc_id, sum(greatest(0, least(held, (SELECT sum(size) FROM d) - (place - held)))) AS taken FROM o GROUP BY doc_id)
+SELECT f.doc_id, f.size, f.source_size, f.target, coalesce(m.taken, 0)::BIGINT AS taken FROM f LEFT JOIN m USING (doc_id)"""
 }
 QUERIES = {"op1_mix_sources": op1_mix_sources}
