@@ -13,6 +13,7 @@ n_tokens, block_offsets (packed int64), data.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from .common import parts, pick, shared_dir, table
+from .common import new_folder, parts, pick, table, text_bytes
 from .tokens import encoder
 
 BLOCK = 4096
@@ -28,7 +29,7 @@ SHARD_TOKENS = 1 << 20
 BYTE_BPE, BYTE_BPE_END = "byte_bpe_50k.json", 2
 
 FILE_SCHEMA = "part int, shard int, bits int, n_docs int, n_tokens long, doc_ids binary, doc_nulls binary, doc_lengths binary, block_offsets binary, data binary"
-READ_SCHEMA = "part int, shard int, place int, doc_id long, before long, ids binary"
+READ_SCHEMA = "part int, shard int, doc_id long, before long, n_tokens long, ids_crc32 long"
 
 
 def pack(ids: np.ndarray, bits: int) -> tuple[np.ndarray, bytes]:
@@ -108,38 +109,49 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int)
     text_key = F.xxhash64("text")
     rows = pick(docs, ["doc_id", "text"]).withColumn("h", text_key)
     order = [F.col("doc_id").asc_nulls_last(), F.col("h")]
-    placed = rows.repartitionByRange(parts(docs.sparkSession), *order).sortWithinPartitions(*order).select("doc_id", "text")
+    placed = rows.repartitionByRange(parts(docs.sparkSession, text_bytes(rows)), *order).sortWithinPartitions(*order).select("doc_id", "text")
     placed.mapInArrow(_packer(vocabulary, end_id), FILE_SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
-def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [c.split()[0] for c in READ_SCHEMA.split(", ")]
-    for batch in batches:
-        for r in batch.to_pylist():
-            lengths = np.frombuffer(r["doc_lengths"], "<i8")
-            offsets = np.frombuffer(r["block_offsets"], "<i8")
-            starts = np.cumsum(lengths) - lengths
-            nulls = np.frombuffer(r["doc_nulls"], np.uint8).astype(bool)
-            ids = np.frombuffer(r["doc_ids"], "<i8")
-            all_ids = unpack(r["data"], offsets, r["bits"], 0, r["n_tokens"])
-            for at in range(0, len(ids), 2000):
-                k = slice(at, at + 2000)
-                spans = [all_ids[s : s + n].tobytes() for s, n in zip(starts[k].tolist(), lengths[k].tolist())]
-                n = len(spans)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r["part"]] * n, pa.int32()), pa.array([r["shard"]] * n, pa.int32()), pa.array(range(at, at + n), pa.int32()), pa.array(ids[k], mask=nulls[k]), pa.array(starts[k]), pa.array(spans, pa.binary())], names=names
-                )
-
-
-def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """The documents of the files at path: doc_id, start (ids before it in all files), n_tokens, ids (uint32, little-endian)."""
-    files = spark.read.schema(FILE_SCHEMA).parquet(path)
+def _reader(with_ids: bool):
+    """Unpacks shards; with their ids, documents follow one another as the shards do, without them only their checksums leave."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in READ_SCHEMA.split(", ")] + ["ids"] * with_ids
+        for batch in batches:
+            for r in batch.to_pylist():
+                lengths = np.frombuffer(r["doc_lengths"], "<i8")
+                offsets = np.frombuffer(r["block_offsets"], "<i8")
+                starts = np.cumsum(lengths) - lengths
+                nulls = np.frombuffer(r["doc_nulls"], np.uint8).astype(bool)
+                ids = np.frombuffer(r["doc_ids"], "<i8")
+                all_ids = memoryview(unpack(r["data"], offsets, r["bits"], 0, r["n_tokens"]).tobytes())
+                for at in range(0, len(ids), 2000):
+                    k = slice(at, at + 2000)
+                    spans = [all_ids[4 * s : 4 * (s + n)] for s, n in zip(starts[k].tolist(), lengths[k].tolist())]
+                    n = len(spans)
+                    columns = [pa.array([r["part"]] * n, pa.int32()), pa.array([r["shard"]] * n, pa.int32()), pa.array(ids[k], mask=nulls[k]), pa.array(starts[k]), pa.array(lengths[k]), pa.array([zlib.crc32(x) for x in spans], pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns + [pa.array(map(bytes, spans), pa.binary())] * with_ids, names=names)
+
+    return run
+
+
+def _starts(files: DataFrame) -> DataFrame:
+    """part, shard, shard_start: ids in all shards before each; one row a shard (about a million ids)."""
     of_part = files.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     of_part = of_part.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("part_start"))
     shards = files.select("part", "shard", (F.sum("n_tokens").over(W.partitionBy("part").orderBy("shard")) - F.col("n_tokens")).alias("shard_start"))
-    starts = shards.join(of_part, "part").select("part", "shard", (F.col("part_start") + F.col("shard_start")).alias("shard_start"))
-    docs = files.mapInArrow(_reader, READ_SCHEMA)
-    return docs.join(starts, ["part", "shard"]).select("doc_id", (F.col("shard_start") + F.col("before")).alias("start"), F.expr("length(ids) div 4").cast("long").alias("n_tokens"), "ids")
+    return shards.join(of_part, "part").select("part", "shard", (F.col("part_start") + F.col("shard_start")).alias("shard_start"))
+
+
+def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """The documents of the files at path: doc_id, start (ids before it in all files), n_tokens, ids_crc32, and ids (uint32, little-endian) unless not wanted.
+
+    Every id is unpacked either way; without ids only numbers are shuffled to the shards' starts.
+    """
+    files = spark.read.schema(FILE_SCHEMA).parquet(path)
+    docs = files.mapInArrow(_reader(with_ids), READ_SCHEMA + ", ids binary" * with_ids)
+    return docs.join(_starts(files), ["part", "shard"]).select("doc_id", (F.col("shard_start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
 
 
 def read_span(spark: SparkSession, path: str, part: int, shard: int, start: int, length: int) -> np.ndarray:
@@ -150,13 +162,11 @@ def read_span(spark: SparkSession, path: str, part: int, shard: int, start: int,
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes all documents as token files and returns, read back from them, each document's place, length and checksum."""
-    import uuid
-
     import public_tokenizers
 
-    path = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    path = new_folder(spark, "token-files")
     write_token_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path(BYTE_BPE), BYTE_BPE_END)
-    return read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read_token_files(spark, path, with_ids=False)
 
 
 QUERIES = {"op2_token_files": op2_token_files}
