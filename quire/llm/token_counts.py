@@ -19,11 +19,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import pick, table
+from .common import pick, remembered, table
 from .tokens import _byte_letters
 
 #: Words that a worker remembers in each of two generations; the memory that words take is bounded by their length as well.
-MEMO_WORDS, MEMO_LONGEST = 400_000, 64
+MEMO_WORDS, MEMO_LONGEST = 200_000, 64
 
 
 class Automaton:
@@ -49,7 +49,7 @@ class Automaton:
         if len(children[0]) < 256:
             raise ValueError("every single byte must be an entry")
         self.next = np.zeros((n, 256), np.int32)
-        self.pops = np.zeros((n, 256), np.uint8)
+        self.pops = np.zeros((n, 256), np.uint8)  # wider as soon as a count asks for it
         fail, popped = np.zeros(n, np.int64), np.zeros(n, np.int64)
         self.last = np.zeros(n, np.int32)  # tokens to pop where the word ends
         for v in sorted(range(n), key=depth.__getitem__):
@@ -58,9 +58,12 @@ class Automaton:
                 if is_entry[v]:
                     fail[v], popped[v] = 0, 1
                 else:
-                    fail[v], popped[v] = self.next[fail[p], b], popped[p] + self.pops[fail[p], b]
+                    fail[v], popped[v] = self.next[fail[p], b], popped[p] + int(self.pops[fail[p], b])
                 self.next[v] = self.next[fail[v]]
-                self.pops[v] = np.minimum(255, self.pops[fail[v]] + popped[v])
+                pops = self.pops[fail[v]].astype(np.int64) + popped[v]
+                if pops.max() > np.iinfo(self.pops.dtype).max:
+                    self.pops = self.pops.astype(np.uint16 if pops.max() < 1 << 16 else np.int64)
+                self.pops[v] = pops
                 self.last[v] = self.last[fail[v]] + popped[v]
             for b, child in children[v].items():
                 self.next[v, b], self.pops[v, b] = child, 0
@@ -117,17 +120,16 @@ class Counter:
         return [len(w) for w in split], totals
 
 
-_counters: dict[str, Counter] = {}
-
-
 def _count(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _counters:
-            _counters[path] = Counter(path)
+        kept = remembered("token_counts")
+        if path not in kept:
+            kept.clear()
+            kept[path] = Counter(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                words, tokens = _counters[path].count(part.column("text").cast(pa.binary()).to_pylist())
+                words, tokens = kept[path].count(part.column("text").cast(pa.binary()).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], names=["doc_id", "n_words", "n_tokens"])
 
     return run
