@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import parts, pick, table
 
@@ -108,6 +108,22 @@ def _edits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
 
 
+def _at_or_above(bounds: list[int], x: Column, equal: bool = True) -> Column:
+    """How many of these sorted bounds are x or more (or more, if not equal): one step over the least of each chunk of bounds, one inside a chunk."""
+    if not bounds:
+        return F.lit(0)
+    width = math.isqrt(len(bounds)) + 1
+    rest = len(bounds) % width
+    cuts = [*([0] if rest else []), *range(rest, len(bounds), width)]
+    chunks = [bounds[i:j] for i, j in zip(cuts, [*cuts[1:], len(bounds)])]
+    longs = lambda xs: F.array(*[F.lit(b).cast("long") for b in xs])
+    counts = lambda b: (b >= x) if equal else (b > x)
+    above = F.size(F.filter(longs([c[0] for c in chunks]), counts))
+    split = F.get(F.array(*[longs(c) for c in chunks]), F.lit(len(chunks) - 1) - above)
+    of_chunks = F.get(longs([0, *np.cumsum([len(c) for c in chunks[::-1]]).tolist()]), above)
+    return of_chunks + F.coalesce(F.size(F.filter(split, counts)), F.lit(0))
+
+
 def against_next(docs: DataFrame) -> DataFrame:
     """Fingerprints of every document, of its edited text, and their likeness.
 
@@ -117,27 +133,36 @@ def against_next(docs: DataFrame) -> DataFrame:
     document is its own next. An empty table gives no rows; other columns are ignored.
 
     Scale: texts are shuffled once, by ranges of doc_id whose bounds come from a scan of
-    the ids alone; the first row of a range is sent to the range before it as well. Only one
-    id a range reaches the driver.
+    the ids alone; an id that bounds several ranges, and the null id, are dealt over as many
+    by the hash that orders them. The first row of a range is sent to the range before it as
+    well. Only one id a range reaches the driver.
     """
     spark = docs.sparkSession
-    rows = pick(docs, ["doc_id", "text"])
-    n = parts(spark)
+    rows = pick(docs, ["doc_id", "text"]).withColumn("h", F.xxhash64("text"))
+    count, nulls, size = rows.agg(F.count("*"), F.count(F.when(F.col("doc_id").isNull(), 1)), F.sum(F.octet_length("text"))).first()
+    n = parts(spark, size or 0)
     at = [i / n for i in range(1, n)] or [0.5]
-    bounds = rows.agg(F.percentile_approx("doc_id", at, 100 * n).alias("b")).first()["b"] or []
-    bounds = F.array(*[F.lit(b) for b in sorted(set(bounds))]).cast("array<long>")
-    part = F.when(F.col("doc_id").isNull(), F.lit(n)).otherwise(F.size(F.filter(bounds, lambda b: b >= F.col("doc_id")))).cast("int")
+    bounds = sorted(rows.agg(F.percentile_approx("doc_id", at, 100 * n).alias("b")).first()["b"] or [])
+    # how far a row's hash lies, from 0 to 1
+    share = (F.shiftright("h", 32) + F.lit(1 << 31)).cast("double") / float(1 << 32)
+    low = _at_or_above(bounds, F.col("doc_id"))
+    times = low - _at_or_above(bounds, F.col("doc_id"), equal=False)
+    of_null = max(1, math.ceil(nulls * n / max(1, count)))
+    part = F.when(F.col("doc_id").isNull(), n + F.floor(share * of_null)).when(times > 1, low - times + 1 + F.floor(share * times)).otherwise(low).cast("int")
     placed = rows.withColumn("part", part)
-    heads = {r["part"]: r["head"] for r in placed.groupBy("part").agg(F.max("doc_id").alias("head")).collect()}
+    first = F.max(F.struct("doc_id", F.bitwise_not("h").alias("h"))).alias("head")
+    heads = {r["part"]: (r["head"]["doc_id"], ~r["head"]["h"]) for r in placed.groupBy("part").agg(first).collect()}
     order = sorted(heads)
     before = dict(zip(order, [order[-1], *order])) if order else {}
-    head = F.array(*[F.lit(heads.get(p)).cast("long") for p in range(n + 1)])
-    to = F.array(*[F.lit(before.get(p, 0)) for p in range(n + 1)])
+    every = range(n + of_null)
+    head_id = F.get(F.array(*[F.lit(heads.get(p, (None, 0))[0]).cast("long") for p in every]), F.col("part"))
+    head_hash = F.get(F.array(*[F.lit(heads.get(p, (None, 0))[1]).cast("long") for p in every]), F.col("part"))
+    to = F.array(*[F.lit(before.get(p, 0)) for p in every])
     own = F.struct(F.col("part").alias("part"), F.lit(False).alias("extra"))
     copy = F.struct(F.get(to, F.col("part")).alias("part"), F.lit(True).alias("extra"))
-    places = F.when(F.col("doc_id").eqNullSafe(F.get(head, F.col("part"))), F.array(own, copy)).otherwise(F.array(own))
-    dealt = placed.select("doc_id", "text", F.explode(places).alias("p")).select("doc_id", "text", "p.part", "p.extra")
-    dealt = dealt.repartitionById(n + 1, F.col("part")).sortWithinPartitions("part", "extra", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
+    places = F.when(F.col("doc_id").eqNullSafe(head_id) & (F.col("h") == head_hash), F.array(own, copy)).otherwise(F.array(own))
+    dealt = placed.select("doc_id", "text", "h", F.explode(places).alias("p")).select("doc_id", "text", "h", "p.part", "p.extra")
+    dealt = dealt.repartitionById(n + of_null, F.col("part")).sortWithinPartitions("part", "extra", F.col("doc_id").desc_nulls_last(), "h")
     return dealt.select("part", "extra", "doc_id", "text").mapInArrow(_edits, NEIGHBOUR_SCHEMA)
 
 
