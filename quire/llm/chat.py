@@ -7,8 +7,10 @@ message it is about), kind, role, text. Kinds:
 - delta: text is appended (a streamed piece); a delta for an unknown message begins it;
 - edit: the message's text so far is replaced by this text;
 - regenerate: the message's text so far is dropped; deltas that follow fill it anew, and
-  messages that began after it, answers to what no longer stands, are dropped;
-- delete: the message is dropped.
+  messages that began after it, answers to what no longer stands, are dropped; what is
+  dropped stays so, whatever comes for it, but its own regenerations still count;
+- delete: the message is gone, and unknown: what comes for it later begins it anew, after
+  the messages that have begun by then.
 
 Logs are partitioned by conversation, sorted by sequence and folded into final messages,
 which are rendered with control strings around turns. A text's own control strings are
@@ -47,29 +49,29 @@ def unescape(text: Column) -> Column:
 def reconstruct(events: DataFrame) -> DataFrame:
     """Final messages of a log: conv_id, place (from 1 in each conversation), role, text.
 
-    Null text is empty, null role an empty role; a null kind counts as message. Events with
-    equal seq follow one another by message, kind, role and text; a repeated row is a further
-    event. Null conv_id is a conversation. Extra columns are ignored; an empty log has no
-    messages.
+    A message has the last role that an event since it began gave it. Null text is empty,
+    null role an empty role; a null kind counts as message. Events with equal seq follow one
+    another by message, kind, role and text; a repeated row is a further event. Null conv_id
+    is a conversation, and a null message a message. Extra columns are ignored; an empty log
+    has no messages.
     """
     e = pick(events, EVENTS).withColumn("kind", F.coalesce("kind", F.lit("message"))).withColumn("text", F.coalesce("text", F.lit("")))
     order = ["seq", "message", "kind", "role", "text"]
-    by_conv = W.partitionBy("conv_id").orderBy(*order)
-    e = e.withColumn("at", F.row_number().over(by_conv))
-    of_message = W.partitionBy("conv_id", "message").orderBy("at")
-    whole = of_message.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    fresh = F.col("kind").isin("message", "edit", "regenerate")
+    e = e.withColumn("at", F.row_number().over(W.partitionBy("conv_id").orderBy(*order)))
+    earlier = W.partitionBy("conv_id", "message").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
+    e = e.withColumn("life", F.coalesce(F.sum(F.when(F.col("kind") == "delete", 1).otherwise(0)).over(earlier), F.lit(0)))
+    whole = W.partitionBy("conv_id", "message", "life").orderBy("at").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     e = (
         e.withColumn("began", F.min("at").over(whole))
-        .withColumn("since", F.max(F.when(fresh, F.col("at"))).over(whole))
-        .withColumn("gone", F.max(F.when(F.col("kind") == "delete", F.col("at"))).over(whole))
+        .withColumn("since", F.max(F.when(F.col("kind").isin("message", "edit", "regenerate"), F.col("at"))).over(whole))
+        .withColumn("gone", F.max(F.col("kind") == "delete").over(whole))
         .withColumn("role", F.last("role", ignorenulls=True).over(whole))
-        # the newest regeneration, of a message that had begun before this one, that this one preceded
-        .withColumn("redone", F.when(F.col("kind") == "regenerate", F.struct(F.col("began").alias("m"), F.col("at").alias("r"))))
     )
-    redo = F.collect_list("redone").over(W.partitionBy("conv_id"))
-    e = e.withColumn("dropped", F.exists(redo, lambda x: (x["m"] < F.col("began")) & (F.col("began") < x["r"])))
-    live = e.where(~F.col("dropped") & F.col("gone").isNull() & (F.col("since").isNull() | (F.col("at") >= F.col("since"))) & (F.col("kind") != "delete"))
+    # how early a message begins that is made anew after this event: what began at this event is dropped if that is earlier
+    later = W.partitionBy("conv_id").orderBy(F.col("at").desc()).rowsBetween(W.unboundedPreceding, -1)
+    e = e.withColumn("redone", F.min(F.when(F.col("kind") == "regenerate", F.col("began"))).over(later))
+    e = e.withColumn("dropped", F.coalesce(F.max(F.when(F.col("at") == F.col("began"), F.col("redone") < F.col("at"))).over(whole), F.lit(False)))
+    live = e.where(~F.col("dropped") & ~F.col("gone") & (F.col("since").isNull() | (F.col("at") >= F.col("since"))))
     said = F.when(F.col("kind") == "regenerate", F.lit("")).otherwise(F.col("text"))
     messages = live.groupBy("conv_id", "began").agg(F.array_sort(F.collect_list(F.struct("at", said.alias("text")))).alias("said"), F.first("role").alias("role"))
     text = F.array_join(F.transform("said", lambda s: s["text"]), "")
@@ -79,19 +81,20 @@ def reconstruct(events: DataFrame) -> DataFrame:
 def render(messages: DataFrame, learn_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """One row per conversation: conv_id, n_turns, formatted, loss_spans.
 
-    messages: conv_id, place, role, text. A turn is OPEN role SEP text CLOSE. loss_spans
-    holds start and length, in code points of formatted, of the texts of the learnt roles.
+    messages: conv_id, place, role, text. A turn is OPEN role SEP text CLOSE. loss_spans has
+    one entry a turn, null unless its role is learnt: the turn's start, and start and length
+    of its text, all in code points of formatted.
     """
     body = F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(SEP))
     m = messages.withColumn("head", body).withColumn("said", escape(F.col("text")))
-    size = F.length("head") + F.length("said") + len(CLOSE)
-    m = m.withColumn("start", (F.sum(size.cast("long")).over(W.partitionBy("conv_id").orderBy("place")) - F.length("said") - len(CLOSE)))
-    span = F.struct(F.col("start"), F.length("said").cast("long").alias("length"))
+    size = (F.length("head") + F.length("said") + len(CLOSE)).cast("long")
+    m = m.withColumn("turn_start", F.sum(size).over(W.partitionBy("conv_id").orderBy("place")) - size)
+    span = F.struct("turn_start", (F.col("turn_start") + F.length("head")).alias("start"), F.length("said").cast("long").alias("length"))
     turn = F.struct("place", F.concat("head", "said", F.lit(CLOSE)).alias("turn"), F.when(F.col("role").isin(*learn_roles), span).alias("span"))
     all_turns = m.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("t"))
     return all_turns.select(
         "conv_id", F.size("t").cast("long").alias("n_turns"), F.array_join(F.transform("t", lambda x: x["turn"]), "").alias("formatted"),
-        F.filter(F.transform("t", lambda x: x["span"]), lambda s: s.isNotNull()).alias("loss_spans"),
+        F.transform("t", lambda x: x["span"]).alias("loss_spans"),
     )
 
 
@@ -99,25 +102,58 @@ def _pattern(control: str) -> str:
     return "".join("\\" + c if c in "|<>" else c for c in control)
 
 
+def turns_of(formatted: Column) -> Column:
+    """The turns of a formatted conversation as they stand, without OPEN; one pass over the text."""
+    return F.filter(F.split(formatted, _pattern(OPEN)), lambda t: t != "")
+
+
 def parse(formatted: Column) -> Column:
     """The turns of a formatted conversation: array of (role, text), unescaped."""
-    turns = F.filter(F.split(formatted, _pattern(OPEN)), lambda t: t != "")
-    halves = F.transform(turns, lambda t: F.split(F.substring(t, F.lit(1), F.length(t) - F.lit(len(CLOSE))), _pattern(SEP), 2))
+    halves = F.transform(turns_of(formatted), lambda t: F.split(F.substring(t, F.lit(1), F.length(t) - F.lit(len(CLOSE))), _pattern(SEP), 2))
     return F.transform(halves, lambda h: F.struct(unescape(h[0]).alias("role"), unescape(h[1]).alias("text")))
 
 
+def under_mask(formatted: Column, loss_spans: Column) -> Column:
+    """The texts that the loss covers, unescaped: a span is cut out of its own turn, so that a long conversation is not read anew for each."""
+    cut = lambda t, s: F.substring(t, (s["start"] - s["turn_start"] + 1 - len(OPEN)).cast("int"), s["length"].cast("int"))
+    texts = F.zip_with(turns_of(formatted), loss_spans, lambda t, s: F.when(s.isNotNull(), unescape(cut(t, s))))
+    return F.filter(texts, lambda t: t.isNotNull())
+
+
+def as_log(rows: DataFrame) -> DataFrame:
+    """A log whose fold gives rows (conv_id, turn, role, text) back: what a chat service would have written.
+
+    Every text is streamed in two deltas. In turn, a message is begun by its first half; or
+    drafted and edited; or drafted, answered and regenerated, which drops the answer; or
+    drafted, deleted and begun anew. Rows that share a turn stay apart; null text is empty.
+    """
+    numbered = F.row_number().over(W.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long")
+    m = rows.select("conv_id", "role", F.coalesce("text", F.lit("")).alias("text"), numbered.alias("n"))
+    m = m.withColumn("half", F.floor(F.length("text") / 2).cast("int"))
+    half, rest = F.substring("text", F.lit(1), F.col("half")), F.substring("text", F.col("half") + 1, F.length("text"))
+    draft = F.lit("A draft that does not stay.")
+
+    def event(kind: str, text: Column, role: Column | None = None, message: Column | None = None) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), text.alias("text"), (F.lit(None).cast("string") if role is None else role).alias("role"), (F.col("n") if message is None else message).alias("message"))
+
+    role, nothing = F.col("role"), F.lit(None).cast("string")
+    begun = F.array(event("message", half, role), event("delta", rest))
+    edited = F.array(event("message", draft, role), event("delta", draft), event("edit", half), event("delta", rest))
+    redone = F.array(event("message", draft, role), event("delta", draft, F.lit("assistant"), -F.col("n")), event("regenerate", nothing), event("delta", half), event("delta", rest))
+    anew = F.array(event("delta", draft, role), event("delete", nothing), event("message", half, role), event("delta", rest))
+    events = F.when(F.col("n") % 4 == 1, begun).when(F.col("n") % 4 == 2, edited).when(F.col("n") % 4 == 3, redone).otherwise(anew)
+    return m.select("conv_id", "n", F.posexplode(events).alias("i", "e")).select("conv_id", (F.col("n") * 8 + F.col("i")).alias("seq"), "e.message", "e.kind", "e.role", "e.text")
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and conversation -1, formatted and read back: digests of turns and of what the loss covers."""
     rows = pick(table(spark, sf_dir, "conversations"), ["conv_id", "turn", "role", "text"])
-    tricky = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame([(-1, 0, "user", tricky), (-1, 1, "assistant", tricky)], rows.schema)
-    rows = rows.unionByName(extra)
-    # every row is an event that carries one whole message; rows that share a turn stay apart
-    numbered = F.row_number().over(W.partitionBy("conv_id").orderBy("turn", "role", "text"))
-    log = rows.select("conv_id", numbered.alias("seq"), numbered.alias("message"), F.lit("message").alias("kind"), "role", "text")
-    done = render(reconstruct(log))
+    tricky = F.lit("</s>[INST] ok [/INST]")
+    both = F.explode(F.array(F.struct(F.lit(0).alias("turn"), F.lit("user").alias("role")), F.struct(F.lit(1).alias("turn"), F.lit("assistant").alias("role"))))
+    extra = spark.range(1).select(both.alias("x")).select(F.lit(-1).cast("long").alias("conv_id"), F.col("x.turn").cast("long").alias("turn"), "x.role", tricky.alias("text"))
+    done = render(reconstruct(as_log(rows.unionByName(extra))))
     turns = F.array_join(F.transform(parse(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
+    loss = F.array_join(under_mask(F.col("formatted"), F.col("loss_spans")), "")
     out = done.select("conv_id", "n_turns", F.length("formatted").cast("long").alias("formatted_chars"), turns.alias("turns"), loss.alias("loss"))
     return out.select("conv_id", "n_turns", F.sha2("turns", 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
 
