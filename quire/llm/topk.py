@@ -11,8 +11,10 @@ have an upper bound that reaches its k-th best lower bound; only these can be am
 best, and they are scored again exactly.
 
 Scale: segments are cut inside the input partitions, without a shuffle, and written to the
-shared folder. Query blocks are dealt to segments by an equi-join on a bucket of segments;
-a task holds one segment and one query block. Nothing is broadcast or collected.
+shared folder. Queries are dealt to groups of QUERY_GROUP, and the work is a grid of (segment,
+group) cells, each of them a task's unit: a segment goes to as many cells as there are groups
+and is read once in each, while the group's queries are run past it a block at a time.
+Nothing is broadcast or collected.
 """
 
 from __future__ import annotations
@@ -24,9 +26,11 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from .common import materialize, parts, pick, table
+from .common import materialize, pick, table
 
-SCALE, SEGMENT, QUERY_BLOCK = 1024, 8192, 256
+SCALE, SEGMENT, QUERY_BLOCK, QUERY_GROUP = 1024, 8192, 256, 4096
+#: Components of a segment at most: long vectors make segments of fewer.
+SEGMENT_COMPONENTS = 1 << 20
 #: Scores are added up in doubles, which are exact below this.
 EXACT = float(1 << 53)
 #: The scan stops when at most this share of the pairs may still be among the best.
@@ -83,9 +87,11 @@ def _indexer(every: int | None):
         for batch in batches:
             ids += batch.column(0).to_pylist()
             vectors += batch.column(1).to_pylist()
-            while len(ids) >= SEGMENT:
-                yield segment(number, ids[:SEGMENT], vectors[:SEGMENT])
-                ids, vectors, number = ids[SEGMENT:], vectors[SEGMENT:], number + 1
+            longest = max((len(v) for v in vectors if v is not None), default=1)
+            most = max(1, min(SEGMENT, SEGMENT_COMPONENTS // max(1, longest)))
+            while len(ids) >= most:
+                yield segment(number, ids[:most], vectors[:most])
+                ids, vectors, number = ids[most:], vectors[most:], number + 1
         if ids:
             yield segment(number, ids, vectors)
 
@@ -159,30 +165,61 @@ def exact_scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def _search(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hits of a cell: the segments of one side, each against all queries of the other."""
+
+    def run(segments: pa.Table, queries: pa.Table) -> pa.Table:
         names = [c.split()[0] for c in HITS_SCHEMA.split(", ")]
-        for batch in batches:
-            for r in batch.to_pylist():
-                n, dims = r["n"], max(r["dims"], r["q_dims"])
-                ids, nulls = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["nulls"], np.uint8).astype(bool)
-                q_ids, q_rows = np.frombuffer(r["q_ids"], "<i8"), np.frombuffer(r["q_rows"], "<i4")
-                x, q = np.zeros((n, dims)), np.zeros((len(q_ids), dims))
-                x[:, : r["dims"]] = np.frombuffer(r["vectors"], "<f8").reshape(n, r["dims"])
-                q[:, : r["q_dims"]] = np.frombuffer(r["q_vectors"], "<f8").reshape(len(q_ids), r["q_dims"])
-                own = np.where(r["segment"] == r["q_segment"], q_rows, -1)
-                found = search_segment(q, x, np.frombuffer(r["starts"], "<i8").reshape(-1, 3), np.frombuffer(r["docs"], "<i4"), np.frombuffer(r["values"], "<f8"), k, own)
+        kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 3]
+        empty = pa.Table.from_arrays([pa.array([], t) for t in kinds], names=names)
+        tables = [empty]
+        blocks = queries.to_pylist()
+        for r in segments.to_pylist():
+            dims = max([r["dims"], *(q["q_dims"] for q in blocks)])
+            n, ids, nulls = r["n"], np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["nulls"], np.uint8).astype(bool)
+            x = np.zeros((n, dims))
+            x[:, : r["dims"]] = np.frombuffer(r["vectors"], "<f8").reshape(n, r["dims"])
+            lists = np.frombuffer(r["starts"], "<i8").reshape(-1, 3), np.frombuffer(r["docs"], "<i4"), np.frombuffer(r["values"], "<f8")
+            for at, block in _blocks_of(blocks):
+                q = np.zeros((len(at), dims))
+                own, homes, rows, q_ids = np.full(len(at), -1), [], [], []
+                for b, first, last in block:
+                    o = len(rows)
+                    here = slice(o, o + last - first)
+                    q[here, : b["q_dims"]] = np.frombuffer(b["q_vectors"], "<f8").reshape(-1, b["q_dims"])[first:last]
+                    rows += np.frombuffer(b["q_rows"], "<i4")[first:last].tolist()
+                    q_ids += np.frombuffer(b["q_ids"], "<i8")[first:last].tolist()
+                    homes += [b["q_segment"]] * (last - first)
+                    if b["q_segment"] == r["segment"]:
+                        own[here] = rows[here]
                 out: list[tuple] = []
-                for j, who in enumerate(found):
+                for j, who in enumerate(search_segment(q, x, *lists, k, own)):
                     scores = exact_scores(x[who], q[j])
                     best = np.lexsort((ids[who], nulls[who], -scores.astype(object) if len(scores) and scores.min() == -(1 << 63) else -scores))[:k]
-                    out += [(r["q_segment"], int(q_rows[j]), int(q_ids[j]), None if nulls[who[b]] else int(ids[who[b]]), int(scores[b])) for b in best]
+                    out += [(homes[j], rows[j], q_ids[j], None if nulls[who[b]] else int(ids[who[b]]), int(scores[b])) for b in best]
                 if out:
-                    kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 3]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
+                    tables.append(pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names))
+        return pa.concat_tables(tables)
 
     return run
 
 
+def _blocks_of(blocks: list[dict]) -> Iterator[tuple[range, list[tuple[dict, int, int]]]]:
+    """Runs of at most QUERY_BLOCK queries, as spans of the rows that hold them."""
+    held: list[tuple[dict, int, int]] = []
+    size = 0
+    for b in blocks:
+        n, first = len(b["q_ids"]) // 8, 0
+        while first < n:
+            last = min(n, first + QUERY_BLOCK - size)
+            held.append((b, first, last))
+            size, first = size + last - first, last
+            if size == QUERY_BLOCK:
+                yield range(size), held
+                held, size = [], 0
+    if held:
+        yield range(size), held
+
+
 def top_k(vectors: DataFrame, k: int = 10, every: int | None = 100) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of each query's k best other rows.
 
@@ -193,14 +230,14 @@ def top_k(vectors: DataFrame, k: int = 10, every: int | None = 100) -> DataFrame
     and each copy is a query. Scores beyond a long are held to its range. With fewer than k
     other rows all are returned; an empty table gives no rows.
     """
-    spark = vectors.sparkSession
-    index = materialize(build_index(vectors, every), "topk-index")
-    buckets = parts(spark)
-    key = F.pmod(F.xxhash64("segment"), F.lit(buckets)).alias("bucket")
+    index = materialize(build_index(vectors, every), "topk-index").where("n > 0")
+    segments, wanted = index.agg(F.count("*"), F.coalesce(F.sum("n_queries"), F.lit(0))).first()
+    groups = max(1, -(-wanted // QUERY_GROUP))
     queries = index.where("n_queries > 0").select("segment", "dims", "ids", "nulls", "vectors").mapInArrow(_query_blocks(every), "q_segment long, q_dims int, q_ids binary, q_rows binary, q_vectors binary")
-    queries = queries.withColumn("bucket", F.explode(F.expr(f"sequence(0L, {buckets - 1}L)")))
-    pairs = index.where("n > 0").withColumn("bucket", key).join(queries, "bucket").drop("bucket")
-    hits = pairs.mapInArrow(_search(k), HITS_SCHEMA)
+    # every group of queries meets every cell of segments, which is one segment, or a few that share a hash
+    queries = queries.withColumn("q_group", F.pmod(F.xxhash64("q_segment", "q_rows"), F.lit(groups))).withColumn("cell", F.explode(F.expr(f"sequence(0L, {max(1, segments) - 1}L)")))
+    dealt = index.drop("n_queries").withColumn("cell", F.pmod(F.xxhash64("segment"), F.lit(max(1, segments)))).withColumn("q_group", F.explode(F.expr(f"sequence(0L, {groups - 1}L)")))
+    hits = dealt.groupBy("cell", "q_group").cogroup(queries.groupBy("cell", "q_group")).applyInArrow(_search(k), HITS_SCHEMA)
     best = W.partitionBy("query_segment", "query_row").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last())
     return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
