@@ -1,10 +1,8 @@
 """Language identification by compression.
 
-Each language has a raw-content zstandard dictionary of sample text. A text is compressed
+Each language has a raw-content zstandard dictionary of sample texts. A text is compressed
 with every dictionary, in blocks, and the language whose dictionary leaves the fewest
-bytes wins. Where a short text's sizes lie close together, the sizes are taken again by
-appending the text to a sample of each language, which also charges for its letters'
-frequencies. A text whose margin stays narrow is rejected.
+bytes wins; texts of every length go the same way. A text whose margin is narrow is rejected.
 """
 
 from __future__ import annotations
@@ -15,15 +13,16 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from .common import pick, table
 
-#: The fitting sample is bounded: so many labelled texts of a language, so many characters of each, so many bytes of dictionary.
-SAMPLE_TEXTS, SAMPLE_CHARS, DICTIONARY_BYTES = 96, 8000, 1 << 16
+#: The fitting sample is bounded: so many labelled texts of a language, and so many languages.
+SAMPLE_TEXTS, LANGUAGES = 128, 200
+#: Lengths, in characters, of texts that are taken first.
+FITTING = (100, 8000)
 LEVEL, BLOCK = 6, 4096
-#: A second look is taken below this margin, at texts of fewer bytes.
-CLOSE, SHORT, TAIL = 0.03, 512, 1 << 14
 MIN_MARGIN = 0.005
 UNKNOWN = "und"
 
@@ -36,27 +35,31 @@ def normalise(text: str | None) -> bytes:
     return f" {words} ".encode("utf-8", "replace") if words else b""
 
 
-def fit(labelled: DataFrame, key: Column) -> dict[str, bytes]:
-    """Dictionaries by language from rows (text, lang) with neither null.
+def fit(labelled: DataFrame, texts: int = SAMPLE_TEXTS, languages: int = LANGUAGES) -> dict[str, bytes]:
+    """Dictionaries by language from rows (text, lang) with neither null; nothing else of the rows is read.
 
-    Of each language, the SAMPLE_TEXTS rows with the smallest hash of key are taken, of
-    texts of 100 to SAMPLE_CHARS characters first. Only they reach the driver: a first pass
-    counts languages, and a second one keeps about twice the rows that are wanted.
+    Of each language, the `texts` different texts with the smallest hashes are taken, those
+    whose length is FITTING first, and whole. Should there be more languages than `languages`,
+    those with the most texts are learnt. Only the sample reaches the driver: a first pass
+    counts the texts of languages, and a second one keeps about three times the rows that
+    are wanted. No labelled text, no dictionaries.
     """
-    rows = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("lang", "text", F.xxhash64(key, F.lit("fit")).alias("h"))
-    fits = F.length("text").between(100, SAMPLE_CHARS)
-    counts = {(r["lang"], r["fits"]): r["n"] for r in rows.groupBy("lang", fits.alias("fits")).agg(F.count("*").alias("n")).collect()}
+    rows = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("lang", "text", F.xxhash64("text", F.lit("fit")).alias("h"))
+    fits = F.length("text").between(*FITTING)
+    counted = rows.groupBy("lang").agg(*[F.approx_count_distinct(F.when(c, F.col("h"))).alias(n) for n, c in (("fit", fits), ("other", ~fits))])
+    counts = {r["lang"]: (r["fit"], r["other"]) for r in counted.orderBy((F.col("fit") + F.col("other")).desc(), "lang").limit(languages).collect()}
     if not counts:
         return {}
-    near = lambda n: min(1.0, 3 * SAMPLE_TEXTS / n)
+    near = lambda n: min(1.0, 3 * texts / max(1, n))
     place = F.pmod(F.col("h"), F.lit(1_000_000)) / 1_000_000
-    chosen = reduce(lambda a, b: a | b, [(F.col("lang") == lang) & (fits == ok) & (place < near(n)) for (lang, ok), n in sorted(counts.items()) if ok or counts.get((lang, True), 0) < SAMPLE_TEXTS])
+    wanted = [(F.col("lang") == lang) & fits & (place < near(n)) for lang, (n, _) in sorted(counts.items())]
+    wanted += [(F.col("lang") == lang) & ~fits & (place < near(m)) for lang, (n, m) in sorted(counts.items()) if n < 2 * texts]
+    few = rows.where(reduce(lambda a, b: a | b, wanted)).dropDuplicates(["lang", "h"])
     first = F.row_number().over(W.partitionBy("lang").orderBy(F.when(fits, 0).otherwise(1), "h"))
-    taken = rows.where(chosen).select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"), first.alias("k")).where(F.col("k") <= SAMPLE_TEXTS)
     samples: dict[str, bytes] = {}
-    for r in taken.orderBy("lang", "k").collect():
+    for r in few.withColumn("k", first).where(F.col("k") <= texts).orderBy("lang", "k").collect():
         samples[r["lang"]] = samples.get(r["lang"], b"") + normalise(r["text"])
-    return {lang: b[:DICTIONARY_BYTES] for lang, b in samples.items() if b}
+    return {lang: b for lang, b in samples.items() if b}
 
 
 class Classifier:
@@ -69,9 +72,6 @@ class Classifier:
             data = zstandard.ZstdCompressionDict(sample, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             data.precompute_compress(level=LEVEL)
             self.by[lang] = zstandard.ZstdCompressor(level=LEVEL, dict_data=data, **plain)
-        self.close = zstandard.ZstdCompressor(level=19, **plain)
-        self.tails = {lang: s[-TAIL:] for lang, s in sorted(samples.items())}
-        self.tail_sizes = {lang: len(self.close.compress(t)) for lang, t in self.tails.items()}
 
     @staticmethod
     def _margin(sizes: list[tuple[int, str]]) -> float:
@@ -84,16 +84,14 @@ class Classifier:
             return UNKNOWN, 0.0, 0.0
         blocks = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
         sizes = sorted((sum(len(c.compress(b)) for b in blocks), lang) for lang, c in self.by.items())
-        if len(data) < SHORT and self._margin(sizes) < CLOSE:
-            sizes = sorted((max(0, len(self.close.compress(t + data)) - self.tail_sizes[lang]), lang) for lang, t in self.tails.items())
         best = sizes[0][0]
         share = 1 / sum(math.exp(-(n - best) / (1 + 0.03 * best)) for n, _ in sizes)
         return sizes[0][1], share, self._margin(sizes)
 
 
-def _predictor(samples: dict[str, bytes], keep: set[str], prefix: str):
+def _predictor(samples: Broadcast, keep: set[str], prefix: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Classifier(samples)
+        model = Classifier(samples.value)
         for batch in batches:
             found = [model.predict(t.as_py()) for t in batch.column("text")]
             lang, score, margin = zip(*found) if found else ((), (), ())
@@ -111,12 +109,14 @@ def identify(docs: DataFrame, samples: dict[str, bytes], keep: list[str], prefix
 
     Null text and text without a letter are `und` with score 0 and rejected, and so is all
     text if nothing was learnt. A narrow margin (below MIN_MARGIN) is rejected, with its
-    nearest language named. Equal texts get equal results; an empty table gives no rows.
-    Map-side only: no shuffle, one batch of rows in memory.
+    nearest language named. Equal texts get equal results; repeated rows stay, and an empty
+    table gives no rows. Map-side only: no shuffle, one batch of rows in memory, and the
+    sample, whose bound fit names, broadcast.
     """
+    shared = docs.sparkSession.sparkContext.broadcast(samples)
     rows = pick(docs, dict.fromkeys([*keep, "text"]))
     kinds = "".join(f"`{c}` {t}, " for c, t in rows.dtypes if c in keep)
-    out = rows.mapInArrow(_predictor(samples, set(keep), prefix), f"{kinds}`{prefix}lang_pred` string, `{prefix}score` double, `{prefix}margin` double")
+    out = rows.mapInArrow(_predictor(shared, set(keep), prefix), f"{kinds}`{prefix}lang_pred` string, `{prefix}score` double, `{prefix}margin` double")
     return out.withColumn(f"{prefix}accepted", (F.col(f"{prefix}lang_pred") != UNKNOWN) & (F.col(f"{prefix}margin") >= MIN_MARGIN))
 
 
@@ -128,7 +128,7 @@ def held_out(doc_id: Column) -> Column:
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document, learnt from the documents that are not held out."""
     docs = table(spark, sf_dir, "documents")
-    samples = fit(docs.where(~held_out(F.col("doc_id"))), F.col("doc_id"))
+    samples = fit(docs.where(~held_out(F.col("doc_id"))))
     out = identify(docs, samples, ["doc_id"])
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "margin", "accepted")
 
