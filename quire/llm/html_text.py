@@ -13,7 +13,8 @@ import html as entities
 import math
 import random
 import re
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -51,11 +52,17 @@ class Page:
 
 
 def parse(source: str | None) -> Page:
-    """The tree of a page, however broken; nothing is recursive, so depth has no limit."""
+    """The tree of a page, however broken, in time linear in its length; nothing is recursive, so depth has no limit.
+
+    Beside the stack of open elements stand the places in it of each tag, and of elements
+    that are not inline, so that no tag makes the stack be searched.
+    """
     page = Page()
     tags, parents, attrs, texts, breaks = page.tags, page.parents, page.attrs, page.texts, page.breaks
     source = source or ""
     stack = [0]
+    places: dict[str, list[int]] = defaultdict(list)
+    blocks = [0]
     at, edge = 0, True
 
     def add(tag: str, attr: str, text: str | None, broken: bool) -> int:
@@ -66,11 +73,29 @@ def parse(source: str | None) -> Page:
         breaks.append(broken)
         return len(tags) - 1
 
+    def push(node: int) -> None:
+        places[tags[node]].append(len(stack))
+        if tags[node] not in INLINE:
+            blocks.append(len(stack))
+        stack.append(node)
+
+    def close(place: int) -> None:
+        """Closes the element at this place of the stack and all that it holds."""
+        while len(stack) > place:
+            tag = tags[stack.pop()]
+            places[tag].pop()
+            if tag not in INLINE:
+                blocks.pop()
+
+    def innermost(names: Iterable[str]) -> int:
+        """The last place of an element of these names, or 0."""
+        return max((places[n][-1] for n in names if places.get(n)), default=0)
+
     def say(text: str) -> None:
         nonlocal edge
         if text:
             if tags[stack[-1]] == "head" and text.strip():
-                stack.pop()
+                close(len(stack) - 1)
             add(TEXT, "", entities.unescape(text) if "&" in text else text, edge)
             edge = False
 
@@ -90,35 +115,25 @@ def parse(source: str | None) -> Page:
         inline = tag in INLINE
         edge = edge or not inline
         if m["end"]:
-            for i in range(len(stack) - 1, 0, -1):
-                if tags[stack[i]] == tag:
-                    del stack[i:]
-                    break
-                if inline and tags[stack[i]] not in INLINE:
-                    break
+            place = innermost([tag])
+            if place and not (inline and blocks[-1] > place):
+                close(place)
             continue
         if not m[0].endswith(">"):
             break  # the page ends inside a tag
         if not inline and tag != "br":
-            i = len(stack) - 1
-            while i > 0 and tags[stack[i]] in INLINE:
-                i -= 1
-            if tags[stack[i]] == "p" and tag not in VOID | {"script", "style"} or tags[stack[i]] == "p" and tag == "hr":
-                del stack[i:]
+            block = blocks[-1]
+            if tags[stack[block]] == "p" and (tag not in VOID | {"script", "style"} or tag == "hr"):
+                close(block)
         if tag in CLOSES:
             closed, scope = CLOSES[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if tags[stack[i]] in scope:
-                    break
-                if tags[stack[i]] in closed:
-                    del stack[i:]
-                    break
-        if tag == "body" and stack and any(tags[i] == "head" for i in stack):
-            while tags[stack[-1]] != "head":
-                stack.pop()
-            stack.pop()
+            place = innermost(closed)
+            if place > innermost(scope):
+                close(place)
+        if tag == "body" and places.get("head"):
+            close(places["head"][-1])
         if tags[stack[-1]] == "head" and tag not in HEAD:
-            stack.pop()
+            close(len(stack) - 1)
         if tag in VOID:
             continue
         node = add(tag, m["attrs"], None, False)
@@ -126,7 +141,7 @@ def parse(source: str | None) -> Page:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(source, at)
             at = end.end() if end else len(source)
         elif not m["attrs"].endswith("/") or tag not in ("svg", "path"):
-            stack.append(node)
+            push(node)
     return page
 
 
