@@ -13,11 +13,15 @@ its transpose. The product is blocked so that only blocks that can hold a link a
    products of column ranges, rare ones by counting the pairs they hold. Pairs below the
    bound that their sizes give are discarded; the rest are links, exactly.
 
-A block larger than a tile is cut into tiles, and each pair of tiles is a task of its own.
+A block larger than a tile is cut into bands of sizes that allow links, bands are cut into
+tiles, and each pair of tiles of the same or of neighbouring bands is a cell of its own; a
+family of near copies is thereby dealt over many tasks. What the table of counts calls hot
+among the n-grams is salted before rows that share it are brought together.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -27,11 +31,15 @@ import pyarrow as pa
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window as W
 
-from .common import WORD, materialize, pick, table
+from .common import WORD, materialize, pick, remembered, table
 from .graph import components, forest
 
-#: Rows and shingles of a tile at most, on average; bytes that are hashed at a time.
-TILE_ROWS, TILE_SHINGLES, CHUNK = 1024, 1_000_000, 1 << 20
+#: Blocks, or bands of them, of up to TILE_ROWS rows are one tile; larger ones about SPREAD tiles, or more of WIDE_ROWS rows; and no tile has more shingles.
+TILE_ROWS, WIDE_ROWS, SPREAD, TILE_SHINGLES = 128, 1024, 16, 1_000_000
+#: Bytes that are hashed at a time.
+CHUNK = 1 << 20
+#: N-grams that are counted so often, in these steps (8 log2), are salted so many times.
+HOT_STEP, SALTS = 128, 16
 #: N-grams are counted in so many cells (a table of 16 MB), which are summed in blocks.
 CELL_BITS, CELL_BLOCK = 24, 1 << 16
 #: Shingles that a worker counts at a time.
@@ -42,16 +50,17 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INVERSE = pow(_P, -1, 1 << 64)
-_powers: dict[str, np.ndarray] = {}
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("up", ())) < n:
+def _power_tables() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, for a chunk."""
+    kept = remembered("jaccard")
+    if not kept:
         for name, base in (("up", _P), ("down", _P_INVERSE)):
-            t = np.full(n, base, np.uint64)
+            t = np.full(CHUNK + 1, base, np.uint64)
             t[0] = 1
-            _powers[name] = np.multiply.accumulate(t)
-    return _powers["up"], _powers["down"]
+            kept[name] = np.multiply.accumulate(t)
+    return kept["up"], kept["down"]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -60,18 +69,52 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and start of every word of lower-cased bytes that end in white space."""
-    a = np.frombuffer(data, np.uint8)
-    up, down = _power_tables(len(a) + 1)
+def _word_hashes(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of at most CHUNK bytes that end in white space or at the end of the data."""
+    up, down = _power_tables()
     space = _SPACE[a]
-    edge = np.flatnonzero(np.diff(np.r_[True, space].view(np.int8)))
+    edge = np.flatnonzero(np.diff(np.r_[True, space, True].view(np.int8)))
     starts, ends = edge[0::2], edge[1::2]
     sums = np.zeros(len(a) + 1, np.uint64)
     np.cumsum((a + np.uint64(1)) * up[: len(a)], out=sums[1:])
     return _mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)), starts
 
 
+def _long_word(a: np.ndarray) -> np.ndarray:
+    """Hash of one word of any length, in pieces."""
+    up, _ = _power_tables()
+    total = 0
+    for at in range(0, len(a), CHUNK):
+        piece = a[at : at + CHUNK]
+        total += int(((piece + np.uint64(1)) * up[: len(piece)]).sum(dtype=np.uint64)) * pow(_P, at, 1 << 64)
+    return _mixed(np.array([(total + len(a)) % (1 << 64)], np.uint64))
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and start of every word of lower-cased bytes that end in white space; the memory it takes besides its result is a chunk's."""
+    a = np.frombuffer(data, np.uint8)
+    hashes, starts = [], []
+    at = 0
+    while at < len(a):
+        end = min(len(a), at + CHUNK)
+        if end < len(a) and not _SPACE[a[end - 1]]:
+            inside = np.flatnonzero(_SPACE[a[at:end]])
+            if len(inside):
+                end = at + int(inside[-1]) + 1
+            else:
+                while not _SPACE[a[end]]:
+                    end += 1
+                hashes.append(_long_word(a[at:end]))
+                starts.append(np.array([at]))
+                at = end
+                continue
+        h, s = _word_hashes(a[at:end])
+        hashes.append(h)
+        starts.append(s + at)
+        at = end
+    return (np.concatenate(hashes), np.concatenate(starts)) if hashes else (np.empty(0, np.uint64), np.empty(0, np.int64))
+
+
 def _chunks(docs: list[bytes]) -> Iterator[list[bytes]]:
     held: list[bytes] = []
     size = 0
@@ -109,9 +152,12 @@ def shingle_sets(texts: list[bytes | None], k: int) -> Iterator[np.ndarray]:
                 yield np.empty(0, np.uint64)
 
 
-def set_hash(s: np.ndarray) -> int:
-    """A signed 64-bit hash of a set."""
-    return int((_mixed(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) ^ _mixed(np.array([len(s)], np.uint64))[0]).astype(np.int64))
+def set_hash(s: np.ndarray) -> tuple[int, int]:
+    """Two signed 64-bit hashes of a set, which, with its size, tell it from others."""
+    size = np.uint64(len(s))
+    one = _mixed(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) ^ _mixed(np.array([size]))[0]
+    two = np.bitwise_xor.reduce(_mixed(s * np.uint64(0x9FB21C651E98DF25) + np.uint64(0xD6E8FEB86659FD93)), initial=np.uint64(0))
+    return int(one.astype(np.int64)), int(two.astype(np.int64))
 
 
 def need(n1, n2, percent: int):
@@ -133,7 +179,7 @@ def _cell_counter(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << CELL_BITS, np.uint32)
         held: list[np.ndarray] = []
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         size = 0
 
         def fold() -> None:
@@ -183,21 +229,28 @@ def common_order(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def _prefixes(k: int, percent: int, order: Broadcast):
-    """Per document: its key and id, set size, set hash, and its first shingles in the common order."""
+    """Per document: its key and id, set size, set hashes, and its first shingles in the common order, hot ones apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         steps = order.value
         for batch in batches:
-            sizes, nodes, first = [], [], []
+            sizes, one, two, first, hot = [], [], [], [], []
             for s in shingle_sets(_bytes(batch, "text"), k):
                 n = len(s)
                 sizes.append(n)
-                nodes.append(set_hash(s) if n else None)
-                take = n - -(-percent * n // 100) + 1
-                if n > 1:
-                    s = s[np.lexsort((s, steps[_cells(s)]))]
-                first.append(s[:take].astype(np.int64) if n else s[:0].astype(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(first, pa.list_(pa.int64()))], names=["key", "doc_id", "n_shingles", "node", "first"])
+                a, b = set_hash(s) if n else (None, None)
+                one.append(a)
+                two.append(b)
+                take = n - -(-percent * n // 100) + 1 if n else 0
+                step = steps[_cells(s)]
+                at = np.lexsort((s, step))[:take]
+                often = step[at] >= HOT_STEP
+                s = s[at].astype(np.int64)
+                first.append(s[~often])
+                hot.append(s[often])
+            lists = pa.list_(pa.int64())
+            columns = [batch.column("key"), batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in (sizes, one, two)], pa.array(first, lists), pa.array(hot, lists)]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "doc_id", "n_shingles", "one", "two", "first", "hot"])
 
     return run
 
@@ -234,21 +287,25 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _tile_links(k: int, percent: int):
+def _cell_links(k: int, percent: int):
+    """Links of a cell: of a tile with itself, or of two tiles with each other."""
+
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        _, i, j = key
+        _, *i = key[:3]
+        j = list(key[3:])
         texts = [t.encode("utf-8", "surrogatepass") for t in pdf["text"]]
         sets = list(shingle_sets(texts, k))
-        nodes = np.array([set_hash(s) if len(s) else 0 for s in sets], np.int64)
-        keep = np.flatnonzero(nodes == pdf["node"].to_numpy(np.int64))
+        hashes = [set_hash(s) if len(s) else (0, 0) for s in sets]
+        nodes = pdf["node"].to_numpy(np.int64)
+        keep = np.flatnonzero([h == w for h, w in zip(hashes, zip(pdf["one"].tolist(), pdf["two"].tolist()))])
         keep = keep[np.sort(np.unique(nodes[keep], return_index=True)[1])]
         sets, nodes = [sets[x] for x in keep], nodes[keep]
-        copies, tile = pdf["copies"].to_numpy(np.int64)[keep], pdf["tile"].to_numpy(np.int64)[keep]
+        copies, low = pdf["copies"].to_numpy(np.int64)[keep], ((pdf["band"] == i[0]) & (pdf["tile"] == i[1])).to_numpy()[keep]
         sizes = np.array([len(s) for s in sets], np.int64)
         linked = overlaps(sets) >= need(sizes[:, None], sizes[None, :], percent)
         np.fill_diagonal(linked, False)
         if i != j:  # pairs inside a tile are counted where it meets itself
-            linked &= tile[:, None] != tile[None, :]
+            linked &= low[:, None] != low[None, :]
         a, b = np.nonzero(np.triu(linked))
         roots = forest(nodes[a].tolist(), nodes[b].tolist())
         links = linked @ copies if len(copies) else np.zeros(0, np.int64)
@@ -258,9 +315,67 @@ def _tile_links(k: int, percent: int):
 
 
 def row_key(names: list[str]) -> Column:
-    """A 64-bit hash of these columns; a null is told from every value."""
-    cols = [F.col(f"`{n}`") for n in names]
-    return F.xxhash64(*cols, *[c.isNull() for c in cols])
+    """Two 64-bit hashes of these columns; a null is told from every value."""
+    cols = [c for n in names for c in (F.col(f"`{n}`"), F.col(f"`{n}`").isNull())]
+    return F.struct(F.xxhash64(*cols).alias("a"), F.xxhash64(F.lit(7), *cols).alias("b"))
+
+
+def _band(n: Column, percent: int) -> Column:
+    """Sets whose sizes allow a link are in the same band or in neighbouring ones."""
+    return F.floor(F.log(n.cast("double")) / math.log(100 / percent)).cast("int") if percent < 100 else n.cast("int")
+
+
+def _candidates(classes: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) that connect classes which share one of their first n-grams and whose sizes allow a link.
+
+    In the order of sizes, neighbours under one n-gram are enough. A hot n-gram's rows are
+    dealt by band of sizes and a salt: each goes to the least node of its salt, and these
+    to each other, one row a salt and band.
+    """
+    postings = classes.select("node", "n", F.explode("first").alias("shingle"))
+    by_size = W.partitionBy("shingle").orderBy("n", "node")
+    near = postings.select("node", "n", F.lag("node").over(by_size).alias("other"), F.lag("n").over(by_size).alias("other_n"))
+    chains = near.where(F.col("other").isNotNull() & (F.col("other_n") * 100 >= F.col("n") * percent)).select(F.col("node").alias("a"), F.col("other").alias("b"))
+
+    hot = classes.select("node", "n", _band(F.col("n"), percent).alias("band"), F.pmod(F.xxhash64("node"), F.lit(SALTS)).alias("salt"), F.explode("hot").alias("shingle"))
+    salted = hot.select(F.col("node").alias("a"), F.min("node").over(W.partitionBy("shingle", "band", "salt")).alias("b")).where("a <> b")
+    hubs = hot.groupBy("shingle", "band", "salt").agg(F.min("node").alias("hub"), F.min("n").alias("low"), F.max("n").alias("high"))
+    per_band = hubs.groupBy("shingle", "band").agg(F.collect_set("hub").alias("hubs"), F.min("hub").alias("hub"), F.min("low").alias("low"), F.max("high").alias("high"))
+    joined = per_band.select(F.explode("hubs").alias("a"), F.col("hub").alias("b")).where("a <> b")
+    bands = W.partitionBy("shingle").orderBy("band")
+    across = per_band.select(F.col("hub").alias("a"), F.lag("hub").over(bands).alias("b"), "low", F.lag("high").over(bands).alias("below")).where(F.col("b").isNotNull() & (F.col("below") * 100 >= F.col("low") * percent)).select("a", "b")
+    return chains.union(salted).union(joined).union(across)
+
+
+def _cells_of(members: DataFrame, percent: int) -> DataFrame:
+    """members (block, node, n and what else they have) with band and tile, and each once for every cell p (low band and tile, high band and tile) it belongs to."""
+    banded = members.withColumn("band", _band(F.col("n"), percent))
+    rows, mass = F.count("*").alias("rows"), F.sum("n").alias("mass")
+    bands = banded.groupBy("block", "band").agg(rows, mass)
+    most = F.greatest(F.lit(TILE_ROWS), F.least(F.lit(WIDE_ROWS), F.ceil(F.col("rows") / SPREAD)))
+    tiles = F.greatest(F.ceil(F.col("rows") / most), F.ceil(F.col("mass") / TILE_SHINGLES)).cast("int")
+    # a few bands a block, whatever its size: a size of 2^31 is in band 204 at 90 %
+    blocks = bands.groupBy("block").agg(F.sum("rows").alias("all_rows"), F.sum("mass").alias("all_mass"), F.map_from_entries(F.collect_list(F.struct("band", tiles))).alias("tiles"))
+    lone = (F.col("all_rows") <= TILE_ROWS) & (F.col("all_mass") <= TILE_SHINGLES)
+    blocks = blocks.select("block", lone.alias("lone"), F.when(~lone, F.col("tiles")).otherwise(F.create_map(F.lit(0), F.lit(1))).alias("tiles"))
+    placed = banded.join(blocks, "block").withColumn("band", F.when(F.col("lone"), 0).otherwise(F.col("band")))
+    placed = placed.withColumn("tile", F.pmod(F.xxhash64("node"), F.try_element_at("tiles", F.col("band"))).cast("int"))
+
+    def meet(step: int) -> Column:
+        """Cells with the tiles of the band this many above."""
+        other = F.coalesce(F.try_element_at("tiles", F.col("band") + step), F.lit(0))
+        place = lambda band, tile: [F.col("band") + band if band else F.col("band"), tile]
+        cell = lambda lo, hi: F.struct(lo[0].alias("bi"), lo[1].cast("int").alias("i"), hi[0].alias("bj"), hi[1].cast("int").alias("j"))
+        own = F.col("tile")
+
+        def of(t: Column) -> Column:
+            if step == 0:
+                return cell(place(0, F.least(t, own)), place(0, F.greatest(t, own)))
+            return cell(place(0, own), place(1, t)) if step > 0 else cell(place(-1, t), place(0, own))
+
+        return F.transform(F.filter(F.sequence(F.lit(0), F.greatest(other, F.lit(1)) - 1), lambda t: t < other), of)
+
+    return placed.withColumn("p", F.concat(meet(0), meet(1), meet(-1))).drop("lone", "tiles", "n")
 
 
 def _classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -271,30 +386,23 @@ def _classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFram
     many documents they are and how many links these have to other classes.
     """
     order = docs.sparkSession.sparkContext.broadcast(common_order(docs, k))
-    nodes = materialize(docs.mapInArrow(_prefixes(k, percent, order), "key long, doc_id long, n_shingles long, node long, first array<long>"), "jaccard-sets")
-    with_set = nodes.where("node is not null")
+    schema = "key struct<a: long, b: long>, doc_id long, n_shingles long, one long, two long, first array<long>, hot array<long>"
+    nodes = materialize(docs.mapInArrow(_prefixes(k, percent, order), schema), "jaccard-sets")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key"))
-    classes = materialize(with_set.groupBy("node").agg(first.alias("least"), F.count("*").alias("copies"), F.first("n_shingles").alias("n")), "jaccard-classes")
+    grouped = nodes.where("one is not null").groupBy("one", "two", F.col("n_shingles").alias("n")).agg(first.alias("least"), F.count("*").alias("copies"), F.first("first").alias("first"), F.first("hot").alias("hot"))
+    classes = materialize(grouped.withColumn("node", F.monotonically_increasing_id()), "jaccard-classes")
+    blocks = components(_candidates(classes, percent)).withColumnRenamed("root", "block")
 
-    postings = with_set.select("node", "n_shingles", "first").dropDuplicates(["node"]).select("node", F.col("n_shingles").alias("n"), F.explode("first").alias("shingle"))
-    by_size = W.partitionBy("shingle").orderBy("n", "node")
-    near = postings.select("node", "n", F.lag("node").over(by_size).alias("other"), F.lag("n").over(by_size).alias("other_n"))
-    edges = near.where(F.col("other").isNotNull() & (F.col("other_n") * 100 >= F.col("n") * percent)).select(F.col("node").alias("a"), F.col("other").alias("b"))
-    blocks = components(edges).withColumnRenamed("root", "block")
-
-    members = materialize(classes.join(blocks, "node"), "jaccard-blocks")
-    tiles = members.groupBy("block").agg(F.greatest(F.ceil(F.count("*") / TILE_ROWS), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int").alias("tiles"))
-    placed = members.join(tiles, "block").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    placed = placed.select(F.col("least.key").alias("of"), "block", "tiles", "tile", "node", "copies")
-    meets = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, "tile").alias("i"), F.greatest(t, "tile").alias("j")))
+    members = materialize(classes.select("node", "n", "one", "two", "copies", F.col("least.key").alias("of")).join(blocks, "node"), "jaccard-blocks")
+    placed = _cells_of(members, percent)
     # a merge join at every size: what is placed grows with the corpus; rows of one key lie together after it, and one of them is enough
-    texts = docs.select("key", "text").join(placed.hint("merge"), F.col("key") == F.col("of")).dropDuplicates(["key"]).withColumn("p", F.explode(meets))
-    groups = texts.select("block", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "tile", "node", "copies", "text").groupBy("block", "i", "j")
-    found = materialize(groups.applyInPandas(_tile_links(k, percent), "node long, root long, links long"), "jaccard-links")
+    texts = docs.select("key", "text").join(placed.hint("merge"), F.col("key") == F.col("of")).dropDuplicates(["key"]).withColumn("p", F.explode("p"))
+    groups = texts.select("block", "p.bi", "p.i", "p.bj", "p.j", "band", "tile", "node", "one", "two", "copies", "text").groupBy("block", "bi", "i", "bj", "j")
+    found = materialize(groups.applyInPandas(_cell_links(k, percent), "node long, root long, links long"), "jaccard-links")
 
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
-    return nodes, classes.select("node", "least", "copies").join(roots, "node", "left").join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return nodes, classes.select("node", "one", "two", "n", "least", "copies").join(roots, "node", "left").join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
 def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -306,7 +414,8 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     linked to this one. Null and blank texts have no shingles, are linked with nothing and
     are their own component. Repeated rows and ids are documents of their own, linked as
     equal texts; a null id is never a component's id unless all its documents' are null. An
-    empty table gives no rows. Sets, and pairs of id and text, are told apart by 64-bit hashes.
+    empty table gives no rows. Sets, and pairs of id and text, are told apart by two 64-bit
+    hashes (sets also by their sizes), n-grams by one.
 
     Scale: texts are shuffled once, and again for rows in blocks of several; the rest moves
     the first tenth (at 90 %) of each set's hashes. Groups of equal texts are one row from
@@ -316,9 +425,9 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     docs = pick(docs, ["doc_id", "text"])
     nodes, classes = _classes(docs.select(row_key(docs.columns).alias("key"), "doc_id", "text"), k, percent)
     least = classes.groupBy("root").agg(F.min("least.doc_id").alias("component_id"))
-    of_node = classes.join(least, "root").select("node", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    alone = nodes.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    return nodes.where("node is not null").join(of_node, "node").select("doc_id", "n_shingles", "component_id", "n_links").union(alone)
+    of_set = classes.join(least, "root").select("one", "two", F.col("n").alias("n_shingles"), "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    alone = nodes.where("one is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    return nodes.where("one is not null").join(of_set, ["one", "two", "n_shingles"]).select("doc_id", "n_shingles", "component_id", "n_links").union(alone)
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
