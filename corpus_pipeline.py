@@ -6,11 +6,9 @@ as Parquet and read again as the next one's docs.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quire.llm.common import shared_dir, table
+from quire.llm.common import drop_folder, new_folder, table
 from quire.llm.jaccard import one_of_each
 from quire.llm.language import fit, identify
 from quire.llm.mixing import mix
@@ -23,7 +21,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     The classifier learns from the labelled documents among docs. Documents whose text is
     null, has no letter or is as near to two languages go; a null lang is filled in.
     """
-    found = identify(docs, fit(docs, F.col("doc_id")), docs.columns, "__found_").where("__found_accepted")
+    found = identify(docs, fit(docs), docs.columns, "__found_").where("__found_accepted")
     return found.withColumn("lang", F.coalesce("lang", "__found_lang_pred")).select(*docs.columns)
 
 
@@ -34,7 +32,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of the sources at weights 5, 2, 1 in turn: documents are left out, kept or repeated up to three times."""
-    return mix(docs)
+    return mix(docs).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,10 +55,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies STAGES to the documents of sf_dir, each written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """Applies STAGES to the documents of sf_dir, each written to the shared folder and read again.
+
+    A stage's rows are deleted once the next stage's are written; those before the last
+    stage stay until the session's process ends, for the result is read from them.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
+        path = new_folder(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            drop_folder(spark, before)
+        docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
