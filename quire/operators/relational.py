@@ -62,12 +62,25 @@ def claim_first(members: DataFrame, collection: str, position: str, member_posit
 
 
 def margin_side(notes: DataFrame, key: str, at: str, side: str, reach: int = 6) -> DataFrame:
-    """The side with fewer notes within reach of each anchor; ties go right. Columns key, at, chosen."""
-    anchors = notes.select(key, at).distinct()
-    near = band_join(anchors, notes.select(key, at, side), key, at, reach)
-    count = lambda s: F.sum(F.when(F.col(side) == s, 1).otherwise(0))
-    out = near.groupBy(key, F.col(f"anchor_{at}").alias(at)).agg(count("left").alias("l"), count("right").alias("r"))
-    return out.select(key, at, F.when(F.col("r") > F.col("l"), "left").otherwise("right").alias("chosen"))
+    """The side with fewer notes within reach of each anchor; ties go right. Columns key, at, chosen.
+
+    Notes are counted by place first, then summed over a range of places: one shuffle of counts.
+    """
+    count = lambda s: F.count(F.when(F.col(side) == s, 1))
+    places = notes.groupBy(key, at).agg(count("left").alias("l"), count("right").alias("r"))
+    near = W.partitionBy(key).orderBy(at).rangeBetween(-reach, reach)
+    return places.select(key, at, F.when(F.sum("r").over(near) > F.sum("l").over(near), "left").otherwise("right").alias("chosen"))
+
+
+def link_assets(chunks: DataFrame, assets: DataFrame, key: str) -> DataFrame:
+    """key, place, ref, asset_id: each image that a chunk (key, image_refs) names, with the asset whose original name it is.
+
+    Of assets (asset_id, original_name) that share a name, the smallest id is linked; a name
+    that no asset has is left out.
+    """
+    known = assets.groupBy("original_name").agg(F.min("asset_id").alias("asset_id"))
+    refs = chunks.select(key, F.posexplode("image_refs").alias("place", "ref"))
+    return refs.join(known, F.col("ref") == F.col("original_name")).select(key, "place", "ref", "asset_id")
 
 
 def embedding_gate(chunks: DataFrame, documents: DataFrame, max_tokens: int, enabled: bool = True) -> DataFrame:

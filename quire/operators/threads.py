@@ -1,41 +1,75 @@
-"""Conversation and note trees: recursive walks with bounded depth."""
+"""Conversation and note trees, of any depth and size, by pointer doubling.
+
+Every node first points at its parent; in each round it takes over what the node that it
+points at has found, and points at what that one points at. A round is one join of rows that
+are not done yet, and a tree of depth d takes about log2(d) rounds, each written to the
+shared folder. Nodes whose ancestors run in a circle never get done and are told by that.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-#: A walk stops at this depth; a cycle ends there too.
-MAX_DEPTH = 64
+from ..scratch import materialize
 
 
-def _walk(tree: DataFrame, seeds: DataFrame, upward: bool) -> DataFrame:
-    """(seed, id, depth) of what is reached from seeds (seed, id): children, or parents if upward.
+def climb(tree: DataFrame) -> DataFrame:
+    """Per node of tree (id, parent_id): depth (ancestors, an absent parent counting as one), top (the highest node there is), orphan (an ancestor is absent), circle.
 
-    tree: id, parent_id. A recursive query, so the engine iterates; a level is one join.
+    In a circle, or below one, depth and top are null. Ids identify nodes.
+    """
+    state = tree.select("id", F.col("parent_id").alias("up"), F.when(F.col("parent_id").isNotNull(), 1).otherwise(0).cast("long").alias("depth"), F.col("id").alias("top"), F.lit(False).alias("orphan"))
+    state = materialize(state, "tree")
+    nodes, reach = state.count(), 1
+    while reach <= nodes and not state.where("up is not null").isEmpty():
+        upper = state.select(F.col("id").alias("u_id"), F.col("up").alias("u_up"), F.col("depth").alias("u_depth"), F.col("top").alias("u_top"), F.col("orphan").alias("u_orphan"))
+        met = state.where("up is not null").join(upper, F.col("up") == F.col("u_id"), "left")
+        found = F.col("u_id").isNotNull()
+        met = met.select(
+            "id", F.col("u_up").alias("up"), (F.col("depth") + F.coalesce("u_depth", F.lit(0))).alias("depth"),
+            F.when(found, F.col("u_top")).otherwise(F.col("top")).alias("top"), F.when(found, F.col("u_orphan")).otherwise(True).alias("orphan"),
+        )
+        state, reach = materialize(state.where("up is null").union(met), "tree"), 2 * reach
+    circle = F.col("up").isNotNull()
+    return state.select("id", F.when(~circle, F.col("depth")).alias("depth"), F.when(~circle, F.col("top")).alias("top"), F.when(~circle, F.col("orphan")).otherwise(False).alias("orphan"), circle.alias("circle"))
+
+
+def _below(tree: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(seed, id, depth) of what lies below seeds (seed, id), these included.
+
+    A node gathers the seeds among its ancestors, so the work is that of the result. Nodes
+    in or below a circle have none.
     """
-    spark = tree.sparkSession
-    names = [f"__tree_{id(tree)}", f"__seed_{id(tree)}"]
-    tree.select("id", "parent_id").createOrReplaceTempView(names[0])
-    seeds.select("seed", "id").createOrReplaceTempView(names[1])
-    step = f"SELECT w.seed, t.parent_id, w.depth + 1 FROM w JOIN {names[0]} t ON t.id = w.id WHERE t.parent_id IS NOT NULL" if upward else f"SELECT w.seed, t.id, w.depth + 1 FROM w JOIN {names[0]} t ON t.parent_id = w.id"
-    return spark.sql(f"WITH RECURSIVE w(seed, id, depth) MAX RECURSION LEVEL {MAX_DEPTH} AS (SELECT seed, id, 0 FROM {names[1]} UNION ALL {step}) SELECT * FROM w")
+    climbed = climb(tree)
+    planted = seeds.groupBy("id").agg(F.collect_set("seed").alias("s"))
+    none = F.array().cast("array<struct<seed: bigint, depth: bigint>>")
+    at_node = F.transform("s", lambda s: F.struct(s.cast("long").alias("seed"), F.lit(0).cast("long").alias("depth")))
+    live = tree.join(climbed.where("not circle").select("id"), "id", "left_semi")
+    state = live.join(planted, "id", "left").select("id", F.col("parent_id").alias("up"), F.when(F.col("parent_id").isNotNull(), 1).otherwise(0).cast("long").alias("steps"), F.coalesce(at_node, none).alias("seeds"))
+    state = materialize(state, "tree-seeds")
+    while not state.where("up is not null").isEmpty():
+        upper = state.select(F.col("id").alias("u_id"), F.col("up").alias("u_up"), F.col("steps").alias("u_steps"), F.col("seeds").alias("u_seeds"))
+        met = state.where("up is not null").join(upper, F.col("up") == F.col("u_id"), "left")
+        shifted = F.transform(F.coalesce("u_seeds", none), lambda x: F.struct(x["seed"].alias("seed"), (x["depth"] + F.col("steps")).alias("depth")))
+        met = met.withColumn("seeds", F.concat("seeds", shifted)).select("id", F.col("u_up").alias("up"), (F.col("steps") + F.coalesce("u_steps", F.lit(0))).alias("steps"), "seeds")
+        state = materialize(state.where("up is null").union(met), "tree-seeds")
+    return state.select("id", F.explode("seeds").alias("x")).select("x.seed", "id", "x.depth")
 
 
 def ancestor_depth(tree: DataFrame) -> DataFrame:
-    """id and depth: how many ancestors each node has."""
-    up = _walk(tree, tree.select(F.col("id").alias("seed"), "id"), True)
-    return up.groupBy(F.col("seed").alias("id")).agg(F.max("depth").alias("depth"))
+    """id and depth: how many ancestors each node has; null in or below a circle."""
+    return climb(tree).select("id", "depth")
 
 
 def descendants(tree: DataFrame, roots: DataFrame) -> DataFrame:
-    """root, id, depth of each root's subtree, itself included."""
-    return _walk(tree, roots.select(F.col("id").alias("seed"), "id"), False).select(F.col("seed").alias("root"), "id", "depth")
+    """root, id, depth of each root's subtree, itself included; nodes in or below a circle are in none."""
+    return _below(tree, roots.select(F.col("id").alias("seed"), "id")).select(F.col("seed").alias("root"), "id", "depth")
 
 
 def first_reply(turns: DataFrame, conv: str, at: str) -> DataFrame:
     """For each user turn the first assistant turn at or after it in its conversation: id, reply_id."""
-    after = W.partitionBy(conv).orderBy(at, "id").rowsBetween(W.currentRow, W.unboundedFollowing)
-    reply = F.first(F.when(F.col("role") == "assistant", F.col("id")), ignorenulls=True).over(after)
+    back = W.partitionBy(conv).orderBy(F.col(at).desc(), F.col("id").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    reply = F.last(F.when(F.col("role") == "assistant", F.col("id")), ignorenulls=True).over(back)
     return turns.withColumn("reply_id", reply).where(F.col("role") == "user").select("id", "reply_id")
 
 
@@ -44,15 +78,14 @@ def thread_subtree(turns: DataFrame, conv: str, at: str, roots: DataFrame) -> Da
     r = turns.join(roots.select("id"), "id", "left_semi")
     top = r.where("parent_id is null").select("id").join(first_reply(turns, conv, at), "id").where("reply_id is not null")
     seeds = r.select(F.col("id").alias("seed"), "id").union(top.select(F.col("id").alias("seed"), F.col("reply_id").alias("id")))
-    return _walk(turns, seeds, False).select(F.col("seed").alias("root"), "id").distinct()
+    return _below(turns, seeds).select(F.col("seed").alias("root"), "id").distinct()
 
 
 def root_of_each(tree: DataFrame) -> DataFrame:
-    """id, root of every node below a root; orphans and nodes in cycles are left out."""
-    roots = tree.where("parent_id is null").select(F.col("id").alias("seed"), "id")
-    return _walk(tree, roots, False).select("id", F.col("seed").alias("root"))
+    """id, root of every node below a root; orphans and nodes in circles are left out."""
+    return climb(tree).where("not circle and not orphan").select("id", F.col("top").alias("root"))
 
 
 def may_reply(tree: DataFrame, limit: int = 3) -> DataFrame:
-    """id, allowed: a reply to this node stays within the depth limit."""
-    return ancestor_depth(tree).select("id", (F.col("depth") + 1 <= limit).alias("allowed"))
+    """id, allowed: a reply to this node stays within the depth limit; never in a circle."""
+    return climb(tree).select("id", F.coalesce(F.col("depth") + 1 <= limit, F.lit(False)).alias("allowed"))

@@ -24,3 +24,8 @@ def query(name: str, sql: str | None = None):
         return f
 
     return add
+
+
+def also(name: str, of: str) -> None:
+    """A query under a second name."""
+    QUERIES[name] = QUERIES[of]

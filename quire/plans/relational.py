@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as x
 from ..operators import relational as r, threads, windows as w
-from .registry import query
+from .registry import also, query
 
 c = F.col
 
@@ -99,12 +100,7 @@ def _(t):
     return t("documents").select("doc_id", F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("n_chars", F.lit(0)).cast("long").alias("n_chars"), F.coalesce("source", F.lit("")).alias("source"))
 
 
-@query("P14_library", "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'a') ORDER BY lower(p_name), p_partkey LIMIT 100")
-def _(t):
-    return _library(t).limit(100)
-
-
-@query("P14_library_whole")
+@query("P14_library", "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'a') ORDER BY lower(p_name), p_partkey")
 def _library(t):
     return t("part").where(F.lower("p_name").contains("a")).orderBy(F.lower("p_name"), "p_partkey").select("p_partkey", "p_name")
 
@@ -176,9 +172,16 @@ def _(t):
     return first.join(t("orders"), c("l_orderkey") == c("o_orderkey")).select("l_orderkey", "l_partkey", "o_custkey")
 
 
-@query("J9_asset_links", "SELECT page_id, ref FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"/([^\"]*)\"', 1)) AS ref FROM pages) WHERE ref IN (SELECT lower(r_name) FROM region) OR ref <> ''")
+@query(
+    "J9_asset_links",
+    """WITH k AS (SELECT p_partkey, unnest([p_brand || '.png', 'img' || p_size || '.jpg']) AS ref, unnest([0, 1]) AS place FROM part),
+a AS (SELECT 'img' || (s_suppkey % 40 + 1) || '.jpg' AS original_name, min(s_suppkey) AS asset_id FROM supplier GROUP BY 1)
+SELECT p_partkey, place, ref, asset_id FROM k JOIN a ON ref = original_name""",
+)
 def _(t):
-    return t("pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="/([^"]*)"'), 1)).alias("ref")).where("ref <> ''")
+    md = F.concat(F.lit("see ![a](out/images/"), "p_brand", F.lit(".png) and ![](img"), c("p_size").cast("string"), F.lit(".jpg)"))
+    assets = t("supplier").select(c("s_suppkey").alias("asset_id"), F.concat(F.lit("img"), (c("s_suppkey") % 40 + 1).cast("string"), F.lit(".jpg")).alias("original_name"))
+    return r.link_assets(t("part").select("p_partkey", x.image_refs(md).alias("image_refs")), assets, "p_partkey")
 
 
 @query("J10_nested_members", f"SELECT o_orderkey, coalesce(list(l_partkey ORDER BY pos) FILTER (l_orderkey IS NOT NULL), []) AS members FROM orders LEFT JOIN {LINES} ON l_orderkey = o_orderkey GROUP BY o_orderkey")
@@ -470,22 +473,12 @@ def _(t):
 # --- sorts, top-k, set operations
 
 
-@query("T1_nulls_last", "SELECT c_custkey, nullif(c_nationkey, 3) AS n FROM customer ORDER BY n NULLS LAST, c_custkey LIMIT 500")
-def _(t):
-    return _nulls_last(t).limit(500)
-
-
-@query("T1_nulls_last_whole")
+@query("T1_nulls_last", "SELECT c_custkey, nullif(c_nationkey, 3) AS n FROM customer ORDER BY n NULLS LAST, c_custkey")
 def _nulls_last(t):
     return t("customer").select("c_custkey", F.nullif(c("c_nationkey"), F.lit(3)).alias("n")).orderBy(c("n").asc_nulls_last(), "c_custkey")
 
 
-@query("T3_note_order", "SELECT event_id, user_id FROM events ORDER BY user_id, ts, event_id LIMIT 1000")
-def _(t):
-    return _note_order(t).limit(1000)
-
-
-@query("T3_note_order_whole")
+@query("T3_note_order", "SELECT event_id, user_id FROM events ORDER BY user_id, ts, event_id")
 def _note_order(t):
     return t("events").orderBy("user_id", "ts", "event_id").select("event_id", "user_id")
 
@@ -528,13 +521,8 @@ def _(t):
 
 @query(
     "T9_model_catalog",
-    "SELECT p_name AS name, cloud FROM (SELECT p_name, p_partkey, (p_name ILIKE '%a' OR p_size = 1) AS cloud FROM part WHERE NOT contains(lower(p_name), 'e')) ORDER BY cloud, lower(p_name), p_partkey LIMIT 50",
+    "SELECT p_name AS name, cloud FROM (SELECT p_name, p_partkey, (p_name ILIKE '%a' OR p_size = 1) AS cloud FROM part WHERE NOT contains(lower(p_name), 'e')) ORDER BY cloud, lower(p_name), p_partkey",
 )
-def _(t):
-    return _model_catalog(t).limit(50)
-
-
-@query("T9_model_catalog_whole")
 def _model_catalog(t):
     m = t("part").where(~F.lower("p_name").contains("e")).withColumn("cloud", F.lower("p_name").endswith("a") | (c("p_size") == 1))
     return m.orderBy("cloud", F.lower("p_name"), "p_partkey").select(c("p_name").alias("name"), "cloud")
@@ -582,7 +570,7 @@ def _(t):
     return threads.thread_subtree(k, "conv_id", "turn", k.where("turn in (0, 2)")).groupBy("root").agg(F.count("*").alias("n"))
 
 
-@query("G4_note_thread", f"SELECT r.id AS root, d.id, (d.turn - r.turn)::INT AS depth FROM {TURNS} r JOIN {TURNS} d ON r.conv_id = d.conv_id AND d.turn >= r.turn WHERE r.turn = 1")
+@query("G4_note_thread", f"SELECT r.id AS root, d.id, (d.turn - r.turn)::BIGINT AS depth FROM {TURNS} r JOIN {TURNS} d ON r.conv_id = d.conv_id AND d.turn >= r.turn WHERE r.turn = 1")
 def _(t):
     k = turns(t)
     return threads.descendants(k, k.where("turn = 1"))
@@ -596,3 +584,7 @@ def _(t):
 @query("G6_depth_cap", f"SELECT id, turn + 1 <= 3 AS allowed FROM {TURNS}")
 def _(t):
     return threads.may_reply(turns(t))
+
+
+for _name in ("P14_library", "T1_nulls_last", "T3_note_order", "T9_model_catalog"):
+    also(f"{_name}_whole", _name)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import routing, text as x
 from ..operators import relational as r, store
-from .registry import query
+from .registry import also, query
 
 c = F.col
 
@@ -33,17 +33,19 @@ def _(t):
     return lines.select("conv_id", F.array_join(F.transform("l", lambda e: e["line"]), "\n").alias("block"))
 
 
-@query("X49_reveal_paragraphs", "SELECT doc_id, CASE WHEN length(text) > 600 THEN string_split_regex(text, '\\n') ELSE [text] END AS paragraphs FROM documents WHERE text <> '' AND NOT regexp_matches(text, '\\n\\s*\\n') AND NOT regexp_matches(text, '\\n[^A-Z0-9\"]') AND NOT regexp_matches(text, '^\\s|\\s$')")
+@query(
+    "X49_reveal_paragraphs",
+    r"""WITH s AS (SELECT doc_id, text, regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '^\s+|\s+$', '', 'g') AS s FROM documents),
+b AS (SELECT *, list_filter(list_transform(string_split_regex(s, '\n\s*\n+'), lambda p : regexp_replace(p, '^\s+|\s+$', '', 'g')), lambda p : p <> '') AS blocks,
+list_filter(list_transform(string_split(regexp_replace(s, '\n([A-Z0-9"''“‘(])', chr(1) || '\1', 'g'), chr(1)), lambda p : regexp_replace(p, '^\s+|\s+$', '', 'g')), lambda p : p <> '') AS again FROM s),
+f AS (SELECT doc_id, text, s, CASE WHEN len(blocks) = 1 AND length(s) > 600 THEN again ELSE blocks END AS found FROM b)
+SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN []::VARCHAR[] WHEN len(found) > 0 THEN found ELSE [s] END AS paragraphs FROM f""",
+)
 def _(t):
-    d = t("documents").where((c("text") != "") & ~c("text").rlike("\n\\s*\n") & ~c("text").rlike('\n[^A-Z0-9"]') & ~c("text").rlike("^\\s|\\s$"))
-    blocks = F.filter(F.split("text", "\n\\s*\n+"), lambda p: F.trim(p) != "")
-    again = F.filter(F.split("text", '\n(?=[A-Z0-9"])'), lambda p: F.trim(p) != "")
-    return d.select("doc_id", F.when((F.size(blocks) == 1) & (F.length("text") > 600), again).otherwise(blocks).alias("paragraphs"))
+    return t("documents").select("doc_id", x.reveal_paragraphs(c("text")).alias("paragraphs"))
 
 
-@query("X49_reveal_paragraphs_whole")
-def _(t):
-    return t("documents").select("doc_id", x.reveal_paragraphs(c("text")).alias("paragraphs"))
+also("X49_reveal_paragraphs_whole", "X49_reveal_paragraphs")
 
 
 @query("M5_finalise_note", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN o_orderpriority ELSE '' END AS content, CASE WHEN o_orderstatus IN ('left', 'right') THEN o_orderstatus ELSE 'right' END AS margin_side FROM orders")

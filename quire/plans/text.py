@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import routing as g, text as x
 from ..operators import retrieval as r
-from .registry import query
+from .registry import also, query
 
 c = F.col
 NORMAL = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\n{3,}', chr(10) || chr(10), 'g'), '[ \t]+', ' ', 'g'), '(?m)[ \t\r]+$', '', 'g'), '^\s+|\s+$', '', 'g')"
@@ -42,30 +42,35 @@ def _(t):
     return t("documents").select("doc_id", x.isolate_footnotes(c("text")).alias("md"))
 
 
-@query("X8_footnotes", "SELECT doc_id, regexp_matches(split_part(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), chr(10), 1), '^[∗⋆★✱✲†‡§¶¹²³⁰⁴⁵⁶⁷⁸⁹]+\\s*\\S') OR (length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) < 200 AND contains(lower(text), 'now at')) AS footnote FROM documents WHERE NOT starts_with(trim(text), '*')")
-def _(t):
-    return t("documents").where(~F.trim("text").startswith("*")).select("doc_id", x.is_footnote(c("text"), F.lit(1)).alias("footnote"))
+STRIPPED = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
+PHRASE = " OR ".join(f"contains(lower(text), '{p}')" for p in x.FOOTNOTE_PHRASES)
 
 
-@query("X8_footnotes_whole")
+@query(
+    "X8_footnotes",
+    rf"""SELECT doc_id, length(s) > 0 AND CASE WHEN regexp_matches(l, '^[{x.FOOTNOTE_MARKS}]+\s*\S') THEN phrase OR NOT (starts_with(l, '*') AND NOT starts_with(l, '**')) ELSE length(s) < 200 AND phrase END AS footnote
+FROM (SELECT doc_id, {STRIPPED} AS s, split_part({STRIPPED}, chr(10), 1) AS l, ({PHRASE}) AS phrase FROM documents)""",
+)
 def _(t):
     return t("documents").select("doc_id", x.is_footnote(c("text"), F.lit(1)).alias("footnote"))
 
 
-@query("X10_math_glyphs", "SELECT doc_id, regexp_replace(replace(replace(text, '×', '\\times '), 'α', '\\alpha '), ' {2,}', ' ', 'g') AS latex FROM documents WHERE NOT regexp_matches(text, '[√÷·−≤≥≠≈≡∝∈∉⊂⊃⊆⊇∅∪∩∑∏∫∞∂∇ℝℕℤℚℂ→←↔⇒⇐β-ωΓ-Ω]')")
-def _(t):
-    odd = "[√÷·−≤≥≠≈≡∝∈∉⊂⊃⊆⊇∅∪∩∑∏∫∞∂∇ℝℕℤℚℂ→←↔⇒⇐β-ωΓ-Ω]"
-    return t("documents").where(~c("text").rlike(odd)).select("doc_id", x.math_glyphs(c("text")).alias("latex"))
+LATEX = r"replace(regexp_replace(regexp_replace(text, '√\s*\{([^}]+)\}', '\\sqrt{\1}', 'g'), '√\s*([A-Za-z][A-Za-z0-9_]*)', '\\sqrt{\1}', 'g'), '√', '\sqrt{}')"
+for _glyph, _latex in x.GLYPHS.items():
+    LATEX = f"replace({LATEX}, '{_glyph}', '{_latex}')"
 
 
-@query("X10_math_glyphs_whole")
+@query("X10_math_glyphs", f"SELECT doc_id, regexp_replace({LATEX}, ' {{2,}}', ' ', 'g') AS latex FROM documents")
 def _(t):
     return t("documents").select("doc_id", x.math_glyphs(c("text")).alias("latex"))
 
 
-@query("X12_json", "SELECT event_id, json_valid(props) AND length(props) >= 12 AS is_json FROM events WHERE props IS NOT NULL")
+JSON = r"""(length(props) >= 12 AND regexp_matches(props, '(?s)^\s*(\{.*\}|\[.*\])\s*$') AND (json_valid(props) OR (len(regexp_extract_all(props, '"')) >= 4 AND contains(props, ':'))))"""
+
+
+@query("X12_json", f"SELECT event_id, {JSON} AS is_json FROM events")
 def _(t):
-    return t("events").where("props is not null").select("event_id", x.is_json(c("props")).alias("is_json"))
+    return t("events").select("event_id", x.is_json(c("props")).alias("is_json"))
 
 
 @query(
@@ -80,10 +85,9 @@ def _(t):
     return t("documents").select("doc_id", x.is_code(c("text")).alias("is_code"))
 
 
-@query("X14_fence", "SELECT event_id, '```json' || chr(10) || props || chr(10) || '```' AS md FROM events WHERE length(props) >= 12")
+@query("X14_fence", f"SELECT event_id, CASE WHEN starts_with(ltrim(props), '```') THEN props ELSE '```' || CASE WHEN {JSON} THEN 'json' ELSE '' END || chr(10) || props || chr(10) || '```' END AS md FROM events")
 def _(t):
-    e = t("events").where(F.length("props") >= 12)
-    return e.select("event_id", x.fence(c("props"), x.code_language(c("props"))).alias("md"))
+    return t("events").select("event_id", x.fence(c("props"), x.code_language(c("props"))).alias("md"))
 
 
 @query("X15_equations", "SELECT p_partkey, '$$' || chr(10) || p_name || ' \\quad (' || p_size || ')' || chr(10) || '$$' AS md FROM part")
@@ -104,15 +108,13 @@ def _(t):
     return t("part").select("p_partkey", x.image_refs(md).alias("refs"))
 
 
-@query("X22_math_score", "SELECT doc_id, round((len(regexp_extract_all(t, '[×÷α]')) + 0.3 * len(regexp_extract_all(t, '[=≈]')))::DOUBLE / length(t), 9) AS score FROM (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM documents) WHERE length(t) >= 3")
+@query("X22_math_score", f"SELECT doc_id, CASE WHEN length(t) < 3 THEN 0 ELSE round((len(regexp_extract_all(t, '[{x.SCORED}]')) + 0.3 * len(regexp_extract_all(t, '[=≈]')))::DOUBLE / length(t), 9) END AS score FROM (SELECT doc_id, {STRIPPED} AS t FROM documents)")
 def _(t):
-    d = t("documents").where(F.length(x.strip(c("text"))) >= 3)
-    return d.select("doc_id", F.round(x.math_score(c("text"), "×÷α"), 9).alias("score"))
+    return t("documents").select("doc_id", F.round(x.math_score(c("text")), 9).alias("score"))
 
 
-@query("X22_math_score_whole")
-def _(t):
-    return t("documents").select("doc_id", F.round(x.math_score(c("text")), 9).alias("score"))
+for _name in ("X8_footnotes", "X10_math_glyphs", "X22_math_score"):
+    also(f"{_name}_whole", _name)
 
 
 @query(
