@@ -14,32 +14,45 @@ GLYPHS = {
     "×": "\\times ", "÷": "\\div ", "·": "\\cdot ", "−": "-", "≤": "\\leq ", "≥": "\\geq ", "≠": "\\neq ", "≈": "\\approx ", "≡": "\\equiv ", "∝": "\\propto ", "∈": "\\in ", "∉": "\\notin ", "⊂": "\\subset ", "⊃": "\\supset ",
     "⊆": "\\subseteq ", "⊇": "\\supseteq ", "∅": "\\emptyset ", "∪": "\\cup ", "∩": "\\cap ", "∑": "\\sum ", "∏": "\\prod ", "∫": "\\int ", "∞": "\\infty ", "∂": "\\partial ", "∇": "\\nabla ", "ℝ": "\\mathbb{R}", "ℕ": "\\mathbb{N}",
     "ℤ": "\\mathbb{Z}", "ℚ": "\\mathbb{Q}", "ℂ": "\\mathbb{C}", "→": "\\rightarrow ", "←": "\\leftarrow ", "↔": "\\leftrightarrow ", "⇒": "\\Rightarrow ", "⇐": "\\Leftarrow ",
+    "α": "\\alpha ", "β": "\\beta ", "γ": "\\gamma ", "δ": "\\delta ", "ε": "\\epsilon ", "ζ": "\\zeta ", "η": "\\eta ", "θ": "\\theta ", "ι": "\\iota ", "κ": "\\kappa ", "λ": "\\lambda ", "μ": "\\mu ", "ν": "\\nu ", "ξ": "\\xi ", "π": "\\pi ", "ρ": "\\rho ", "σ": "\\sigma ", "τ": "\\tau ", "υ": "\\upsilon ", "φ": "\\phi ", "χ": "\\chi ", "ψ": "\\psi ", "ω": "\\omega ",
+    "Γ": "\\Gamma ", "Δ": "\\Delta ", "Θ": "\\Theta ", "Λ": "\\Lambda ", "Ξ": "\\Xi ", "Π": "\\Pi ", "Σ": "\\Sigma ", "Φ": "\\Phi ", "Ψ": "\\Psi ", "Ω": "\\Omega ",
 }
-_GREEK = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi - pi rho - sigma tau upsilon phi chi psi omega".split()
-GLYPHS |= {chr(0x3B1 + i): f"\\{n} " for i, n in enumerate(_GREEK) if n != "-"}
-GLYPHS |= {chr(0x391 + i): f"\\{n.capitalize()} " for i, n in enumerate(_GREEK) if n in ("gamma", "delta", "theta", "lambda", "xi", "pi", "sigma", "phi", "psi", "omega")}
-
 # Characters that speak for a line of mathematics.
 SCORED = "αβγδεζηθικλμνξοπρςστυφχψωΑΒΓΔΕΘΛΞΠΣΦΨΩ∑∏∫√∞≈≠≤≥≪≫⋅·∂∇·×÷±∓⊕⊗⊙∅⌊⌋⌈⌉←→↔⇒⇔∈∉⊂⊆⊃⊇∪∩∀∃ℝℕℤℚℂ²³⁴⁵⁶⁷⁸⁹⁰¹⁺⁻ⁿ₀₁₂₃₄₅₆₇₈₉₊₋"
 
+# What plain text loses of Markdown, and summaries of theirs, in this order.
+PLAIN = [(r"!\[.*?\]\(.*?\)", ""), (r"\[([^\]]+)\]\(.*?\)", r"\1"), (r"(?m)^#+\s+", ""), (r"[*_]{1,3}(.+?)[*_]{1,3}", r"\1"), (r"(?s)```.*?```", ""), (r"`([^`]+)`", r"\1"), (r"\n{2,}", "\n")]
+SUMMARY = [(r"#{1,6}\s+", ""), (r"\*\*(.+?)\*\*", r"\1"), (r"\*(.+?)\*", r"\1"), (r"\n{3,}", "\n\n")]
+# Where Markdown is tidied, where texts fall into paragraphs, and paragraphs into sentences.
+TIDY = [(r"\n{3,}", "\n\n"), (r"[ \t]+", " "), (r"(?m)[ \t\r]+$", "")]
+BLANK_LINE, SENTENCE_END = r"\n\s*\n+", r"(?<=[.!?])\s+(?=[A-Z0-9“\"'])"
+LONG_PARAGRAPH, PACKED_PARAGRAPH, SCRAP = 850, 620, 3
+# A closing command that numbers an equation, and a line of code's beginnings as one pattern.
+TAG = r"\\(?:tag|eqno)\s*[({]([^)}]+)[)}]\s*$"
+CODE_LINE = r"(?m)^\s*(?:" + "|".join(CODE_STARTS) + r"|from \S+ import )"
+
 _TRIM = "^\\s+|\\s+$"
 
 
+def _replaced(x: Column, rules: list[tuple[str, str]]) -> Column:
+    """x after these replacements, whose groups are written \\1 as in Python."""
+    for pattern, to in rules:
+        x = F.regexp_replace(x, pattern, to.replace("\\1", "$1"))
+    return x
+
+
 def strip(x: Column) -> Column:
     return F.regexp_replace(x, _TRIM, "")
 
 
 def normalize_markdown(x: Column) -> Column:
     """At most one blank line, single spaces, no trailing space on lines."""
-    x = F.regexp_replace(F.regexp_replace(x, "\n{3,}", "\n\n"), "[ \t]+", " ")
-    return strip(F.regexp_replace(x, "(?m)[ \t\r]+$", ""))
+    return strip(_replaced(x, TIDY))
 
 
 def plain_text(x: Column) -> Column:
     """Markdown without images, link targets, heading marks, emphasis, fenced code and back-ticks."""
-    for pattern, to in [("!\\[.*?\\]\\(.*?\\)", ""), ("\\[([^\\]]+)\\]\\(.*?\\)", "$1"), ("(?m)^#+\\s+", ""), ("[*_]{1,3}(.+?)[*_]{1,3}", "$1"), ("(?s)```.*?```", ""), ("`([^`]+)`", "$1"), ("\n{2,}", "\n")]:
-        x = F.regexp_replace(x, pattern, to)
-    return strip(x)
+    return strip(_replaced(x, PLAIN))
 
 
 def words(x: Column) -> Column:
@@ -51,9 +64,9 @@ def estimate_tokens(x: Column) -> Column:
     return F.floor(words(x) * 13 / 10).cast("long")
 
 
-def paragraphs(x: Column, longest: int = 850, pack: int = 620) -> Column:
+def paragraphs(x: Column, longest: int = LONG_PARAGRAPH, pack: int = PACKED_PARAGRAPH) -> Column:
     """Paragraphs at blank lines; long ones are cut at sentences and packed greedily. Scraps of up to 3 characters go."""
-    paras = F.filter(F.transform(F.split(strip(F.replace(x, F.lit("\r\n"), F.lit("\n"))), "\n\\s*\n+"), strip), lambda p: p != "")
+    paras = F.filter(F.transform(F.split(strip(F.replace(x, F.lit("\r\n"), F.lit("\n"))), BLANK_LINE), strip), lambda p: p != "")
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
 
     def add(acc: Column, s: Column) -> Column:
@@ -62,11 +75,11 @@ def paragraphs(x: Column, longest: int = 850, pack: int = 620) -> Column:
         return F.struct(F.when(full, F.concat(acc["done"], F.array(strip(acc["open"])))).otherwise(acc["done"]).alias("done"), F.when(full, s).otherwise(joined).alias("open"))
 
     def packed(p: Column) -> Column:
-        sentences = F.split(p, "(?<=[.!?])\\s+(?=[A-Z0-9“\"'])")
+        sentences = F.split(p, SENTENCE_END)
         return F.aggregate(sentences, start, add, lambda acc: F.concat(acc["done"], F.array(strip(acc["open"]))))
 
     pieces = F.flatten(F.transform(paras, lambda p: F.when(F.length(p) > longest, packed(p)).otherwise(F.array(p))))
-    return F.filter(pieces, lambda p: F.length(p) > 3)
+    return F.filter(pieces, lambda p: F.length(p) > SCRAP)
 
 
 def reveal_paragraphs(x: Column, longest: int = 600) -> Column:
@@ -120,7 +133,7 @@ def is_code(x: Column) -> Column:
     lines = F.split(x, "\n")
     full = F.filter(lines, lambda s: strip(s) != "")
     indented = F.size(F.filter(full, lambda s: s.rlike("^[ \t]") & ~F.ltrim(s).rlike("^[-*•] ")))
-    starts = F.regexp_count(x, F.lit("(?m)^\\s*(?:" + "|".join(CODE_STARTS) + "|from \\S+ import )"))
+    starts = F.regexp_count(x, F.lit(CODE_LINE))
     braces = F.regexp_count(x, F.lit("[{};]"))
     return (F.size(lines) >= 2) & (F.size(full) > 0) & ((starts >= 2) | ((indented * 2 >= F.size(full)) & ((braces >= 2) | (starts >= 1))))
 
@@ -140,9 +153,8 @@ def equation(x: Column) -> Column:
     fenced = s.rlike("(?s)^\\$\\$.*?\\$\\$")
     body = F.when(fenced, strip(F.regexp_extract(s, "(?s)^\\$\\$(.*?)\\$\\$", 1))).otherwise(s)
     after = F.when(fenced, strip(F.regexp_replace(s, "(?s)^\\$\\$.*?\\$\\$", ""))).otherwise("")
-    tag = "\\\\(?:tag|eqno)\\s*[({]([^)}]+)[)}]\\s*$"
-    label = F.coalesce(F.nullif(strip(F.regexp_extract(body, tag, 1)), F.lit("")), F.nullif(F.replace(after, F.lit("$"), F.lit("")), F.lit("")))
-    return F.struct(F.regexp_replace(F.regexp_replace(body, tag, ""), "\\s+$", "").alias("latex"), label.alias("label"))
+    label = F.coalesce(F.nullif(strip(F.regexp_extract(body, TAG, 1)), F.lit("")), F.nullif(F.replace(after, F.lit("$"), F.lit("")), F.lit("")))
+    return F.struct(F.regexp_replace(F.regexp_replace(body, TAG, ""), "\\s+$", "").alias("latex"), label.alias("label"))
 
 
 def equation_markdown(x: Column) -> Column:
@@ -182,9 +194,7 @@ def section_id(path: Column, level: Column) -> Column:
 
 
 def summary_plain(x: Column) -> Column:
-    for pattern, to in [("#{1,6}\\s+", ""), ("\\*\\*(.+?)\\*\\*", "$1"), ("\\*(.+?)\\*", "$1"), ("\n{3,}", "\n\n")]:
-        x = F.regexp_replace(x, pattern, to)
-    return strip(x)
+    return strip(_replaced(x, SUMMARY))
 
 
 def short_hash(x: Column) -> Column:
@@ -228,3 +238,12 @@ def preview(x: Column, n: int, empty: str) -> Column:
 def open_math(x: Column) -> Column:
     """An odd number of dollar signs: mathematics that is not closed yet."""
     return F.regexp_count(x, F.lit("\\$")) % 2 == 1
+
+
+def locate_quote(x: Column, quote: Column) -> Column:
+    """Struct of start and end (code points, from 0, end out) of the first place of a quote in a text, white space standing for any other; null if it is not there, or blank."""
+    words = F.filter(F.split(quote, "(?U)\\s+"), lambda w: w != "")
+    literal = F.transform(words, lambda w: F.concat(F.lit("\\Q"), F.replace(w, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")))
+    found = F.when(F.size(words) > 0, F.regexp_substr(x, F.concat(F.lit("(?U)"), F.array_join(literal, "\\s+"))))
+    start = (F.instr(x, found) - 1).cast("int")
+    return F.when(found.isNotNull(), F.struct(start.alias("start"), (start + F.length(found)).alias("end")))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ..functions.text import FOOTNOTE_MARKS, heading_level, math_score
+
 
 def join_spans(spans: DataFrame, line: list[str], at: str) -> DataFrame:
     """The text of each line from its spans (text, left, right): a space where the gap is a quarter of a letter or more and neither side has one."""
@@ -38,3 +40,40 @@ def quality(blocks: DataFrame) -> DataFrame:
     bins = blocks.groupBy("document_id", F.round(F.col("left") / 40).alias("bin")).agg(F.count("*").alias("n")).withColumn("all", F.sum("n").over(W.partitionBy("document_id")))
     columns = bins.groupBy("document_id").agg((n(F.col("n") >= F.col("all") * 0.15) >= 2).alias("two_columns"))
     return sums.join(columns, "document_id", "left")
+
+
+#: A page's bottom begins here, for small type or marked lines, and here for marked lines; type this small against the body's.
+BAND, MARKED_BAND, SMALL = 0.85, 0.7, 0.95
+#: Lines of mathematics score so much.
+MATH = 0.04
+
+
+def assemble_pages(lines: DataFrame, key: str) -> DataFrame:
+    """key and markdown of each page from its lines.
+
+    lines: key, x0, y0, text, size, bold, height (the page's), body (the size of body text),
+    and image (a file's name, else null). Lines go from top to bottom; headings by size, runs
+    of mathematics become one display block, an image stands on its own. Footnotes - marked
+    lines low on the page, small type at its bottom - come last, each with a mark.
+    """
+    mark = F.col("text").rlike(f"^\\s*[{FOOTNOTE_MARKS}]")
+    low = (F.col("y0") >= F.col("height") * BAND) & (((F.col("size") > 0) & (F.col("size") < F.col("body") * SMALL)) | mark)
+    note = F.col("image").isNull() & (low | (mark & (F.col("y0") >= F.col("height") * MARKED_BAND)))
+    level = heading_level(F.col("size"), F.col("body"), F.length("text"), F.col("bold"))
+    is_math = math_score(F.col("text")) >= MATH
+    kind = F.when(F.col("image").isNotNull(), "image").when(note, "note").when(level.isNotNull(), "heading").when(is_math, "math").otherwise("text")
+    k = lines.withColumn("kind", kind).withColumn("level", level).withColumn("last", (F.col("kind") == "note").cast("int"))
+    order = W.partitionBy(key).orderBy("last", "y0", "x0", "text")
+    begins = (F.col("kind") != "math") | F.coalesce(F.lag("kind").over(order) != "math", F.lit(True))
+    k = k.withColumn("at", F.row_number().over(order)).withColumn("run", F.sum(begins.cast("int")).over(order))
+    runs = k.groupBy(key, "run").agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("texts"), F.first("kind").alias("kind"), F.first("level").alias("level"), F.first("image").alias("image"))
+    first = F.get("texts", F.lit(0))["text"]
+    marked = F.when(first.rlike("^\\s*[*∗⋆★✱✲†‡§¶]"), first).otherwise(F.concat(F.lit("∗ "), first))
+    part = (
+        F.when(F.col("kind") == "math", F.concat(F.lit("\n$$\n"), F.array_join(F.transform("texts", lambda t: t["text"]), " \\\\ \n"), F.lit("\n$$\n")))
+        .when(F.col("kind") == "image", F.concat(F.lit("\n!["), "image", F.lit("]("), "image", F.lit(")\n")))
+        .when(F.col("kind") == "heading", F.concat(F.lit("\n"), F.repeat(F.lit("#"), F.col("level")), F.lit(" "), first, F.lit("\n")))
+        .when(F.col("kind") == "note", F.concat(F.lit("\n"), marked, F.lit("\n"))).otherwise(first)
+    )
+    pages = runs.select(key, "run", part.alias("part")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("run", "part"))).alias("parts"))
+    return pages.select(key, F.array_join(F.transform("parts", lambda p: p["part"]), "\n").alias("markdown"))

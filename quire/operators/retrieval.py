@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 # English words that a full-text index leaves out.
 STOP = "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
@@ -25,6 +25,13 @@ def shape_vector(v: Column, size: int) -> Column:
     return F.when(F.size(v) > size, F.transform(cut, lambda x: x / norm)).otherwise(F.concat(F.transform(v, lambda x: x.cast("double")), F.array_repeat(F.lit(0.0), F.greatest(F.lit(0), size - F.size(v)))))
 
 
+def response_vectors(items: Column, inputs: Column, size: int) -> Column:
+    """Vectors of a model's response (array of index, embedding) in the order of its inputs, each shaped to size; an error if their number differs."""
+    ordered = F.array_sort(F.transform(items, lambda e: F.struct(e["index"].alias("index"), e["embedding"].alias("embedding"))))
+    right = F.transform(ordered, lambda e: shape_vector(e["embedding"], size))
+    return F.when(F.size(items) == inputs, right).otherwise(F.raise_error(F.concat(F.lit("embeddings: "), F.size(items).cast("string"), F.lit(" for inputs: "), inputs.cast("string"))).cast("array<array<double>>"))
+
+
 def cosine_top_k(vectors: DataFrame, query: Column, k: int) -> DataFrame:
     """id, similarity of the k rows most like one vector; one pass, and k rows a task to merge."""
     scored = vectors.withColumn("similarity", F.round(cosine(F.col("embedding"), query), 6)).where("similarity is not null")
@@ -115,9 +122,39 @@ def fuse(by_vector: DataFrame, by_text: DataFrame, limit: int, k: int = 60) -> D
 
 
 def figure_hits(ranked: DataFrame, assets: DataFrame, chunks: DataFrame, limit: int) -> DataFrame:
-    """Ranked chunks (id, similarity) that have images, else the first figures in document order: id, images."""
-    images = assets.groupBy("id").agg(F.array_sort(F.collect_list("image")).alias("images"))
-    near = ranked.join(images, "id").select("id", "images", F.lit(0).alias("leg"), (-F.col("similarity")).alias("o"))
-    rest = chunks.join(images, "id").orderBy("sequence_id").limit(limit).select("id", "images", F.lit(1).alias("leg"), F.col("sequence_id").cast("double").alias("o"))
+    """Ranked chunks (id, similarity) that have images, else the first figures in document order: id, images.
+
+    The chunks that are wanted are found first, and only their images are nested.
+    """
+    near = ranked.join(assets.select("id"), "id", "left_semi").select("id", F.lit(0).alias("leg"), (-F.col("similarity")).alias("o"))
+    rest = chunks.join(assets.select("id"), "id", "left_semi").orderBy("sequence_id").limit(limit).select("id", F.lit(1).alias("leg"), F.col("sequence_id").cast("double").alias("o"))
     both = near.union(rest).withColumn("first_leg", F.min("leg").over(W.partitionBy()))
-    return both.where("leg = first_leg").orderBy("o", "id").limit(limit).select("id", "images")
+    wanted = both.where("leg = first_leg").orderBy("o", "id").limit(limit)
+    images = assets.join(F.broadcast(wanted), "id").groupBy("id", "o").agg(F.array_sort(F.collect_list("image")).alias("images"))  # limit rows
+    return images.orderBy("o", "id").select("id", "images")
+
+
+#: Folders that stored postings are dealt to, by a hash of their term.
+BUCKETS = 64
+
+
+def _bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def write_postings(docs: DataFrame, path: str) -> None:
+    """Writes the full-text index of docs (id, text): dealt by a hash of the term and sorted by it, so that a read of few terms opens few folders and skips row groups."""
+    index = postings(docs).withColumn("bucket", _bucket(F.col("term")))
+    index.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def read_postings(spark: SparkSession, path: str, query: str) -> DataFrame:
+    """The postings of a query's terms from a stored index."""
+    must, never, _ = parse_query(query)
+    terms_ = sorted({w for g in must for w in g} | set(never))
+    schema = "term string, id long, tf long, positions array<int>, bucket int"
+    stored = spark.read.schema(schema).parquet(path)
+    if not terms_:
+        return stored.limit(0).drop("bucket")
+    wanted = spark.range(1).select(F.array(*[_bucket(F.lit(w)) for w in terms_])).first()[0]
+    return stored.where(F.col("bucket").isin(sorted(set(wanted))) & F.col("term").isin(terms_)).drop("bucket")

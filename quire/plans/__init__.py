@@ -1,6 +1,6 @@
 """Queries: the operators applied to tables, each with equivalent SQL."""
 
-from . import more, relational, stages, state, text
+from . import answering, more, relational, stages, state, text
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

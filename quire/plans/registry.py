@@ -14,11 +14,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+class Tables:
+    """Reads a table by its name: t("orders")."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __call__(self, name: str) -> DataFrame:
+        return table(self.spark, self.sf_dir, name)
+
+
 def query(name: str, sql: str | None = None):
     """Registers a function of a table reader: t("orders") is the table of that name."""
 
     def add(f):
-        QUERIES[name] = lambda spark, sf_dir: f(lambda n: table(spark, sf_dir, n))
+        QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
         if sql:
             SQL[name] = sql
         return f

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import routing as g, text as x
-from ..operators import retrieval as r
+from ..operators import ann, retrieval as r
+from ..scratch import new_folder
 from .registry import also, query
 
 c = F.col
@@ -248,6 +249,14 @@ def _(t):
 # --- retrieval
 
 
+@query("R2_ann_topk")
+def _(t):
+    """Ten nearest by probing lists, for every vector whose id is divisible by 50."""
+    v = t("embeddings").select(c("vec_id").alias("id"), "embedding")
+    index, centroids = ann.build(v, 16)
+    return ann.search(index, centroids, v.where("id % 50 = 0"), 10)
+
+
 def _vectors(t):
     return t("embeddings").select(c("vec_id").alias("id"), "embedding", "label")
 
@@ -285,16 +294,27 @@ def _(t):
 TERMS = "(SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents)"
 
 
-def _index(t):
-    return r.postings(t("documents").select(c("doc_id").alias("id"), "text"))
+#: Paths of stored indexes by session and tables; an index is written once and read by term.
+_stored: dict[tuple[str, str], str] = {}
+
+
+def _index(t, query):
+    """The postings of a query's terms; the index of these tables is written at its first use in a session."""
+    at = (t.spark.sparkContext.applicationId, t.sf_dir)
+    if at not in _stored:
+        path = new_folder(t.spark, "postings")
+        r.write_postings(t("documents").select(c("doc_id").alias("id"), "text"), path)
+        _stored[at] = path
+    return r.read_postings(t.spark, _stored[at], query)
 
 
+QUESTION = "the er ing OR ed -queque"
 FTS = f"SELECT id, round(sum(CASE WHEN term IN ('er', 'ing', 'ed') THEN 1 + ln(tf) ELSE 0 END), 6) AS rank FROM (SELECT id, term, count(*) AS tf FROM {TERMS} GROUP BY 1, 2) GROUP BY id HAVING bool_or(term = 'er') AND bool_or(term IN ('ing', 'ed')) AND NOT bool_or(term = 'queque')"
 
 
 @query("R4_full_text", FTS)
 def _(t):
-    return r.full_text(_index(t), "the er ing OR ed -queque")
+    return r.full_text(_index(t, QUESTION), QUESTION)
 
 
 FUSE = f"""WITH v AS (SELECT *, row_number() OVER (ORDER BY similarity DESC, id) - 1 AS vr FROM ({COSINE.format(15)})), f AS (SELECT id, row_number() OVER (ORDER BY rank DESC, id) - 1 AS fr FROM ({FTS} ORDER BY rank DESC, id LIMIT 15)),
@@ -304,7 +324,7 @@ SELECT id, similarity, rrf_score FROM j ORDER BY rrf_score DESC, vr NULLS LAST,
 
 @query("R5_hybrid", FUSE)
 def _(t):
-    hits = r.full_text(_index(t), "the er ing OR ed -queque").orderBy(c("rank").desc(), "id").limit(15)
+    hits = r.full_text(_index(t, QUESTION), QUESTION).orderBy(c("rank").desc(), "id").limit(15)
     return r.fuse(_with_query(t, 15), hits, 5)
 
 
@@ -317,7 +337,7 @@ def _(t):
 
 @query("R7_agent_search", f"SELECT id FROM (SELECT id FROM ({FTS}) UNION SELECT doc_id FROM documents WHERE text ILIKE '%ationre%') ORDER BY id LIMIT 8")
 def _(t):
-    text = r.full_text(_index(t), "the er ing OR ed -queque").select("id")
+    text = r.full_text(_index(t, QUESTION), QUESTION).select("id")
     return text.union(t("documents").where(c("text").ilike("%ationre%")).select(c("doc_id").alias("id"))).distinct().orderBy("id").limit(8)
 
 

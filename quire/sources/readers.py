@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..scratch import materialize, path_exists
+
 BLOCK = "type string, text string, text_level int, page_idx int, img_path string, img_caption array<string>, chart_caption array<string>, table_caption array<string>, code_caption array<string>, table_body string, list_items array<string>, items array<string>, code_body string, bbox array<double>"
 PERSISTED = ["document_id", "sequence_id", "chunk_type", "heading_path", "markdown", "plain_text", "page_start", "page_end", "token_count"]
 
@@ -15,6 +17,13 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("document_id", F.posexplode(F.from_json("value", block)).alias("block", "b")).select("document_id", "block", "b.*")
 
 
+def find_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """folder, path of each folder's block list: a file named *_content_list.json, else content_list.json."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*content_list.json").option("recursiveFileLookup", "true").load(path).select("path")
+    named = F.col("path").endswith("_content_list.json")
+    return files.groupBy(F.regexp_replace("path", "/[^/]+$", "").alias("folder")).agg(F.min_by("path", F.struct(~named, "path")).alias("path"))
+
+
 def largest_by_folder(spark: SparkSession, path: str, glob: str) -> DataFrame:
     """folder, path of the largest file that matches in each folder."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path).select("path", "length")
@@ -47,7 +56,18 @@ def merge_batches(batches: DataFrame) -> DataFrame:
     return batches.withColumn("page_idx", F.col("page_idx") + F.col("start")).withColumn("order_key", F.struct("start", "block"))
 
 
+#: Folders that stored chunks are dealt to, by a hash of their document.
+BUCKETS = 64
+
+
 def write_chunks(chunks: DataFrame, path: str) -> None:
-    """Replaces the partitions of the documents that chunks holds; others stay."""
+    """Replaces the chunks of the documents that chunks holds; others stay. Only their buckets are read and written again."""
+    spark = chunks.sparkSession
     keep = [c for c in PERSISTED if c in chunks.columns]
-    chunks.select(*keep).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("document_id").parquet(path)
+    fresh = chunks.select(*keep, F.pmod(F.xxhash64("document_id"), F.lit(BUCKETS)).cast("int").alias("bucket"))
+    if path_exists(spark, path):
+        fresh = materialize(fresh, "chunks")
+        touched = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]  # BUCKETS at most
+        stored = spark.read.schema(fresh.schema).parquet(path).where(F.col("bucket").isin(touched))
+        fresh = materialize(fresh.unionByName(stored.join(fresh.select("document_id").distinct(), "document_id", "left_anti")), "chunks")
+    fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)

@@ -8,22 +8,24 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..scratch import path_exists
+
 
 def embed_incrementally(chunks: DataFrame, output: str, checkpoint: str, embed: Callable[[DataFrame], DataFrame], key: str = "id"):
     """Starts a query that embeds what output doesn't hold yet, a micro-batch at a time.
 
-    A batch that is delivered again after a failure finds its keys in output and adds nothing.
+    Every batch is a folder of output under its number, so a batch that is delivered again
+    after a failure replaces what it wrote. Keys that other batches have written are left
+    out; of those only the keys are read.
     """
 
-    def add(batch: DataFrame, _: int) -> None:
-        from pyspark.errors import AnalysisException
-
+    def add(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
         fresh = batch.dropDuplicates([key])
-        try:
-            fresh = fresh.join(batch.sparkSession.read.parquet(output).select(key), key, "left_anti")
-        except AnalysisException:
-            pass  # nothing has been written yet
-        embed(fresh).write.mode("append").parquet(output)
+        if path_exists(spark, output):
+            done = spark.read.parquet(output).where(F.col("batch") != number).select(key)
+            fresh = fresh.join(done, key, "left_anti")
+        embed(fresh).write.mode("overwrite").parquet(f"{output}/batch={number}")
 
     return chunks.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -245,3 +245,230 @@ def test_orders_are_whole(spark, tmp_path):
     cloud = lambda x: x[1].lower().endswith("a") or x[2] == 1
     want = [(x[1], cloud(x)) for x in sorted(parts, key=lambda x: (cloud(x), x[1].lower(), x[0])) if "e" not in x[1].lower()]
     assert [tuple(r) for r in e.queries()["T9_model_catalog_whole"](spark, str(tmp_path)).collect()] == want
+
+
+# --- trees
+
+
+def tree(spark, rows):
+    return spark.createDataFrame(rows, "id long, parent_id long")
+
+
+def test_trees_of_any_shape(spark):
+    from quire.operators.threads import ancestor_depth, climb, descendants, may_reply, root_of_each
+
+    rows = [(i, i - 1 if i else None) for i in range(1000)]  # a chain
+    rows += [(2000, 2001), (2001, 2000), (2002, 2001), (3000, 9999), (3001, 3000), (4000, 4000), (5000, None), (5001, 5000), (5002, 5000)]  # circles, orphans, a fork
+    t = tree(spark, rows)
+    depth = {r.id: r.depth for r in ancestor_depth(t).collect()}
+    assert all(depth[i] == i for i in range(1000)) and [depth[i] for i in (2000, 2001, 2002, 4000)] == [None] * 4
+    assert depth[3000] == 1 and depth[3001] == 2 and depth[5002] == 1
+    assert {r.id for r in climb(t).where("circle").collect()} == {2000, 2001, 2002, 4000}
+    roots = {r.id: r.root for r in root_of_each(t).collect()}
+    assert roots == {**{i: 0 for i in range(1000)}, 5000: 5000, 5001: 5000, 5002: 5000}
+    below = {(r.root, r.id): r.depth for r in descendants(t, tree(spark, [(998, None), (2000, None), (5000, None), (0, None)])).collect()}
+    assert below == {**{(0, i): i for i in range(1000)}, (998, 998): 0, (998, 999): 1, (5000, 5000): 0, (5000, 5001): 1, (5000, 5002): 1}
+    allowed = {r.id: r.allowed for r in may_reply(t).collect()}
+    assert allowed[2] and not allowed[3] and not allowed[2000]
+    assert ancestor_depth(t.limit(0)).count() == 0 and descendants(t, t.limit(0)).count() == 0
+
+
+def test_trees_of_millions(spark):
+    from pyspark.sql import functions as F
+    from quire.operators.threads import climb
+
+    n = 1_200_000
+    t = spark.range(n).select("id", F.when(F.col("id") > 0, F.floor(F.col("id") / 8)).alias("parent_id"))
+    r = climb(t.withColumn("parent_id", F.when(F.col("id") > 0, F.col("parent_id")))).agg(F.count("*"), F.max("depth"), F.countDistinct("top")).first()
+    assert tuple(r) == (n, 7, 1)
+
+
+def test_threads_of_conversations(spark):
+    """u1, a1; u2 under u1, a2 under u2, u3 under u2: the main chat is two turns, u1's thread all five."""
+    from quire.operators.threads import thread_subtree
+
+    rows = [("u1", None, "user", 1), ("a1", None, "assistant", 2), ("u2", "u1", "user", 3), ("a2", "u2", "assistant", 4), ("u3", "u2", "user", 5)]
+    ids = {n: i for i, (n, *_) in enumerate(rows)}
+    t = spark.createDataFrame([(ids[n], ids.get(p), r, at, 1) for n, p, r, at in rows], "id long, parent_id long, role string, at long, conv long")
+    got = {(r.root, r.id) for r in thread_subtree(t, "conv", "at", t.where("id in (0, 2)")).collect()}
+    assert got == {(0, i) for i in range(5)} | {(2, 2), (2, 3), (2, 4)}
+
+
+# --- windows, links, retrieval
+
+
+def test_margin_sides_against_brute_force(spark):
+    from quire.operators.relational import margin_side
+
+    r = random.Random(3)
+    rows = [(r.randint(0, 3), r.randint(0, 60), r.choice(["left", "right"])) for _ in range(300)]
+    got = {(x.d, x.at): x.chosen for x in margin_side(spark.createDataFrame(rows, "d long, at long, side string"), "d", "at", "side").collect()}
+    for d, at, _ in rows:
+        near = [s for e, b, s in rows if e == d and abs(b - at) <= 6]
+        assert got[d, at] == ("left" if near.count("right") > near.count("left") else "right")
+
+
+def test_asset_links(spark):
+    from quire.operators.relational import link_assets
+
+    chunks = spark.createDataFrame([(1, ["a.png", "b.png", "a.png"]), (2, []), (3, None)], "id long, image_refs array<string>")
+    assets = spark.createDataFrame([(7, "a.png"), (5, "a.png"), (9, "c.png")], "asset_id long, original_name string")
+    assert sorted(tuple(r) for r in link_assets(chunks, assets, "id").collect()) == [(1, 0, "a.png", 5), (1, 2, "a.png", 5)]
+
+
+def test_stored_index(spark, tmp_path):
+    from quire.operators.retrieval import full_text, postings, read_postings, write_postings
+
+    docs = spark.createDataFrame([(1, "red fox jumps"), (2, "red red dog"), (3, "blue fox and red fox"), (4, None)], "id long, text string")
+    write_postings(docs, str(tmp_path / "i"))
+    for q in ("red fox", '"red fox"', "red -dog", "dog OR blue", "the", "none"):
+        assert sorted(map(tuple, full_text(read_postings(spark, str(tmp_path / "i"), q), q).collect())) == sorted(map(tuple, full_text(postings(docs), q).collect())), q
+    assert "bucket" in read_postings(spark, str(tmp_path / "i"), "red fox")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_recall_of_approximate_search(spark):
+    import numpy as np
+    from quire.operators.ann import build, search
+    from pyspark.sql import functions as F
+
+    v = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
+    index, centroids = build(v.union(spark.createDataFrame([(10_000, [0.0] * 64), (10_001, None)], "id long, embedding array<float>")), 16)
+    assert index.count() == v.count()  # every vector with a direction is in a list
+    got = {}
+    for r in search(index, centroids, v.where("id % 50 = 0"), 10).collect():
+        got.setdefault(r.query_id, set()).add(r.id)
+    rows = v.collect()
+    x = np.array([r.embedding for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids = np.array([r.id for r in rows])
+    recall = []
+    for i in np.flatnonzero(ids % 50 == 0):
+        s = x @ x[i]
+        s[i] = -9
+        recall.append(len(got[ids[i]] & set(ids[np.argsort(-s)[:10]].tolist())) / 10)
+    assert np.mean(recall) >= 0.9
+
+
+def test_embedding_responses(spark):
+    from pyspark.sql import functions as F
+    from quire.operators.retrieval import response_vectors
+
+    df = spark.createDataFrame([([(1, [0.0, 2.0]), (0, [3.0, 4.0])],)], "items array<struct<index: int, embedding: array<double>>>")
+    assert df.select(response_vectors(F.col("items"), F.lit(2), 1)).first()[0] == [[1.0], [0.0]]
+    with pytest.raises(Exception, match="for inputs: 3"):
+        df.select(response_vectors(F.col("items"), F.lit(3), 1)).collect()
+
+
+def test_research_rounds(spark):
+    """A question with few results goes on until a round has no news; URLs and queries don't repeat."""
+    from pyspark.sql import functions as F
+    from quire.operators.research import research
+
+    web = spark.createDataFrame([("paris", 1, "u1", "T", "about paris", 1.0), ("paris", 2, "u2", "T", "", 2.0), ("benchmarks", 3, "u3", "B", "x" * 400, 0.0), ("paris", 4, "u1", "again", "dup", 9.0)], "word string, position long, url string, title string, snippet string, score double")
+
+    def search(asked):
+        return asked.crossJoin(F.broadcast(web)).where(F.contains(F.lower("query"), F.col("word"))).drop("word")
+
+    questions = spark.createDataFrame([(1, "paris", "p.pdf"), (2, "nothing here", None)], "question long, text string, title string")
+    got = [(r.question, r.round, len(r.queries), r.urls, r.insights) for r in research(questions, search).orderBy("round").collect()]
+    assert [g[:2] for g in got] == [(1, 1), (1, 2)]
+    assert got[0][2] == 3 and got[0][3] == ["u2", "u1"] and got[0][4] == ["- T: about paris"]
+    assert got[1][3] == ["u3"] and got[1][4] == ["- B: " + "x" * 280]
+    assert research(questions.limit(0), search).count() == 0
+
+
+# --- layout and repair
+
+
+def test_glyph_repair(spark):
+    from quire.operators.repair import LOST, repair_glyphs
+
+    pages = spark.createDataFrame([("d", 1, "we have 𝑛 tokens here"), ("d", 2, "and x̂ = 5 or 𝑛 words, also ★ one"), ("d", 5, "far 𝑘 away")], "document_id string, page int, content string")
+    lost = LOST
+    chunks = spark.createDataFrame(
+        [("d", 1, f"we have {lost}tokens here", 1), ("d", 2, f"a {lost} b {lost}", 2), ("d", 9, f"far {lost} away", 3), ("d", None, f"far {lost} away", 4), ("d", 1, "whole", 5), ("d", 1, None, 6), ("e", 1, f"we have {lost}tokens", 7)],
+        "document_id string, page int, text string, id int",
+    )
+    got = {r.id: r.text for r in repair_glyphs(chunks, pages, ["id"]).collect()}
+    assert got[1] == "we have $n$tokens here" and got[4] == "far $k$ away" and got[5] == "whole" and got[6] is None
+    assert got[2] == f"a {lost} b {lost}" and got[3] == f"far {lost} away" and got[7] == f"we have {lost}tokens"
+
+
+def test_assembled_pages(spark):
+    from quire.operators.layout import assemble_pages
+
+    schema = "page int, x0 double, y0 double, text string, size double, bold boolean, height double, body double, image string"
+    rows = [
+        (1, 0.0, 10.0, "A Title", 20.0, True, 1000.0, 10.0, None), (1, 0.0, 20.0, "Body text that goes on for a while.", 10.0, False, 1000.0, 10.0, None), (1, 0.0, 30.0, "x = α + β", 10.0, False, 1000.0, 10.0, None), (1, 0.0, 40.0, "∑ γ ≤ 1", 10.0, False, 1000.0, 10.0, None),
+        (1, 0.0, 50.0, "More text of the page follows.", 10.0, False, 1000.0, 10.0, None), (1, 0.0, 45.0, "", 0.0, False, 1000.0, 10.0, "f.png"), (1, 0.0, 900.0, "small print", 8.0, False, 1000.0, 10.0, None), (1, 0.0, 720.0, "† marked note", 10.0, False, 1000.0, 10.0, None), (2, 0.0, 1.0, "Other", 10.0, False, 1000.0, 10.0, None),
+    ]
+    got = {r.page: r.markdown for r in assemble_pages(spark.createDataFrame(rows, schema), "page").collect()}
+    assert got[1] == "\n# A Title\n\nBody text that goes on for a while.\n\n$$\nx = α + β \\\\ \n∑ γ ≤ 1\n$$\n\n\n![f.png](f.png)\n\nMore text of the page follows.\n\n† marked note\n\n\n∗ small print\n"
+    assert got[2] == "Other"
+
+
+def test_quotes_are_located(spark):
+    from pyspark.sql import functions as F
+    from quire.functions.text import locate_quote
+
+    rows = [("one  two\n\tthree. four", "two three.", (5, 16)), ("a.b axb a.b", "a.b", (0, 3)), ("axb a.b", " a.b ", (4, 7)), ("x \\E y", "\\E  y", (2, 6)), ("text", "none", None), ("text", " ", None), (None, "a", None), ("a", None, None), ("𝑛𝑛 end of it", "end\u00a0of", (3, 9))]
+    got = spark.createDataFrame([r[:2] for r in rows], "t string, q string").select(locate_quote(F.col("t"), F.col("q")).alias("a")).collect()
+    assert [r.a and tuple(r.a) for r in got] == [r[2] for r in rows]
+
+
+# --- ingestion
+
+
+def test_ingestion_steps(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from quire.sources.ingest import fetched_image, mode_once, run_chain, url_refusal
+    from quire.sources.readers import find_blocks, write_chunks
+
+    urls = {"http://127.0.0.1/x": "internal host", "https://localhost:80/": "internal host", "http://[::1]/": "internal host", "http://172.20.1.1/": "internal host", "http://172.40.1.1/a": None, "ftp://x": "not a web address", "https:///a": "no host", "https://u@169.254.1.1": "internal host", "https://example.org/a?b": None, None: "not a web address"}
+    got = spark.createDataFrame([(u,) for u in urls], "u string").select("u", url_refusal(F.col("u")).alias("r")).collect()
+    assert {r.u: r.r for r in got} == urls
+    image = spark.range(1).select(fetched_image(F.lit("text/html"), F.lit("a").cast("binary")).alias("a"), fetched_image(F.lit("image/PNG; x"), F.lit("a").cast("binary")).alias("b")).first()
+    assert image.a.refusal == "type" and image.a.name is None and image.b.name.endswith(".png") and len(image.b.name) == 20
+    modes = spark.createDataFrame([("d", 2, "skip", "late"), ("d", 1, "embed", "first"), ("e", 1, None, "none")], "document_id string, at int, mode string, reason string")
+    assert [tuple(r) for r in mode_once(modes).collect()] == [("d", "embed", "first")]
+    tries = []
+
+    def flaky(left):
+        tries.append(left.count())
+        return left.withColumn("ok", F.col("document_id") <= len(tries))
+
+    log = run_chain(spark.range(1, 5).withColumnRenamed("id", "document_id"), [("a", flaky, 2), ("b", lambda d: d.withColumn("ok", F.lit(True)), 0)]).collect()
+    assert tries == [4, 3, 2] and sorted(r.document_id for r in log if r.step == "b") == [1, 2, 3]
+    schema = "document_id string, sequence_id int, markdown string"
+    for rows in ([("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z")], [("a", 1, "new")], [("c", 1, "w")]):
+        write_chunks(spark.createDataFrame(rows, schema), str(tmp_path / "c"))
+    stored = spark.read.parquet(str(tmp_path / "c"))
+    assert sorted((r.document_id, r.sequence_id, r.markdown) for r in stored.collect()) == [("a", 1, "new"), ("b", 1, "z"), ("c", 1, "w")]
+    for name in ("p/content_list.json", "q/content_list.json", "q/x_content_list.json"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("[]")
+    assert sorted("/".join(r.path.split("/")[-2:]) for r in find_blocks(spark, str(tmp_path)).collect()) == ["p/content_list.json", "q/x_content_list.json"]
+
+
+def test_embedding_retries():
+    from quire.models import HashModel, embed_with_retries
+
+    model = HashModel(16, longest=1000)
+    assert embed_with_retries(model, "a" * 3000, 16) == model.embed(["a" * 1000])[0] and embed_with_retries(HashModel(16, longest=10), "a" * 3000, 16) == [0.0] * 16
+    assert len(embed_with_retries(model, "a", 20)) == 20 and abs(sum(v * v for v in embed_with_retries(model, "a", 4)) - 1) < 1e-9
+
+
+def test_stitching_keeps_all_text():
+    """Whatever the lines, nothing but fences and white space is lost."""
+    from quire.chunking.chunker import stitch
+
+    r = random.Random(5)
+    pieces = ["A sentence. And more.", "x =", "$$a + b$$", "$$c$$ (3)", "(12a)", ") V", "i", "", "", "# Head", "lead $$d$$", "| a | b |", "- item", "cost is $5 today, not $6"]
+    for _ in range(300):
+        md = "\n".join(r.choice(pieces) for _ in range(r.randint(1, 14)))
+        left = lambda s: sorted(re.sub(r"\$\$|\\quad|[()\s]", "", s))
+        got = stitch(md)
+        missing = left(md)
+        for ch in left(got):
+            missing.remove(ch)
+        assert not [ch for ch in missing if not ch.isdigit() and ch != "a"], (md, got)  # a second number of one equation is not kept
