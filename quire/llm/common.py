@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
-import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..scratch import drop_folder, materialize, new_folder, shared_dir
+
+__all__ = ["WORD", "drop_folder", "materialize", "new_folder", "parts", "pick", "remembered", "shared_dir", "table", "text_bytes", "word_count"]
+
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -16,51 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    A local session that names none uses a folder of this machine; on a cluster that is an
-    error, for other machines could not read it.
-    """
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not conf:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        conf = "/tmp/checkpoints/quire"
-    return conf.rstrip("/")
-
-
-def new_folder(spark: SparkSession, label: str) -> str:
-    """Path of a new folder in the shared one; it goes when the session's process ends, or by drop_folder."""
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    _file_system(spark, path, lambda fs, p: fs.deleteOnExit(p))
-    return path
-
-
-def drop_folder(spark: SparkSession, path: str) -> None:
-    _file_system(spark, path, lambda fs, p: fs.delete(p, True))
-
-
-def _file_system(spark: SparkSession, path: str, do: Callable) -> None:
-    """Acts on a path through the file system that Spark uses for it."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.mkdirs(p.getParent())
-    do(fs, p)
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back.
-
-    This cuts lineage: a lost executor costs the tasks that ran on it, not the
-    stages before. Row identifiers made before the write stay as they are.
-    """
-    spark = df.sparkSession
-    path = new_folder(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def pick(df: DataFrame, names: Iterable[str]) -> DataFrame:
     """Exactly these columns, whatever else df holds."""
     return df.select(*[F.col(f"`{n}`") for n in names])
