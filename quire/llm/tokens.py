@@ -20,7 +20,7 @@ import numpy as np
 from .common import remembered
 
 #: Bytes that one generation of units, or of pieces, may take in a worker, which keeps two of either; longer units are not kept.
-MEMO_BYTES, MEMO_LONGEST = 40 << 20, 64
+MEMO_BYTES, MEMO_LONGEST = 64 << 20, 64
 #: Bytes of an entry besides those of its unit: two objects and a place in a table.
 ENTRY_BYTES = 200
 
@@ -89,18 +89,15 @@ class Encoder:
 
     def unit(self, unit: str, first: bool) -> bytes | None:
         """Ids of one unit as it stands in a text; None if it can't be encoded alone."""
-        if not unit or unit[-1].isspace() or (unit[0].isspace() and unit[0] != "\n") or (unit[0] == "\n" and unit[1:2].isspace()) or any(s in unit for s in self.specials):
-            return None
         simple = _SIMPLE.fullmatch(unit)
-        if self.spaced:
-            if simple:
-                line, word, mark = simple.groups()
-                return (self.piece(line) if line else b"") + self.piece(word if line or first else " " + word) + (self.piece(mark) if mark else b"")
-            return self.whole(unit if first or unit[0] == "\n" else " " + unit)
         if simple:
-            _, word, mark = simple.groups()
+            line, word, mark = simple.groups()
+            if self.spaced:
+                return (self.piece(line) if line else b"") + self.piece(word if line or first else " " + word) + (self.piece(mark) if mark else b"")
             return self.piece(word.lower()) + (self.piece(mark) if mark else b"")
-        return self.whole(unit)
+        if not unit or unit[-1].isspace() or (unit[0].isspace() and unit[0] != "\n") or (unit[0] == "\n" and unit[1:2].isspace()) or any(s in unit for s in self.specials):
+            return None
+        return self.whole(unit if not self.spaced or first or unit[0] == "\n" else " " + unit)
 
     def remember(self, unit: str) -> bytes | None:
         """Ids of a unit that was not among the young ones when its text was looked up."""
