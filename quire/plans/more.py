@@ -86,10 +86,16 @@ def _(t):
     return t("part").select("p_partkey", html.alias("html")).mapInPandas(run, "p_partkey long, headers array<string>, cells array<array<string>>, num_cols int")
 
 
-@query("R11_embed_pending")
+@query(
+    "R11_embed_pending",
+    """WITH h AS (SELECT doc_id AS id, sha256(CASE WHEN coalesce(text, '') = '' THEN '[text]' ELSE substring(text, 1, 3000) END) AS h FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)),
+v AS (SELECT id, list_transform(range(8), lambda i : ('0x' || substring(h, 1 + 2 * i, 2))::INT / 255::DOUBLE) AS v FROM h)
+SELECT id, list_transform(v, lambda x : round(x / sqrt(list_sum(list_transform(v, lambda y : y * y))), 9)) AS embedding FROM v""",
+)
 def _(t):
     chunks = t("documents").select(c("doc_id").alias("id"), F.lit("text").alias("chunk_type"), c("text").alias("plain_text"))
-    return embed(pending(chunks, t("labels").select(c("doc_id").alias("id")), ["id"]), HashModel(), 8)
+    done = embed(pending(chunks, t("labels").select(c("doc_id").alias("id")), ["id"]), HashModel(), 8)
+    return done.select("id", F.transform("embedding", lambda v: F.round(v, 9)).alias("embedding"))
 
 
 @query("R13_stale_embeddings", "SELECT vec_id FROM embeddings WHERE label <> 3 OR len(embedding) <> 64")

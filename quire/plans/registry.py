@@ -39,3 +39,5 @@ def query(name: str, sql: str | None = None):
 def also(name: str, of: str) -> None:
     """A query under a second name."""
     QUERIES[name] = QUERIES[of]
+    if of in SQL:
+        SQL[name] = SQL[of]
