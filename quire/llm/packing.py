@@ -101,15 +101,18 @@ def byte_ranges(keyed: DataFrame) -> tuple[list[int], list[int], list[int], int]
     """Bounds of ranges of the curve that hold as many bytes each: keys, and the first and last range that a key falls into.
 
     keyed: curve, text. A range may begin inside a key, whose documents are then dealt over
-    the ranges by a hash. Bytes are summed by key, then over the curve in two steps (the
-    high half of a key has 65,536 values at most); a few keys a range reach the driver.
+    the ranges by a hash. Bytes are summed by key, then over the curve in three steps: the
+    keys of a stretch of 256, the stretches under one high half, and the high halves, of
+    which there are 65,536 at most; a few keys a range reach the driver.
     """
-    cells = materialize(keyed.groupBy("curve").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("size")).withColumn("high", F.shiftright("curve", 16)), "pack-cells")
+    cells = materialize(keyed.groupBy("curve").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("size")).withColumn("stretch", F.shiftright("curve", 8)), "pack-cells")
     total = cells.agg(F.sum("size")).first()[0] or 0
     n = parts(keyed.sparkSession, total)
-    highs = cells.groupBy("high").agg(F.sum("size").alias("all")).select("high", (F.sum("all").over(W.orderBy("high")) - F.col("all")).alias("before_high"))
-    inside = F.sum("size").over(W.partitionBy("high").orderBy("curve")) - F.col("size")
-    placed = cells.withColumn("inside", inside).join(highs, "high").withColumn("before", F.col("before_high") + F.col("inside"))
+    before = lambda w: F.sum("size").over(w) - F.col("size")
+    stretches = cells.groupBy("stretch").agg(F.sum("size").alias("size")).withColumn("high", F.shiftright("stretch", 8))
+    highs = stretches.groupBy("high").agg(F.sum("size").alias("size")).select("high", before(W.orderBy("high")).alias("before_high"))
+    stretches = stretches.select("high", "stretch", before(W.partitionBy("high").orderBy("stretch")).alias("inside_high")).join(highs, "high")
+    placed = cells.withColumn("inside", before(W.partitionBy("stretch").orderBy("curve"))).join(stretches, "stretch").withColumn("before", F.col("before_high") + F.col("inside_high") + F.col("inside"))
     first = F.least(F.floor(F.col("before") * F.lit(n) / F.lit(max(1, total))), F.lit(n - 1)).cast("int")
     last = F.least(F.floor((F.col("before") + F.col("size") - 1) * F.lit(n) / F.lit(max(1, total))), F.lit(n - 1)).cast("int")
     placed = placed.select("curve", first.alias("first"), last.alias("last"))
