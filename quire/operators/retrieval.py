@@ -145,7 +145,8 @@ def _bucket(term: Column) -> Column:
 def write_postings(docs: DataFrame, path: str) -> None:
     """Writes the full-text index of docs (id, text): dealt by a hash of the term and sorted by it, so that a read of few terms opens few folders and skips row groups."""
     index = postings(docs).withColumn("bucket", _bucket(F.col("term")))
-    index.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    # ranges, not buckets, are the tasks' units: a bucket, and a term with very many postings, may be written by several
+    index.repartitionByRange("bucket", "term", "id").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def read_postings(spark: SparkSession, path: str, query: str) -> DataFrame:
