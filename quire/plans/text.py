@@ -33,7 +33,16 @@ def _(t):
     return t("documents").select("doc_id", x.estimate_tokens(c("text")).alias("tokens"))
 
 
-@query("X4_paragraphs")
+# Packing is a fold over sentences: chr(1) parts the paragraphs packed so far, chr(2) the sentences.
+PARAGRAPHS = rf"""WITH a AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '^\s+|\s+$', '', 'g'), '{x.BLANK_LINE}'), lambda q : regexp_replace(q, '^\s+|\s+$', '', 'g')), lambda q : q <> '') AS a FROM documents),
+p AS (SELECT doc_id, generate_subscripts(a, 1) AS i, unnest(a) AS p FROM a),
+s AS (SELECT doc_id, i, CASE WHEN length(p) <= {x.LONG_PARAGRAPH} THEN [p] ELSE string_split(list_reduce(string_split(regexp_replace(p, '([.!?])\s+([A-Z0-9“"''])', '\1' || chr(2) || '\2', 'g'), chr(2)),
+  lambda done, s : done || CASE WHEN length(split_part(done, chr(1), -1)) + length(s) > {x.PACKED_PARAGRAPH} THEN chr(1) ELSE ' ' END || s), chr(1)) END AS q FROM p),
+o AS (SELECT doc_id, i, generate_subscripts(q, 1) AS j, unnest(q) AS paragraph FROM s)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i, j) - 1)::INTEGER AS position, paragraph FROM o WHERE length(paragraph) > {x.SCRAP}"""
+
+
+@query("X4_paragraphs", PARAGRAPHS)
 def _(t):
     return t("documents").select("doc_id", F.posexplode(x.paragraphs(c("text"))).alias("position", "paragraph"))
 
