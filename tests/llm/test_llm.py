@@ -830,3 +830,67 @@ def test_token_counts(spark):
     count = lambda w: memo.setdefault(w, brute_count(b" " + w, entries, longest))
     want = sorted((len((r[1] or "").encode().split()), sum(count(w) for w in (r[1] or "").encode().split()), r[0]) for r in rows)
     assert got == want and token_counts(frame(spark, rows).limit(0), path).count() == 0
+
+
+# --- importance resampling
+
+
+def brute_resample(docs, target, percent, buckets=10000, longest=1, min_words=20):
+    """(id, text) rows: by id and text, (n_features, weight, score), and the ids drawn in order."""
+    def feats(text):
+        ws = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+        return ws, [" ".join(ws[i : i + n]) for n in range(1, longest + 1) for i in range(len(ws) - n + 1)]
+
+    bucket = lambda f: zlib.crc32(f.encode()) % buckets
+    s, t = [0] * buckets, [0] * buckets
+    for rows, into in ((docs, s), (target, t)):
+        for _, text in rows:
+            for f in feats(text)[1]:
+                into[bucket(f)] += 1
+    gain = [math.floor(1000 * math.log((t[b] + 1) * (sum(s) + buckets) / ((s[b] + 1) * (sum(t) + buckets)))) for b in range(buckets)]
+    out = []
+    for i, text in docs:
+        ws, fs = feats(text)
+        w = sum(gain[bucket(f)] for f in fs)
+        h = int(hashlib.sha256(f"2024:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
+        out.append((i, len(ws), len(fs), w, w + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))))
+    fit = sorted((r for r in out if r[1] >= min_words), key=lambda r: (-r[4], r[0] is not None, r[0] or 0, r[2], r[3]))
+    return out, fit[: len(fit) * percent // 100]
+
+
+@pytest.mark.parametrize("longest,buckets", [(1, 10000), (3, 97)])
+def test_resampling(spark, longest, buckets):
+    """Weights, scores and ranks against brute force; null ids and texts, repeated rows, very long texts and words."""
+    from quire.llm.resampling import resample
+
+    rows = [(r[0], r[1]) for r in ROWS] + [(400 + i, f"Ärger Z{i} " + "eins ZWEI the, of " * (6 + i % 9)) for i in range(40)] + [(500, "x" * 9_000_000 + " the " * 30), (None, "the of " * 40), (None, None)]
+    target = [(1, "the Of and in eins"), (2, None), (3, "ärger zwei " * 9)]
+    docs = spark.createDataFrame([(i, t, 1, "n") for i, t in rows], "doc_id long, text string, weight int, bucket string")
+    got = resample(docs, spark.createDataFrame(target, "item_id long, text string"), 30, buckets, longest).collect()
+    want, drawn = brute_resample(rows, target, 30, buckets, longest)
+    assert sorted(str((r.id, r.n_words, r.n_features, r.weight, r.score)) for r in got) == sorted(map(str, want))
+    ranked = sorted((r for r in got if r["rank"] is not None), key=lambda r: r["rank"])
+    assert [r["rank"] for r in ranked] == list(range(1, len(drawn) + 1)) and [(r.id, r.score) for r in ranked] == [(r[0], r[4]) for r in drawn]
+
+
+def test_resampling_of_nothing(spark):
+    from quire.llm.resampling import resample
+
+    docs, target = frame(spark, ROWS[:30]), spark.createDataFrame([(1, "the of")], "item_id long, text string")
+    assert resample(docs.limit(0), target, 10).count() == 0
+    assert resample(docs, target.limit(0), 100).where("rank is not null").count() == sum(len(words(r[1])) >= 20 for r in ROWS[:30])
+
+
+def test_words_in_pieces(monkeypatch):
+    """Texts longer than a piece, words longer than a piece, words at its edges."""
+    import quire.llm.resampling as m
+
+    monkeypatch.setattr(m, "PIECE", 16)
+    r = random.Random(5)
+    for _ in range(300):
+        text = "".join(r.choice(["ab", "Ü", " ", "  ", "-", "x" * 20, "Q9"]) for _ in range(r.randrange(30)))
+        plain = re.findall(rb"[0-9a-z\x80-\xff]+", bytes(b + 32 if 65 <= b <= 90 else b for b in text.encode()))
+        assert list(m.words_of(text.encode())) == plain
+        index, counts, n = m._row(text.encode(), 50, 2, {})
+        both = [b" ".join(plain[i : i + k]) for k in (1, 2) for i in range(len(plain) - k + 1)]
+        assert n == len(plain) and sorted(zlib.crc32(f) % 50 for f in both) == [int(i) for i, c in zip(index, counts) for _ in range(c)]
