@@ -894,3 +894,122 @@ def test_words_in_pieces(monkeypatch):
         index, counts, n = m._row(text.encode(), 50, 2, {})
         both = [b" ".join(plain[i : i + k]) for k in (1, 2) for i in range(len(plain) - k + 1)]
         assert n == len(plain) and sorted(zlib.crc32(f) % 50 for f in both) == [int(i) for i, c in zip(index, counts) for _ in range(c)]
+
+
+# --- structure repair
+
+
+def brute_damage(rows):
+    out = []
+    for conv, turn, role, text in rows:
+        sp = lambda v: " " if v is None else v
+        k = zlib.crc32(f"{sp(conv)}:{sp(turn)}".encode()) % 20
+        role, text = sp(role), sp(text)
+        if k == 0:
+            continue
+        text = "" if k == 1 else re.sub("[.!?]", "", text) if k == 2 else text
+        out += [(conv, turn, "user" if k == 4 else role, text)] * (2 if k == 3 else 1)
+    return out
+
+
+def brute_repair(rows):
+    """rows (turn, role, text) in order: the counts, cost, audit and digest, by the cheapest way over all edits, ends first."""
+    from functools import cache
+
+    seen, kinds = set(), []
+    for _, role, text in rows:
+        last = re.findall(r"[^\x20\x09-\x0D]", text)
+        kinds.append("blank" if not last else "duplicate" if (role, text) in seen else "truncated" if last[-1] not in ".!?" else "")
+        seen.add((role, text))
+    after = {("", "s"): "s", ("", "u"): "u", ("s", "u"): "u", ("u", "a"): "a", ("a", "u"): "u"}
+    full = {"u": "user", "a": "assistant"}
+
+    @cache
+    def best(i, said, inserted):
+        ways = [(0, "", ())] if i == len(rows) and said in ("", "a") else []
+        if inserted < 3:
+            for r in "ua":
+                if (said, r) in after:
+                    c, a, out = best(i, after[said, r], inserted + 1)
+                    ways.append((c + 3, "I" + a, (f"{full[r]}:", *out)))
+        if i < len(rows):
+            _, role, text = rows[i]
+            c, a, out = best(i + 1, said, 0)
+            ways.append((c + 4, "D" + a, out))
+            if kinds[i] in ("", "truncated"):
+                for edit, name in [("K", role), ("R", "user"), ("R", "assistant")]:
+                    if (said, name[:1]) in after:
+                        c, a, out = best(i + 1, after[said, name[:1]], 0)
+                        ways.append((c + (3 if edit == "R" else 0) + (3 if kinds[i] else 0), edit + a, (f"{name}:{text}", *out)))
+        return min(ways, default=(10**9, "", ()))
+
+    cost, audit, out = best(0, "", 0)
+    turns = {t for t, _, _ in rows if t is not None}
+    pairs = [a[1][:1] + b[1][:1] for a, b in zip(rows, rows[1:])]
+    gaps = max(turns) - min(turns) + 1 - len(turns) if turns else 0
+    return gaps, kinds.count("blank"), kinds.count("duplicate"), kinds.count("truncated"), sum(p not in ("su", "ua", "au") for p in pairs), cost, audit, hashlib.sha256("\n".join(out).encode()).hexdigest()
+
+
+def some_conversations(r, count=150):
+    rows = []
+    for conv in range(count):
+        for turn in range(r.choice([1, 2, 3, 6, 9])):
+            role = r.choice(["user", "assistant", "assistant", "user", "system", "tool", None, "", "Ü", "sudo"])
+            rows.append((conv, None if r.random() < 0.05 else turn * r.choice([1, 1, 2]), role, r.choice(["Yes.", "No!", "and so", " \t", "", None, "Fin. ", "é?", f"{turn}."])))
+    return rows + r.sample(rows, 40) + [(None, 0, "user", "Hm."), (None, None, "user", "Hm."), (-7, None, None, None)]
+
+
+@pytest.mark.parametrize("segment", [4096, 2])
+def test_structure_repair(spark, monkeypatch, segment):
+    """Random conversations, damaged, against the cheapest of all edits; nulls, repeated rows, odd roles, clashing columns."""
+    import quire.llm.structure_repair as m
+
+    monkeypatch.setattr(m, "SEGMENT", segment)
+    rows = some_conversations(random.Random(segment))
+    table = spark.createDataFrame([(*r, "x", 1) for r in rows], "conv_id long, turn long, role string, text string, audit string, place int").repartition(5)
+    hurt = brute_damage(rows)
+    assert sorted(map(str, map(tuple, m.damage(table).collect()))) == sorted(map(str, hurt))
+    found, _ = m.repair(m.damage(table))
+    got = {r.conv_id: (r.gaps, r.blank, r.duplicate, r.truncated, r.illegal, r.cost, r.audit, r.repaired_sha256) for r in found.collect()}
+    by = {}
+    for conv, *row in sorted(hurt, key=lambda x: (x[1] is not None, x[1] or 0, x[2].encode(), x[3].encode())):
+        by.setdefault(conv, []).append(tuple(row))
+    assert set(got) == set(by)
+    for conv, own in by.items():
+        assert got[conv] == brute_repair(own), (conv, own)
+    after = {}
+    for r in sorted(m.repaired(m.damage(table)).collect(), key=lambda r: r.place):
+        after.setdefault(r.conv_id, []).append(r)
+    for conv in by:
+        mine = after.get(conv, [])
+        assert hashlib.sha256("\n".join(f"{r.role}:{r.text}" for r in mine).encode()).hexdigest() == got[conv][7]
+        assert re.fullmatch("(s?(ua)+)?", "".join(r.role[:1] for r in mine)) and [r.place for r in mine] == list(range(1, len(mine) + 1))
+
+
+def test_repair_of_nothing(spark, tmp_path):
+    """Empty tables; conversations that lose every row; one conversation of 60,000 rows."""
+    import quire.llm.structure_repair as m
+
+    empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert m.repair(empty)[0].count() == 0 and m.repaired(empty).count() == 0
+    gone = next(i for i in range(1000) if zlib.crc32(f"{i}:0".encode()) % 20 == 0)
+    spark.createDataFrame([(gone, 0, "user", "Hm.")], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert [tuple(r) for r in m.op12_structure_repair(spark, str(tmp_path)).collect()] == [(gone, 0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())]
+    long = [(1, i, "user" if i % 3 else "assistant", f"{i}.") for i in range(60000)]
+    one = m.repair(spark.createDataFrame(long, "conv_id long, turn long, role string, text string"))[0].first()
+    a = m.Determinised()
+    symbols = "".join("u" if i % 3 else "a" for i in range(60000))
+    assert one.cost == a.scan(symbols)[0] and len(a.vectors) < 40 and one.audit.count("K") + one.audit.count("R") + one.audit.count("D") == 60000
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="suaxSUAX-", max_size=14))
+def test_automaton(symbols):
+    """Costs and audits of every kind of row against the cheapest of all edits; few states."""
+    from quire.llm.structure_repair import Determinised
+
+    full = {"s": "system", "u": "user", "a": "assistant", "x": "tool"}
+    rows = [(i, "user", " ") if x == "-" else (i, full[x.lower()], f"{i}" + ("" if x.isupper() else ".")) for i, x in enumerate(symbols)]
+    a = Determinised()
+    cost, path = a.scan(symbols)
+    assert (cost, a.audit(symbols, path)) == brute_repair(rows)[5:7] and len(a.vectors) < 60
