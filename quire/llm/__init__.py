@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("mixing", "token_files", "packing", "chat", "language", "topk", "fingerprints", "jaccard", "html_text", "token_counts", "resampling", "structure_repair")
+MODULES = ("mixing", "token_files", "packing", "chat", "language", "topk", "fingerprints", "jaccard", "html_text", "token_counts", "resampling", "structure_repair", "toxicity")
 
 
 def queries() -> dict:

@@ -1013,3 +1013,70 @@ def test_automaton(symbols):
     a = Determinised()
     cost, path = a.scan(symbols)
     assert (cost, a.audit(symbols, path)) == brute_repair(rows)[5:7] and len(a.vectors) < 60
+
+
+# --- toxicity
+
+
+def brute_grams(text):
+    """Character runs of 3 to 6 inside a word with the spaces beside it."""
+    plain = re.sub(r"[\s]+", " ", "".join(c if c.isalpha() else " " for c in f" {(text or '').lower()} "))
+    return {plain[i : i + n] for n in range(3, 7) for i in range(len(plain) - n + 1) if " " not in plain[i + 1 : i + n - 1]}
+
+
+def test_toxic_features(monkeypatch):
+    """Features are the buckets of the n-grams; blocks change nothing; the model's subset."""
+    import quire.llm.toxicity as m
+
+    texts = ["", None, "a", "An idiot's TRASH,x", "Ünï 日本語テキスト 12 ab", " \n", "word " * 50 + "scum", "İstanbul ß", "a" * 40]
+    whole = [m.features(t) for t in texts]
+    def bucket(gram):
+        h = 0
+        for c in gram:
+            h = (h * 0x100000001B3 + ord(c)) % 2**64
+        h = (h ^ h >> 29) * 0xBF58476D1CE4E5B9 % 2**64
+        return (h ^ h >> 32) % m.BUCKETS
+
+    for t, f in zip(texts, whole):
+        assert list(f) == sorted({bucket(g) for g in brute_grams(t)})
+    monkeypatch.setattr(m, "BLOCK", 7)
+    known = np.arange(m.BUCKETS) % 2 == 0
+    for t, f in zip(texts, whole):
+        assert list(m.features(t)) == list(f) and list(m.features(t, known)) == [x for x in f if x % 2 == 0]
+
+
+def test_toxicity(spark):
+    """Planted insults, at any length and place, nulls, both labels, one label, no labels, clashing columns."""
+    import quire.llm.toxicity as m
+
+    r = random.Random(11)
+    plain = "the of and to in is that it was for on are with as his they at be this from over lake tree".split()
+    text = lambda n, bad: " ".join(r.choice(plain) for _ in range(n)) if not bad else " ".join(r.choice(plain) if r.random() > 0.1 else r.choice(["numbskull", "blockhead"]) for _ in range(n)) + " numbskull"
+    rows = [(i, text(r.choice([5, 30, 200]), i % 4 == 0)) for i in range(400)] + [(900, None), (901, ""), (None, "x"), (5, "the of")]
+    docs = spark.createDataFrame([(i, t, "x", 9.0) for i, t in rows], "doc_id long, text string, toxic string, toxic_score double")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0), 1) for i in range(300)] + [(8, 0, 1), (9, None, 0), (None, 1, 1), (7, 5, 0), (901, 0, 1)], "doc_id long, toxic int, quality int")
+    model = m.fit(docs, labels)
+    got = {(x.doc_id, x.text): x.toxic_score for x in m.score(docs.select("doc_id", "text", F_lit(1, "toxic")), model, ["doc_id", "text", "toxic"]).collect()}
+    assert len(got) == len(rows) and all((s >= 0.5) == bool(t and "numbskull" in t) for (i, t), s in got.items())
+    assert model.score(None) == model.score("") == model.score("12 !") < 0.5 and model.score("the of " * 200_000 + "blockhead numbskull") >= 0.5 > model.score("the of " * 300_000)
+    again = m.fit(docs.repartition(7), labels.repartition(3))
+    assert np.allclose(again.weight, model.weight, atol=1e-6) and (again.ratio == model.ratio).all()
+    assert m.fit(docs, labels.where("toxic = 1")).score("the") == 1.0 and m.fit(docs, labels.where("toxic = 0")).score("the") == 0.0 and m.fit(docs, labels.limit(0)).score(None) == 0.0
+    assert m.score(docs.limit(0), model, ["doc_id"]).count() == 0
+    assert m.sample(docs, labels, 50).count() <= 50
+
+
+def F_lit(value, name):
+    from pyspark.sql import functions as F
+
+    return F.lit(value).alias(name)
+
+
+def test_toxicity_held_out(spark):
+    """On documents that taught nothing: ranks and decisions."""
+    from quire.llm.toxicity import op11_toxicity
+
+    got = op11_toxicity(spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").where("held_out").toPandas()
+    ranks, toxic = got["score"].rank(), got["toxic"] == 1
+    auc = (ranks[toxic].sum() - toxic.sum() * (toxic.sum() + 1) / 2) / (toxic.sum() * (~toxic).sum())
+    assert auc > 0.98 and ((got["predicted"] == 1) == toxic).mean() > 0.975 and (got["predicted"] == 1)[~toxic].mean() < 0.01
