@@ -31,7 +31,7 @@ SHORTEST, LONGEST = 3, 6
 MIN_TEXTS, MIN_RATIO, FEATURES = 3, 1.0, 1 << 16
 PENALTY, ROUNDS, MOST_WEIGHT = 1e-4, 300, 3.0
 #: Characters hashed at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 17
 
 
 def _letters() -> np.ndarray:
@@ -65,10 +65,13 @@ def hashed(text: str | None) -> Iterator[np.ndarray]:
 
 def features(text: str | None, known: np.ndarray | None = None) -> np.ndarray:
     """The features of a whole text, each once, in ascending order; only those that known marks, if given."""
-    seen = np.zeros(0, np.int32)
+    seen, held = [np.zeros(0, np.int32)], 0
     for g in hashed(text):
-        seen = np.union1d(seen, g if known is None else g[known[g]])
-    return seen
+        seen.append(g if known is None else g[known[g]])
+        held += len(seen[-1])
+        if held > 4 * BLOCK:
+            seen, held = [np.unique(np.concatenate(seen))], 0
+    return np.unique(np.concatenate(seen))
 
 
 @dataclass
@@ -114,10 +117,13 @@ def fit_vectors(index: np.ndarray, pointers: np.ndarray, toxic: np.ndarray, rati
     return w, float(b)
 
 
+FEATURED = "toxic int, h long, features binary"
+
+
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [features(t.as_py()).astype("<i4").tobytes() for t in batch.column("text")]
-        yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found, pa.binary())], names=["toxic", "features"])
+        yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("h"), pa.array(found, pa.binary())], names=["toxic", "h", "features"])
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,19 +136,24 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(counts[0, some]), pa.array(counts[1, some])], names=["bucket", "clean", "toxic"])
 
 
-def sample(docs: DataFrame, labels: DataFrame, texts: int = SAMPLE) -> DataFrame:
-    """At most `texts` labelled texts: text, toxic, no two alike in both.
+def candidates(docs: DataFrame, labels: DataFrame, texts: int = SAMPLE) -> DataFrame:
+    """About `texts` labelled texts, or somewhat more: text, toxic, their hash h, no two alike in text and label.
 
     Labels are taken by the hash of their id, somewhat more than are wanted, as some have no
-    document; they are few enough to go to every task, so that no text moves but the sample's.
+    document; they are few enough to go to every task, so that no text moves but these.
     """
     said = labels.where("doc_id is not null and toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
     share = min(1.0, SPARE * texts / max(1, said.count()))
     few = said.where(F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(1_000_000)) < math.ceil(share * 1_000_000))
     own = pick(docs, ["doc_id", "text"]).where("text is not null").join(F.broadcast(few), "doc_id")
-    h = F.xxhash64("text", "toxic")
-    kept = own.select("text", "toxic", h.alias("h"), F.md5(F.col("text").cast("binary")).alias("same"))
-    return kept.dropDuplicates(["same", "toxic"]).orderBy("h", "same").limit(texts).select("text", "toxic")
+    kept = own.select("text", "toxic", F.xxhash64("text", "toxic").alias("h"), F.md5(F.col("text").cast("binary")).alias("same"))
+    return kept.dropDuplicates(["same", "toxic"]).drop("same")
+
+
+def sample(featured: DataFrame, texts: int = SAMPLE) -> DataFrame:
+    """The `texts` rows with the smallest hashes."""
+    last = featured.select("h").orderBy("h").limit(texts).agg(F.max("h")).first()[0]
+    return featured.where(F.col("h") <= F.lit(last))
 
 
 def fit(docs: DataFrame, labels: DataFrame, texts: int = SAMPLE) -> Model:
@@ -154,13 +165,13 @@ def fit(docs: DataFrame, labels: DataFrame, texts: int = SAMPLE) -> Model:
     """
     spark, none = docs.sparkSession, np.zeros(BUCKETS)
     folder = new_folder(spark, "toxic-sample")
-    sample(docs, labels, texts).mapInArrow(_featured, "toxic int, features binary").write.parquet(folder)
-    rows = spark.read.schema("toxic int, features binary").parquet(folder)
+    candidates(docs, labels, texts).mapInArrow(_featured, FEATURED).write.parquet(folder)
+    rows = sample(spark.read.schema(FEATURED).parquet(folder), texts)
     n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if len(n) < 2:
         drop_folder(spark, folder)
         return Model(none, none, 0.0, float(max(n, default=0)))
-    sums = rows.mapInArrow(_counted, "bucket int, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    sums = rows.select("toxic", "features").mapInArrow(_counted, "bucket int, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     counts = sums.toPandas()  # a row a bucket at most
     clean, toxic = np.zeros(BUCKETS), np.zeros(BUCKETS)
     clean[counts["bucket"]], toxic[counts["bucket"]] = counts["clean"], counts["toxic"]
@@ -174,7 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, texts: int = SAMPLE) -> Model:
             found = [np.frombuffer(f.as_py(), "<i4") for f in batch.column("features")]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([f[shared.value[f]].tobytes() for f in found], pa.binary())], names=["toxic", "features"])
 
-    own = rows.mapInArrow(placed, "toxic int, features binary").orderBy("features", "toxic").collect()
+    own = rows.select("toxic", "features").mapInArrow(placed, "toxic int, features binary").orderBy("features", "toxic").collect()
     drop_folder(spark, folder)
     each = [np.frombuffer(r["features"], "<i4") for r in own]
     index, pointers = np.concatenate(each), np.cumsum([0, *map(len, each)])

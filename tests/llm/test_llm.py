@@ -1063,7 +1063,8 @@ def test_toxicity(spark):
     assert np.allclose(again.weight, model.weight, atol=1e-6) and (again.ratio == model.ratio).all()
     assert m.fit(docs, labels.where("toxic = 1")).score("the") == 1.0 and m.fit(docs, labels.where("toxic = 0")).score("the") == 0.0 and m.fit(docs, labels.limit(0)).score(None) == 0.0
     assert m.score(docs.limit(0), model, ["doc_id"]).count() == 0
-    assert m.sample(docs, labels, 50).count() <= 50
+    few = m.candidates(docs, labels, 50)
+    assert 30 <= few.count() <= 120 and m.sample(few, 20).count() == 20 and m.sample(few.limit(0), 20).count() == 0
 
 
 def F_lit(value, name):
