@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
-
-# English words that a full-text index leaves out.
-STOP = "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
-
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
@@ -38,81 +34,16 @@ def cosine_top_k(vectors: DataFrame, query: Column, k: int) -> DataFrame:
     return scored.orderBy(F.col("similarity").desc(), "id").limit(k).select("id", "similarity")
 
 
-def terms(text: Column) -> Column:
-    """Lower-case words of letters and digits without stop words."""
-    return F.filter(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), 1), lambda t: ~t.isin(STOP))
-
-
-def postings(docs: DataFrame) -> DataFrame:
-    """term, id, tf, positions of docs (id, text): the index to write once and read by term."""
-    t = docs.select("id", F.posexplode(terms(F.col("text"))).alias("position", "term"))
-    return t.groupBy("term", "id").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("position")).alias("positions"))
-
-
-def parse_query(q: str) -> tuple[list[list[str]], list[str], list[list[str]]]:
-    """A web-style query: groups of alternatives that must all match, words that must not, phrases."""
-    import re
-
-    must, never, phrases = [], [], []
-    either = False
-    for neg, phrase, word in re.findall(r'(-?)(?:"([^"]*)"|(\S+))', q):
-        if word.lower() == "or" and not phrase and must:
-            either = True
-            continue
-        found = [w for w in re.findall(r"[a-z0-9]+", (phrase or word).lower()) if w not in STOP]
-        if not found:
-            continue
-        if neg:
-            never += found
-        elif either:
-            must[-1] += found
-        else:
-            must += [[w] for w in found]
-            if phrase and len(found) > 1:
-                phrases.append(found)
-        either = False
-    return must, never, phrases
-
-
-def full_text(index: DataFrame, query: str) -> DataFrame:
-    """id, rank of documents that match all of a query; rank is the sum of 1 + ln(tf) over its words.
-
-    Only the query's terms are read; phrases are checked by positions.
-    """
-    must, never, phrases = parse_query(query)
-    wanted = sorted({w for g in must for w in g} | set(never))
-    if not must:
-        return index.limit(0).select("id", F.lit(0.0).alias("rank"))
-    hits = index.where(F.col("term").isin(wanted)).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", F.struct("tf", "positions")))).alias("m"))
-    has = lambda w: F.map_contains_key("m", w)
-    ok = F.lit(True)
-    for group in must:
-        one = F.lit(False)
-        for word in group:
-            one = one | has(word)
-        ok = ok & one
-    for word in never:
-        ok = ok & ~has(word)
-    for phrase in phrases:
-        at = [F.transform(F.coalesce(F.try_element_at("m", F.lit(word))["positions"], F.array().cast("array<int>")), lambda p, i=i: p - i) for i, word in enumerate(phrase)]
-        both = at[0]
-        for other in at[1:]:
-            both = F.array_intersect(both, other)
-        ok = ok & (F.size(both) > 0)
-    score = F.lit(0.0)
-    for word in sorted({x for g in must for x in g}):
-        score = score + F.coalesce(1 + F.ln(F.try_element_at("m", F.lit(word))["tf"]), F.lit(0.0))
-    return hits.where(ok).select("id", F.round(score, 6).alias("rank"))
-
-
 def fuse(by_vector: DataFrame, by_text: DataFrame, limit: int, k: int = 60) -> DataFrame:
     """id, similarity, rrf_score: reciprocal ranks of two lists (id, similarity) and (id, rank) added up.
 
-    Without text hits the vector list stands as it is, with null scores. Rows of the text
-    list alone have similarity 0; ties keep the vector list's order.
+    Of either list, the first max(3 * limit, 15) count. Without text hits the vector list stands
+    as it is, with null scores. Rows of the text list alone have similarity 0; ties keep the
+    vector list's order.
     """
-    v = by_vector.withColumn("vr", F.row_number().over(W.orderBy(F.col("similarity").desc(), "id")) - 1)
-    f = by_text.withColumn("fr", F.row_number().over(W.orderBy(F.col("rank").desc(), "id")) - 1).select("id", "fr")
+    fetch = max(3 * limit, 15)
+    v = by_vector.orderBy(F.col("similarity").desc(), "id").limit(fetch).withColumn("vr", F.row_number().over(W.orderBy(F.col("similarity").desc(), "id")) - 1)
+    f = by_text.orderBy(F.col("rank").desc(), "id").limit(fetch).withColumn("fr", F.row_number().over(W.orderBy(F.col("rank").desc(), "id")) - 1).select("id", "fr")
     any_text = f.agg((F.count("*") > 0).alias("any_text"))
     both = v.select("id", "similarity", "vr").join(f, "id", "full_outer").crossJoin(F.broadcast(any_text))
     part = lambda r: F.coalesce(F.lit(1.0) / (k + F.col(r) + 1), F.lit(0.0))
@@ -132,30 +63,3 @@ def figure_hits(ranked: DataFrame, assets: DataFrame, chunks: DataFrame, limit:
     wanted = both.where("leg = first_leg").orderBy("o", "id").limit(limit)
     images = assets.join(F.broadcast(wanted), "id").groupBy("id", "o").agg(F.array_sort(F.collect_list("image")).alias("images"))  # limit rows
     return images.orderBy("o", "id").select("id", "images")
-
-
-#: Folders that stored postings are dealt to, by a hash of their term.
-BUCKETS = 64
-
-
-def _bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
-
-
-def write_postings(docs: DataFrame, path: str) -> None:
-    """Writes the full-text index of docs (id, text): dealt by a hash of the term and sorted by it, so that a read of few terms opens few folders and skips row groups."""
-    index = postings(docs).withColumn("bucket", _bucket(F.col("term")))
-    # ranges, not buckets, are the tasks' units: a bucket, and a term with very many postings, may be written by several
-    index.repartitionByRange("bucket", "term", "id").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(path)
-
-
-def read_postings(spark: SparkSession, path: str, query: str) -> DataFrame:
-    """The postings of a query's terms from a stored index."""
-    must, never, _ = parse_query(query)
-    terms_ = sorted({w for g in must for w in g} | set(never))
-    schema = "term string, id long, tf long, positions array<int>, bucket int"
-    stored = spark.read.schema(schema).parquet(path)
-    if not terms_:
-        return stored.limit(0).drop("bucket")
-    wanted = spark.range(1).select(F.array(*[_bucket(F.lit(w)) for w in terms_])).first()[0]
-    return stored.where(F.col("bucket").isin(sorted(set(wanted))) & F.col("term").isin(terms_)).drop("bucket")

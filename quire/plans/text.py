@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import routing as g, text as x
-from ..operators import ann, retrieval as r
-from ..scratch import new_folder
+from ..functions.stems import sql_stems
+from ..operators import ann, fulltext, retrieval as r
+from ..scratch import drop_folder, new_folder, state_of
 from .registry import also, query
 
 c = F.col
@@ -300,41 +301,61 @@ def _(t):
     return e.select("vec_id", F.transform(r.shape_vector(c("embedding"), 16), lambda v: F.round(v, 9)).alias("short"), F.size(r.shape_vector(c("embedding"), 80)).cast("long").alias("long_size"))
 
 
-TERMS = "(SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents)"
+#: Paths of stored indexes by session, tables and the state of their files; an index is written once and read by stem.
+_stored: dict[tuple[str, str, str], str] = {}
 
 
-#: Paths of stored indexes by session and tables; an index is written once and read by term.
-_stored: dict[tuple[str, str], str] = {}
-
-
-def _index(t, query):
-    """The postings of a query's terms; the index of these tables is written at its first use in a session."""
-    at = (t.spark.sparkContext.applicationId, t.sf_dir)
+def text_index(t) -> str:
+    """Path of the index of these documents, written at its first use in a session, and again if they have changed."""
+    at = (t.spark.sparkContext.applicationId, t.sf_dir, state_of(t.spark, f"{t.sf_dir}/documents.parquet"))
     if at not in _stored:
-        path = new_folder(t.spark, "postings")
-        r.write_postings(t("documents").select(c("doc_id").alias("id"), "text"), path)
+        for old in [k for k in _stored if k[:2] == at[:2]]:
+            drop_folder(t.spark, _stored.pop(old))
+        path = new_folder(t.spark, "text-index")
+        fulltext.write_index(t("documents").select(c("doc_id").alias("id"), "text"), path)
         _stored[at] = path
-    return r.read_postings(t.spark, _stored[at], query)
+    return _stored[at]
 
 
-QUESTION = "the er ing OR ed -queque"
-FTS = f"SELECT id, round(sum(CASE WHEN term IN ('er', 'ing', 'ed') THEN 1 + ln(tf) ELSE 0 END), 6) AS rank FROM (SELECT id, term, count(*) AS tf FROM {TERMS} GROUP BY 1, 2) GROUP BY id HAVING bool_or(term = 'er') AND bool_or(term IN ('ing', 'ed')) AND NOT bool_or(term = 'queque')"
+QUESTION, NEARBY = "the er ing OR ed -queque", "hashes eds ing"
+POSITIONS = f"""x AS (SELECT id, unnest(ws) AS term, unnest(range(len(ws))) AS position FROM (SELECT doc_id AS id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM documents)),
+words AS (SELECT DISTINCT term FROM x WHERE term NOT IN ({", ".join(f"'{w}'" for w in fulltext.STOP)})),
+{sql_stems("words")},
+p AS MATERIALIZED (SELECT id, stem, position, row_number() OVER (PARTITION BY id, stem ORDER BY position) AS nth FROM x JOIN stems USING (term))"""
+FTS = f"""WITH {POSITIONS}
+SELECT id, round(sum(CASE WHEN nth <= 256 AND stem IN ('er', 'ing', 'ed', 'quequ') THEN 1.0::DOUBLE / (nth * nth) ELSE 0 END) * 0.1 / 1.64493406685 / 4, 6) AS rank FROM p GROUP BY id
+HAVING (bool_or(stem = 'er') AND bool_or(stem = 'ing')) OR (bool_or(stem = 'ed') AND NOT bool_or(stem = 'quequ'))"""
+NEAR_SQL = f"""WITH {POSITIONS},
+q AS (SELECT * FROM p WHERE stem IN ('hash', 'ed', 'ing')),
+ok AS (SELECT id FROM q GROUP BY id HAVING count(DISTINCT stem) = 3),
+d AS (SELECT a.id, abs(a.position - b.position) AS d FROM q a JOIN q b ON a.id = b.id AND a.stem < b.stem AND a.position <> b.position WHERE a.nth <= 256 AND b.nth <= 256)
+SELECT id, round(1 - exp(sum(ln(1 - 0.1 * sqrt(CASE WHEN d > 100 THEN 1e-30 ELSE 1 / (1.005 + 0.05 * exp(d / 1.5 - 2)) END)))), 6) AS rank FROM d JOIN ok USING (id) GROUP BY id ORDER BY rank DESC, id"""
 
 
 @query("R4_full_text", FTS)
 def _(t):
-    return r.full_text(_index(t, QUESTION), QUESTION)
+    return fulltext.full_text(t.spark, text_index(t), QUESTION)
+
+
+@query("R4_best_by_nearness", f"{NEAR_SQL} LIMIT 10")
+def _(t):
+    """The ten best of a query that has to match whole, from the pages that can hold them."""
+    return fulltext.full_text_top(t.spark, text_index(t), NEARBY, 10)
+
+
+@query("R4_best_by_count", f"SELECT * FROM ({FTS}) ORDER BY rank DESC, id LIMIT 10")
+def _(t):
+    return fulltext.full_text_top(t.spark, text_index(t), QUESTION, 10)
 
 
-FUSE = f"""WITH v AS (SELECT *, row_number() OVER (ORDER BY similarity DESC, id) - 1 AS vr FROM ({COSINE.format(15)})), f AS (SELECT id, row_number() OVER (ORDER BY rank DESC, id) - 1 AS fr FROM ({FTS} ORDER BY rank DESC, id LIMIT 15)),
+FUSE = f"""WITH v AS (SELECT *, row_number() OVER (ORDER BY similarity DESC, id) - 1 AS vr FROM ({COSINE.format(15)})), f AS (SELECT id, row_number() OVER (ORDER BY rank DESC, id) - 1 AS fr FROM (SELECT * FROM ({FTS}) ORDER BY rank DESC, id LIMIT 15)),
 j AS (SELECT coalesce(v.id, f.id) AS id, coalesce(similarity, 0) AS similarity, vr, fr, CASE WHEN (SELECT count(*) FROM f) > 0 THEN round(coalesce(1.0::DOUBLE / (61 + vr), 0) + coalesce(1.0::DOUBLE / (61 + fr), 0), 9) END AS rrf_score FROM v FULL JOIN f ON v.id = f.id)
 SELECT id, similarity, rrf_score FROM j ORDER BY rrf_score DESC, vr NULLS LAST, fr NULLS LAST LIMIT 5"""
 
 
 @query("R5_hybrid", FUSE)
 def _(t):
-    hits = r.full_text(_index(t, QUESTION), QUESTION).orderBy(c("rank").desc(), "id").limit(15)
-    return r.fuse(_with_query(t, 15), hits, 5)
+    return r.fuse(_with_query(t, 15), fulltext.full_text_top(t.spark, text_index(t), QUESTION, 15), 5)
 
 
 @query("R6_figures", f"SELECT s.id, list(l_partkey ORDER BY l_partkey) AS images FROM ({COSINE.format(16)}) s JOIN lineitem ON l_orderkey = s.id GROUP BY s.id, s.similarity ORDER BY s.similarity DESC, s.id LIMIT 4")
@@ -346,7 +367,7 @@ def _(t):
 
 @query("R7_agent_search", f"SELECT id FROM (SELECT id FROM ({FTS}) UNION SELECT doc_id FROM documents WHERE text ILIKE '%ationre%') ORDER BY id LIMIT 8")
 def _(t):
-    text = r.full_text(_index(t, QUESTION), QUESTION).select("id")
+    text = fulltext.full_text(t.spark, text_index(t), QUESTION).select("id")
     return text.union(t("documents").where(c("text").ilike("%ationre%")).select(c("doc_id").alias("id"))).distinct().orderBy("id").limit(8)
 
 

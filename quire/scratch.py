@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable
 
@@ -16,7 +17,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         conf = "/tmp/checkpoints/quire"
     return conf.rstrip("/")
@@ -37,11 +38,25 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return _file_system(spark, path, lambda fs, p: fs.exists(p))
 
 
-def _file_system(spark: SparkSession, path: str, do: Callable):
+def state_of(spark: SparkSession, path: str) -> str:
+    """A digest of a table's files, their sizes and times: another one if anything was written since."""
+
+    def files(fs, p) -> str:
+        found, each = [], fs.listFiles(p, True)
+        while each.hasNext():
+            f = each.next()
+            found.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+        return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()
+
+    return _file_system(spark, path, files, make=False)
+
+
+def _file_system(spark: SparkSession, path: str, do: Callable, make: bool = True):
     """Acts on a path through the file system that Spark uses for it."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.mkdirs(p.getParent())
+    if make:
+        fs.mkdirs(p.getParent())
     return do(fs, p)
 
 

@@ -106,13 +106,14 @@ def test_heading_paths_equal_the_fold(spark):
 
 def test_vectors(spark):
     from pyspark.sql import functions as F
-    from quire.operators.retrieval import cosine, cosine_top_k, parse_query, shape_vector
+    from quire.operators.fulltext import parse_query
+    from quire.operators.retrieval import cosine, cosine_top_k, shape_vector
 
     df = spark.createDataFrame([(1, [0.1] * 8), (2, [0.0] * 8), (3, [-0.1] * 8)], "id int, embedding array<double>")
     got = cosine_top_k(df, F.array(*[F.lit(0.1)] * 8), 5).collect()
     assert [(r.id, r.similarity) for r in got] == [(1, 1.0), (3, -1.0)]
     assert df.select(cosine(F.col("embedding"), F.col("embedding"))).collect()[1][0] is None
-    assert shape_vector(F.col("embedding"), 3) is not None and parse_query('"deep net" OR cat -dog') == ([["deep"], ["net", "cat"]], ["dog"], [["deep", "net"]])
+    assert shape_vector(F.col("embedding"), 3) is not None and parse_query('"deep of net" OR cat -dog') == [(["deep", "net"], [], [[("deep", 0), ("net", 2)]]), (["cat"], ["dog"], [])]
 
 
 def test_changes(spark):
@@ -316,14 +317,106 @@ def test_asset_links(spark):
     assert sorted(tuple(r) for r in link_assets(chunks, assets, "id").collect()) == [(1, 0, "a.png", 5), (1, 2, "a.png", 5)]
 
 
-def test_stored_index(spark, tmp_path):
-    from quire.operators.retrieval import full_text, postings, read_postings, write_postings
-
-    docs = spark.createDataFrame([(1, "red fox jumps"), (2, "red red dog"), (3, "blue fox and red fox"), (4, None)], "id long, text string")
-    write_postings(docs, str(tmp_path / "i"))
-    for q in ("red fox", '"red fox"', "red -dog", "dog OR blue", "the", "none"):
-        assert sorted(map(tuple, full_text(read_postings(spark, str(tmp_path / "i"), q), q).collect())) == sorted(map(tuple, full_text(postings(docs), q).collect())), q
-    assert "bucket" in read_postings(spark, str(tmp_path / "i"), "red fox")._jdf.queryExecution().executedPlan().toString()
+# Words and their stems as the algorithm's authors publish them.
+STEMS = {
+    "connections": "connect", "connected": "connect", "connecting": "connect", "caresses": "caress", "ties": "tie", "cries": "cri", "gas": "gas", "gaps": "gap", "kiwis": "kiwi", "agreed": "agre", "feed": "feed", "bled": "bled",
+    "sing": "sing", "hopping": "hop", "hoping": "hope", "cry": "cri", "by": "by", "say": "say", "relational": "relat", "conditional": "condit", "rational": "ration", "operator": "oper", "hopefulness": "hope",
+    "callousness": "callous", "sensibiliti": "sensibl", "electrical": "electr", "goodness": "good", "allowance": "allow", "replacement": "replac", "adjustment": "adjust", "adoption": "adopt", "communism": "communism",
+    "activate": "activ", "bowdlerize": "bowdler", "rate": "rate", "cease": "ceas", "controll": "control", "roll": "roll", "generously": "generous", "generate": "generat", "skies": "sky", "dying": "die", "news": "news",
+    "proceeding": "proceed", "happiness": "happi", "knightly": "knight", "consistency": "consist", "kneeling": "kneel", "youth": "youth", "saying": "say", "analogies": "analog", "2017s": "2017s", "running": "run",
+}
+
+
+def test_stems(spark):
+    import duckdb
+    from quire.functions.stems import sql_stems, with_stem
+
+    words = spark.createDataFrame([(w,) for w in STEMS] + [(None,)], "term string")
+    assert {r.term: r.stem for r in with_stem(words).collect()} == STEMS | {None: None}
+    assert with_stem(words).where("stem = 'connect'").count() == 3
+    con = duckdb.connect()
+    con.execute("CREATE TABLE words (term VARCHAR)")
+    con.executemany("INSERT INTO words VALUES (?)", [(w,) for w in STEMS])
+    assert dict(con.execute(f"WITH {sql_stems('words')} SELECT term, stem FROM stems").fetchall()) == STEMS
+
+
+def brute_ranks(docs, stems, ways):
+    """docs: id to list of stem or None by position. ways: (must, never, phrases with distances)."""
+    import math
+
+    near, out = len(ways) == 1 and len(stems) > 1, {}
+    for i, ws in docs.items():
+        at = {s: [p for p, w in enumerate(ws) if w == s] for s in stems}
+        if not any(all(at[s] for s in must) and not any(at[s] for s in never) and all(any(all(p + d in at[s] for s, d in ph) for p in at[ph[0][0]]) for ph in phrases) for must, never, phrases in ways):
+            continue
+        first = {s: at[s][:256] for s in stems}
+        if near:
+            rest = 1.0
+            for a in range(len(stems)):
+                for b in range(a):
+                    for p in first[stems[a]]:
+                        for q in first[stems[b]]:
+                            if p != q:
+                                d = abs(p - q)
+                                rest *= 1 - 0.1 * math.sqrt(1e-30 if d > 100 else 1 / (1.005 + 0.05 * math.exp(d / 1.5 - 2)))
+            out[i] = 1 - rest
+        else:
+            out[i] = sum(sum(1 / (j + 1) ** 2 for j in range(len(first[s]))) for s in stems) * 0.1 / 1.64493406685 / len(stems)
+    return out
+
+
+def test_ranked_text(spark, tmp_path):
+    """Matches and ranks against brute force; the best from few pages are those of the whole list; stems, phrases, exclusions, nulls, repeats."""
+    import random
+
+    from quire.operators import fulltext as ft
+
+    r = random.Random(7)
+    words = {"connections": "connect", "connected": "connect", "fox": "fox", "foxes": "fox", "jumped": "jump", "the": None, "lazy": "lazi", "dogs": "dog", "zebra": "zebra", "tree": "tree"}
+    odds = [1, 3, 8, 2, 4, 30, 9, 9, 0.05, 30]
+    docs = {i: r.choices(list(words), odds, k=r.choice([3, 10, 40, 40, 90, 400])) for i in range(3000)}
+    rows = [(i, " ".join(ws)) for i, ws in docs.items()] + [(9000, None), (9001, ""), (9002, "the"), (7, "zebra zebra")]
+    by = {i: [words[w] for w in ws] for i, ws in docs.items() if i != 7}
+    path = str(tmp_path / "index")
+    ft.write_index(spark.createDataFrame(rows, "id long, text string").repartition(5), path)
+    asked = {
+        "connected": (["connect"], [(["connect"], [], [])]),
+        "the connection fox": (["connect", "fox"], [(["connect", "fox"], [], [])]),
+        "fox dogs lazy": (["dog", "fox", "lazi"], [(["dog", "fox", "lazi"], [], [])]),
+        '"fox jumped"': (["fox", "jump"], [(["fox", "jump"], [], [[("fox", 0), ("jump", 1)]])]),
+        '"fox the dogs" -zebra': (["dog", "fox", "zebra"], [(["fox", "dog"], ["zebra"], [[("fox", 0), ("dog", 2)]])]),
+        "zebra OR connecting jumping": (["connect", "jump", "zebra"], [(["zebra"], [], []), (["connect", "jump"], [], [])]),
+    }
+    for q, (stems, ways) in asked.items():
+        got = {x.id: x.rank for x in ft.full_text(spark, path, q).collect()}
+        want = brute_ranks(by, stems, ways)
+        assert {k for k in got if k != 7} == set(want) and all(abs(got[i] - v) < 2e-6 for i, v in want.items()), q
+        best = sorted(got.items(), key=lambda x: (-x[1], x[0]))[:10]
+        assert [tuple(x) for x in ft.full_text_top(spark, path, q, 10).collect()] == best, q
+    assert ft.full_text(spark, path, "the").count() == 0 == ft.full_text_top(spark, path, "-fox", 5).count() == ft.full_text(spark, path, "absent").count()
+    query = ft.stemmed(spark, "connections")
+    every, opened = ft.read_index(spark, path, query).count(), sum(p.count() for p in ft.top_pages(spark, path, query, 10))
+    assert every >= 40 and opened * 5 < every, (opened, every)
+    plan = ft.read_index(spark, path, query)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan.replace("`", "") or "PartitionFilters: [bucket" in plan
+    bounds = ft.page_bounds(ft.read_index(spark, path, query), query)._jdf.queryExecution().executedPlan().toString()
+    assert "entries" not in bounds  # entries aren't read
+
+
+def test_index_follows_its_documents(spark, tmp_path):
+    """A document that is added to the same path is found."""
+    from quire.plans.registry import Tables
+    from quire.plans.text import text_index
+
+    docs = spark.createDataFrame([(1, "a red fox"), (2, "a dog")], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    from quire.operators.fulltext import full_text
+
+    found = lambda: sorted(r.id for r in full_text(spark, text_index(Tables(spark, str(tmp_path))), "foxes").collect())
+    first = text_index(Tables(spark, str(tmp_path)))
+    assert found() == [1] and text_index(Tables(spark, str(tmp_path))) == first
+    spark.createDataFrame([(3, "foxes")], docs.schema).write.mode("append").parquet(f"{tmp_path}/documents.parquet")
+    assert found() == [1, 3]
 
 
 def test_recall_of_approximate_search(spark):
