@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import functions as F
 
-from ..chunking.chunker import inline_math, stitch
 from ..functions import routing, text as x
-from ..operators import contexts as k, layout, repair, research, retrieval
+from ..operators import chunks, contexts as k, layout, repair, research, retrieval
 from ..sources import ingest
 from .registry import query
 from .text import COSINE, _with_query
@@ -15,17 +13,6 @@ from .text import COSINE, _with_query
 c = F.col
 
 
-def _mapped(df, name, function):
-    """A text column put through a function of one text, in batches."""
-
-    def run(batches):
-        for pdf in batches:
-            pdf[name] = [function(v) for v in pdf[name]]
-            yield pdf
-
-    return df.mapInPandas(run, df.schema)
-
-
 @query(
     "R15_quote_location",
     r"""WITH q AS (SELECT doc_id, text, list_filter(string_split_regex(text, '\s+'), lambda w : w <> '')[2:4] AS w FROM documents),
@@ -150,15 +137,34 @@ def _(t):
     return t("part").select("p_partkey", routing.cited(answer).alias("cited"))
 
 
-@query("X9_stitch", r"SELECT p_partkey, '$$' || chr(10) || p_name || ' = ' || p_brand || ' \quad (' || p_size || ')' || chr(10) || '$$' || chr(10) || chr(10) || 'Prose follows here. It ends.' AS md FROM part")
+_FENCED = r"""chr(10) || chr(10) || '$$' || chr(10) || {} || chr(10) || '$$' || chr(10) || chr(10)"""
+STITCHED = rf"""SELECT p_partkey, CASE p_size % 4
+  WHEN 0 THEN '$$' || chr(10) || p_name || ' = ' || p_brand || ' \quad (' || p_size || ')' || chr(10) || '$$' || chr(10) || chr(10) || 'Prose follows here. It ends.'
+  WHEN 1 THEN 'An intro is here. Yes.' || {_FENCED.format("p_brand || ' x = ' || p_size || ' y'")} || 'Prose of ' || p_name || ' here. It ends.' || chr(10) || 'And a line more. It ends.'
+  WHEN 2 THEN p_name || ' =' || chr(10) || chr(10) || '(' || p_size || ')' || chr(10) || chr(10) || chr(10) || 'end'
+  ELSE 'lead ' || {_FENCED.format("p_brand")} || ' tail of ' || p_name || '. It ends.' END AS md FROM part"""
+
+
+@query("X9_stitch", STITCHED)
 def _(t):
-    md = F.concat("p_name", F.lit(" =\n\n$$"), "p_brand", F.lit("$$\n\n("), c("p_size").cast("string"), F.lit(")\n\nProse follows here. It ends."))
-    return _mapped(t("part").select("p_partkey", md.alias("md")), "md", stitch)
+    n = c("p_size").cast("string")
+    md = (
+        F.when(c("p_size") % 4 == 0, F.concat("p_name", F.lit(" =\n\n$$"), "p_brand", F.lit("$$\n\n("), n, F.lit(")\n\nProse follows here. It ends.")))
+        .when(c("p_size") % 4 == 1, F.concat(F.lit("An intro is here. Yes.\n$$"), "p_brand", F.lit("$$\n\n$$ x = "), n, F.lit(" $$\n\n\ny\nProse of "), "p_name", F.lit(" here. It ends.\nAnd a line more. It ends.")))
+        .when(c("p_size") % 4 == 2, F.concat("p_name", F.lit(" =\n\n("), n, F.lit(")\n\n\nend")))
+        .otherwise(F.concat(F.lit("lead $$"), "p_brand", F.lit("$$ tail of "), "p_name", F.lit(". It ends.")))
+    )
+    return chunks.stitch(t("part").select(c("p_partkey").alias("document_id"), md.alias("markdown"))).select(c("document_id").alias("p_partkey"), c("stitched").alias("md"))
 
 
-@query("X11_inline_math", r"SELECT p_partkey, p_name || ' $a \times b$ and × ' || p_brand AS md FROM part")
+@query("X11_inline_math", r"SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN p_name || ' $a \times b$ and × ' || p_brand WHEN 1 THEN 'So $$' || chr(10) || p_brand || ' \leq ' || p_size || chr(10) || '$$ and $\alpha _1$, ≤' ELSE p_name || ' costs 5 × ' || p_size END AS md FROM part")
 def _(t):
-    return _mapped(t("part").select("p_partkey", F.concat("p_name", F.lit(r" \( a ×b \) and × "), "p_brand").alias("md")), "md", inline_math)
+    n = c("p_size").cast("string")
+    md = (
+        F.when(c("p_size") % 3 == 0, F.concat("p_name", F.lit(r" \( a ×b \) and × "), "p_brand"))
+        .when(c("p_size") % 3 == 1, F.concat(F.lit("So \\["), "p_brand", F.lit(" ≤"), n, F.lit("\\] and $α_1$, ≤"))).otherwise(F.concat("p_name", F.lit(" costs 5 × "), n))
+    )
+    return t("part").select("p_partkey", chunks.inline_math(md).alias("md"))
 
 
 @query("S9_extractor", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'vlm' WHEN p_size % 2 = 0 THEN 'mineru' ELSE 'pymupdf' END AS extractor FROM part")

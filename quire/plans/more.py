@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..chunking.chunker import chunks_of_blocks, chunks_of_markdown
-from ..chunking.tables import parse_table
+from ..functions import text as x
+from ..functions.tables import parse_table
 from ..models import HashModel, embed
 from ..operators import layout
+from ..operators.chunks import EARLY_BLOCKS, chunks_of_blocks, chunks_of_markdown
 from ..operators.store import pending
 from .registry import query
+from .text import NORMAL, PARAGRAPHS, PHRASE, PLAIN
 
 c = F.col
 
@@ -59,31 +61,85 @@ def _(t):
     return t("pages").select("page_id", served.alias("s")).select("page_id", F.when(c("s").startswith("/static/images/"), F.substring("s", 16, 1000)).otherwise(c("s")).alias("path"))
 
 
-@query("X6_markdown_chunks")
+def _markdown(t, text):
+    return t("documents").select(c("doc_id").cast("string").alias("document_id"), F.concat(F.lit("# "), "source", F.lit("\n\n"), F.replace(text, F.lit("\n"), F.lit("\n\n"))).alias("markdown"))
+
+
+# The rules of text.py over blocks instead of texts; packing long paragraphs is that of PARAGRAPHS.
+_STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+_PACKED = PARAGRAPHS[PARAGRAPHS.index("p AS (") : PARAGRAPHS.index("o AS (")]
+_PLAINLY, _TIDILY = (lambda v: PLAIN.replace("(text,", f"({v},", 1)), (lambda v: NORMAL.replace("(text,", f"({v},", 1))
+_NOTE = rf"""length(b) > 0 AND CASE WHEN regexp_matches(split_part(b, chr(10), 1), '^[{x.FOOTNOTE_MARKS}]+\s*\S') THEN phrase OR NOT (starts_with(b, '*') AND NOT starts_with(b, '**')) ELSE length(b) < 200 AND phrase END"""
+
+
+def _long_paragraphs(key: str, text: str, source: str) -> str:
+    """Common table expressions from source to o (key, i, j, paragraph): the paragraphs of text."""
+    first = PARAGRAPHS[PARAGRAPHS.index("a AS (") : PARAGRAPHS.index("p AS (")].replace("SELECT doc_id,", f"SELECT {key} AS doc_id,").replace("replace(text,", f"replace({text},").replace("FROM documents", f"FROM {source}")
+    return first + _PACKED + "o AS (SELECT doc_id, i, generate_subscripts(q, 1) AS j, unnest(q) AS paragraph FROM s)"
+
+
+MARKDOWN_CHUNKS = rf"""WITH m AS (SELECT doc_id::VARCHAR AS document_id, '# ' || source || chr(10) || chr(10) || replace(replace(text, '$', 'USD'), chr(10), chr(10) || chr(10)) AS md FROM documents),
+n AS (SELECT document_id, regexp_replace(regexp_replace(substring(md, 1, 3500), '\n([∗⋆★✱✲†‡§¶])', chr(10) || chr(10) || '\1', 'g') || substring(md, 3501), '(?m)^(#{{1,6}}\s+[^\n]*)$', chr(10) || chr(10) || '\1' || chr(10) || chr(10), 'g') AS md FROM m),
+l AS (SELECT document_id, list_filter(list_transform(string_split(md, chr(10) || chr(10)), lambda v : {_STRIP.format("v")}), lambda v : v <> '') AS l FROM n),
+b AS (SELECT document_id, generate_subscripts(l, 1) AS at_, unnest(l) AS b FROM l),
+f AS (SELECT *, {PHRASE.replace("lower(text)", "lower(b)")} AS phrase FROM b),
+k AS MATERIALIZED (SELECT *, document_id || ' ' || at_ AS block, {_PLAINLY("b")} AS plain, {_TIDILY("b")} AS tidy, list_transform(regexp_extract_all(b, '!\[[^\]]*\]\(([^)]+)\)', 1), lambda v : split_part(trim(v), '/', -1)) AS refs,
+  CASE WHEN regexp_matches(b, '\|.*\|.*\|') THEN 'table' WHEN regexp_matches(b, '!\[.*?\]\(.*?\)') THEN 'figure' WHEN regexp_matches(b, '^#{{1,6}}\s+.+') THEN 'heading' WHEN at_ <= {EARLY_BLOCKS} AND {_NOTE} THEN 'footnote' ELSE 'text' END AS kind FROM f),
+w AS (SELECT * FROM k WHERE kind = 'text'), {_long_paragraphs("block", "plain", "w")},
+c AS (SELECT document_id, at_, 0 AS i, 0 AS j, kind, CASE kind WHEN 'heading' THEN b ELSE tidy END AS markdown, CASE kind WHEN 'heading' THEN {_STRIP.format("regexp_replace(b, '^#+', '')")} ELSE plain END AS plain_text, CASE kind WHEN 'heading' THEN []::VARCHAR[] ELSE refs END AS refs FROM k WHERE kind <> 'text'
+  UNION ALL SELECT document_id, at_, i, j, kind, {_TIDILY("paragraph")}, paragraph, refs FROM k JOIN o ON o.doc_id = block WHERE length(paragraph) > {x.SCRAP})
+SELECT document_id, (row_number() OVER d)::INTEGER AS sequence_id, kind AS chunk_type, list_filter([last_value(CASE WHEN kind = 'heading' THEN plain_text END IGNORE NULLS) OVER d], lambda v : v IS NOT NULL) AS heading_path, markdown, plain_text,
+  NULL::INTEGER AS page_start, NULL::INTEGER AS page_end, floor(len(regexp_extract_all(plain_text, '\S+')) * 13 / 10)::INTEGER AS token_count, list_filter(refs, lambda v : v <> '') AS image_refs
+FROM c WINDOW d AS (PARTITION BY document_id ORDER BY at_, i, j ROWS UNBOUNDED PRECEDING)"""
+
+
+@query("X6_markdown_chunks", MARKDOWN_CHUNKS)
 def _(t):
-    d = t("documents").select(c("doc_id").cast("string").alias("document_id"), F.concat(F.lit("# "), "source", F.lit("\n\n"), F.replace(c("text"), F.lit("\n"), F.lit("\n\n"))).alias("markdown"))
-    return chunks_of_markdown(d).drop("table_json")
+    """Every document as Markdown under a heading, without dollar signs."""
+    return chunks_of_markdown(_markdown(t, F.replace("text", F.lit("$"), F.lit("USD")))).drop("table_json")
 
 
-@query("X5_block_chunks")
+@query("X6_markdown_mathematics")
 def _(t):
+    """The same with them: what stands between pairs of dollar signs is mathematics."""
+    return chunks_of_markdown(_markdown(t, c("text"))).drop("table_json")
+
+
+BLOCK_CHUNKS = rf"""WITH b AS (SELECT conv_id::VARCHAR AS document_id, turn, conv_id || ' ' || turn AS block, {_STRIP.format("coalesce(text, '')")} AS b FROM conversations),
+w AS (SELECT * FROM b WHERE turn <> 0), {_long_paragraphs("block", "b", "w")},
+c AS (SELECT document_id, turn, 0 AS i, 0 AS j, 'heading' AS kind, '# ' || b AS markdown, b AS plain_text FROM b WHERE turn = 0 AND b <> ''
+  UNION ALL SELECT document_id, turn, i, j, 'text', paragraph, paragraph FROM b JOIN o ON o.doc_id = block WHERE length(paragraph) > {x.SCRAP})
+SELECT document_id, (row_number() OVER d)::INTEGER AS sequence_id, kind AS chunk_type, list_filter([last_value(CASE WHEN kind = 'heading' THEN plain_text END IGNORE NULLS) OVER d], lambda v : v IS NOT NULL) AS heading_path, markdown, plain_text,
+  (turn + 1)::INTEGER AS page_start, (turn + 1)::INTEGER AS page_end, floor(len(regexp_extract_all(plain_text, '\S+')) * 13 / 10)::INTEGER AS token_count, []::VARCHAR[] AS image_refs
+FROM c WINDOW d AS (PARTITION BY document_id ORDER BY turn, i, j ROWS UNBOUNDED PRECEDING)"""
+
+
+@query("X5_block_chunks", BLOCK_CHUNKS)
+def _(t):
+    """Every conversation as typed blocks, its first turn a heading."""
     block = F.struct(F.lit("text").alias("type"), "text", F.when(c("turn") == 0, 1).alias("text_level"), c("turn").cast("int").alias("page_idx"))
     d = t("conversations").groupBy(c("conv_id").cast("string").alias("document_id")).agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("turn", block.alias("b")))), lambda e: e["b"])).alias("blocks"))
     return chunks_of_blocks(d).drop("table_json")
 
 
-@query("X16_html_tables", "SELECT p_partkey, [p_brand, p_brand || ' ' || p_type] AS headers, [[p_name, p_size::VARCHAR]] AS cells, 2 AS num_cols FROM part")
-def _(t):
-    html = F.concat(F.lit("<table><tr><th colspan='2'>"), "p_brand", F.lit("</th></tr><tr><th></th><th>"), "p_type", F.lit("</th></tr><tr><td>"), "p_name", F.lit("</td><td>"), c("p_size").cast("string"), F.lit("</td></tr></table>"))
+GRIDS = r"""SELECT p_partkey, t.headers, t.rows AS cells, t.num_cols FROM (SELECT p_partkey, CASE p_size % 4
+  WHEN 0 THEN {'headers': [p_brand, p_brand || ' ' || p_type], 'rows': [[p_name, p_size::VARCHAR]], 'num_cols': 2}
+  WHEN 1 THEN {'headers': ['Model & ' || p_brand, 'Cost'], 'rows': [[p_name, p_size::VARCHAR], [p_name, p_type], ['x', 'x']], 'num_cols': 2}
+  WHEN 2 THEN {'headers': [p_name, p_brand, 'n'], 'rows': [[p_type, p_size::VARCHAR]], 'num_cols': 3}
+  END AS t FROM part)"""
 
-    def run(batches):
-        import pandas as pd
 
-        for pdf in batches:
-            found = [parse_table(h) for h in pdf["html"]]
-            yield pd.DataFrame({"p_partkey": pdf["p_partkey"], "headers": [f["headers"] for f in found], "cells": [f["rows"] for f in found], "num_cols": [f["num_cols"] for f in found]})
+@query("X16_html_tables", GRIDS)
+def _(t):
+    n, td = c("p_size").cast("string"), lambda v: F.concat(F.lit("<td>"), v, F.lit("</td>"))
+    html = (
+        F.when(c("p_size") % 4 == 0, F.concat(F.lit("<table><tr><th colspan='2'>"), "p_brand", F.lit("</th></tr><tr><th></th><th>"), "p_type", F.lit("</th></tr><tr>"), td("p_name"), td(n), F.lit("</tr></table>")))
+        .when(c("p_size") % 4 == 1, F.concat(F.lit("<TABLE>\n<tr><th>Model &amp; <b>"), "p_brand", F.lit("</b></th><th>Cost</th></tr>\n<tr><td rowspan=\"2\">"), "p_name", F.lit("</td>"), td(n), F.lit("</tr><tr>"), td("p_type"), F.lit("</tr><tr><td colspan=2>x</td></tr></TABLE>")))
+        .when(c("p_size") % 4 == 2, F.concat(F.lit("| "), "p_name", F.lit(" | "), "p_brand", F.lit(" | n |\n|---|---|---|\n| "), "p_type", F.lit(" | | "), n, F.lit(" |")))
+        .otherwise(F.lit("<p>no table</p>"))
+    )
+    return t("part").select("p_partkey", parse_table(html).alias("t")).select("p_partkey", "t.headers", c("t.rows").alias("cells"), "t.num_cols")
 
-    return t("part").select("p_partkey", html.alias("html")).mapInPandas(run, "p_partkey long, headers array<string>, cells array<array<string>>, num_cols int")
 
 
 @query(

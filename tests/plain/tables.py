@@ -1,4 +1,4 @@
-"""HTML and pipe tables to headers and rows, spans laid out."""
+"""HTML and pipe tables to headers and rows, plainly: what quire.functions.tables is compared with."""
 
 from __future__ import annotations
 

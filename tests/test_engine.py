@@ -24,7 +24,7 @@ def test_entry_imports_and_queries_have_sql():
 )
 def test_equations(spark, raw, inner, label):
     from pyspark.sql import functions as F
-    from quire.chunking.chunker import chunk_blocks, equation
+    from plain.chunker import chunk_blocks, equation
     from quire.functions.text import equation_markdown
 
     latex, number = equation(raw)
@@ -35,7 +35,7 @@ def test_equations(spark, raw, inner, label):
 
 
 def test_tables_with_spans():
-    from quire.chunking.tables import parse_table
+    from plain.tables import parse_table
 
     got = parse_table("<table><tr><th rowspan='2'>Model</th><th colspan='2'>BLEU</th><th colspan=2>Cost</th></tr><tr><th>EN-DE</th><th>EN-FR</th><th>EN-DE</th><th>EN-FR</th></tr><tr><td>A</td><td colspan='2'>1</td><td>2</td><td>3</td></tr></table>")
     assert got["headers"] == ["Model", "BLEU EN-DE", "BLEU EN-FR", "Cost EN-DE", "Cost EN-FR"] and got["num_cols"] == 5
@@ -44,7 +44,7 @@ def test_tables_with_spans():
 
 
 def test_markdown_chunks(spark):
-    from quire.chunking.chunker import chunks_of_markdown
+    from quire.operators.chunks import chunks_of_markdown
 
     md = "# Introduction\n\nSome text here.\n\n## Method\n\n$$a = √{b} × c$$\n\n![fig](images/f.png)\n\n| a | b |\n|---|---|\n| 1 | 2 |\n\n† now at a lab"
     rows = chunks_of_markdown(spark.createDataFrame([("d", md), ("e", None)], "document_id string, markdown string")).collect()
@@ -54,7 +54,7 @@ def test_markdown_chunks(spark):
 
 
 def test_block_chunks(spark):
-    from quire.chunking.chunker import chunks_of_blocks
+    from quire.operators.chunks import chunks_of_blocks
 
     blocks = [
         {"type": "header", "text": "x"}, {"type": "text", "text": "Title", "text_level": 1, "page_idx": 0}, {"type": "text", "text": "A paragraph with \\(x × y\\) in it.", "page_idx": 0}, {"type": "list", "list_items": ["a", " ", "b"]},
@@ -66,14 +66,14 @@ def test_block_chunks(spark):
 
 
 def test_stitched_equations():
-    from quire.chunking.chunker import stitch
+    from plain.chunker import stitch
 
     got = stitch("Text before\nsoftmax(QKT =\n\n$$a$$\n\n) V\n(1)\nAnd prose goes on. It does.")
     assert got == "Text before\n\n$$\nsoftmax(QKT = a ) V \\quad (1)\n$$\n\nAnd prose goes on. It does."
 
 
 def test_paragraphs_agree(spark):
-    from quire.chunking.chunker import paragraphs
+    from plain.chunker import paragraphs
     from quire.functions.text import paragraphs as column
     from pyspark.sql import functions as F
 
@@ -553,7 +553,7 @@ def test_embedding_retries():
 
 def test_stitching_keeps_all_text():
     """Whatever the lines, nothing but fences and white space is lost."""
-    from quire.chunking.chunker import stitch
+    from plain.chunker import stitch
 
     r = random.Random(5)
     pieces = ["A sentence. And more.", "x =", "$$a + b$$", "$$c$$ (3)", "(12a)", ") V", "i", "", "", "# Head", "lead $$d$$", "| a | b |", "- item", "cost is $5 today, not $6"]
@@ -565,3 +565,72 @@ def test_stitching_keeps_all_text():
         for ch in left(got):
             missing.remove(ch)
         assert not [ch for ch in missing if not ch.isdigit() and ch != "a"], (md, got)  # a second number of one equation is not kept
+
+
+def test_stitching_as_a_plan(spark):
+    """The plan's stitching is the plain fold's, over random lines; nulls; documents without mathematics."""
+    from plain.chunker import stitch as plain
+    from quire.operators.chunks import stitch
+
+    r = random.Random(6)
+    pieces = ["A sentence. And more.", "x =", "$$a + b$$", "$$c$$ (3)", "(12a)", ") V", "i", "", "", "# Head", "lead $$d$$", "| a | b |", "- item", "cost is $5 today, not $6", "f(", "softmax(QKT", "$$e$$$$f$$", "α ≤ √{x}", " "]
+    texts = ["\n".join(r.choice(pieces) for _ in range(r.randint(1, 16))) for _ in range(600)] + ["", "$$", "$$a$$"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(-1, None)], "document_id long, markdown string").repartition(6)
+    got = {x.document_id: x.stitched for x in stitch(docs).collect()}
+    assert len(got) == len(texts) + 1 and got[-1] is None
+    for i, t in enumerate(texts):
+        assert got[i] == plain(t), t
+
+
+def test_chunks_as_plans(spark):
+    """Both chunkers against the plain ones: random blocks and Markdown, and whole documents with mathematics."""
+    from plain.chunker import CHUNK_SCHEMA, chunk_blocks, chunk_markdown
+    from quire.operators.chunks import COLUMNS, chunks_of_blocks, chunks_of_markdown
+
+    assert [c.split()[0] for c in CHUNK_SCHEMA.split(", ")] == COLUMNS
+
+    def same(got, want):
+        got = sorted((tuple(x) for x in got), key=lambda x: (x[0], x[1]))
+        for a, b in zip(got, sorted(want)):
+            table = lambda v: v and {k: x for k, x in json.loads(v).items()}
+            assert a[:10] == b[:10] and table(a[10]) == table(b[10]), (a, b)
+        assert len(got) == len(want)
+
+    r = random.Random(8)
+    parts = ["# A", "## B b", "### C", "Text here. More of it.", "$$x = √{a} × b$$", "![f](images/f.png)", "| a | b |\n|---|---|\n| 1 | 2 |", "† now at a lab", "word " * 300 + "End. Then more. " * 40, "<table><tr><td>1|2|3|</td></tr></table>", "ab", "* equal contribution"]
+    texts = ["\n\n".join(r.choice(parts) for _ in range(r.randint(1, 40))) for _ in range(120)]
+    texts += [t.replace("\n", "\n\n") for t in (x.text for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()) if t]
+    docs = [(f"d{i:04}", t) for i, t in enumerate(texts)]
+    same(chunks_of_markdown(spark.createDataFrame([*docs, ("n", None), ("o", "")], "document_id string, markdown string").repartition(5)).collect(), [row for i, t in docs for row in chunk_markdown(i, t)])
+
+    def block():
+        kind = r.choice(["text", "text", "text", "header", "equation", "image", "chart", "table", "list", "code", "algorithm", "page_footnote", "odd", None])
+        said = r.choice(["A paragraph with \\(x × y\\) in it.", "", "  ", "y = x^2 \\tag{3}", "$$a$$ (4)", '{"key": [1, 2, 3]}', "def f():\n  return 1\nclass A:", "Title"])
+        return {
+            "type": kind, "text": said, "text_level": r.choice([None, None, 1, 2, 8]) if kind == "text" else None, "page_idx": r.choice([None, 0, 3]), "img_path": r.choice([None, "a/b.png", "c.jpg"]), "img_caption": r.choice([None, [], [["One"], "two", [[" three "]]], "plain"]),
+            "chart_caption": r.choice([None, ["x"]]), "table_caption": r.choice([None, ["T", ["1"]]]), "code_caption": r.choice([None, 'Say "so"']), "caption": r.choice([None, ["c"]]), "table_body": r.choice([None, "", "<table><tr><th>a</th><th colspan=2>b</th></tr><tr><td rowspan='2'>1</td><td>2</td><td>3</td></tr><tr><td>4</td></tr></table>"]),
+            "list_items": r.choice([None, ["a", " ", "b"]]), "code_body": r.choice([None, "def f():\n  pass", "```py\nx\n```"]),
+        }
+
+    many = [(f"b{i:04}", [block() for _ in range(r.randint(0, 12))]) for i in range(250)]
+    rows = [(i, json.dumps(b)) for i, b in many] + [("n", None), ("bad", "[{")]
+    same(chunks_of_blocks(spark.createDataFrame(rows, "document_id string, blocks string")).collect(), [row for i, b in many for row in chunk_blocks(i, b)])
+
+
+def test_table_grids(spark):
+    """Spans, header rows, entities and pipes against the plain parser, and the published shape of a two-row header."""
+    from plain.tables import parse_table as plain
+    from pyspark.sql import functions as F
+    from quire.functions.tables import parse_table
+
+    r = random.Random(4)
+    cell = lambda: f"<t{r.choice('ddh')} {r.choice(['', 'colspan=2', 'rowspan=\"2\"', 'COLSPAN = 3 rowspan=2', 'colspan=x', 'rowspan=0'])}>{r.choice(['a', 'b &amp; c', '<b>x</b> y', '', 'é'])}</td>"
+    tables = ["<table>" + "".join("<tr>" + "".join(cell() for _ in range(r.randint(0, 4))) + "</tr>" for _ in range(r.randint(0, 4))) + "</table>" for _ in range(200)]
+    tables = [re.sub(r"<t([dh]) ([^>]*)>(.*?)</td>", r"<t\1 \2>\3</t\1>", t) for t in tables]
+    tables += ["| a | b |\n|---|---|\n| 1 | 2 |", "no table", "", "|a|b|\n|-|-|", "<table></table>"]
+    head = "<table><thead><tr><th rowspan='2'>Model</th><th colspan='2'>BLEU</th><th colspan=2>Training Cost</th></tr><tr><th>EN-DE</th><th>EN-FR</th><th>EN-DE</th><th>EN-FR</th></tr></thead><tbody><tr><td>A</td><td>1</td><td>2</td><td>3</td><td>4</td></tr><tr><td>B</td><td>5</td><td>6</td><td colspan='2'>7</td></tr></tbody></table>"
+    got = spark.createDataFrame([(i, t) for i, t in enumerate([*tables, head])] + [(-1, None)], "i int, t string").select("i", parse_table(F.col("t")).alias("g")).collect()
+    by = {x.i: x.g and x.g.asDict(True) for x in got}
+    for i, t in enumerate(tables):
+        assert by[i] == plain(t), t
+    assert by[-1] is None and by[len(tables)]["headers"] == ["Model", "BLEU EN-DE", "BLEU EN-FR", "Training Cost EN-DE", "Training Cost EN-FR"] and by[len(tables)]["rows"][1] == ["B", "5", "6", "7", "7"]
