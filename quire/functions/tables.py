@@ -67,7 +67,10 @@ def _let(value: Column, body) -> Column:
 
 
 def html_table(x: Column) -> Column:
-    """TABLE of the first table of an HTML text, null if it has no cells; spans laid out, header rows merged column by column."""
+    """TABLE of the tables of an HTML text, null if they have no cells; spans laid out, header rows merged column by column.
+
+    Where a cell would span a column that one above still fills, that column isn't its own in any row.
+    """
     rows = F.transform(F.filter(F.split(x, r"(?i)<tr\b"), lambda r: r.rlike(r"(?i)<t[dh]\b")), _cells)
     start = F.struct(F.array().cast(f"array<{_SLOT}>").alias("carried"), F.array().cast("array<struct<cells:array<string>,head:boolean>>").alias("rows"))
     laid = F.aggregate(F.filter(rows, lambda r: F.size(r) > 0), start, _add_row)["rows"]
