@@ -83,8 +83,9 @@ def render(messages: DataFrame, learn_roles: tuple[str, ...] = ("assistant",)) -
 
     messages: conv_id, place, role, text. A turn is OPEN role SEP text CLOSE. loss_spans has
     one entry a turn, null unless its role is learnt: the turn's start, and start and length
-    of its text, all in code points of formatted.
+    of its text, all in code points of formatted. Null role or text is empty.
     """
+    messages = messages.withColumns({c: F.coalesce(c, F.lit("")) for c in ("role", "text")})
     body = F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(SEP))
     m = messages.withColumn("head", body).withColumn("said", escape(F.col("text")))
     size = (F.length("head") + F.length("said") + len(CLOSE)).cast("long")

@@ -70,7 +70,9 @@ def schedule(docs: DataFrame, weights: list[float] = (5, 2, 1), max_repeats: int
 
     Null text and text of white space have size 0 and are never served. A null source is a
     source. Repeated rows and repeated ids are documents of their own. An empty table gives
-    an empty schedule. Packets that finish together follow the hash, then row_id.
+    an empty schedule. Documents are shuffled, and packets that finish together ordered, by a hash
+    of id and text, then of source; only true copies tie there, and for them it doesn't matter,
+    so that the mix is the same however the rows are dealt to files.
     """
     of_rows, packets, _ = _schedule(docs, weights, max_repeats, seed)
     return of_rows.join(packets, "row_id", "left").withColumn("words", F.coalesce("words", F.lit(0).cast("long")))
@@ -79,7 +81,7 @@ def schedule(docs: DataFrame, weights: list[float] = (5, 2, 1), max_repeats: int
 def _schedule(docs: DataFrame, weights: list[float], max_repeats: int, seed: str) -> tuple[DataFrame, DataFrame, int]:
     """Rows with their source's target, the packets with their places, and the budget in words."""
     spark = docs.sparkSession
-    key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\n"), F.coalesce(F.col("text"), F.lit(""))).cast("binary"))
     key = F.conv(F.substring(key, 1, 15), 16, 10).cast("long").alias("k")
     row_id = F.col("row_id") if "row_id" in docs.columns else F.monotonically_increasing_id().alias("row_id")
     slim = materialize(docs.select(row_id, "doc_id", "source", word_count(F.col("text")).alias("size"), key), "mix-sizes")
@@ -100,8 +102,8 @@ def _schedule(docs: DataFrame, weights: list[float], max_repeats: int, seed: str
     packets = F.filter(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / QUANTUM)), lambda p: (F.col("begun") + p * QUANTUM).cast("double") < F.col("target"))
     served = served.withColumn("packet", F.explode(packets))
     first, held = F.col("packet") * QUANTUM, F.least(F.lit(QUANTUM), F.col("size") - F.col("packet") * QUANTUM)
-    served = served.select("row_id", "k", "copy", "packet", held.alias("held"), ((F.col("begun") + first).cast("double") / F.col("target")).alias("start"), ((F.col("begun") + first + held).cast("double") / F.col("target")).alias("finish"))
-    order = ["finish", "k", "row_id", "copy", "packet"]
+    served = served.select("row_id", "k", F.xxhash64("skey").alias("tie"), "copy", "packet", held.alias("held"), ((F.col("begun") + first).cast("double") / F.col("target")).alias("start"), ((F.col("begun") + first + held).cast("double") / F.col("target")).alias("finish"))
+    order = ["finish", "k", "tie", "copy", "packet", "row_id"]
     ranges = parts(spark, (budget // QUANTUM + count) * PACKET_BYTES)
     ranged = materialize(served.repartitionByRange(ranges, *order).withColumn("range", F.spark_partition_id()), "mix-order")
     sums = ranged.groupBy("range").agg(F.sum("held").alias("all"))
@@ -113,8 +115,10 @@ def _schedule(docs: DataFrame, weights: list[float], max_repeats: int, seed: str
     return of_rows, done.select("row_id", "copy", "packet", "start", "finish", "place", taken.alias("words")), budget
 
 
-def mix(docs: DataFrame, weights: list[float] = (5, 2, 1), max_repeats: int = 3) -> DataFrame:
-    """The mixed documents themselves, whole, with every column of docs, then mix_copy (from 0) and mix_place.
+def mix(docs: DataFrame, weights: list[float] = (5, 2, 1), max_repeats: int = 3, names: tuple[str, str] = ("mix_copy", "mix_place")) -> DataFrame:
+    """The mixed documents themselves, whole, with every column of docs, then mix_copy (from 0) and mix_place, as names says.
+
+    Should docs have a column of either name, in any case, underscores are put after the new one.
 
     A document that is served k times is k rows. Of the documents that the end of the mix
     cuts, a copy stays when at least half of it is served. mix_place is how many words of the
@@ -124,8 +128,12 @@ def mix(docs: DataFrame, weights: list[float] = (5, 2, 1), max_repeats: int = 3)
 
     Scale: rows are written once with a number, then shuffled to their places in the mix.
     """
-    spark, names = docs.sparkSession, docs.columns
-    rows = materialize(docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"), F.monotonically_increasing_id().alias("row_id")), "mix-rows")
+    spark, columns, new = docs.sparkSession, docs.columns, []
+    for name in names:
+        while name.lower() in {c.lower() for c in [*columns, *new]}:
+            name += "_"
+        new.append(name)
+    rows = materialize(docs.select(F.struct(*[F.col(f"`{n}`") for n in columns]).alias("row"), F.monotonically_increasing_id().alias("row_id")), "mix-rows")
     slim = rows.select("row_id", "row.doc_id", "row.text", "row.source")
     of_rows, packets, budget = _schedule(slim, weights, max_repeats, "")
     served = packets.where("words > 0").groupBy("row_id", "copy").agg(F.sum("words").alias("words"), F.max("place").alias("mix_place"))
@@ -134,7 +142,7 @@ def mix(docs: DataFrame, weights: list[float] = (5, 2, 1), max_repeats: int = 3)
     part = F.least(F.floor(F.col("mix_place") * n / max(1, budget)), F.lit(n - 1)).cast("int")
     placed = rows.join(kept.select("row_id", F.col("copy").alias("mix_copy"), "mix_place", part.alias("part")), "row_id")
     placed = placed.repartitionById(n, F.col("part")).sortWithinPartitions("mix_place", "row_id")
-    return placed.select(*[F.col(f"row.`{c}`") for c in names], "mix_copy", "mix_place")
+    return placed.select(*[F.col(f"row.`{c}`") for c in columns], F.col("mix_copy").alias(new[0]), F.col("mix_place").alias(new[1]))
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,7 +154,7 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = {
     "op1_mix_sources": r"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '') || chr(10) || coalesce(text, '')) AS k FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY encode(source) NULLS LAST)) - 1) % 3 + 1]::DOUBLE AS w FROM s),
 r AS (SELECT *, 3.0::DOUBLE * source_size AS cap, 3.0::DOUBLE * source_size / w AS r, (SELECT sum(source_size) FROM s)::DOUBLE AS budget FROM w),

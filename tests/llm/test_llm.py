@@ -67,7 +67,7 @@ def brute_mix(rows, quantum):
     for r, n in zip(rows, size):
         sizes[r[3]] = sizes.get(r[3], 0) + n
     targets = brute_targets(sizes)
-    md5 = lambda r: h.md5(str("" if r[0] is None else r[0]).encode()).hexdigest()
+    md5 = lambda r: h.md5(f"{'' if r[0] is None else r[0]}\n{r[1] or ''}".encode()).hexdigest()
     at, packets = dict.fromkeys(sizes, 0), []
     order = sorted(range(len(rows)), key=lambda i: md5(rows[i]))
     for copy in range(3):
@@ -1081,3 +1081,38 @@ def test_toxicity_held_out(spark):
     ranks, toxic = got["score"].rank(), got["toxic"] == 1
     auc = (ranks[toxic].sum() - toxic.sum() * (toxic.sum() + 1) / 2) / (toxic.sum() * (~toxic).sum())
     assert auc > 0.98 and ((got["predicted"] == 1) == toxic).mean() > 0.975 and (got["predicted"] == 1)[~toxic].mean() < 0.01
+
+
+# --- what doesn't depend on how rows are dealt, and names that clash
+
+
+def test_mix_over_layouts(spark, tmp_path):
+    """Rows with null and shared ids, written as one file and as seven in another order: the same words are taken."""
+    from quire.llm.mixing import op1_mix_sources
+
+    r = random.Random(9)
+    rows = [(None if i % 3 else i % 40, f"t{i % 700} " * r.choice([1, 5, 60]), "en", f"s{i % 4}" if i % 5 else None, 1) for i in range(1500)]
+    for name, n in (("one", 1), ("seven", 7)):
+        r.shuffle(rows)
+        spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(n).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+    one, seven = (sorted(map(str, op1_mix_sources(spark, f"{tmp_path}/{n}").collect())) for n in ("one", "seven"))
+    assert one == seven
+
+
+def test_mix_with_its_own_names(spark):
+    from quire.llm.mixing import mix
+
+    docs = frame(spark, ROWS[:20]).withColumnsRenamed({"words": "mix_copy", "node": "MIX_PLACE"})
+    out = mix(docs)
+    assert out.columns == [*docs.columns, "mix_copy_", "mix_place_"] and out.select(*docs.columns).count() == out.count()
+    assert mix(docs, names=("a", "a")).columns[-2:] == ["a", "a_"]
+
+
+def test_render_without_text(spark):
+    """A turn whose text or role is null is a turn."""
+    from quire.llm.chat import parse, render
+    from pyspark.sql import functions as F
+
+    m = spark.createDataFrame([(1, 1, "user", None), (1, 2, "assistant", "Yes."), (1, 3, None, "no one")], "conv_id long, place int, role string, text string")
+    row = render(m).select("n_turns", parse(F.col("formatted")).alias("t"), "loss_spans").first()
+    assert row.n_turns == 3 and [tuple(t) for t in row.t] == [("user", ""), ("assistant", "Yes."), ("", "no one")] and [s is not None for s in row.loss_spans] == [False, True, False]
