@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders that this process has made, in order.
+_made: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
@@ -27,9 +32,21 @@ def new_folder(spark: SparkSession, label: str) -> str:
     """Path of a new folder in the shared one; it goes when the session's process ends, or by drop_folder."""
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     _file_system(spark, path, lambda fs, p: fs.deleteOnExit(p))
+    _made.append(path)
     return path
 
 
+@contextmanager
+def dropping(spark: SparkSession) -> Iterator[None]:
+    """Drops, at its end, the folders that were made within: for steps whose result is written by then."""
+    before = len(_made)
+    try:
+        yield
+    finally:
+        while len(_made) > before:
+            drop_folder(spark, _made.pop())
+
+
 def drop_folder(spark: SparkSession, path: str) -> None:
     _file_system(spark, path, lambda fs, p: fs.delete(p, True))
 
