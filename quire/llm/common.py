@@ -7,9 +7,9 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..scratch import drop_folder, materialize, new_folder, shared_dir
+from ..scratch import drop_folder, dropping, materialize, new_folder, shared_dir
 
-__all__ = ["WORD", "drop_folder", "materialize", "new_folder", "parts", "pick", "remembered", "shared_dir", "table", "text_bytes", "word_count"]
+__all__ = ["WORD", "drop_folder", "dropping", "materialize", "new_folder", "parts", "pick", "remembered", "shared_dir", "table", "text_bytes", "word_count"]
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 

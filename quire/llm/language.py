@@ -20,6 +20,8 @@ from .common import pick, table
 
 #: The fitting sample is bounded: so many labelled texts of a language, and so many languages.
 SAMPLE_TEXTS, LANGUAGES = 128, 200
+#: Longer texts, in bytes, are not learnt from, so that the sample is bounded in bytes too.
+LONGEST_LEARNT = 1 << 17
 #: Lengths, in characters, of texts that are taken first.
 FITTING = (100, 8000)
 LEVEL, BLOCK = 6, 4096
@@ -40,11 +42,11 @@ def fit(labelled: DataFrame, texts: int = SAMPLE_TEXTS, languages: int = LANGUAG
 
     Of each language, the `texts` different texts with the smallest hashes are taken, those
     whose length is FITTING first, and whole. Should there be more languages than `languages`,
-    those with the most texts are learnt. Only the sample reaches the driver: a first pass
+    those with the most texts are learnt, and texts beyond LONGEST_LEARNT are not. Only the sample reaches the driver: a first pass
     counts the texts of languages, and a second one keeps about three times the rows that
     are wanted. No labelled text, no dictionaries.
     """
-    rows = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("lang", "text", F.xxhash64("text", F.lit("fit")).alias("h"))
+    rows = labelled.where(F.col("lang").isNotNull() & (F.octet_length("text") <= LONGEST_LEARNT)).select("lang", "text", F.xxhash64("text", F.lit("fit")).alias("h"))
     fits = F.length("text").between(*FITTING)
     counted = rows.groupBy("lang").agg(*[F.approx_count_distinct(F.when(c, F.col("h"))).alias(n) for n, c in (("fit", fits), ("other", ~fits))])
     counts = {r["lang"]: (r["fit"], r["other"]) for r in counted.orderBy((F.col("fit") + F.col("other")).desc(), "lang").limit(languages).collect()}
