@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quire.llm.common import drop_folder, new_folder, table
+from quire.llm.common import drop_folder, dropping, new_folder, table
 from quire.llm.jaccard import one_of_each
 from quire.llm.language import fit, identify
 from quire.llm.mixing import mix
@@ -31,12 +31,18 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of the sources at weights 5, 2, 1 in turn: documents are left out, kept or repeated up to three times."""
+    """The mix of the sources at weights 5, 2, 1 in turn: documents are left out, kept or repeated up to three times.
+
+    Null and blank texts have no words and are left out; a null source is a source; repeated rows are documents of their own. An empty table stays empty.
+    """
     return mix(docs).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 4,096 ids along the curve: their pieces, with checksums."""
+    """Sequences of 4,096 ids along the curve: their pieces, with checksums.
+
+    Null text is empty: its closing id alone. Repeated rows, and the mix's copies, are documents of their own, in different sequences. An empty table has no pieces.
+    """
     import public_tokenizers
 
     pieces = pack_sequences(docs, public_tokenizers.path(WORD_BPE), WORD_BPE_END)
@@ -57,13 +63,14 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies STAGES to the documents of sf_dir, each written to the shared folder and read again.
 
-    A stage's rows are deleted once the next stage's are written; those before the last
-    stage stay until the session's process ends, for the result is read from them.
+    A stage's rows are deleted once the next stage's are written, and the tables it made on
+    its way once its own are; those before the last stage, and what that one makes, stay until the session's process ends, for the result is read from them.
     """
     docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = new_folder(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with dropping(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         if before:
             drop_folder(spark, before)
         docs, before = spark.read.parquet(path), path
