@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .text import pipe_table, strip
+from .text import let, pipe_table, strip
 
 #: Columns or rows that one cell spans at most.
 SPAN_LIMIT = 64
@@ -58,12 +58,7 @@ def _add_row(grid: Column, cells: Column) -> Column:
         carried = F.transform(slots, lambda s: F.when(s["left"] > 1, F.struct(s["text"].alias("text"), (s["left"] - 1).alias("left"))))
         return F.struct(carried.cast(f"array<{_SLOT}>").alias("carried"), F.concat(grid["rows"], F.array(F.struct(texts.alias("cells"), F.exists(cells, lambda c: c["head"]).alias("head")))).alias("rows"))
 
-    return _let(placed, close)
-
-
-def _let(value: Column, body) -> Column:
-    """body of a value that is worked out once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return let(placed, close)
 
 
 def html_table(x: Column) -> Column:
@@ -84,7 +79,7 @@ def html_table(x: Column) -> Column:
         columns = F.when(F.size(headers) > 0, F.size(headers)).otherwise(F.size(F.get(body, F.lit(0))))
         return F.when(F.size(rows) > 0, F.struct(headers.alias("headers"), body.alias("rows"), F.size(body).alias("num_rows"), columns.alias("num_cols")).cast(TABLE))
 
-    return _let(laid, merged)
+    return let(laid, merged)
 
 
 def piped_table(x: Column) -> Column:

@@ -41,6 +41,11 @@ def _replaced(x: Column, rules: list[tuple[str, str]]) -> Column:
     return x
 
 
+def let(value: Column, body) -> Column:
+    """body of a value that is worked out once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(x: Column) -> Column:
     return F.regexp_replace(x, _TRIM, "")
 

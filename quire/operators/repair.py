@@ -1,71 +1,73 @@
-"""Repair of lost characters from the text of the pages around them."""
+"""Repair of lost characters from the text of the pages around them.
+
+A lost character's surroundings give up to four patterns, from the surest to the widest. All
+patterns of all lost characters are rows; they are held against the pages in one join, the
+characters found are counted by pattern, and the first pattern that one character answers wins.
+"""
 
 from __future__ import annotations
 
-import re
 import unicodedata
-from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from ..scratch import materialize
 
-LOST = "\ufffd"
+LOST = "�"
 # Characters of context on either side, wide and narrow; the block of mathematical letters.
 WIDE, NARROW, MATH_LETTERS = 24, 10, (0x1D400, 0x1D7FF)
+#: Mathematical letters and digits and what they are letters of.
+_PLAIN = {chr(c): p for c in range(MATH_LETTERS[0], MATH_LETTERS[1] + 1) if (p := unicodedata.normalize("NFKD", chr(c))).isalnum() and len(p) == 1}
 
 
-def inline(character: str) -> str:
+def inline(character: Column) -> Column:
     """A mathematical letter as inline LaTeX of its plain form; others as they are."""
-    if not MATH_LETTERS[0] <= ord(character) <= MATH_LETTERS[1]:
-        return character
-    base = unicodedata.normalize("NFKD", character)
-    return f"${base}$" if base.isalnum() else character
-
-
-def lost_character(text: str, at: int, pages: list[str]) -> str | None:
-    """What stood at a lost character's place, if the text around it is in the pages (without white space) and they agree.
+    plain = F.translate(character, "".join(_PLAIN), "".join(_PLAIN.values()))
+    return F.when(plain != character, F.concat(F.lit("$"), plain, F.lit("$"))).otherwise(character)
 
-    Both sides are looked for, then the side before, the side after, and both sides closely;
-    other lost characters stand for any.
-    """
-
-    def side(part: str) -> str:
-        return "".join("." if c == LOST else re.escape(c) for c in part if not c.isspace())
 
-    before, after = side(text[max(0, at - WIDE) : at]), side(text[at + 1 : at + 1 + WIDE])
-    near = side(text[max(0, at - NARROW) : at]), side(text[at + 1 : at + 1 + NARROW])
-    for left, right in ((before, after), (before, ""), ("", after), near):
-        if left or right:
-            found = {c for page in pages for c in re.findall(f"{left}(.){right}", page, re.S)}
-            if len(found) == 1 and found != {LOST}:
-                return found.pop()
-    return None
+def _literal(context: Column) -> Column:
+    """A pattern for a context without its white space, in which lost characters stand for any."""
+    bare = F.regexp_replace(context, r"(?U)\s+", "")
+    return F.when(bare == "", "").otherwise(F.concat(F.lit(r"\Q"), F.replace(F.replace(bare, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(LOST), F.lit(r"\E.\Q")), F.lit(r"\E")))
 
 
-def repaired(text: str, pages: list[str]) -> str:
-    return "".join(c if c != LOST or (got := lost_character(text, i, pages)) is None else inline(got) for i, c in enumerate(text))
+def patterns(hurt: DataFrame) -> DataFrame:
+    """rid, place, key, pattern of texts (rid, pieces: the text cut at its lost characters): both sides, the side before, the side after, both sides closely."""
+    rows = hurt.withColumn("place", F.explode(F.sequence(F.lit(1), F.size("pieces") - 1)))
+    # no more pieces than characters of context can be part of it
+    before = F.slice("pieces", F.greatest(F.lit(1), F.col("place") - WIDE), F.least(F.col("place"), F.lit(WIDE + 1)))
+    after = F.slice("pieces", F.col("place") + 1, F.lit(WIDE + 1))
+    rows = rows.withColumn("left", F.right(F.array_join(F.transform(before, lambda p: F.right(p, F.lit(WIDE))), LOST), F.lit(WIDE)))
+    rows = rows.withColumn("right", F.left(F.array_join(F.transform(after, lambda p: F.left(p, F.lit(WIDE))), LOST), F.lit(WIDE)))
+    wide, near = (_literal(F.col("left")), _literal(F.col("right"))), (_literal(F.right("left", F.lit(NARROW))), _literal(F.left("right", F.lit(NARROW))))
+    sides = [(wide[0], wide[1]), (wide[0], F.lit("")), (F.lit(""), wide[1]), near]
+    every = F.array(*[F.when((a != "") | (b != ""), F.concat(F.lit("(?s)"), a, F.lit("(.)"), b)) for a, b in sides])
+    return rows.select("rid", "document_id", "page", "place", F.posexplode(every).alias("key", "pattern")).where("pattern is not null")
 
 
-def repair_glyphs(chunks: DataFrame, pages: DataFrame, keys: list[str]) -> DataFrame:
-    """chunks (keys, document_id, page, text) with their lost characters put right.
+def repair_glyphs(chunks: DataFrame, pages: DataFrame) -> DataFrame:
+    """chunks (document_id, page, text, and any others) with their lost characters put right.
 
     pages: document_id, page, content. A chunk is compared with its page and the two beside
     it, or with all of its document's where its page is null. Only damaged chunks are joined
-    with pages; what stays lost is left as it is, and a null text stays null.
+    with pages, and written with a number of their own, so that repeated rows stay apart; what
+    stays lost is left as it is, and a null text stays null.
     """
-    bare = pages.select("document_id", F.col("page").alias("__at"), F.regexp_replace("content", "(?U)\\s+", "").alias("__content"))
+    bare = pages.select("document_id", F.col("page").alias("at"), F.regexp_replace("content", r"(?U)\s+", "").alias("content"))
     damaged = F.coalesce(F.contains("text", F.lit(LOST)), F.lit(False))
-    beside = F.array(F.col("page") - 1, F.col("page"), F.col("page") + 1)
-    hurt = chunks.where(damaged)
-    known = hurt.where("page is not null").withColumn("__at", F.explode(beside)).join(bare, ["document_id", "__at"], "left")
-    anywhere = hurt.where("page is null").join(bare, "document_id", "left")
     names = chunks.columns
-    both = known.select(*names, "__at", "__content").unionByName(anywhere.select(*names, "__at", "__content"))
-    met = both.groupBy(*names).agg(F.transform(F.array_sort(F.collect_list(F.struct("__at", "__content"))), lambda p: p["__content"]).alias("__pages"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf["text"] = [repaired(t, [p for p in pages if p]) for t, pages in zip(pdf["text"], pdf["__pages"])]
-            yield pdf[names]
-
-    return chunks.where(~damaged).unionByName(met.mapInPandas(run, chunks.schema))
+    row = F.struct(*[F.col(f"`{n}`") for n in names])
+    hurt = materialize(chunks.where(damaged).select(row.alias("row"), F.monotonically_increasing_id().alias("rid"), F.split("text", LOST, -1).alias("pieces")), "damaged-chunks")
+    asked = patterns(hurt.select("rid", "row.document_id", "row.page", "pieces"))
+    beside = asked.where("page is not null").withColumn("at", F.explode(F.array(F.col("page") - 1, F.col("page"), F.col("page") + 1))).join(bare, ["document_id", "at"])
+    anywhere = asked.where("page is null").join(bare, "document_id")
+    met = beside.select("rid", "place", "key", "pattern", "content").unionByName(anywhere.select("rid", "place", "key", "pattern", "content"))
+    found = met.select("rid", "place", "key", F.explode(F.array_distinct(F.regexp_extract_all("content", F.col("pattern"), F.lit(1)))).alias("c"))
+    answers = found.groupBy("rid", "place", "key").agg(F.min("c").alias("c"), (F.min("c") == F.max("c")).alias("one")).where((F.col("one")) & (F.col("c") != LOST))
+    first = answers.groupBy("rid", "place").agg(inline(F.min_by("c", "key")).alias("c"))
+    known = first.groupBy("rid").agg(F.map_from_entries(F.collect_list(F.struct("place", "c"))).alias("known"))
+    whole = hurt.join(known, "rid", "left")
+    said = F.coalesce("known", F.create_map().cast("map<int,string>"))
+    text = F.array_join(F.transform("pieces", lambda p, i: F.when(i < F.size("pieces") - 1, F.concat(p, F.coalesce(F.try_element_at(said, i + 1), F.lit(LOST)))).otherwise(p)), "")
+    return chunks.where(~damaged).unionByName(whole.select(*[text.alias(n) if n == "text" else F.col(f"row.`{n}`") for n in names]))

@@ -29,7 +29,7 @@ def _(t):
 def _(t):
     v = t("conversations").select(c("conv_id").cast("string").alias("document_id"), (c("turn") + 1).alias("page"), F.concat(F.lit("In c"), c("conv_id").cast("string"), F.lit("t"), c("turn").cast("string"), F.lit(" we have 𝑛 tokens, 𝑘")).alias("content"))
     hurt = v.select("document_id", "page", F.regexp_replace("content", "[𝑛𝑘]", repair.LOST).alias("text"))
-    return repair.repair_glyphs(hurt, v, ["document_id", "page"])
+    return repair.repair_glyphs(hurt, v)
 
 
 @query(
@@ -179,11 +179,17 @@ def _(t):
     return ingest.stored_assets(t("part").select(F.concat(F.lit("d"), c("p_size").cast("string")).alias("document_id"), path.alias("path")))
 
 
-@query("S15_url_refusal", "SELECT p_partkey, CASE WHEN p_size % 7 = 0 THEN 'not a web address' WHEN p_size % 4 IN (0, 1) THEN 'internal host' END AS refusal FROM part")
+_SHAPES = ["10.0.0.{}", "me@192.168.1.{}", "8.8.8.{}", "example.org", "{}", "0x7f0000{}", "[::ffff:127.0.0.{}]", "localhost.", "100.64.0.{}", "[2606:4700::{}]", "[fd00::{}]", "0177.{}", "1347440{}", "LOCALHOST:80", "[64:ff9b::8.8.8.{}]", "redis{}"]
+_INTERNAL = [0, 1, 4, 5, 6, 7, 8, 10, 11, 13, 15]
+
+
+@query("S15_url_refusal", f"SELECT p_partkey, CASE WHEN p_partkey % 19 = 0 THEN 'not a web address' WHEN p_partkey % {len(_SHAPES)} IN ({', '.join(map(str, _INTERNAL))}) THEN 'internal host' END AS refusal FROM part")
 def _(t):
-    n = c("p_size").cast("string")
-    hosts = F.when(c("p_size") % 4 == 0, F.concat(F.lit("10.0.0."), n)).when(c("p_size") % 4 == 1, F.concat(F.lit("me@192.168.1."), n)).when(c("p_size") % 4 == 2, F.concat(F.lit("8.8.8."), n)).otherwise("example.org")
-    return t("part").select("p_partkey", ingest.url_refusal(F.concat(F.when(c("p_size") % 7 == 0, "ftp://").otherwise("https://"), hosts, F.lit("/a.png"))).alias("refusal"))
+    """Hosts as names, and as addresses in every way of writing them; n is 10 to 59."""
+    n = (c("p_size") % 50 + 10).cast("string")
+    host = F.element_at(F.array(*[F.concat(F.lit(s.split("{}")[0]), n, F.lit(s.split("{}")[1])) if "{}" in s else F.lit(s) for s in _SHAPES]), (c("p_partkey") % len(_SHAPES) + 1).cast("int"))
+    scheme = F.when(c("p_partkey") % 19 == 0, "ftp://").when(c("p_partkey") % 2 == 0, "HTTP://").otherwise("https://")
+    return t("part").select("p_partkey", ingest.url_refusal(F.concat(scheme, host, F.lit("/a.png"))).alias("refusal"))
 
 
 @query("S15_fetched_image", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'type' END AS refusal, CASE WHEN page_id % 3 <> 0 THEN substring(sha256(html), 1, 16) || CASE WHEN page_id % 3 = 1 THEN '.png' ELSE '.jpg' END END AS name FROM pages")

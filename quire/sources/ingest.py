@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import ipaddress
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.text import let
 from ..scratch import materialize
 
 # Types of images that are fetched, with their endings, and the largest size.
 IMAGE_TYPES = {"image/png": ".png", "image/jpeg": ".jpg", "image/jpg": ".jpg", "image/gif": ".gif", "image/webp": ".webp", "image/svg+xml": ".svg"}
 IMAGE_BYTES = 10 * 1024 * 1024
-# Hosts that are not public: this machine, private networks, link-local, multicast and reserved addresses.
-INTERNAL = r"^(localhost|.*\.local|0\..*|10\..*|127\..*|169\.254\..*|172\.(1[6-9]|2\d|3[01])\..*|192\.168\..*|2[2-5]\d\..*|\[?(::1?|f[cd][0-9a-f]{2}:.*|fe80:.*)\]?)$"
+# Names of this machine and its network; networks that are not public, by first address and length of prefix.
+INTERNAL_NAMES = r"^(.*\.)?(localhost|local|internal|localdomain|home\.arpa)$"
+INTERNAL_4 = [("0.0.0.0", 8), ("10.0.0.0", 8), ("100.64.0.0", 10), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12), ("192.0.0.0", 24), ("192.0.2.0", 24), ("192.88.99.0", 24), ("192.168.0.0", 16), ("198.18.0.0", 15), ("198.51.100.0", 24), ("203.0.113.0", 24), ("224.0.0.0", 3)]
+INTERNAL_6 = [("100::", 64), ("2001::", 32), ("2001:db8::", 32), ("3fff::", 20), ("5f00::", 16), ("64:ff9b:1::", 48), ("fc00::", 7), ("fe80::", 10), ("fec0::", 10), ("ff00::", 8)]
+# Networks whose addresses hold one of version 4, and the 16-bit group in which that begins.
+HOLDS_4 = [("::", 96, 6), ("::ffff:0:0", 96, 6), ("::ffff:0:0:0", 96, 6), ("64:ff9b::", 96, 6), ("2002::", 16, 1)]
 
 
 def extractor(provider: Column, used: Column) -> Column:
@@ -33,10 +40,80 @@ def stored_assets(files: DataFrame) -> DataFrame:
     return files.select("document_id", name.alias("original_name"), stored.alias("file_path"), mime.alias("mime_type"))
 
 
+def _number(part: Column) -> Column:
+    """A part of an address of version 4: decimal, octal after a 0, hexadecimal after 0x; null if it is none."""
+    base = F.when(part.rlike("^0x[0-9a-f]{1,12}$"), F.conv(F.substring(part, F.lit(3), F.length(part)), 16, 10)).when(part.rlike("^0[0-7]{1,12}$"), F.conv(part, 8, 10)).when(part.rlike("^(0|[1-9][0-9]{0,11})$"), part)
+    return base.try_cast("long")
+
+
+def _address_4(host: Column) -> Column:
+    """The 32-bit number of a host that is written as one to four numbers, the last of which fills what is left; null if it is none."""
+
+    def number(parts: Column) -> Column:
+        n, last = F.size(parts), F.element_at(parts, -1)
+        head = F.aggregate(F.slice(parts, F.lit(1), n - 1), F.lit(0).cast("long"), lambda acc, p: acc * 256 + F.when(p < 256, p))
+        room = F.get(F.array(*[F.lit(256**k) for k in (4, 3, 2, 1)]), n - 1)
+        return F.when((n <= 4) & (last < room), head * room + last)
+
+    return let(F.transform(F.split(host, r"\."), lambda part: let(part, _number)), number)
+
+
+def _within(number: Column, first: int, drop: int) -> Column:
+    return F.shiftrightunsigned(number, drop) == first >> drop
+
+
+def _internal_4(number: Column) -> Column:
+    return reduce(lambda a, b: a | b, [_within(number, int(ipaddress.IPv4Address(a)), 32 - n) for a, n in INTERNAL_4])
+
+
+def _groups_6(host: Column) -> Column:
+    """The eight 16-bit groups of an address of version 6 in brackets, the zone left out; null if it is none."""
+    bare = F.regexp_replace(F.regexp_replace(host, r"^\[|\]$", ""), "%.*$", "")
+    pair = lambda n: F.concat(F.lower(F.hex(F.shiftright(n, 16))), F.lit(":"), F.lower(F.hex(n.bitwiseAND(65535))))
+    plain = let(bare, lambda h: F.when(h.contains("."), F.concat(F.regexp_extract(h, "^(.*:)", 1), let(_address_4(F.substring_index(h, ":", -1)), pair))).otherwise(h))
+    halves = F.transform(F.split(plain, "::", -1), lambda side: F.filter(F.split(side, ":"), lambda g: g != ""))
+
+    def joined(halves: Column) -> Column:
+        first, second = F.get(halves, F.lit(0)), F.get(halves, F.lit(1))
+        both = F.concat(first, F.array_repeat(F.lit("0"), F.greatest(8 - F.size(first) - F.size(second), F.lit(0))), second)
+        return F.when(F.size(halves) == 2, both).when(F.size(halves) == 1, first)
+
+    def numbers(groups: Column) -> Column:
+        return F.when((F.size(groups) == 8) & F.forall(groups, lambda g: g.rlike("^[0-9a-f]{1,4}$")), F.transform(groups, lambda g: F.conv(g, 16, 10).cast("long")))
+
+    return let(let(halves, joined), numbers)
+
+
+def _internal_6(groups: Column) -> Column:
+    def within(address: str, length: int) -> Column:
+        own = [int(ipaddress.IPv6Address(address)) >> 112 - 16 * i & 65535 for i in range(8)]
+        return reduce(lambda a, b: a & b, [_within(at(i), own[i], max(0, 16 * (i + 1) - length)) for i in range(-(-length // 16))])
+
+    at = lambda i: F.get(groups, F.lit(i))
+    held = [within(a, n) & let(at(i) * 65536 + at(i + 1), _internal_4) for a, n, i in HOLDS_4]
+    return reduce(lambda a, b: a | b, [within(a, n) for a, n in INTERNAL_6] + held)
+
+
 def url_refusal(url: Column) -> Column:
-    """Why a URL may not be fetched: no web address, no host, an internal host by name or number; null if it may. Names are not resolved here."""
-    host = F.lower(F.regexp_extract(url, r"^https?://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1))
-    return F.when(~F.coalesce(url, F.lit("")).rlike("^https?://"), "not a web address").when(host == "", "no host").when(host.rlike(INTERNAL), "internal host")
+    """Why a URL may not be fetched: no web address, no host, an internal host by name or number; null if it may.
+
+    Addresses are read as numbers, in every way of writing them (decimal, octal, hexadecimal,
+    fewer than four parts, version 4 inside version 6), and held against networks that are not
+    public. What looks like an address and is none, a name of one part, and a name that ends
+    in a number are internal. Names are not resolved here.
+    """
+    u = F.coalesce(url, F.lit(""))
+    web = u.rlike(r"^(?i)https?://") & ~u.rlike(r"[\s\\\x00-\x1f]")
+    host = F.regexp_replace(F.lower(F.regexp_extract(u, r"(?i)^https?://(?:[^/?#]*@)?(\[[^\]]*\]|[^/?#:]*)", 1)), r"\.+$", "")
+
+    def internal(host: Column) -> Column:
+        numeric = F.element_at(F.split(host, r"\."), -1).rlike("^(0x[0-9a-f]*|[0-9]+)$")
+        by_name = host.rlike(INTERNAL_NAMES) | ~host.contains(".") | host.contains("%")
+        return F.when(host == "", "no host").when(
+            F.when(host.startswith("["), F.coalesce(let(_groups_6(host), _internal_6), F.lit(True))).when(numeric, F.coalesce(let(_address_4(host), _internal_4), F.lit(True))).otherwise(by_name), "internal host"
+        )
+
+    return F.when(~web, "not a web address").otherwise(let(host, internal))
 
 
 def fetched_image(content_type: Column, content: Column) -> Column:

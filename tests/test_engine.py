@@ -482,11 +482,49 @@ def test_glyph_repair(spark):
         [("d", 1, f"we have {lost}tokens here", 1), ("d", 2, f"a {lost} b {lost}", 2), ("d", 9, f"far {lost} away", 3), ("d", None, f"far {lost} away", 4), ("d", 1, "whole", 5), ("d", 1, None, 6), ("e", 1, f"we have {lost}tokens", 7)],
         "document_id string, page int, text string, id int",
     )
-    got = {r.id: r.text for r in repair_glyphs(chunks, pages, ["id"]).collect()}
+    got = {r.id: r.text for r in repair_glyphs(chunks, pages).collect()}
     assert got[1] == "we have $n$tokens here" and got[4] == "far $k$ away" and got[5] == "whole" and got[6] is None
     assert got[2] == f"a {lost} b {lost}" and got[3] == f"far {lost} away" and got[7] == f"we have {lost}tokens"
 
 
+def test_glyph_repair_keeps_rows(spark):
+    """Equal damaged rows, adjacent losses, contexts with regular expressions' signs, answers that differ, texts longer than any context."""
+    from quire.operators.repair import LOST, repair_glyphs
+
+    content = "alpha (β) * [γ] \\\\E δ. one two three 𝟙 four. same x1y same x2y " + "filler " * 50 + "𝐀𝐁 end"
+    pages = spark.createDataFrame([("d", 1, content)], "document_id string, page int, content string")
+    hurt = [content.replace(ch, LOST) for ch in "βγδ𝟙"] + [content.replace("𝐀𝐁", LOST * 2), content.replace("x1y", f"x{LOST}y"), f"same x{LOST}y", LOST, f"alpha ({LOST}) * [{LOST}]"] * 2
+    rows = spark.createDataFrame([("d", 1, h, 1) for h in hurt] + [("d", 1, None, 2), (None, 1, LOST, 3)], "document_id string, page int, text string, known int")
+    got = sorted(str(r.text) for r in repair_glyphs(rows, pages).collect())
+    whole = content
+    want = [whole, whole, whole, whole.replace("𝟙", "$1$")] + [whole.replace("𝐀𝐁", "$A$$B$"), whole, f"same x{LOST}y", LOST, "alpha (β) * [γ]"] * 2 + ["None", LOST]
+    assert got == sorted(want)
+
+
+def test_hosts(spark):
+    """Addresses in every way of writing them; what is public passes."""
+    import ipaddress
+
+    from pyspark.sql import functions as F
+    from quire.sources.ingest import url_refusal
+
+    internal = ["2130706433", "0x7f000001", "[::ffff:127.0.0.1]", "localhost.", "100.64.0.1", "127.1", "0177.0.0.1", "0", "a@b@10.0.0.1", "[::]", "[::1]", "[fe80::1%25eth0]", "[2002:7f00:1::]", "[64:ff9b::7f00:1]", "LOCALHOST", "x.internal", "db", "1.2.3.4.5", "256.1.1.1", "[1:2]", "[::g]", "[1::2::3]", "169.254.169.254", "10.0.0.1:80", "%31%32%37.0.0.1", "[::ffff:0:10.1.2.3]", "08.8.8.8"]
+    public = ["8.8.8.8", "134744072", "0x8080808", "example.org", "example.org.", "EXAMPLE.org:443", "u:p@example.org", "[2606:4700::1111]", "[::ffff:8.8.8.8]", "[2002:808:808::]", "100.128.0.1", "172.32.0.1", "localhost.example.org"]
+    urls = [(f"{s}://{h}/x", h in public) for h in internal + public for s in ("http", "HTTPS")] + [("ftp://8.8.8.8/", None), ("https://", None), (None, None), ("http://8.8.8.8\\@10.0.0.1/", None), ("http:// 8.8.8.8", None)]
+    got = spark.createDataFrame(urls, "u string, public boolean").select("u", "public", url_refusal(F.col("u")).alias("r")).collect()
+    for x in got:
+        assert x.r == {True: None, False: "internal host"}.get(x.public, x.r) and (x.public is not None or x.r in ("not a web address", "no host")), x
+    r = random.Random(3)
+    numbers = [r.getrandbits(32) for _ in range(300)] + [r.getrandbits(128) for _ in range(100)] + [r.getrandbits(16) | r.choice([0x20010DB8, 0xFC000000, 0x20014860]) << 96 for _ in range(30)]
+    hosts = [str(ipaddress.IPv4Address(n)) if n < 2**32 else f"[{ipaddress.IPv6Address(n)}]" for n in numbers]
+    for x, n in zip(spark.createDataFrame([(i, f"http://{h}/") for i, h in enumerate(hosts)], "i int, u string").orderBy("i").select(url_refusal(F.col("u")).alias("r")).collect(), numbers):
+        a = ipaddress.ip_address(n)
+        if not a.is_global:  # what Python's list has is refused; a few more networks are
+            assert x.r == "internal host", a
+        elif n < 2**32 and not a.is_multicast and a not in ipaddress.ip_network("192.88.99.0/24"):
+            assert x.r is None, a
+
+
 def test_assembled_pages(spark):
     from quire.operators.layout import assemble_pages
 
