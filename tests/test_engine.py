@@ -419,17 +419,21 @@ def test_index_follows_its_documents(spark, tmp_path):
     assert found() == [1, 3]
 
 
-def test_recall_of_approximate_search(spark):
+def test_recall_of_approximate_search(spark, monkeypatch):
+    """Recall against all vectors with at most 15 % of them read exactly; long lists and many queries in cells; vectors without direction; nothing."""
     import numpy as np
-    from quire.operators.ann import build, search
     from pyspark.sql import functions as F
+    from quire.operators import ann
 
     v = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
-    index, centroids = build(v.union(spark.createDataFrame([(10_000, [0.0] * 64), (10_001, None)], "id long, embedding array<float>")), 16)
-    assert index.count() == v.count()  # every vector with a direction is in a list
+    index = ann.build(v.union(spark.createDataFrame([(10_000, [0.0] * 64), (10_001, None)], "id long, embedding array<float>")))
+    n, queries = v.count(), v.where("id % 50 = 0")
+    assert sum(index.sizes.values()) == n and len(index.quantiser.centroids) == int(np.ceil(np.sqrt(n)))  # every vector with a direction is in a list
+    read = [r["count"] for r in ann.candidates(index, queries, 10).groupBy("query_id").count().collect()]
+    assert len(read) == queries.count() and max(read) <= 0.15 * n
     got = {}
-    for r in search(index, centroids, v.where("id % 50 = 0"), 10).collect():
-        got.setdefault(r.query_id, set()).add(r.id)
+    for r in ann.search(index, queries, 10).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.id))
     rows = v.collect()
     x = np.array([r.embedding for r in rows])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -438,8 +442,13 @@ def test_recall_of_approximate_search(spark):
     for i in np.flatnonzero(ids % 50 == 0):
         s = x @ x[i]
         s[i] = -9
-        recall.append(len(got[ids[i]] & set(ids[np.argsort(-s)[:10]].tolist())) / 10)
-    assert np.mean(recall) >= 0.9
+        assert sorted(k for k, _ in got[ids[i]]) == list(range(1, 11))
+        recall.append(len({j for _, j in got[ids[i]]} & set(ids[np.argsort(-s)[:10]].tolist())) / 10)
+    assert np.mean(recall) >= 0.9, np.mean(recall)
+    whole = sorted(map(str, ann.search(index, queries, 3).collect()))
+    monkeypatch.setattr(ann, "CELL", 7)
+    assert sorted(map(str, ann.search(index, queries, 3).collect())) == whole
+    assert ann.search(ann.build(v.limit(0)), queries, 3).count() == 0 == ann.search(index, queries.limit(0), 3).count()
 
 
 def test_embedding_responses(spark):
