@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as x
-from ..operators import relational as r, threads, windows as w
+from ..operators import asof, relational as r, threads, windows as w
 from .registry import also, query
 
 c = F.col
@@ -241,6 +241,38 @@ def _(t):
     return t("conversations").groupBy("conv_id").agg(F.min_by("turn", F.struct(F.abs(c("turn") * 100 - 250), c("turn"))).alias("nearest"))
 
 
+PURCHASES = "FROM (SELECT *, max(CASE WHEN event_type = 'purchase' THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id) AS b, min(CASE WHEN event_type = 'purchase' THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS a FROM events)"
+
+
+def _purchases(t):
+    e = t("events").select("user_id", "event_id", "event_type")
+    return e.drop("event_type"), e.where("event_type = 'purchase'").select("user_id", "event_id", "event_type")
+
+
+@query("J17_at_or_before", f"SELECT user_id, event_id, coalesce(b, a) AS purchase {PURCHASES}")
+def _(t):
+    """For every event the user's last purchase up to it, or the first."""
+    return asof.at_or_before(*_purchases(t), "user_id", "event_id", "event_type").select("user_id", "event_id", c("found.at").alias("purchase"))
+
+
+@query("J17_nearest_of_two", f"SELECT user_id, event_id, CASE WHEN b IS NULL OR a - event_id < event_id - b THEN a ELSE b END AS purchase {PURCHASES}")
+def _(t):
+    return asof.nearest(*_purchases(t), "user_id", "event_id", "event_type").select("user_id", "event_id", c("found.at").alias("purchase"))
+
+
+@query(
+    "J17_orders_around_lines",
+    """WITH r AS (SELECT o_custkey % 3 AS k, o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus <> 'O'), l AS (SELECT l_suppkey % 3 AS k, l_orderkey * 8 + l_linenumber AS line FROM lineitem),
+u AS (SELECT k, o_orderkey * 8 AS p, 0 AS side, o_orderkey AS o FROM r UNION ALL SELECT k, line, 1, NULL FROM l)
+SELECT k, p AS line, last AS before, first AS after FROM (SELECT *, max(o) OVER (PARTITION BY k ORDER BY p, side ROWS UNBOUNDED PRECEDING) AS last, min(o) OVER (PARTITION BY k ORDER BY p DESC, side ROWS UNBOUNDED PRECEDING) AS first FROM u) WHERE side = 1""",
+)
+def _(t):
+    """The orders before and after every line, under three keys of a third of the rows each."""
+    right = t("orders").where("o_orderstatus <> 'O'").select((c("o_custkey") % 3).alias("k"), (c("o_orderkey") * 8).alias("line"), c("o_orderkey").alias("order"))
+    left = t("lineitem").select((c("l_suppkey") % 3).alias("k"), (c("l_orderkey") * 8 + c("l_linenumber")).alias("line"))
+    return asof.around(left, right, "k", "line", "order").select("k", "line", c("before.value").alias("before"), c("after.value").alias("after"))
+
+
 # --- aggregates
 
 

@@ -682,3 +682,39 @@ def test_table_grids(spark):
     for i, t in enumerate(tables):
         assert by[i] == plain(t), t
     assert by[-1] is None and by[len(tables)]["headers"] == ["Model", "BLEU EN-DE", "BLEU EN-FR", "Training Cost EN-DE", "Training Cost EN-FR"] and by[len(tables)]["rows"][1] == ["B", "5", "6", "7", "7"]
+
+
+def test_nearest_of_two_tables(spark, monkeypatch):
+    """One key with very many rows over many ranges, hot places, short keys, nulls, repeats, against bisection."""
+    import bisect
+
+    from pyspark.sql import functions as F
+    from quire.operators import asof
+
+    monkeypatch.setattr(asof, "RANGE_ROWS", 9000)
+    r = random.Random(2)
+    known = [("hot", r.randrange(60) * 5000, r.randrange(9)) for _ in range(300)] + [(f"k{i % 7}", r.randrange(50), i) for i in range(60)] + [(None, 3, 1), ("hot", None, 1)]
+    lefts = [(f"k{i % 9}", r.choice([None, *range(60)])) for i in range(300)] + [(None, 5)] * 2 + [("hot", 150_000)] * 3
+    many = spark.range(100_000).select(F.lit("hot").alias("key"), (F.col("id") * 7919 % 300_007).alias("at")).union(spark.range(30_000).select(F.lit("hot"), F.lit(5000).cast("long")))
+    left = many.union(spark.createDataFrame(lefts, "key string, at long"))
+    right = spark.createDataFrame(known, "key string, at long, v int")
+    places = {}
+    for k, p, v in known:
+        if k is not None and p is not None:
+            places.setdefault(k, {}).setdefault(p, []).append(v)
+    order = {k: sorted(v) for k, v in places.items()}
+
+    def want(k, p):
+        at = order.get(k, []) if p is not None else []
+        i, j = bisect.bisect_right(at, p) if at else 0, bisect.bisect_left(at, p) if at else 0
+        return (at[i - 1], max(places[k][at[i - 1]])) if i else None, (at[j], min(places[k][at[j]])) if j < len(at) else None
+
+    got = asof.around(left, right, "key", "at", "v").collect()
+    assert len(got) == left.count() and {k: sum(x.key == k for x in got) for k in ("hot", None)} == {"hot": 130_003, None: 2}
+    for x in got:
+        assert (x.before and tuple(x.before), x.after and tuple(x.after)) == want(x.key, x.at), x
+    near = {(x.key, x.at): x.found and x.found.at for x in asof.nearest(left, right, "key", "at", "v").where("key = 'k1'").collect()}
+    for (k, p), found in near.items():
+        b, a = want(k, p)
+        assert found == min((abs(p - q[0]), q[0] > p, q[0]) for q in (b, a) if q)[2] if p is not None and (a or b) else found is None
+    assert asof.around(left.limit(0), right, "key", "at", "v").count() == 0 and asof.at_or_before(spark.createDataFrame([("a", 1)], "key string, at long"), right.limit(0), "key", "at", "v").first().found is None
