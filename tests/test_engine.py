@@ -718,3 +718,41 @@ def test_nearest_of_two_tables(spark, monkeypatch):
         b, a = want(k, p)
         assert found == min((abs(p - q[0]), q[0] > p, q[0]) for q in (b, a) if q)[2] if p is not None and (a or b) else found is None
     assert asof.around(left.limit(0), right, "key", "at", "v").count() == 0 and asof.at_or_before(spark.createDataFrame([("a", 1)], "key string, at long"), right.limit(0), "key", "at", "v").first().found is None
+
+
+def test_batched_model_calls():
+    """Calls are counted: batches within their bounds, one refused text among a thousand found by halving, order kept, other errors raised."""
+    import threading
+
+    from quire.models import HashModel, batches_of, embed_all, embed_batch
+
+    class Counting(HashModel):
+        def __init__(self):
+            super().__init__(8, longest=1000)
+            self.calls, self.lock, self.now, self.most = [], threading.Lock(), 0, 0
+
+        def embed(self, texts):
+            with self.lock:
+                self.calls.append(len(texts))
+                self.now += 1
+                self.most = max(self.most, self.now)
+            try:
+                return super().embed(texts)
+            finally:
+                with self.lock:
+                    self.now -= 1
+
+    plain = HashModel(8)
+    for at in (0, 1, 499, 500, 998, 999):
+        model, texts = Counting(), [f"text {i}" for i in range(1000)]
+        texts[at] = "x" * 1500
+        got, refused = embed_batch(model, texts, 8)
+        assert refused and got == plain.embed([t[:1000] for t in texts]) and len(model.calls) <= 24, (at, model.calls)
+    assert len(model.calls) <= 14  # what stands last isn't asked for whole on the way
+    model, texts = Counting(), ["word " * 100] * 200 + ["y" * 1200] + [""] * 3 + ["word " * 9000]
+    assert [len(b) for b in batches_of(texts)][:3] == [63, 63, 63] and sum(len(b) for b in batches_of(texts)) == len(texts) and list(batches_of([])) == []
+    got = embed_all(model, texts, 8, concurrent=3)
+    assert got[:200] == plain.embed(texts[:200]) and got[200] == plain.embed(["y" * 1000])[0] and got[-1] == plain.embed([("word " * 9000)[:1000]])[0] and model.most <= 3
+    model.embed = lambda texts: [[1.0]]
+    with pytest.raises(RuntimeError):
+        embed_all(model, ["a", "b"], 8)
