@@ -99,3 +99,18 @@ def rewrite_images(answer: Column, images: Column) -> Column:
 def used_citations(citations: Column, answer: Column) -> Column:
     """Citations (sequence_id, url) without those of web pages that the answer doesn't name."""
     return F.filter(citations, lambda x: x["url"].isNull() | (x["url"] == "") | F.contains(F.coalesce(answer, F.lit("")), x["url"]))
+
+
+def is_cloud_model(name: Column, remote: Column | None = None) -> Column:
+    """Whether a model runs elsewhere: its name says so, or it has a remote host."""
+    by_name = F.lower(name).endswith("cloud")
+    return by_name if remote is None else by_name | remote
+
+
+def is_embedding_model(name: Column) -> Column:
+    return F.contains(F.lower(name), F.lit("embed"))
+
+
+def is_reasoning_model(name: Column) -> Column:
+    """Whether a model's name, without its provider, is an o and a number."""
+    return F.element_at(F.split(name, "/"), -1).rlike("^o[0-9]")

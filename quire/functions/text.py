@@ -252,3 +252,17 @@ def locate_quote(x: Column, quote: Column) -> Column:
     found = F.when(F.size(words) > 0, F.regexp_substr(x, F.concat(F.lit("(?U)"), F.array_join(literal, "\\s+"))))
     start = (F.instr(x, found) - 1).cast("int")
     return F.when(found.isNotNull(), F.struct(start.alias("start"), (start + F.length(found)).alias("end")))
+
+
+#: Where stored images are served.
+SERVED = "/static/images/"
+
+
+def image_url(path: Column) -> Column:
+    """The URL that serves a stored image."""
+    return F.concat(F.lit(SERVED), path)
+
+
+def stored_path(url: Column) -> Column:
+    """The stored path of a served image's URL; other URLs as they are."""
+    return F.when(url.startswith(SERVED), F.substring(url, F.lit(len(SERVED) + 1), F.length(url))).otherwise(url)

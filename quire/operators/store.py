@@ -38,6 +38,19 @@ def replace_collection(old: DataFrame, new: DataFrame, owner: str) -> DataFrame:
     return old.join(new.select(owner).distinct(), owner, "left_anti").unionByName(new)
 
 
+def partial_update(rows: DataFrame, patch: DataFrame, key: str, valid: dict[str, Column] | None = None) -> DataFrame:
+    """rows with the values of patch (key and some of rows' columns; one row a key) put in their columns.
+
+    Null keeps what was there, and so does a value for which its condition in valid, over the
+    patch's columns, doesn't hold. Keys that rows don't have are left out; rows without a patch
+    stay as they are.
+    """
+    names = [n for n in patch.columns if n != key]
+    sound = [F.when((valid or {}).get(n, F.lit(True)), F.col(f"`{n}`")).alias(f"__new_{n}") for n in names]
+    both = rows.join(patch.select(F.col(f"`{key}`").alias("__key"), *sound), F.col(f"`{key}`") == F.col("__key"), "left")
+    return both.select(*[F.coalesce(f"`__new_{n}`", f"`{n}`").alias(n) if n in names else F.col(f"`{n}`") for n in rows.columns])
+
+
 def cascade(rows: DataFrame, deleted: DataFrame, key: str) -> DataFrame:
     """Rows whose parent stays."""
     return rows.join(deleted.select(key).distinct(), key, "left_anti")

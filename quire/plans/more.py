@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text as x
+from ..functions import routing, text as x
 from ..functions.tables import parse_table
 from ..models import HashModel, embed
 from ..operators import layout
-from ..operators.chunks import EARLY_BLOCKS, chunks_of_blocks, chunks_of_markdown
+from ..operators.chunks import EARLY_BLOCKS, chunks_of_blocks, chunks_of_markdown, flat_caption
 from ..operators.store import pending
 from .registry import query
 from .text import NORMAL, PARAGRAPHS, PHRASE, PLAIN
@@ -46,19 +46,22 @@ def _(t):
 
 @query("X42_model_kinds", "SELECT p_partkey, ends_with(lower(p_name), 'cloud') OR p_size = 0 AS cloud, contains(lower(p_name), 'embed') AS embedding, regexp_matches(split_part(p_name, '/', -1), '^o[0-9]') AS reasoning FROM part")
 def _(t):
-    n = F.lower("p_name")
-    return t("part").select("p_partkey", (n.endswith("cloud") | (c("p_size") == 0)).alias("cloud"), n.contains("embed").alias("embedding"), F.element_at(F.split("p_name", "/"), -1).rlike("^o[0-9]").alias("reasoning"))
+    n = c("p_name")
+    return t("part").select("p_partkey", routing.is_cloud_model(n, c("p_size") == 0).alias("cloud"), routing.is_embedding_model(n).alias("embedding"), routing.is_reasoning_model(n).alias("reasoning"))
 
 
-@query("X19_flat_captions", "SELECT p_partkey, p_name || ' ' || p_brand || ' ' || p_type AS caption FROM part")
+@query("X19_flat_captions", "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN p_name WHEN 1 THEN p_name || ' ' || p_brand || ' ' || p_type WHEN 2 THEN 'Say \"' || p_brand || '\"' ELSE '' END AS caption FROM part")
 def _(t):
-    return t("part").select("p_partkey", F.array_join(F.flatten(F.array(F.array("p_name", "p_brand"), F.array("p_type"))), " ").alias("caption"))
+    """Captions as an extractor writes them: a string, lists in lists, quotes inside, nothing."""
+    nested = F.concat(F.lit('["'), "p_name", F.lit('", [["'), "p_brand", F.lit('"], [], [[" '), "p_type", F.lit(' "]]]]'))
+    said = F.when(c("p_size") % 4 == 0, F.concat(F.lit('"'), "p_name", F.lit('"'))).when(c("p_size") % 4 == 1, nested).when(c("p_size") % 4 == 2, F.concat(F.lit('["Say", "\\"'), "p_brand", F.lit('\\""]'))).otherwise("null")
+    return t("part").select("p_partkey", flat_caption(F.parse_json(said)).alias("caption"))
 
 
 @query("X47_stored_path", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN page_id::VARCHAR || '.png' ELSE url END AS path FROM pages")
 def _(t):
-    served = F.when(c("page_id") % 2 == 0, F.concat(F.lit("/static/images/"), c("page_id").cast("string"), F.lit(".png"))).otherwise(c("url"))
-    return t("pages").select("page_id", served.alias("s")).select("page_id", F.when(c("s").startswith("/static/images/"), F.substring("s", 16, 1000)).otherwise(c("s")).alias("path"))
+    served = F.when(c("page_id") % 2 == 0, x.image_url(F.concat(c("page_id").cast("string"), F.lit(".png")))).otherwise(c("url"))
+    return t("pages").select("page_id", x.stored_path(served).alias("path"))
 
 
 def _markdown(t, text):

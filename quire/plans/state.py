@@ -54,7 +54,8 @@ def _(t):
 
 @query("M4_partial_update", "SELECT c_custkey, coalesce(nullif(n_name, 'FRANCE'), c_mktsegment) AS v FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")
 def _(t):
-    return t("customer").join(t("nation"), c("c_nationkey") == c("n_nationkey"), "left").select("c_custkey", F.coalesce(F.nullif(c("n_name"), F.lit("FRANCE")), c("c_mktsegment")).alias("v"))
+    patch = t("customer").join(t("nation"), c("c_nationkey") == c("n_nationkey")).select("c_custkey", c("n_name").alias("v"))
+    return s.partial_update(t("customer").select("c_custkey", c("c_mktsegment").alias("v")), patch, "c_custkey", {"v": c("v") != "FRANCE"})
 
 
 @query("M6_replace_collection", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority LIKE '1%') UNION ALL SELECT o_orderkey, 'N' FROM orders WHERE o_orderpriority LIKE '1%'")

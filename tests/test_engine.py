@@ -756,3 +756,14 @@ def test_batched_model_calls():
     model.embed = lambda texts: [[1.0]]
     with pytest.raises(RuntimeError):
         embed_all(model, ["a", "b"], 8)
+
+
+def test_partial_updates(spark):
+    """Nulls and values that aren't valid keep what was there; unknown keys go; rows without a patch stay."""
+    from pyspark.sql import functions as F
+    from quire.operators.store import partial_update
+
+    rows = spark.createDataFrame([(1, "left", "a", 5), (2, "left", "b", 5), (3, None, "c", 5), (None, "left", "d", 5)], "id int, side string, label string, n int")
+    patch = spark.createDataFrame([(1, "right", None), (2, "middle", "B"), (3, "left", "C"), (9, "left", "x"), (None, "right", "y")], "id int, side string, label string")
+    got = partial_update(rows, patch, "id", {"side": F.col("side").isin("left", "right")}).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(1, "right", "a", 5), (2, "left", "B", 5), (3, "left", "C", 5), (None, "left", "d", 5)]))
