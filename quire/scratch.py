@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -68,6 +69,51 @@ def state_of(spark: SparkSession, path: str) -> str:
     return _file_system(spark, path, files, make=False)
 
 
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what a folder holds, in order; none if there is no such folder."""
+    return sorted(_file_system(spark, path, lambda fs, p: [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else [], make=False))
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    def read(fs, p) -> str:
+        stream = fs.open(p)
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    return _file_system(spark, path, read, make=False)
+
+
+def write_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Makes a small file with this text unless there is one; whether it did.
+
+    The text is written beside it and given its name at once, so a reader sees all of it or
+    nothing. Of several writers one succeeds, as far as the file system refuses to rename
+    onto a file that exists.
+    """
+    jvm = spark._jvm
+
+    def write(fs, p) -> bool:
+        if fs.exists(p):
+            return False
+        beside = jvm.org.apache.hadoop.fs.Path(p.getParent(), f".{p.getName()}.{uuid.uuid4().hex}")
+        stream = fs.create(beside, False)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        names = jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), spark._jsc.hadoopConfiguration()) if p.toUri().getScheme() else jvm.org.apache.hadoop.fs.FileContext.getFileContext(spark._jsc.hadoopConfiguration())
+        try:
+            names.rename(beside, p, spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+            return True
+        except Py4JJavaError as e:
+            fs.delete(beside, False)
+            if "FileAlreadyExists" in str(e.java_exception):
+                return False
+            raise
+
+    return _file_system(spark, path, write)
+
+
 def _file_system(spark: SparkSession, path: str, do: Callable, make: bool = True):
     """Acts on a path through the file system that Spark uses for it."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

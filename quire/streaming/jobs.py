@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..scratch import path_exists
 
@@ -35,23 +36,62 @@ def latest_states(log: DataFrame) -> DataFrame:
     return log.groupBy("key").agg(F.max_by("status", "at").alias("status"), F.max("at").alias("at"))
 
 
+def _answers(key: str | None, times: np.ndarray, allowed) -> pd.DataFrame:
+    return pd.DataFrame({"key": pd.Series([key] * len(times), dtype=object), "at": times.astype("datetime64[us]"), "allowed": pd.Series(allowed, dtype=object)})
+
+
+class _Limiter(StatefulProcessor):
+    """A key's window (its start in microseconds, its count), and a timer that drops it."""
+
+    def __init__(self, limit: int, seconds: int):
+        self.limit, self.seconds = limit, seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.window = handle.getValueState("window", "start long, n long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        times = pd.concat([r["at"] for r in rows], ignore_index=True)
+        timed = np.sort(times.dropna().to_numpy("datetime64[us]").astype("int64"))
+        start, count = self.window.get() if self.window.exists() else (None, 0)
+        allowed, i = np.zeros(len(timed), bool), 0
+        while i < len(timed):
+            if start is None or timed[i] - start >= self.seconds * 10**6:
+                start, count = int(timed[i]), 0
+            end = int(np.searchsorted(timed, start + self.seconds * 10**6))
+            allowed[i:end] = count + 1 + np.arange(end - i) <= self.limit
+            count, i = count + end - i, end
+        if len(timed):
+            self.window.update((start, count))
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.seconds * 1000)
+        yield _answers(key[0], timed, allowed)
+        untimed = len(times) - len(timed)
+        yield _answers(key[0], np.full(untimed, np.datetime64("NaT", "us")), [None] * untimed)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.window.clear()
+        yield _answers(key[0], np.array([], "int64"), [])
+
+    def close(self) -> None:
+        pass
+
+
 def rate_limited(requests: DataFrame, limit: int, seconds: int = 60) -> DataFrame:
-    """key, at, allowed of each request of a stream: windows of a fixed length start at a key's first request."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, count = state.get if state.exists else (None, 0)
-        rows = pd.concat(list(batches)).sort_values("at")
-        allowed = []
-        for at in rows["at"]:
-            now = at.timestamp()
-            if start is None or now - start >= seconds:
-                start, count = now, 0
-            count += 1
-            allowed.append(count <= limit)
-        state.update((start, count))
-        yield pd.DataFrame({"key": key[0], "at": rows["at"], "allowed": allowed})
-
-    return requests.groupBy("key").applyInPandasWithState(step, "key string, at timestamp, allowed boolean", "start double, n long", "append", GroupStateTimeout.NoTimeout)
+    """key, at, allowed of each request (key, at) of a stream; the first limit of a key's window are allowed.
+
+    A key's window has a fixed length and starts at the key's first request, or the first one
+    after the window before. A window's state goes by a timer once so long has passed on the
+    clock since the key was last seen, so what is kept is of the keys of the last seconds
+    alone. No request is dropped: a request older than the window's start counts in it, and
+    one that comes after its window has gone opens one of its own. A request without a time
+    counts in no window and has null in allowed; a null key is a key like others. What a task
+    holds is the times of one key in one micro-batch: the source's limits on a batch bound it.
+    The timers need a trigger that goes on, such as processingTime; under availableNow the
+    query would wait for them for ever. The session's state store must be the RocksDB one (spark.sql.streaming.stateStore.providerClass).
+    """
+    return requests.select("key", "at").groupBy("key").transformWithStateInPandas(_Limiter(limit, seconds), "key string, at timestamp, allowed boolean", "append", "ProcessingTime")
 
 
 def windowed_counts(events: DataFrame, at: str, key: str, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:

@@ -140,15 +140,52 @@ def test_incremental_embedding_resumes(spark, tmp_path):
 
 
 def test_rate_limit(spark, tmp_path):
+    """Three runs of one query: windows go on over a restart, and what is kept of a key goes a window after it was last seen."""
+    import time
+
     from quire.streaming.jobs import rate_limited
 
     at = dt.datetime(2024, 1, 1)
-    rows = [("a", at + dt.timedelta(seconds=s)) for s in (0, 10, 20, 61, 62)] + [("b", at)]
-    spark.createDataFrame(rows, "key string, at timestamp").coalesce(1).write.parquet(str(tmp_path / "in"))
-    q = rate_limited(spark.readStream.schema("key string, at timestamp").parquet(str(tmp_path / "in")), 2).writeStream.format("memory").queryName("limited").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    got = [r.allowed for r in spark.sql("select * from limited where key = 'a' order by at").collect()]
-    assert got == [True, True, False, True, True]
+    folder, out, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
+
+    asked = []
+
+    def run(rows, left):
+        schema = "key string, at timestamp, at_ string"
+        spark.createDataFrame([(k, None if s is None else at + dt.timedelta(seconds=s), "x") for k, s in rows], schema).coalesce(1).write.mode("append").parquet(folder)
+        q = rate_limited(spark.readStream.schema(schema).parquet(folder), 2, 20).writeStream.format("parquet").option("checkpointLocation", ck).outputMode("append").trigger(processingTime="200 milliseconds").start(out)
+        asked.extend(rows)
+        try:
+            return until(lambda: spark.read.schema("key string, at timestamp, allowed boolean").parquet(out).count() == len(asked)) and (left is None or until(lambda: kept() == left))
+        finally:
+            q.stop()
+
+    def kept():
+        state = spark.read.format("statestore").option("stateVarName", "window").load(ck)
+        return {r.key.key for r in state.select("key").collect()}
+
+    def until(holds):
+        end = time.time() + 60
+        while time.time() < end:
+            try:
+                if holds():
+                    return True
+            except Exception:  # noqa: BLE001 - files of a batch that is being written
+                pass
+            time.sleep(0.3)
+        return False
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        assert run([("a", 0), ("a", 1), ("b", 0), (None, 3), ("c", None)], None) and "a" in kept()
+        assert run([("a", 2), ("a", 20), ("a", 25), ("a", 30)], set())  # a later process, from the checkpoint alone; then all timers fire
+        assert run([("a", 3), ("d", 0), ("d", 0), ("d", 0)], None)  # late, its window gone: one of its own
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    got = {}
+    for r in spark.read.parquet(out).orderBy("at", "allowed").collect():
+        got.setdefault(r.key, []).append(r.allowed)
+    assert got == {"a": [True, True, False, True, True, True, False], "b": [True], "c": [None], "d": [False, True, True], None: [True]}
 
 
 def test_sources(spark, tmp_path):
@@ -767,3 +804,48 @@ def test_partial_updates(spark):
     patch = spark.createDataFrame([(1, "right", None), (2, "middle", "B"), (3, "left", "C"), (9, "left", "x"), (None, "right", "y")], "id int, side string, label string")
     got = partial_update(rows, patch, "id", {"side": F.col("side").isin("left", "right")}).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(1, "right", "a", 5), (2, "left", "B", 5), (3, "left", "C", 5), (None, "left", "d", 5)]))
+
+
+def test_versioned_tables(spark, tmp_path):
+    """Changes against a dict of owners; failed writes, two writers, compaction, old versions and clean-up."""
+    from pyspark.sql import functions as F
+    from quire.sources.versions import VersionedTable, embeddings_of
+
+    table, rng = VersionedTable(spark, str(tmp_path / "t"), "doc"), random.Random(5)
+    frame = lambda of: spark.createDataFrame([(d, n) for d, ns in of.items() for n in ns], "doc string, n int")
+    held = lambda version=None: sorted((r.doc or "", r.n) for r in table.read(version).collect())
+    flat = lambda of: sorted((d or "", n) for d, ns in of.items() for n in ns)
+    with pytest.raises(ValueError):
+        table.read()
+    state, history = {"a": [1, 1], None: [2], "b": [3]}, {}
+    history[table.replace_all(frame(state))] = dict(state)
+    for step in range(6):
+        change = {d: [rng.randrange(9) for _ in range(rng.randrange(3))] for d in rng.sample(["a", "b", "c", "d", None], 2)}
+        named = spark.createDataFrame([(d,) for d in change], "doc string")
+        state |= change
+        history[table.change(frame(change), named)] = dict(state)
+        if step == 3:
+            before = held()
+            history[table.compact()] = dict(state)
+            assert held() == before and len(table.manifest()["folders"]) == 1
+    assert held() == flat(state) and all(held(v) == flat(s) for v, s in history.items())
+    broken = frame({"a": [7]}).withColumn("n", F.when(F.lit(True), F.raise_error(F.lit("lost"))).otherwise(1).cast("int"))
+    with pytest.raises(Exception, match="lost"):
+        table.change(broken)
+    with pytest.raises(ValueError, match="doesn't name"):
+        table.change(frame({"a": [7], "b": [8]}), spark.createDataFrame([("a",)], "doc string"))
+    with pytest.raises(ValueError, match="columns"):
+        table.change(frame({"a": [7]}).withColumn("n", F.lit("x")))
+    assert held() == flat(state) and table.versions() == sorted(history)
+    late = table.manifest()
+    table.change(frame({"a": [4]}))
+    with pytest.raises(RuntimeError, match="another writer"):
+        table._publish(late, late["schema"], late["folders"])
+    table.restore(1)
+    assert held() == flat(history[1])
+    table.vacuum(2)
+    assert len(table.versions()) == 2 and held() == flat(history[1]) and len(list((tmp_path / "t" / "data").iterdir())) == 5  # version 9: base and three changes; 10: the first base
+
+    one, other = (embeddings_of(spark, str(tmp_path / "e"), m, d) for m, d in (("a/b", 2), ("a/b", 3)))
+    one.change(spark.createDataFrame([(1, [0.1, 0.2])], "chunk_id int, embedding array<double>"))
+    assert one.path != other.path and other.versions() == [] and one.read().count() == 1
