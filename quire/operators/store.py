@@ -6,6 +6,8 @@ values. Nothing is updated in place: writers append, readers take each key's new
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 # States of an ingestion job and where each may lead.
@@ -18,6 +20,23 @@ def latest(log: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return log.withColumn("__rn", F.row_number().over(back)).where("__rn = 1 and op <> 'D'").drop("__rn")
 
 
+def tombstones(log: DataFrame, keys: list[str], *order: Column) -> DataFrame:
+    """Each key whose newest change deletes it, with that change; a key set again afterwards isn't among them."""
+    back = W.partitionBy(*keys).orderBy(*[c.desc() for c in order])
+    return log.withColumn("__rn", F.row_number().over(back)).where("__rn = 1 and op = 'D'").drop("__rn")
+
+
+def append_new(rows: DataFrame, new: DataFrame, keys: list[str], *order: Column) -> DataFrame:
+    """rows with those of new whose key they lack; of new rows that share a key the first by order.
+
+    A writer that repeats itself after a failure so adds nothing twice. Null keys equal each other.
+    """
+    first = new.withColumn("__rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("__rn = 1").drop("__rn")
+    known = rows.select(*[F.col(f"`{k}`").alias(f"__known_{k}") for k in keys])
+    same = reduce(lambda a, b: a & b, [first[k].eqNullSafe(known[f"__known_{k}"]) for k in keys])
+    return rows.unionByName(first.join(known, same, "left_anti"))
+
+
 def latest_with_kept(log: DataFrame, keys: list[str], order: list[Column], kept: list[str]) -> DataFrame:
     """As latest, where a null in a kept column leaves the value that was there before; a delete forgets it."""
     so_far = W.partitionBy(*keys).orderBy(*order)

@@ -30,6 +30,25 @@ def _(t):
     return layout.quality(b).select("document_id", "blocks", "headings", "equations", "two_columns")
 
 
+@query(
+    "A14_quality_of_text",
+    r"""WITH b AS (SELECT l_suppkey AS d, l_orderkey * 10 + l_linenumber AS k, l_partkey, l_partkey % 3 AS p, l_linenumber AS n, l_quantity::INT AS q FROM lineitem),
+s AS (SELECT *, CASE WHEN p = 1 AND n <> 5 THEN [q, n] END AS sec FROM b),
+m AS (SELECT *, p = 0 AND lag(p) OVER w = 0 AS pair, sec < last_value(sec IGNORE NULLS) OVER (PARTITION BY d ORDER BY k, l_partkey, q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS inv FROM s WINDOW w AS (PARTITION BY d ORDER BY k, l_partkey, q))
+SELECT d AS document_id, count(*) AS blocks, count(*) FILTER (p = 1) AS headings, count(sec) AS numbered, count(*) FILTER (inv) AS inversions, count(*) FILTER (p = 0) AS equations, count(*) FILTER (pair) AS adjacent,
+  count(*) FILTER (p = 0 AND n % 2 = 1) AS open_tails, count(*) FILTER (p = 2 AND n = 3) AS orphans, count(*) FILTER ((p = 0 AND n % 2 = 0) OR (p = 2 AND n NOT IN (3, 4))) AS leaks,
+  (count(*) FILTER (p = 0 AND n % 2 = 0) + 2 * count(*) FILTER (p = 2 AND n NOT IN (3, 4)))::BIGINT AS leaked FROM m GROUP BY ROLLUP (d)""",
+)
+def _(t):
+    """Numbered headings out of order, equations that are cut, labels alone, glyphs within mathematics and outside."""
+    p, n = c("l_partkey") % 3, c("l_linenumber")
+    kind = F.when(p == 0, "equation").when(p == 1, "heading").when(n == 4, "table").otherwise("text")
+    heading = F.when(n == 5, "Aims").otherwise(F.concat(c("l_quantity").cast("int").cast("string"), F.lit("."), n.cast("string"), F.lit(". Aims")))
+    text = F.when(p == 0, F.when(n % 2 == 1, "a = b + ").otherwise("x ≤ y")).when(p == 1, heading).when(n == 3, " ( 12b ) ").otherwise("so 3×3, $a × b ∂$ and $c$ σ")
+    b = t("lineitem").select(c("l_suppkey").alias("document_id"), F.struct(c("l_orderkey") * 10 + n, "l_partkey", "l_quantity").alias("at"), kind.alias("kind"), text.alias("text"), F.lit(None).cast("double").alias("left"))
+    return layout.quality(b).drop("two_columns")
+
+
 @query("X24_join_spans", "SELECT conv_id, string_agg(role || CASE WHEN turn < m AND turn % 2 = 0 THEN ' ' ELSE '' END, '' ORDER BY turn) AS text FROM (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS m FROM conversations) GROUP BY conv_id")
 def _(t):
     v = t("conversations").select("conv_id", "turn", c("role").alias("text"), (c("turn") * 100 + F.when(c("turn") % 2 == 1, 10).otherwise(0)).cast("double").alias("left"))

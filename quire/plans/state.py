@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import store as s
+from ..scratch import new_folder
 from ..sources import readers
+from ..sources.versions import VersionedTable, embeddings_of
 from .registry import query
 
 c = F.col
@@ -105,3 +107,57 @@ def _(t):
 @query("M13_tombstones", f"SELECT user_id, count(*) AS n FROM {LOG} WHERE op <> 'D' GROUP BY user_id")
 def _(t):
     return _log(t).where("op <> 'D'").groupBy("user_id").agg(F.count("*").alias("n"))
+
+
+@query("M13_deleted_keys", f"SELECT user_id, event_id FROM {LOG} QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1 AND op = 'D'")
+def _(t):
+    return s.tombstones(_log(t), ["user_id"], c("ts"), c("event_id")).select("user_id", "event_id")
+
+
+@query("M12_append_new", "WITH o AS (SELECT o_orderkey AS k, o_orderstatus AS v FROM orders WHERE o_orderkey % 3 <> 0) SELECT k, v FROM o UNION ALL SELECT l_orderkey, min(l_linenumber)::VARCHAR FROM lineitem WHERE l_orderkey NOT IN (SELECT k FROM o) GROUP BY l_orderkey")
+def _(t):
+    known = t("orders").where("o_orderkey % 3 <> 0").select(c("o_orderkey").alias("k"), c("o_orderstatus").alias("v"))
+    lines = t("lineitem").select(c("l_orderkey").alias("k"), c("l_linenumber").cast("string").alias("v"), "l_linenumber")
+    return s.append_new(known.withColumn("l_linenumber", F.lit(None).cast(lines.schema["l_linenumber"].dataType)), lines, ["k"], c("l_linenumber")).select("k", "v")
+
+
+def _versions(t, label: str, owner: str) -> VersionedTable:
+    return VersionedTable(t.spark, new_folder(t.spark, label), owner)
+
+
+@query(
+    "M7_versioned_replace",
+    "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_orderkey % 3 = 0 THEN 2 ELSE 1 END AS version FROM lineitem WHERE l_orderkey % 7 <> 0 AND (l_orderkey % 3 <> 0 OR l_linenumber <= 2)",
+)
+def _(t):
+    """A third of the orders get other lines, a seventh of them then go, and the log is compacted."""
+    lines, table = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), _versions(t, "versions", "l_orderkey")
+    table.replace_all(lines.withColumn("version", F.lit(1)))
+    again = lines.where("l_orderkey % 3 = 0")
+    table.change(again.where("l_linenumber <= 2").withColumn("version", F.lit(2)), again)
+    gone = lines.where("l_orderkey % 7 = 0").withColumn("version", F.lit(3))
+    table.change(gone.where("false"), gone)
+    table.compact()
+    return table.read()
+
+
+@query("M14_restored_version", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus <> 'P'")
+def _(t):
+    """A step deletes what failed; the next one goes wrong and the version before it is put back."""
+    orders, table = t("orders").select("o_orderkey", "o_orderstatus"), _versions(t, "versions", "o_orderkey")
+    table.replace_all(orders)
+    failed = orders.where("o_orderstatus = 'P'")
+    good = table.change(failed.where("false"), failed)
+    table.change(orders.where("o_orderstatus = 'F'").withColumn("o_orderstatus", F.lit("?")))
+    table.restore(good)
+    return table.read()
+
+
+@query("R13_switched_model", "SELECT vec_id FROM embeddings WHERE NOT coalesce(label % 2 = 1, false)")
+def _(t):
+    """What waits for a model's vectors after a switch: vectors of another model and dimension stay and don't count."""
+    path, v = new_folder(t.spark, "embeddings"), t("embeddings").select("vec_id", "label", "embedding")
+    mine, other = embeddings_of(t.spark, path, "new/large", 64, "vec_id"), embeddings_of(t.spark, path, "old", 32, "vec_id")
+    other.change(v.select("vec_id", F.slice("embedding", 1, 32).alias("embedding")))
+    mine.change(v.where("label % 2 = 1").select("vec_id", "embedding"))
+    return s.pending(v.select("vec_id"), mine.read(), ["vec_id"])

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import ipaddress
+import json
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.text import let
-from ..scratch import materialize
+from ..scratch import drop_folder, materialize, path_exists, read_text, write_once
 
 # Types of images that are fetched, with their endings, and the largest size.
 IMAGE_TYPES = {"image/png": ".png", "image/jpeg": ".jpg", "image/jpg": ".jpg", "image/gif": ".gif", "image/webp": ".webp", "image/svg+xml": ".svg"}
@@ -130,23 +133,49 @@ def mode_once(log: DataFrame) -> DataFrame:
     return log.where("mode is not null").groupBy("document_id").agg(first.alias("x")).select("document_id", "x.mode", "x.reason")
 
 
-def run_chain(documents: DataFrame, steps: list[tuple[str, Callable[[DataFrame], DataFrame], int]]) -> DataFrame:
+def run_chain(documents: DataFrame, steps: list[tuple[str, Callable[[DataFrame], DataFrame], int]], log: str | None = None) -> DataFrame:
     """document_id, step, attempt, ok: the log of a chain of steps over documents (document_id).
 
     A step (name, function, retries) takes the documents that all steps before have passed
     and tells for each whether it worked; those that failed are tried again, up to so many
     times more, and go no further if they never work. A failure of one does not stop others.
+
+    With log, a folder, the log lasts: a chain that is run again on it goes on after the last
+    attempt that was finished, with the documents that it began with. An attempt is announced
+    before it starts and published once when it ends; of two drivers on one log the first to
+    publish an attempt is right, and the other goes on from its outcome. A step whose driver
+    is lost before that is done again, so steps should do no harm when they are repeated.
     """
-    left, log = documents.select("document_id").distinct(), None
-    for name, work, retries in steps:
+    spark = documents.sparkSession
+
+    def kept(name: str, work: Callable[[], DataFrame]) -> DataFrame:
+        if log is None:
+            return materialize(work(), "chain")
+        mark = f"{log.rstrip('/')}/done/{name}.json"
+        if not path_exists(spark, mark):
+            own = f"data/{name}-{uuid.uuid4().hex}"
+            write_once(spark, f"{log.rstrip('/')}/begun/{own[5:]}.json", "{}")
+            rows = work()
+            rows.write.parquet(f"{log.rstrip('/')}/{own}")
+            if not write_once(spark, mark, json.dumps({"folder": own, "schema": rows.schema.json()})):
+                drop_folder(spark, f"{log.rstrip('/')}/{own}")
+        done = json.loads(read_text(spark, mark))
+        return spark.read.schema(StructType.fromJson(json.loads(done["schema"]))).parquet(f"{log.rstrip('/')}/{done['folder']}")
+
+    left = documents.select("document_id").distinct()
+    if log is not None:
+        left = kept("documents", lambda first=left: first)
+    whole = None
+    for at, (name, work, retries) in enumerate(steps):
         passed = None
         for attempt in range(1, retries + 2):
-            did = materialize(work(left).select("document_id", F.lit(name).alias("step"), F.lit(attempt).alias("attempt"), F.coalesce("ok", F.lit(False)).alias("ok")), "chain")
-            log = did if log is None else log.union(did)
+            outcome = lambda left=left, attempt=attempt: work(left).select("document_id", F.lit(name).alias("step"), F.lit(attempt).alias("attempt"), F.coalesce("ok", F.lit(False)).alias("ok"))
+            did = kept(f"{at:03d}-{attempt:03d}", outcome)
+            whole = did if whole is None else whole.union(did)
             good = did.where("ok").select("document_id")
             passed = good if passed is None else passed.union(good)
             left = did.where("not ok").select("document_id")
             if left.isEmpty():
                 break
         left = passed
-    return log
+    return whole

@@ -849,3 +849,38 @@ def test_versioned_tables(spark, tmp_path):
     one, other = (embeddings_of(spark, str(tmp_path / "e"), m, d) for m, d in (("a/b", 2), ("a/b", 3)))
     one.change(spark.createDataFrame([(1, [0.1, 0.2])], "chunk_id int, embedding array<double>"))
     assert one.path != other.path and other.versions() == [] and one.read().count() == 1
+
+
+def test_chain_resumes(spark, tmp_path):
+    """A driver lost before or after any attempt; the log ends as without a loss, and no finished attempt is done again."""
+    from pyspark.sql import functions as F
+    from quire.scratch import write_once
+    from quire.sources.ingest import run_chain
+
+    docs = spark.range(6).withColumnRenamed("id", "document_id")
+
+    def chain(log, lost=None, after=False):
+        done = []
+
+        def step(name, ok):
+            def work(left):
+                done.append(name)
+                if len(done) == lost:
+                    if not after:
+                        raise KeyboardInterrupt
+                    return left.withColumn("ok", F.raise_error(F.lit("lost")).cast("boolean"))
+                return left.withColumn("ok", ok)
+
+            return work
+
+        steps = [("a", step("a", F.col("document_id") % 3 != 0), 1), ("b", step("b", F.lit(True)), 2)]
+        return sorted(tuple(r) for r in run_chain(docs, steps, log).collect()), done
+
+    plain, all_steps = chain(None)
+    assert len(plain) == 12 and all_steps == ["a", "a", "b"]
+    for lost in (1, 2, 3):
+        log = str(tmp_path / f"log{lost}")
+        with pytest.raises((KeyboardInterrupt, Exception)):
+            chain(log, lost, lost == 2)
+        assert chain(log) == (plain, all_steps[lost - 1 :]) and chain(log) == (plain, [])
+    assert write_once(spark, f"{tmp_path}/once", "x") and not write_once(spark, f"{tmp_path}/once", "y") and (tmp_path / "once").read_text() == "x"
