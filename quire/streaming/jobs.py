@@ -13,22 +13,24 @@ from ..scratch import path_exists
 
 
 def embed_incrementally(chunks: DataFrame, output: str, checkpoint: str, embed: Callable[[DataFrame], DataFrame], key: str = "id"):
-    """Starts a query that embeds what output doesn't hold yet, a micro-batch at a time.
-
-    Every batch is a folder of output under its number, so a batch that is delivered again
-    after a failure replaces what it wrote. Keys that other batches have written are left
-    out; of those only the keys are read.
+    """Starts a query that embeds each key of a stream once, a micro-batch at a time.
+
+    The keys that have been embedded are the query's state, looked up one by one, so a batch
+    reads nothing of the output and its work doesn't grow with what was done before (with the
+    RocksDB state store, spark.sql.streaming.stateStore.providerClass, they needn't fit in
+    memory either). Every batch is a folder of output under its number: one that is delivered
+    again after a failure finds the state as it was and replaces what it wrote. An output that
+    another checkpoint has written is refused, for its batches would be replaced. Of rows that
+    share a key one is embedded; null is a key like others.
     """
+    spark = chunks.sparkSession
+    if path_exists(spark, output) and not path_exists(spark, f"{checkpoint.rstrip('/')}/metadata"):
+        raise ValueError(f"{output} was written under another checkpoint than {checkpoint}")
 
     def add(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.dropDuplicates([key])
-        if path_exists(spark, output):
-            done = spark.read.parquet(output).where(F.col("batch") != number).select(key)
-            fresh = fresh.join(done, key, "left_anti")
-        embed(fresh).write.mode("overwrite").parquet(f"{output}/batch={number}")
-
-    return chunks.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        embed(batch).write.mode("overwrite").parquet(f"{output}/batch={number}")
+
+    return chunks.dropDuplicates([key]).writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def latest_states(log: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import datetime as dt
 import json
 import random
 import re
+import shutil
 
 import pytest
 
@@ -137,6 +138,50 @@ def test_incremental_embedding_resumes(spark, tmp_path):
         q = embed_incrementally(spark.readStream.schema("id long").parquet(source), out, str(tmp_path / "ck"), embed)
         q.awaitTermination(120)
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == list(range(25))
+    for folder in (tmp_path / "out").iterdir():  # what was written isn't read: with it gone, its keys aren't embedded again
+        shutil.rmtree(folder)
+    spark.range(0, 30).write.mode("append").parquet(source)
+    embed_incrementally(spark.readStream.schema("id long").parquet(source), out, str(tmp_path / "ck"), embed).awaitTermination(120)
+    assert sorted(r.id for r in spark.read.parquet(out).collect()) == list(range(25, 30))
+    with pytest.raises(ValueError, match="another checkpoint"):
+        embed_incrementally(spark.readStream.schema("id long").parquet(source), out, str(tmp_path / "other"), embed)
+
+
+def test_incremental_embedding_repeats_a_failed_batch(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from quire.streaming.jobs import embed_incrementally
+
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.range(0, 20).union(spark.range(0, 5)).write.parquet(source)
+    lost = lambda df: df.withColumn("embedding", F.when(F.col("id") == 7, F.raise_error(F.lit("lost"))).otherwise(F.array(F.lit(0.1))))
+    q = embed_incrementally(spark.readStream.schema("id long").parquet(source), out, str(tmp_path / "ck"), lost)
+    with pytest.raises(Exception, match="lost"):
+        q.awaitTermination(120)
+    embed_incrementally(spark.readStream.schema("id long").parquet(source), out, str(tmp_path / "ck"), lambda df: df.withColumn("embedding", F.array(F.lit(0.1)))).awaitTermination(120)
+    assert sorted(r.id for r in spark.read.parquet(out).collect()) == list(range(20))
+
+
+def test_windows_of_streams(spark, tmp_path):
+    """Hourly counts and sessions of a stream against the same over the whole table; what comes too late isn't counted."""
+    from pyspark.sql import functions as F
+    from quire.streaming.jobs import sessions, windowed_counts
+
+    at, schema = dt.datetime(2024, 1, 1), "at timestamp, key string"
+    rows = [(at + dt.timedelta(minutes=m), k) for m, k in ((0, "a"), (5, "a"), (59, "b"), (61, "a"), (200, "a"), (201, "a"))]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+
+    def run(name, of, end):
+        folder = str(tmp_path / name)
+        for late in (False, True):
+            if late:
+                spark.createDataFrame([(at, "a"), (at + dt.timedelta(days=end), "z")], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            of(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))).writeStream.format("parquet").option("checkpointLocation", folder + "-ck").trigger(availableNow=True).start(folder).awaitTermination(120)
+        return sorted(((r.start - at).seconds // 60, r.key, r.n) for r in spark.read.parquet(folder).where("key <> 'z'").collect())
+
+    assert run("hours", lambda e: windowed_counts(e, "at", "key"), 1) == [(0, "a", 2), (0, "b", 1), (60, "a", 1), (180, "a", 2)]
+    (tmp_path / "in").rename(tmp_path / "before")
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    assert run("sessions", lambda e: sessions(e, "at", "key"), 1) == [(0, "a", 2), (59, "b", 1), (61, "a", 1), (200, "a", 2)]
 
 
 def test_rate_limit(spark, tmp_path):
@@ -884,3 +929,55 @@ def test_chain_resumes(spark, tmp_path):
             chain(log, lost, lost == 2)
         assert chain(log) == (plain, all_steps[lost - 1 :]) and chain(log) == (plain, [])
     assert write_once(spark, f"{tmp_path}/once", "x") and not write_once(spark, f"{tmp_path}/once", "y") and (tmp_path / "once").read_text() == "x"
+
+
+@pytest.fixture
+def engine():
+    """A search engine on this machine: its address, and what it was asked."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+    from urllib.parse import parse_qs, urlsplit
+
+    asked = []
+
+    class Engine(BaseHTTPRequestHandler):
+        def do_GET(self):
+            q = {k: v[0] for k, v in parse_qs(urlsplit(self.path).query).items()}
+            asked.append((q["q"], q.get("categories")))
+            found = [{"title": f" {q['q']} {i} ", "url": f"https://x.org/{i}", "content": "text", "engine": "e", "score": [1, None, "high"][i % 3], "img_src": "//i.org/a.png" if i == 0 else None} for i in range(15)]
+            self.send_response(500 if q["q"] == "broken" else 200)
+            self.end_headers()
+            self.wfile.write(b"no json" if q["q"] == "nonsense" else json.dumps({"results": found}).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Engine)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}", asked
+    server.shutdown()
+
+
+def test_web_search(spark, engine):
+    from pyspark.sql import functions as F
+    from quire.sources.search import register, searched
+
+    url, asked = engine
+    queries = spark.createDataFrame([("a & b", 1), ("a & b", 2), (None, 3), (" ", 4), ("broken", 5), ("nonsense", 6)], "query string, position int")
+    rows = sorted(searched(queries, url).collect(), key=lambda r: r.position)  # a range sort would ask once more, for its sample
+    assert [r.position for r in rows] == list(range(1, 11)) and {r["query"] for r in rows} == {"a & b"} and sorted(asked) == [("a & b", None), ("broken", None), ("nonsense", None)]
+    assert rows[0].title == "a & b 0" and rows[0].image == "https://i.org/a.png" and rows[1].image is None and [r.score for r in rows[:3]] == [1.0, None, None]
+    with pytest.raises(Exception, match="500"):
+        searched(queries.where("query = 'broken'"), url, strict=True).collect()
+    assert searched(queries.where("false"), url).count() == 0
+
+    register(spark)
+    source = spark.read.format("web_search").option("endpoint", url)
+    asked.clear()
+    assert source.option("queries", '["x", "y", "x"]').option("categories", "images").load().where("position <= 2").count() == 4 and sorted(asked) == [("x", "images"), ("y", "images")]
+    asked.clear()
+    source = spark.read.format("web_search").option("endpoint", url)
+    got = source.load().where(F.col("query").isin("x", "y") & (F.col("categories") == "images") & (F.col("position") < 3)).collect()
+    assert len(got) == 4 and sorted(asked) == [("x", "images"), ("y", "images")]
+    with pytest.raises(Exception, match="needs its queries"):
+        source.load().collect()
