@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import store as s
 from ..scratch import new_folder
-from ..sources import readers
+from ..sources import readers, spans
 from ..sources.versions import VersionedTable, embeddings_of
 from .registry import query
 
@@ -161,3 +161,24 @@ def _(t):
     other.change(v.select("vec_id", F.slice("embedding", 1, 32).alias("embedding")))
     mine.change(v.where("label % 2 = 1").select("vec_id", "embedding"))
     return s.pending(v.select("vec_id"), mine.read(), ["vec_id"])
+
+
+@query(
+    "S5_page_lines",
+    """SELECT conv_id::VARCHAR AS document_id, 0 AS page, turn::INT AS block, 0 AS line, role || CASE WHEN turn % 2 = 0 THEN ' ' ELSE '' END || turn AS text, CASE WHEN role = 'user' THEN 12.0 ELSE 10.0 END::DOUBLE AS size, role = 'user' AS bold
+FROM conversations""",
+)
+def _(t):
+    """Conversations as pages that a PDF library dumped, written as JSON and read again: a block a turn, of two spans."""
+
+    def span(text, left, right):
+        user = c("role") == "user"
+        return F.struct(text.alias("text"), F.when(user, 12.0).otherwise(10.0).alias("size"), F.lit("Serif").alias("font"), F.when(user, 16).otherwise(0).alias("flags"), F.array(left, F.lit(0.0), right, F.lit(9.0)).alias("bbox"))
+
+    begin = F.when(c("turn") % 2 == 0, 105.0).otherwise(100.0)
+    line = F.struct(F.array(F.lit(0.0), c("turn") * 10.0, F.lit(110.0), c("turn") * 10.0 + 9).alias("bbox"), F.array(span(c("role"), F.lit(0.0), F.lit(100.0)), span(c("turn").cast("string"), begin, begin + 5)).alias("spans"))
+    block = F.struct(F.lit(0).alias("type"), F.array(line).alias("lines"))
+    made = t("conversations").groupBy(c("conv_id").cast("string").alias("document_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", block.alias("b")))), lambda e: e["b"]).alias("blocks"))
+    path = new_folder(t.spark, "pages")
+    made.select("document_id", F.lit(0).alias("page"), F.lit(800.0).alias("height"), "blocks").write.json(path)
+    return spans.page_lines(spans.pages(t.spark.read, path)).select("document_id", "page", "block", "line", "text", "size", "bold")

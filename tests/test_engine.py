@@ -981,3 +981,52 @@ def test_web_search(spark, engine):
     assert len(got) == 4 and sorted(asked) == [("x", "images"), ("y", "images")]
     with pytest.raises(Exception, match="needs its queries"):
         source.load().collect()
+
+
+def test_page_spans(spark, tmp_path):
+    """Dumped pages, whole and as a stream over a restart: the same lines; then Markdown and chunks of a document."""
+    from pyspark.sql import functions as F
+    from quire.operators.chunks import chunks_of_markdown
+    from quire.operators.layout import join_spans
+    from quire.sources.spans import line_text, markdown_of, page_lines, pages
+
+    rng = random.Random(3)
+
+    def span(text, left, size=10.0, **more):
+        return {"text": text, "size": size, "bbox": [left, 0.0, left + 6.0 * len(text or ""), 9.0]} | more
+
+    def line(y, *spans):
+        return {"bbox": [50.0, y, 500.0, y + 9], "spans": list(spans)}
+
+    def dump(name, *rows):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / name).write_text("\n".join(json.dumps(r) for r in rows))
+
+    first = {"document_id": "d", "page": 0, "height": 800.0, "snapshot": "p0.png", "blocks": [{"type": 0, "lines": [line(20, span("A Long Title", 50, 20.0, font="Serif-Bold")), line(50, span("body text of", 50), span("the page", 130, flags=16)), line(60, span(None, 50), span("  ", 60)), line(780, span("* a note", 50, 7.0))]}, {"type": 1, "image": "f.png", "bbox": [0, 40, 9, 45]}]}
+    dump("a.jsonl", first, {"document_id": "d", "page": 1, "height": 800.0, "blocks": []}, {"document_id": "e", "page": 0, "blocks": None})
+    source, out, schema = str(tmp_path / "in"), str(tmp_path / "out"), None
+    for n in range(2):
+        if n:
+            dump("b.jsonl", {"document_id": "d", "page": 2, "height": 0.0, "blocks": [{"type": 0, "lines": [{"spans": [span("no place", 1)]}, line(1)]}]})
+        stream = page_lines(pages(spark.readStream, source))
+        schema = stream.schema
+        stream.writeStream.format("parquet").option("checkpointLocation", out + "-ck").trigger(availableNow=True).start(out).awaitTermination(120)
+    whole = page_lines(pages(spark.read, source))
+    assert sorted(map(repr, spark.read.schema(schema).parquet(out).collect())) == sorted(map(repr, whole.collect())) and whole.count() == 5
+    got = {(r.page, r.text): r for r in whole.collect()}
+    assert got[0, "body text of the page"].bold and got[0, "A Long Title"].bold and not got[0, "* a note"].bold and got[0, ""].image == "f.png" and got[2, "no place"].height == 1.0
+    text = {r.document_id: r.markdown for r in markdown_of(pages(spark.read, source)).collect()}
+    assert list(text) == ["d"] and re.sub("\\s+", " ", text["d"]).strip() == "# A Long Title ![f.png](f.png) body text of the page * a note ![Page 1](p0.png) no place"
+    assert [r.chunk_type for r in chunks_of_markdown(markdown_of(pages(spark.read, source))).collect()][0] == "heading"
+
+    rows, at = [], 0.0
+    for n in range(60):
+        words = [rng.choice(["ab", " c", "d ", "e", "fgh"]) for _ in range(rng.randrange(1, 5))]
+        for i, w in enumerate(words):
+            at += rng.choice([0.0, 1.0, 2.0, 9.0])
+            rows.append((n, i, w, at, at + 4.0 * len(w)))
+            at += 4.0 * len(w)
+    table = spark.createDataFrame(rows, "n int, i int, text string, left double, right double")
+    plain = {r.n: r.text for r in join_spans(table, ["n"], "i").collect()}
+    nested = table.groupBy("n").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", F.struct("text", F.array("left", "left", "right").alias("bbox")).alias("s")))), lambda e: e["s"]).alias("spans"))
+    assert {r.n: r.text for r in nested.select("n", line_text(F.col("spans")).alias("text")).collect()} == plain
