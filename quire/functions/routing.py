@@ -54,14 +54,18 @@ def route_of_reply(reply: Column) -> Column:
     return F.when(named.isin(valid), named).when(word != "", word).otherwise("GLOBAL")
 
 
+# What a search query gets besides the question, with a title, for a technical question, and for others.
+OF_PAPER = (' (in the context of the research paper "', '", machine learning / computer science)')
+OF_FIELD = " machine learning OR deep learning OR computer science"
+OF_ANY = " in machine learning, deep learning, NLP, or computer science (research paper context, not biology / medicine / genetics)"
+
+
 def rewrite_query(q: Column, title: Column) -> Column:
     """A search query with the paper's title, or with the field's name, less of it where the question is technical."""
     t = F.trim(F.regexp_replace(title, "\\.[^.]*$", ""))
     tech = has_any(F.concat(F.lit(" "), F.lower(q), F.lit(" ")), TECH_WORDS)
-    named = F.concat(F.trim(q), F.lit(' (in the context of the research paper "'), t, F.lit('", machine learning / computer science)'))
-    return F.when(F.coalesce(title, F.lit("")) != "", named).when(tech, F.concat(F.trim(q), F.lit(" machine learning OR deep learning OR computer science"))).otherwise(
-        F.concat(F.trim(q), F.lit(" in machine learning, deep learning, NLP, or computer science (research paper context, not biology / medicine / genetics)"))
-    )
+    named = F.concat(F.trim(q), F.lit(OF_PAPER[0]), t, F.lit(OF_PAPER[1]))
+    return F.when(F.coalesce(title, F.lit("")) != "", named).otherwise(F.concat(F.trim(q), F.when(tech, OF_FIELD).otherwise(OF_ANY)))
 
 
 def tool_calls(reply: Column, most: int = 3) -> Column:

@@ -380,3 +380,70 @@ def _(t):
 @query("R9_whole_or_agent", r"SELECT source, sum(floor(len(regexp_extract_all(text, '\S+')) * 13 / 10)) <= 20000 AS whole FROM documents GROUP BY source")
 def _(t):
     return t("documents").groupBy("source").agg((F.sum(x.estimate_tokens(c("text"))) <= 20000).alias("whole"))
+
+
+def _by_size(*shapes):
+    """One of the shapes for each part, by its size."""
+    out = F.when(c("p_size") % len(shapes) == 0, shapes[0])
+    for i, shape in enumerate(shapes[1:], 1):
+        out = out.when(c("p_size") % len(shapes) == i, shape)
+    return out
+
+
+@query(
+    "X17_pipe_tables",
+    """SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN list_transform(range(p_partkey % 5 + 2), lambda i : [p_name, i::VARCHAR]) WHEN 1 THEN [[p_brand, p_type, p_name], [p_size::VARCHAR]] END AS cells FROM part""",
+)
+def _(t):
+    """Tables of two to six rows, with indents and cells left empty; one line; lines with too few pipes."""
+    rows = F.transform(F.sequence(F.lit(0), (c("p_partkey") % 5 + 1).cast("int")), lambda i: F.concat(F.lit("| "), "p_name", F.lit(" | "), i.cast("string"), F.lit(" |")))
+    grid = F.concat(F.lit("before\n"), F.get(rows, F.lit(0)), F.lit("\n| :--- | ---: |\n"), F.array_join(F.slice(rows, F.lit(2), F.size(rows)), "\n"), F.lit("\nafter"))
+    ragged = F.concat(F.lit("  | "), "p_brand", F.lit(" || "), "p_type", F.lit("| "), "p_name", F.lit("  |\n|-|-|\n\t||"), c("p_size").cast("string"), F.lit("|  "))
+    md = _by_size(grid, ragged, F.concat(F.lit("| "), "p_name", F.lit(" | "), "p_brand", F.lit(" |")), F.concat("p_name", F.lit(" | "), "p_brand", F.lit("\n"), "p_type", F.lit("|x")))
+    return t("part").select("p_partkey", x.pipe_table(md).alias("cells"))
+
+
+@query(
+    "X35_tool_replies",
+    """SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN list_transform(range(least(3, p_partkey % 6)), lambda i : p_name || ' ' || i) WHEN 1 THEN [p_brand] ELSE []::VARCHAR[] END AS searches,
+CASE p_size % 4 WHEN 1 THEN [[p_size, p_size + 3], [9, 2]] WHEN 3 THEN [[1, 2], [3, 4], [5, 6]] ELSE []::INT[][] END AS reads FROM part""",
+)
+def _(t):
+    """None to five searches of which three count; reads written in three ways, in a block that isn't closed; calls outside; four reads."""
+    asked = F.array_join(F.transform(F.filter(F.sequence(F.lit(0), F.lit(5)), lambda i: i < c("p_partkey") % 6), lambda i: F.concat(F.lit("search: "), "p_name", F.lit(" "), i.cast("string"), F.lit(" "))), "\n")
+    size = c("p_size").cast("string")
+    reply = _by_size(
+        F.concat(F.lit("<tool>\n"), asked, F.lit("\nSEARCH:\n</tool>\nSEARCH: after")),
+        F.concat(F.lit("Let me see. <TOOL>\n READ: "), size, F.lit(" – "), (c("p_size") + 3).cast("string"), F.lit("\nRead: 9 to 2\nREAD: 7\nSEARCH: "), "p_brand"),
+        F.concat(F.lit("SEARCH: "), "p_name", F.lit("\nREAD: 1-2")),
+        F.lit("<tool>READ: 1-2\nREAD: 3-4\nREAD: 5-6\nREAD: 7-8</tool>"),
+    )
+    return t("part").select("p_partkey", g.tool_calls(reply).alias("x")).select("p_partkey", "x.searches", "x.reads")
+
+
+@query(
+    "X36_citation_shapes",
+    """SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN list_transform(range(p_partkey % 4), lambda i : (p_size + i)::INT) WHEN 1 THEN CASE WHEN p_size = 5 THEN [5, 6] ELSE [5, p_size, 6] END WHEN 2 THEN [p_size, p_size + 1] ELSE []::INT[] END AS cited FROM part""",
+)
+def _(t):
+    """One to three citations or none; several in a bracket, with repeats; brackets in brackets; what is no citation."""
+    size, more = c("p_size").cast("string"), (c("p_size") + 1).cast("string")
+    each = F.array_join(F.transform(F.filter(F.sequence(F.lit(0), F.lit(3)), lambda i: i < c("p_partkey") % 4), lambda i: F.concat(F.lit("so [["), (c("p_size") + i).cast("string"), F.lit("]]. "))), "")
+    answer = _by_size(each, F.concat(F.lit("by [[5; "), size, F.lit("]] and [[ 6,5 ]]")), F.concat(F.lit("[["), size, F.lit("], ["), more, F.lit("]]")), F.concat(F.lit("["), size, F.lit("] [[x"), size, F.lit("]] [[]]")))
+    return t("part").select("p_partkey", g.cited(answer).alias("cited"))
+
+
+@query(
+    "X37_research_replies",
+    "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN list_transform(range(p_partkey % 4), lambda i : p_name || i) WHEN 1 THEN [p_brand, p_type] END AS queries FROM part",
+)
+def _(t):
+    """No to three queries; JSON over several lines amid prose; an answer that asks for nothing; JSON that is none."""
+    some = F.transform(F.filter(F.sequence(F.lit(0), F.lit(3)), lambda i: i < c("p_partkey") % 4), lambda i: F.concat("p_name", i.cast("string")))
+    reply = _by_size(
+        F.concat(F.lit("NEEDS_RESEARCH"), F.to_json(F.struct(some.alias("queries")))),
+        F.concat(F.lit('I must look.\nNEEDS_RESEARCH :\n{\n "why": {"a": 1},\n "queries": ["'), "p_brand", F.lit('", "'), "p_type", F.lit('"]\n}\nThanks.')),
+        F.concat("p_name", F.lit(' {"queries": ["no"]}')),
+        F.lit("NEEDS_RESEARCH: {queries: nothing"),
+    )
+    return t("part").select("p_partkey", g.needs_research(reply).alias("queries"))
