@@ -10,6 +10,8 @@ from ..models import HashModel, embed
 from ..operators import layout
 from ..operators.chunks import EARLY_BLOCKS, chunks_of_blocks, chunks_of_markdown, flat_caption
 from ..operators.store import pending
+from ..scratch import new_folder
+from ..streaming.jobs import embed_incrementally
 from .registry import query
 from .text import NORMAL, PARAGRAPHS, PHRASE, PLAIN
 
@@ -176,6 +178,22 @@ def _(t):
     return done.select("id", F.transform("embedding", lambda v: F.round(v, 9)).alias("embedding"))
 
 
+@query(
+    "Z1_incremental_embed",
+    """WITH h AS (SELECT doc_id AS id, sha256(CASE WHEN coalesce(text, '') = '' THEN '[text]' ELSE substring(text, 1, 3000) END) AS h FROM documents),
+v AS (SELECT id, list_transform(range(8), lambda i : ('0x' || substring(h, 1 + 2 * i, 2))::INT / 255::DOUBLE) AS v FROM h)
+SELECT id, list_transform(v, lambda x : round(x / sqrt(list_sum(list_transform(v, lambda y : y * y))), 9)) AS embedding FROM v""",
+)
+def _(t):
+    """The documents as a stream, embedded by a query that is started again after it has ended: nothing is done twice. A pattern names the table, be it a file or a folder."""
+    d, folder = t("documents"), new_folder(t.spark, "embedded")
+    for _ in range(2):
+        chunks = t.spark.readStream.schema(d.schema).parquet(f"{t.sf_dir}/documents.parquet*").select(c("doc_id").alias("id"), F.lit("text").alias("chunk_type"), c("text").alias("plain_text"))
+        embed_incrementally(chunks, f"{folder}/rows", f"{folder}/checkpoint", lambda rows: embed(rows, HashModel(), 8)).awaitTermination()
+    done = t.spark.read.parquet(f"{folder}/rows")
+    return done.select("id", F.transform("embedding", lambda v: F.round(v, 9)).alias("embedding"))
+
+
 @query("R13_stale_embeddings", "SELECT vec_id FROM embeddings WHERE label <> 3 OR len(embedding) <> 64")
 def _(t):
     return t("embeddings").where((c("label") != 3) | (F.size("embedding") != 64)).select("vec_id")
