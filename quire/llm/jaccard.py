@@ -4,11 +4,13 @@ The overlaps are entries of the product of the sparse matrix of documents by n-g
 its transpose. The product is blocked so that only blocks that can hold a link are formed:
 
 1. Equal sets are one row of the matrix.
-2. Two sets that are alike enough share an n-gram among the first few of either, in any one
-   order of all n-grams; how many follows from the sets' sizes. The order is by how many
+2. Two sets that are alike enough share SHARED n-grams among the first few of either, in any
+   one order of all n-grams; how many follows from the sets' sizes. The order is by how many
    documents have an n-gram, as counted in hashed cells, so passages that recur everywhere
    and turns of phrase bring nothing together.
-   Rows that share such an n-gram, and whose sizes allow a link, are put into one block.
+   Rows that share so many of them, and whose sizes allow a link, are put into one block: a
+   single n-gram that texts have in common by chance would, in a large corpus, connect most
+   of it. An n-gram that more than FEW rows have among their first ones is enough by itself.
 3. Within a block, overlap counts are accumulated over n-grams: frequent columns by dense
    products of column ranges, rare ones by counting the pairs they hold. Pairs below the
    bound that their sizes give are discarded; the rest are links, exactly.
@@ -42,6 +44,10 @@ CHUNK = 1 << 20
 HOT_STEP, SALTS = 128, 16
 #: N-grams are counted in so many cells (a table of 16 MB), which are summed in blocks.
 CELL_BITS, CELL_BLOCK = 24, 1 << 16
+#: Rows that bring each other into a block share so many of their first n-grams, or one that more than FEW rows have.
+SHARED, FEW = 3, 32
+#: A table of keys has so many bits (16 MB), whatever the corpus.
+KEY_BITS = 27
 #: Shingles that a worker counts at a time.
 COUNT_AT_ONCE = 2_000_000
 
@@ -241,7 +247,7 @@ def _prefixes(k: int, percent: int, order: Broadcast):
                 a, b = set_hash(s) if n else (None, None)
                 one.append(a)
                 two.append(b)
-                take = n - -(-percent * n // 100) + 1 if n else 0
+                take = n - -(-percent * n // 100) + SHARED if n else 0
                 step = steps[_cells(s)]
                 at = np.lexsort((s, step))[:take]
                 often = step[at] >= HOT_STEP
@@ -326,16 +332,26 @@ def _band(n: Column, percent: int) -> Column:
 
 
 def _candidates(classes: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) that connect classes which share one of their first n-grams and whose sizes allow a link.
+    """Edges (a, b) that connect classes which share enough of their first n-grams and whose sizes allow a link.
 
-    In the order of sizes, neighbours under one n-gram are enough. A hot n-gram's rows are
-    dealt by band of sizes and a salt: each goes to the least node of its salt, and these
-    to each other, one row a salt and band.
+    Under an n-gram of up to FEW rows all pairs are counted, and those kept that share SHARED
+    n-grams, or as many as a link of their sizes needs. Under one of more rows, neighbours in
+    the order of sizes are connected, which is enough. A hot n-gram's rows are dealt by band
+    of sizes and a salt: each goes to the least node of its salt, and these to each other,
+    one row a salt and band.
     """
     postings = classes.select("node", "n", F.explode("first").alias("shingle"))
     by_size = W.partitionBy("shingle").orderBy("n", "node")
-    near = postings.select("node", "n", F.lag("node").over(by_size).alias("other"), F.lag("n").over(by_size).alias("other_n"))
-    chains = near.where(F.col("other").isNotNull() & (F.col("other_n") * 100 >= F.col("n") * percent)).select(F.col("node").alias("a"), F.col("other").alias("b"))
+    after = F.collect_list(F.struct("node", "n")).over(by_size.rowsBetween(1, FEW - 1))
+    # n-grams of one row are most of them, and go before anything is made of them
+    several = postings.withColumn("rows", F.count("*").over(W.partitionBy("shingle"))).where("rows > 1")
+    near = several.select("node", "n", "rows", F.lag("node").over(by_size).alias("other"), F.lag("n").over(by_size).alias("other_n"), after.alias("after"))
+    near = materialize(near.withColumn("after", F.when(F.col("rows") <= FEW, F.col("after"))), "jaccard-shared")
+    chains = near.where((F.col("rows") > FEW) & (F.col("other_n") * 100 >= F.col("n") * percent)).select(F.col("node").alias("a"), F.col("other").alias("b"))
+    pairs = near.where("rows <= " + str(FEW)).select(F.col("node").alias("a"), "n", F.explode("after").alias("o")).where(F.col("n") * 100 >= F.col("o.n") * percent)
+    shared = pairs.groupBy("a", F.col("o.node").alias("b"), "n", F.col("o.n").alias("m")).count()
+    overlap = F.ceil((F.col("n") + F.col("m")) * percent / (100 + percent))
+    chains = chains.union(shared.where(F.col("count") >= F.least(F.lit(SHARED), overlap)).select("a", "b"))
 
     hot = classes.select("node", "n", _band(F.col("n"), percent).alias("band"), F.pmod(F.xxhash64("node"), F.lit(SALTS)).alias("salt"), F.explode("hot").alias("shingle"))
     salted = hot.select(F.col("node").alias("a"), F.min("node").over(W.partitionBy("shingle", "band", "salt")).alias("b")).where("a <> b")
@@ -347,6 +363,23 @@ def _candidates(classes: DataFrame, percent: int) -> DataFrame:
     return chains.union(salted).union(joined).union(across)
 
 
+def _may_be_among(docs: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """docs with __may, false only where key isn't in the one column of keys.
+
+    The keys are a table of bits, sent to every task, so docs aren't shuffled. Keys that
+    share a bit cost time: what may be among them is joined with them.
+    """
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << KEY_BITS))
+    at = bit(F.col(keys.columns[0]))
+    bits = keys.groupBy(F.bitmap_bucket_number(at).alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("__bits"))
+    own = bit(F.col(key))
+    joined = docs.withColumn("__bucket", F.bitmap_bucket_number(own)).join(F.broadcast(bits), "__bucket", "left")
+    place = F.bitmap_bit_position(own)
+    byte = F.conv(F.hex(F.substring("__bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    may = F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))
+    return joined.withColumn("__may", may).drop("__bucket", "__bits")
+
+
 def _cells_of(members: DataFrame, percent: int) -> DataFrame:
     """members (block, node, n and what else they have) with band and tile, and each once for every cell p (low band and tile, high band and tile) it belongs to."""
     banded = members.withColumn("band", _band(F.col("n"), percent))
@@ -396,7 +429,8 @@ def _classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFram
     members = materialize(classes.select("node", "n", "one", "two", "copies", F.col("least.key").alias("of")).join(blocks, "node"), "jaccard-blocks")
     placed = _cells_of(members, percent)
     # a merge join at every size: what is placed grows with the corpus; rows of one key lie together after it, and one of them is enough
-    texts = docs.select("key", "text").join(placed.hint("merge"), F.col("key") == F.col("of")).dropDuplicates(["key"]).withColumn("p", F.explode("p"))
+    wanted = _may_be_among(docs.select("key", "text"), "key", members.select("of")).where("__may").drop("__may")
+    texts = wanted.join(placed.hint("merge"), F.col("key") == F.col("of")).dropDuplicates(["key"]).withColumn("p", F.explode("p"))
     groups = texts.select("block", "p.bi", "p.i", "p.bj", "p.j", "band", "tile", "node", "one", "two", "copies", "text").groupBy("block", "bi", "i", "bj", "j")
     found = materialize(groups.applyInPandas(_cell_links(k, percent), "node long, root long, links long"), "jaccard-links")
 
@@ -417,7 +451,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     empty table gives no rows. Sets, and pairs of id and text, are told apart by two 64-bit
     hashes (sets also by their sizes), n-grams by one.
 
-    Scale: texts are shuffled once, and again for rows in blocks of several; the rest moves
+    Scale: only texts in blocks of several rows are shuffled, once for each cell; the rest moves
     the first tenth (at 90 %) of each set's hashes. Groups of equal texts are one row from
     the first shuffle on, in which each task sends a set once. Common n-grams don't bring
     rows together unless rows consist of them; large blocks are dealt out by pairs of tiles.
@@ -438,12 +472,17 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """
     names = docs.columns
     keyed = docs.withColumn("__key", row_key(names))
-    _, classes = _classes(keyed.select(F.col("__key").alias("key"), "doc_id", "text"), k, percent)
-    kept = classes.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.key").alias("__of"))
-    # rows of one key are the same in every column: any of them will do
-    first = keyed.join(kept.hint("merge"), F.col("__key") == F.col("__of")).dropDuplicates(["__key"])
+    nodes, classes = _classes(keyed.select(F.col("__key").alias("key"), "doc_id", "text"), k, percent)
+    classes = materialize(classes.select("root", "one", "two", "n", "least", "copies"), "jaccard-components")
+    groups = classes.groupBy("root").agg(F.min("least").alias("least"), F.sum("copies").alias("rows"))
+    of_several = classes.join(groups.where("rows > 1").select("root"), "root", "left_semi").select("one", "two", F.col("n").alias("n_shingles"))
+    marked = _may_be_among(keyed, "__key", nodes.join(of_several, ["one", "two", "n_shingles"], "left_semi").select("key"))
     has_words = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
-    return pick(first, names).union(docs.where(~has_words))
+    alone = marked.where(~F.col("__may") | ~has_words)
+    # rows of one key are the same in every column: any of them will do
+    kept = groups.select(F.col("least.key").alias("__of"))
+    first = marked.where(F.col("__may") & has_words).join(kept.hint("merge"), F.col("__key") == F.col("__of")).dropDuplicates(["__key"])
+    return pick(first, names).union(pick(alone, names))
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

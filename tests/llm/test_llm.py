@@ -370,6 +370,26 @@ def rows_of_shared_ids():
     return rows + rows[:3] + rows[:3] + [(None, None, "en", "s1", 1), (None, " ", "en", "s1", 1), (7, "", "en", "s1", 1), (7, "", "en", "s1", 1)]
 
 
+def test_jaccard_blocks_of_chance(spark):
+    """Texts that each have one n-gram in common with the next are no block; near copies are, and links stay."""
+    import quire.llm.jaccard as j
+    from pyspark.sql import functions as F
+
+    fresh = lambda n, at: [f"w{at}x{i}" for i in range(n)]
+    chain = [(i, " ".join(["a", str(i), "b"] + fresh(40, i) + ["a", str(i + 1), "b"])) for i in range(60)]
+    near = " ".join(fresh(80, 99))
+    docs = frame(spark, [(*r, "en", "s1", 1) for r in chain + [(60, near), (61, near + " more")]])
+    keyed = docs.select(j.row_key(["doc_id", "text"]).alias("key"), "doc_id", "text")
+    order = spark.sparkContext.broadcast(j.common_order(keyed, 3))
+    schema = "key struct<a: long, b: long>, doc_id long, n_shingles long, one long, two long, first array<long>, hot array<long>"
+    classes = j.materialize(keyed.mapInArrow(j._prefixes(3, 90, order), schema).select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "first", "hot"), "classes")
+    assert {tuple(sorted(r)) for r in j._candidates(classes, 90).collect()} == {(60, 61)}
+    got = {x.doc_id: x.component_id for x in j.jaccard_join(docs, 3, 90).collect()}
+    assert got == {i: i for i in range(61)} | {61: 60}
+    keys = keyed.where("doc_id >= 60").select(F.col("key").alias("of"))
+    assert [r.doc_id for r in j._may_be_among(keyed, "key", keys).where("__may").collect()] == [60, 61]
+
+
 @pytest.mark.parametrize("tile", [2, 1024])
 def test_jaccard_join_of_shared_ids(spark, tile, monkeypatch):
     import quire.llm.jaccard as j
