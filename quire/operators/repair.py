@@ -52,7 +52,8 @@ def repair_glyphs(chunks: DataFrame, pages: DataFrame) -> DataFrame:
     pages: document_id, page, content. A chunk is compared with its page and the two beside
     it, or with all of its document's where its page is null. Only damaged chunks are joined
     with pages, and written with a number of their own, so that repeated rows stay apart; what
-    stays lost is left as it is, and a null text stays null.
+    stays lost is left as it is, and a null text stays null. The joins are merge joins at every
+    size: files of such rows are small, the rows aren't, and are not for the driver to broadcast.
     """
     bare = pages.select("document_id", F.col("page").alias("at"), F.regexp_replace("content", r"(?U)\s+", "").alias("content"))
     damaged = F.coalesce(F.contains("text", F.lit(LOST)), F.lit(False))
@@ -60,14 +61,14 @@ def repair_glyphs(chunks: DataFrame, pages: DataFrame) -> DataFrame:
     row = F.struct(*[F.col(f"`{n}`") for n in names])
     hurt = materialize(chunks.where(damaged).select(row.alias("row"), F.monotonically_increasing_id().alias("rid"), F.split("text", LOST, -1).alias("pieces")), "damaged-chunks")
     asked = patterns(hurt.select("rid", "row.document_id", "row.page", "pieces"))
-    beside = asked.where("page is not null").withColumn("at", F.explode(F.array(F.col("page") - 1, F.col("page"), F.col("page") + 1))).join(bare, ["document_id", "at"])
-    anywhere = asked.where("page is null").join(bare, "document_id")
+    beside = asked.where("page is not null").withColumn("at", F.explode(F.array(F.col("page") - 1, F.col("page"), F.col("page") + 1))).join(bare.hint("merge"), ["document_id", "at"])
+    anywhere = asked.where("page is null").join(bare.hint("merge"), "document_id")
     met = beside.select("rid", "place", "key", "pattern", "content").unionByName(anywhere.select("rid", "place", "key", "pattern", "content"))
     found = met.select("rid", "place", "key", F.explode(F.array_distinct(F.regexp_extract_all("content", F.col("pattern"), F.lit(1)))).alias("c"))
     answers = found.groupBy("rid", "place", "key").agg(F.min("c").alias("c"), (F.min("c") == F.max("c")).alias("one")).where((F.col("one")) & (F.col("c") != LOST))
     first = answers.groupBy("rid", "place").agg(inline(F.min_by("c", "key")).alias("c"))
     known = first.groupBy("rid").agg(F.map_from_entries(F.collect_list(F.struct("place", "c"))).alias("known"))
-    whole = hurt.join(known, "rid", "left")
+    whole = hurt.join(known.hint("merge"), "rid", "left")
     said = F.coalesce("known", F.create_map().cast("map<int,string>"))
     text = F.array_join(F.transform("pieces", lambda p, i: F.when(i < F.size("pieces") - 1, F.concat(p, F.coalesce(F.try_element_at(said, i + 1), F.lit(LOST)))).otherwise(p)), "")
     return chunks.where(~damaged).unionByName(whole.select(*[text.alias(n) if n == "text" else F.col(f"row.`{n}`") for n in names]))

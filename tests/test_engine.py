@@ -578,6 +578,16 @@ def test_glyph_repair(spark):
     assert got[2] == f"a {lost} b {lost}" and got[3] == f"far {lost} away" and got[7] == f"we have {lost}tokens"
 
 
+def test_glyph_repair_broadcasts_nothing(spark):
+    """Rows that grow with the input don't go through the driver, however small their files are."""
+    from quire.operators.repair import LOST, repair_glyphs
+
+    pages = spark.createDataFrame([("d", i, f"page {i} has 𝑛 tokens") for i in range(20)], "document_id string, page int, content string")
+    hurt = pages.selectExpr("document_id", "page", f"replace(content, '𝑛', '{LOST}') AS text")
+    plan = repair_glyphs(hurt, pages)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_glyph_repair_keeps_rows(spark):
     """Equal damaged rows, adjacent losses, contexts with regular expressions' signs, answers that differ, texts longer than any context."""
     from quire.operators.repair import LOST, repair_glyphs
