@@ -9,6 +9,7 @@ in the SQL that Spark and ANSI engines share, so that the same steps can be run
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -97,6 +98,71 @@ def with_stem(df: DataFrame, term: str = "term", stem: str = "stem") -> DataFram
     return out.withColumn(stem, F.col("__stem")).drop(*own.values())
 
 
+class _Ends:
+    """Finds the longest of these endings that a word has, or the empty string."""
+
+    def __init__(self, endings):
+        self.any, self.longest = tuple(endings), sorted(endings, key=len, reverse=True)
+
+    def of(self, w: str) -> str:
+        return next(e for e in self.longest if w.endswith(e)) if w.endswith(self.any) else ""
+
+
+_PLURAL, _PAST = _Ends(["sses", "ied", "ies", "us", "ss", "s"]), _Ends(["eedly", "ingly", "edly", "eed", "ing", "ed"])
+_STEP2, _STEP3, _STEP4 = _Ends(STEP2), _Ends(STEP3), _Ends(STEP4)
+_FIRST, _FROM, _CONSONANT_Y, _LI = re.compile(f"(?:{'|'.join(WHOLE_R1)})"), re.compile(_REGION), re.compile(f"({_V})y"), re.compile(f"{VALID_LI}li$")
+_VOWEL, _SHORT, _LAST_Y = re.compile(_V), re.compile(_SHORT_END), re.compile(f"{_C}[yY]$")
+#: Last letters of what a step can change.
+_CHANGED = frozenset(e[-1] for e in [*_PLURAL.any, *_PAST.any, *STEP2, *STEP3, *STEP4, "y", "e", "ll"])
+
+
+@lru_cache(1 << 18)
+def stem(term: str) -> str:
+    """The stem of one word of a to z and digits: what steps() say, for tasks that meet a word many times."""
+    if len(term) <= 2 or term[-1] not in _CHANGED or term in UNCHANGED:
+        return term
+    if term in IRREGULAR:
+        return IRREGULAR[term]
+    region = lambda x: m.end() if (m := _FROM.match(x)) else len(x)
+    w = "Y" + term[1:] if term[0] == "y" else term
+    if "y" in w:
+        w = _CONSONANT_Y.sub(r"\1Y", w)
+    r1 = m.end() if (m := _FIRST.match(w)) else region(w)
+    r2 = r1 + region(w[r1:])
+    e = _PLURAL.of(w)
+    if e == "sses" or (e in ("ied", "ies") and len(w) > 4):
+        w = w[:-2]
+    elif e in ("ied", "ies") or (e == "s" and _VOWEL.search(w[:-2])):
+        w = w[:-1]
+    if w in AFTER_PLURAL:
+        return w.lower()
+    e = _PAST.of(w)
+    if e in ("eed", "eedly") and len(w) - len(e) >= r1:
+        w = w[: -len(e)] + "ee"
+    elif e in ("ed", "edly", "ing", "ingly") and _VOWEL.search(w[: -len(e)]):
+        w = w[: -len(e)]
+        if w[-2:] in ("at", "bl", "iz"):
+            w += "e"
+        elif w[-2:] in DOUBLE:
+            w = w[:-1]
+        elif r1 >= len(w) and _SHORT.search(w):
+            w += "e"
+    if len(w) > 2 and w[-1] in "yY" and _LAST_Y.search(w):
+        w = w[:-1] + "i"
+    e = _STEP2.of(w)
+    if e and len(w) - len(e) >= r1 and (e != "ogi" or w.endswith("logi")) and (e != "li" or _LI.search(w)):
+        w = w[: -len(e)] + STEP2[e]
+    e = _STEP3.of(w)
+    if e and len(w) - len(e) >= r1 and (e != "ative" or len(w) - 5 >= r2):
+        w = w[: -len(e)] + STEP3[e]
+    e = _STEP4.of(w)
+    if e and len(w) - len(e) >= r2 and (e != "ion" or w.endswith(("sion", "tion"))):
+        w = w[: -len(e)]
+    if (w[-1:] == "e" and (len(w) - 1 >= r2 or (len(w) - 1 >= r1 and not _SHORT.search(w[:-1])))) or (w[-2:] == "ll" and len(w) - 1 >= r2):
+        w = w[:-1]
+    return w.lower()
+
+
 def sql_stems(words: str) -> str:
     """DuckDB: common table expressions from `words` (a table with a column term) to stems(term, stem)."""
     out, last = [], words

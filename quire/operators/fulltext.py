@@ -17,10 +17,14 @@ import math
 import re
 from dataclasses import dataclass
 from functools import reduce
+from itertools import chain
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.stems import with_stem
+from ..functions.stems import stem
 
 # English words that a full-text index leaves out.
 STOP = (
@@ -28,22 +32,17 @@ STOP = (
     "be been being have has had having do does did doing a an the and but if or because as until while of at by for with about against between into through during before after above below to from up down in out on off over under "
     "again further then once here there when where why how all any both each few more most other some such no nor not only own same so than too very s t can will just don should now"
 ).split()
-#: Documents of a page, about; classes of lengths an octave; folders that stems are dealt to, by a hash.
-PAGE, CLASSES, BUCKETS = 64, 4, 64
+STOP_WORDS, WORD = frozenset(STOP), re.compile("[a-z0-9]+")
+#: Documents of a page, about; classes of lengths an octave; folders that stems are dealt to, by a hash; pages that are written together.
+PAGE, CLASSES, BUCKETS, SLICE = 64, 4, 64, 1024
 # Fixed values of the rank: the weight of a position, the most positions of a stem that count, and the sum of 1 / n^2.
 WEIGHT, MOST_POSITIONS, ZETA2 = 0.1, 256, 1.64493406685
-INDEX = "stem string, page long, documents long, max_tf int, entries array<struct<id: bigint, position: int>>, bucket int"
+PAGE_ROWS = "stem string, page long, documents long, max_tf int, entries struct<ids: array<bigint>, starts: array<int>, positions: array<int>>"
+INDEX = f"{PAGE_ROWS}, bucket int"
 #: Pages that are read before others are ruled out.
 FIRST_PAGES = 4
 
 
-def words_of(docs: DataFrame) -> DataFrame:
-    """docs (id, text, ...) as id, ..., position (from 0, stop words counted), term: a row a word that is no stop word."""
-    rest = [c for c in docs.columns if c != "text"]
-    words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), 1)
-    return docs.select(*rest, F.posexplode(words).alias("position", "term")).where(~F.col("term").isin(STOP))
-
-
 def paged(docs: DataFrame) -> DataFrame:
     """docs (id, text) with their page. Only the number of documents in each class of lengths is counted; nothing is shuffled."""
     kind = F.floor(F.log2(F.octet_length(F.coalesce("text", F.lit(""))) + 1) * CLASSES).cast("int")
@@ -55,28 +54,58 @@ def paged(docs: DataFrame) -> DataFrame:
     return docs.select("id", "text", (at(first) + F.pmod(F.xxhash64("id"), at(pages))).alias("page"))
 
 
-def bucket(stem: Column) -> Column:
-    return F.pmod(F.xxhash64(stem), F.lit(BUCKETS)).cast("int")
+def bucket(of: Column) -> Column:
+    return F.pmod(F.xxhash64(of), F.lit(BUCKETS)).cast("int")
 
 
 def write_index(docs: DataFrame, path: str) -> None:
     """Writes the index of docs (id, text): dealt by a hash of the stem, sorted by stem and page, so that a read of few stems opens few folders and row groups.
 
-    Texts are shuffled to their pages, where words are gathered by page and word, stemmed once
-    for each, and gathered by stem without moving again; only the rows of the index are shuffled
-    to their places. A page is a bounded number of documents, so no stem is one task's. Null texts
-    have no words; a repeated id is one document that has all the words of its rows.
+    Texts are shuffled to their pages; a page, a bounded number of documents, becomes its rows of
+    the index in one call, which looks up the stem of each different word once. Only those rows
+    are shuffled to their places: a bucket of stems by SLICE pages, so no stem is one task's and
+    nothing is sampled first. Null texts have no words; a repeated id is one document that has all
+    the words of its rows.
     """
-    words = words_of(paged(docs).repartition("page")).groupBy("page", "term").agg(F.collect_list(F.struct("id", "position")).alias("entries"))
-    rows = with_stem(words).groupBy("page", "stem").agg(F.array_sort(F.flatten(F.collect_list("entries"))).alias("entries"))
-    longest = F.aggregate("entries", F.struct(F.lit(None).cast("long").alias("id"), F.lit(0).alias("run"), F.lit(0).alias("most")), _longest_run)["most"]
-    rows = rows.select("stem", "page", F.size(F.array_distinct(F.transform("entries", lambda e: e["id"]))).cast("long").alias("documents"), longest.alias("max_tf"), "entries", bucket(F.col("stem")).alias("bucket"))
-    rows.repartitionByRange("bucket", "stem", "page").sortWithinPartitions("bucket", "stem", "page").write.mode("overwrite").partitionBy("bucket").parquet(path)
-
-
-def _longest_run(acc: Column, e: Column) -> Column:
-    run = F.when(e["id"].eqNullSafe(acc["id"]), acc["run"] + 1).otherwise(1)
-    return F.struct(e["id"].alias("id"), run.alias("run"), F.greatest(acc["most"], run).alias("most"))
+    texts = paged(docs).select("page", F.col("id").cast("long").alias("id"), F.lower("text").alias("text"))
+    rows = texts.groupBy("page").applyInArrow(index_page, PAGE_ROWS).withColumn("bucket", bucket(F.col("stem")))
+    rows.repartition("bucket", F.expr(f"page div {SLICE}")).sortWithinPartitions("bucket", "stem", "page").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def index_page(texts: pa.Table) -> pa.Table:
+    """PAGE_ROWS of a page's texts (page, id, text in lower case): of each stem the ids in order, where each one's positions start (from 1, and an end), and the positions."""
+    words = [WORD.findall(t) if t else [] for t in texts["text"].to_pylist()]
+    n = np.fromiter(map(len, words), np.int64, len(words))
+    every = pa.array(chain.from_iterable(words), pa.string(), size=n.sum()).dictionary_encode()
+    stems = [None if w in STOP_WORDS else stem(w) for w in every.dictionary.to_pylist()]
+    names = sorted({s for s in stems if s is not None})
+    code_of = {s: i for i, s in enumerate(names)} | {None: -1}
+    code = np.array([code_of[s] for s in stems], np.int64)[every.indices.to_numpy()]
+    known = texts["id"].unique().sort()  # null last
+    place = pc.index_in(texts["id"], known).to_numpy()
+    # code, place of the id and position in one number each, which are sorted
+    low, high = int(n.max(initial=0)).bit_length(), len(known).bit_length()
+    keys = (code << (low + high)) + np.repeat(place << low, n) + np.arange(len(code)) - np.repeat(np.cumsum(n) - n, n)
+    keys = np.sort(keys[code >= 0])
+    runs = np.flatnonzero(np.diff(keys >> low, prepend=-1))
+    ids = keys[runs] >> low
+    first = np.flatnonzero(np.diff(ids >> high, prepend=-1))
+    lengths, documents = np.diff(runs, append=len(keys)), np.diff(first, append=len(runs))
+    # a stem has a start for each of its documents, and the end of the last
+    begins, total = runs[first], np.append(runs, len(keys))
+    at = np.repeat(first, documents + 1) + np.arange(len(runs) + len(first)) - np.repeat(first + np.arange(len(first)), documents + 1)
+    starts = total[at] - np.repeat(begins, documents + 1) + 1
+    listed = lambda ends, values: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+    entries = pa.StructArray.from_arrays(
+        [
+            listed(np.append(first, len(runs)), known.take(pa.array(ids & ((1 << high) - 1)))),
+            listed(np.append(first + np.arange(len(first)), len(starts)), pa.array(starts, pa.int32())),
+            listed(np.append(begins, len(keys)), pa.array(keys & ((1 << low) - 1), pa.int32())),
+        ],
+        ["ids", "starts", "positions"],
+    )
+    most = np.maximum.reduceat(lengths, first) if len(first) else first
+    return pa.table({"stem": pa.array(names, pa.string()), "page": pa.repeat(texts["page"][0], len(names)), "documents": pa.array(documents, pa.int64()), "max_tf": pa.array(most, pa.int32()), "entries": entries})
 
 
 @dataclass
@@ -112,7 +141,7 @@ def stemmed(spark: SparkSession, q: str) -> Query:
     """The query with stems for words; a query of stop words and exclusions only has no alternatives."""
     ways = parse_query(q)
     words = sorted({w for must, never, _ in ways for w in [*must, *never]})
-    of = {r["term"]: r["stem"] for r in with_stem(spark.createDataFrame([(w,) for w in words], "term string")).collect()} if words else {}
+    of = {w: stem(w) for w in words}
     stems = sorted(set(of.values()))
     at = lambda w: stems.index(of[w])
     return Query(stems, [(sorted({at(w) for w in must}), sorted({at(w) for w in never}), [[(at(w), i) for w, i in p] for p in phrases]) for must, never, phrases in ways])
@@ -142,7 +171,7 @@ def nearness(distance: Column) -> Column:
 
 
 def _positions(k: int) -> Column:
-    return F.transform(F.filter("all", lambda x: x["k"] == k), lambda x: x["position"])
+    return F.sort_array(F.flatten(F.transform(F.filter("all", lambda x: x["k"] == k), lambda x: x["positions"])))  # an id may be on several pages
 
 
 def _shifted(k: int, distance: int) -> Column:
@@ -163,7 +192,9 @@ def matches(rows: DataFrame, query: Query) -> DataFrame:
     if not query.ways:
         return rows.limit(0).select(F.lit(0).cast("long").alias("id"), F.lit(0.0).alias("rank"))
     n = len(query.stems)
-    hits = rows.select("k", F.explode("entries").alias("e")).groupBy("e.id").agg(F.array_sort(F.collect_list(F.struct("k", F.col("e.position").alias("position")))).alias("all"))
+    start = lambda i: F.get("entries.starts", i)
+    each = F.transform("entries.ids", lambda x, i: F.struct(x.alias("id"), F.slice("entries.positions", start(i), start(i + 1) - start(i)).alias("positions")))
+    hits = rows.select("k", F.explode(each).alias("e")).groupBy("e.id").agg(F.collect_list(F.struct("k", "e.positions")).alias("all"))
     hits = hits.select("id", *[_positions(i).alias(f"p{i}") for i in range(n)])
     has = lambda i: F.size(f"p{i}") > 0
 

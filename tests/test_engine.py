@@ -485,6 +485,28 @@ def test_ranked_text(spark, tmp_path):
     assert "entries" not in bounds  # entries aren't read
 
 
+def test_index_is_made_once(spark, tmp_path):
+    """Texts are read once to be counted and once to be indexed, a word at a time nowhere; words' stems in tasks are those of the expressions."""
+    import random
+
+    from quire.functions.stems import STEP2, STEP3, STEP4, stem, with_stem
+    from quire.operators import fulltext as ft
+
+    r = random.Random(5)
+    ends = ["", "y", "ed", "ing", "ies", "sses", "s", "e", "ll", *STEP2, *STEP3, *STEP4]
+    made = {"".join(r.choices("aeiouybstlrngc", k=r.randint(1, 6))) + r.choice(ends) + r.choice(ends) for _ in range(3000)}
+    assert {x.term: x.stem for x in with_stem(spark.createDataFrame([(w,) for w in made], "term string")).collect()} == {w: stem(w) for w in made}
+
+    spark.createDataFrame([(i, "red foxes run " * 50) for i in range(500)], "id long, text string").write.parquet(f"{tmp_path}/docs")
+    spark.sparkContext.setJobGroup("index", "index")
+    ft.write_index(spark.read.parquet(f"{tmp_path}/docs"), f"{tmp_path}/index")
+    tracker, store = spark.sparkContext.statusTracker(), spark._jsc.sc().statusStore()
+    stages = {i for j in tracker.getJobIdsForGroup("index") for i in tracker.getJobInfo(j).stageIds}
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    done = [s for s in (store.lastStageAttempt(i) for i in stages) if s.status().toString() == "COMPLETE"]
+    assert sum(s.inputRecords() for s in done) == 1000 and max(s.shuffleWriteRecords() for s in done) <= 500
+
+
 def test_index_follows_its_documents(spark, tmp_path):
     """A document that is added to the same path is found."""
     from quire.plans.registry import Tables
