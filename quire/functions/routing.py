@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, functions as F
 
 # Phrases that decide a question's route, in order of precedence.
@@ -34,7 +36,8 @@ def first_match(x: Column, phrases: list[str]) -> Column:
 
 
 def has_any(x: Column, phrases: list[str]) -> Column:
-    return first_match(x, phrases).isNotNull()
+    """Whether x holds one of phrases; false for null. One compiled condition a phrase, the first that holds ends it; x is best a column that is there already."""
+    return F.coalesce(reduce(lambda a, b: a | b, [F.contains(x, F.lit(p)) for p in phrases]), F.lit(False))
 
 
 def route(prompt: Column, has_chunk: Column, has_document: Column) -> Column:

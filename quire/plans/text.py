@@ -191,8 +191,8 @@ def _has(words, q):
 
 @query("X33_intents", f"SELECT doc_id, ({_has(g.OTHER_FIELDS, 'lower(text)')}) AS other_field, ({_has(g.FIGURE_WORDS, 'lower(text)')}) AS figure, ({_has(g.IMAGE_WORDS, 'lower(text)')}) AS image, ({_has(g.TECH_WORDS, chr(39) + ' ' + chr(39) + ' || lower(text) || ' + chr(39) + ' ' + chr(39))}) AS tech FROM documents")
 def _(t):
-    q = F.lower("text")
-    return t("documents").select("doc_id", g.has_any(q, g.OTHER_FIELDS).alias("other_field"), g.has_any(q, g.FIGURE_WORDS).alias("figure"), g.has_any(q, g.IMAGE_WORDS).alias("image"), g.has_any(F.concat(F.lit(" "), q, F.lit(" ")), g.TECH_WORDS).alias("tech"))
+    q, low = c("q"), t("documents").select("doc_id", F.lower("text").alias("q"), F.concat(F.lit(" "), F.lower("text"), F.lit(" ")).alias("padded"))
+    return low.select("doc_id", g.has_any(q, g.OTHER_FIELDS).alias("other_field"), g.has_any(q, g.FIGURE_WORDS).alias("figure"), g.has_any(q, g.IMAGE_WORDS).alias("image"), g.has_any(c("padded"), g.TECH_WORDS).alias("tech"))
 
 
 @query("X34_rewrite_query", "SELECT p_partkey, p_name || ' (in the context of the research paper \"' || p_brand || '\", machine learning / computer science)' AS q FROM part")
