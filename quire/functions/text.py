@@ -31,7 +31,8 @@ LONG_PARAGRAPH, PACKED_PARAGRAPH, SCRAP = 850, 620, 3
 TAG = r"\\(?:tag|eqno)\s*[({]([^)}]+)[)}]\s*$"
 CODE_LINE = r"(?m)^\s*(?:" + "|".join(CODE_STARTS) + r"|from \S+ import )"
 
-_TRIM = "^\\s+|\\s+$"
+# What counts as white space at the ends of a text.
+_SPACE = " \t\n\x0b\f\r"
 
 
 def _replaced(x: Column, rules: list[tuple[str, str]]) -> Column:
@@ -47,7 +48,7 @@ def let(value: Column, body) -> Column:
 
 
 def strip(x: Column) -> Column:
-    return F.regexp_replace(x, _TRIM, "")
+    return F.btrim(x, F.lit(_SPACE))
 
 
 def normalize_markdown(x: Column) -> Column:
@@ -182,9 +183,11 @@ def image_refs(x: Column) -> Column:
 
 
 def math_score(x: Column, glyphs: str = SCORED) -> Column:
-    s = strip(x)
-    hits = F.regexp_count(s, F.lit(f"[{glyphs}]")) + F.regexp_count(s, F.lit("[=≈]")) * F.lit(0.3)
-    return F.when(F.length(s) < 3, F.lit(0.0)).otherwise(hits / F.length(s))
+    # a class of many glyphs is tried one by one: characters of ASCII are told from them before
+    pattern = f"(?![\\x00-\\x7F])[{glyphs}]" if min(glyphs) > "\x7f" else f"[{glyphs}]"
+    n = F.length(strip(x))
+    hits = F.regexp_count(x, F.lit(pattern)) + F.regexp_count(x, F.lit("[=≈]")) * F.lit(0.3)
+    return F.when(n < 3, F.lit(0.0)).otherwise(hits / n)
 
 
 def heading_level(size: Column, body: Column, length: Column, bold: Column) -> Column:

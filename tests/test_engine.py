@@ -409,6 +409,33 @@ STEMS = {
 }
 
 
+def test_scores_of_glyphs_and_ends(spark, tmp_path):
+    """White space at a text's ends is that of SQL, also before a line separator; glyphs of and beyond ASCII count."""
+    import duckdb
+    from pyspark.sql import functions as F
+    from quire.functions import text as x
+
+    from __spark_entry__ import oracle_sql, queries
+
+    texts = ["×× \u2028", " \t\f\r\nα = b \n", "a≈b", "äß", "", None, "\u00a0×\u00a0"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries()["X22_math_score"](spark, str(tmp_path)).collect()
+    want = duckdb.sql(oracle_sql()["X22_math_score"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'")).fetchall()
+    assert sorted((r.doc_id, r.score) for r in got) == sorted(want)
+    assert spark.range(1).select(x.math_score(F.lit("ab+×"), "+×")).first()[0] == 0.5
+
+
+def test_phrases_are_compiled(spark, tmp_path):
+    """Every phrase is one compiled condition over text that was made lower-case once."""
+    from quire.plans import QUERIES
+
+    spark.createDataFrame([(1, "A MODEL of law"), (2, "nothing"), (3, None), (4, "Show Me ml")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = QUERIES["X33_intents"](spark, str(tmp_path))
+    assert sorted(tuple(r) for r in found.collect()) == [(1, True, False, False, True), (2, False, False, False, False), (3, False, False, False, False), (4, False, True, True, True)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan and plan.count("lower(text") <= 2
+
+
 def test_stems(spark):
     import duckdb
     from quire.functions.stems import sql_stems, with_stem
