@@ -29,15 +29,17 @@ def around(left: DataFrame, right: DataFrame, key: str, at: str, value: str) ->
     known = right.select(F.col(key).alias("k"), F.col(at).alias("p"), F.col(value).alias("v")).where("k is not null and p is not null")
     places = known.groupBy("k", "p").agg(F.struct(F.first("p").alias("at"), F.min("v").alias("lo"), F.max("v").alias("hi")).alias("there"))
     rows = ours.where("k is not null and p is not null").withColumn("side", F.lit(1)).unionByName(places.withColumn("side", F.lit(0)), allowMissingColumns=True)
-    n = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-left.count() // RANGE_ROWS))
+    n = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(left.count() + right.count()) // RANGE_ROWS))
     rows = materialize(rows.repartitionByRange(n, "k", "p", "side", F.xxhash64("row")).withColumn("range", F.spark_partition_id()), "as-of")
 
+    # as many tasks as ranges, so that a task's sorts hold a few of them however many there are
+    dealt = lambda some: some.repartition(n, "range")
     # a row of the left side stands after that of its place on the right, from both sides
     own = W.partitionBy("range", "k")
     upto, since = (own.orderBy(*o).rowsBetween(W.unboundedPreceding, W.currentRow) for o in (("p", "side"), (F.col("p").desc(), "side")))
-    seen = rows.withColumn("b", F.last("there", ignorenulls=True).over(upto)).withColumn("a", F.last("there", ignorenulls=True).over(since)).where("side = 1")
+    seen = dealt(rows).withColumn("b", F.last("there", ignorenulls=True).over(upto)).withColumn("a", F.last("there", ignorenulls=True).over(since)).where("side = 1")
 
-    edges = rows.groupBy("k", "range").agg(F.max("there").alias("last"), F.min("there").alias("first")).withColumn("ranges", F.count("*").over(W.partitionBy("k"))).where("ranges > 1")
+    edges = dealt(rows.select("k", "range", "there")).groupBy("k", "range").agg(F.max("there").alias("last"), F.min("there").alias("first")).withColumn("ranges", F.count("*").over(W.partitionBy("k"))).where("ranges > 1")
     of = W.partitionBy("k").orderBy("range")
     before_it, after_it = of.rowsBetween(W.unboundedPreceding, -1), of.rowsBetween(1, W.unboundedFollowing)
     carried = edges.select(F.col("k").alias("ck"), F.col("range").alias("cr"), F.last("last", ignorenulls=True).over(before_it).alias("cb"), F.first("first", ignorenulls=True).over(after_it).alias("ca"))
