@@ -162,7 +162,10 @@ def _(t):
         .when(c("p_size") % 4 == 2, F.concat(F.lit("| "), "p_name", F.lit(" | "), "p_brand", F.lit(" | n |\n|---|---|---|\n| "), "p_type", F.lit(" | | "), n, F.lit(" |")))
         .otherwise(F.lit("<p>no table</p>"))
     )
-    return t("part").select("p_partkey", parse_table(html).alias("t")).select("p_partkey", "t.headers", c("t.rows").alias("cells"), "t.num_cols")
+    # a table of few bytes is few partitions, however many rows it has
+    part = t("part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    part = part.repartition(max(int(t.spark.conf.get("spark.sql.shuffle.partitions")), t.spark.sparkContext.defaultParallelism), "p_partkey")
+    return part.select("p_partkey", parse_table(html).alias("t")).select("p_partkey", "t.headers", c("t.rows").alias("cells"), "t.num_cols")
 
 
 

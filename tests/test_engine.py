@@ -825,6 +825,25 @@ def test_table_grids(spark):
     assert by[-1] is None and by[len(tables)]["headers"] == ["Model", "BLEU EN-DE", "BLEU EN-FR", "Training Cost EN-DE", "Training Cost EN-FR"] and by[len(tables)]["rows"][1] == ["B", "5", "6", "7", "7"]
 
 
+def test_tasks_of_nearest_grow_with_the_tables(spark, monkeypatch):
+    """A task's sorts hold ranges of bounded size, of both sides together: their number grows with the rows of either."""
+    from quire.operators import asof
+
+    monkeypatch.setattr(asof, "RANGE_ROWS", 500)
+    left, right = spark.range(10).selectExpr("1 as key", "id * 900 as at"), spark.range(9000).selectExpr("1 as key", "id as at", "id as v")
+    found = asof.around(left, right, "key", "at", "v")
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-9010 // 500))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(rf"hashpartitioning\(range#\d+, {n}\), REPARTITION_BY_NUM", plan)) == 2
+    assert sorted((r.at, r.before.value, r.after.value) for r in found.collect()) == [(i * 900, i * 900, i * 900) for i in range(10)]
+
+
+def test_tables_of_few_bytes_are_parsed_by_many_tasks(spark):
+    from quire.plans import QUERIES
+
+    assert QUERIES["X16_html_tables"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def test_nearest_of_two_tables(spark, monkeypatch):
     """One key with very many rows over many ranges, hot places, short keys, nulls, repeats, against bisection."""
     import bisect
