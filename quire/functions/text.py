@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, functions as F
 
 # What marks a footnote, and phrases that footnotes on a first page hold.
@@ -25,6 +27,11 @@ PLAIN = [(r"!\[.*?\]\(.*?\)", ""), (r"\[([^\]]+)\]\(.*?\)", r"\1"), (r"(?m)^#+\s
 SUMMARY = [(r"#{1,6}\s+", ""), (r"\*\*(.+?)\*\*", r"\1"), (r"\*(.+?)\*", r"\1"), (r"\n{3,}", "\n\n")]
 # Where Markdown is tidied, where texts fall into paragraphs, and paragraphs into sentences.
 TIDY = [(r"\n{3,}", "\n\n"), (r"[ \t]+", " "), (r"(?m)[ \t\r]+$", "")]
+#: What a text must hold for a pattern to change it: one of these.
+NEEDED = {
+    PLAIN[0][0]: ["!["], PLAIN[1][0]: ["]("], PLAIN[2][0]: ["#"], PLAIN[3][0]: ["*", "_"], PLAIN[4][0]: ["```"], PLAIN[5][0]: ["`"], PLAIN[6][0]: ["\n\n"],
+    SUMMARY[0][0]: ["#"], SUMMARY[1][0]: ["**"], SUMMARY[2][0]: ["*"], TIDY[0][0]: ["\n\n\n"], TIDY[1][0]: ["  ", "\t"],
+}
 BLANK_LINE, SENTENCE_END = r"\n\s*\n+", r"(?<=[.!?])\s+(?=[A-Z0-9“\"'])"
 LONG_PARAGRAPH, PACKED_PARAGRAPH, SCRAP = 850, 620, 3
 # A closing command that numbers an equation, and a line of code's beginnings as one pattern.
@@ -36,12 +43,19 @@ _SPACE = " \t\n\x0b\f\r"
 
 
 def _replaced(x: Column, rules: list[tuple[str, str]]) -> Column:
-    """x after these replacements, whose groups are written \\1 as in Python."""
+    """x after these replacements, whose groups are written \\1 as in Python; a pattern is tried where one of its NEEDED pieces is there."""
     for pattern, to in rules:
-        x = F.regexp_replace(x, pattern, to.replace("\\1", "$1"))
+        x = _replaced_once(x, pattern, to.replace("\\1", "$1"))
     return x
 
 
+def _replaced_once(x: Column, pattern: str, to: str) -> Column:
+    if pattern not in NEEDED:
+        return F.regexp_replace(x, pattern, to)
+    held = lambda v: reduce(lambda a, b: a | b, [F.contains(v, F.lit(piece)) for piece in NEEDED[pattern]])
+    return let(x, lambda v: F.when(held(v), F.regexp_replace(v, pattern, to)).otherwise(v))
+
+
 def let(value: Column, body) -> Column:
     """body of a value that is worked out once, however often body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

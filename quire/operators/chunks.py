@@ -148,7 +148,7 @@ def chunks_of_markdown(documents: DataFrame) -> DataFrame:
     shown = x.normalize_markdown(F.array_join(F.transform(_marked(x.normalize_markdown(b), DISPLAY), lambda s: F.when(s.startswith("m"), F.concat(F.lit("$$\n"), x.math_glyphs(x.strip(F.substring(s, F.lit(2), F.length(s)))), F.lit("\n$$"))).otherwise(F.substring(s, F.lit(2), F.length(s)))), ""))
     title = x.strip(F.regexp_extract(b, r"^#{1,6}\s+(.+)", 1))
     level = F.length(F.regexp_extract(b, "^(#{1,6})", 1))
-    texts = F.transform(x.paragraphs(plain), lambda p: _chunk(F.lit("text"), x.normalize_markdown(p), p, refs))
+    texts = x.let(refs, lambda own: F.transform(x.paragraphs(plain), lambda p: _chunk(F.lit("text"), x.normalize_markdown(p), p, own)))
     chunk = (
         F.when(head & ~(math | table | figure), _row("heading", F.concat(F.repeat(F.lit("#"), level), F.lit(" "), title), title, level=level))
         .when(math, _row("math", shown, x.math_glyphs(plain), refs)).when(table, _row("table", tidy, plain, refs, tb.parse_table(b))).when(figure, _row("figure", tidy, plain, refs))

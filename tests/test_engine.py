@@ -425,6 +425,25 @@ def test_scores_of_glyphs_and_ends(spark, tmp_path):
     assert spark.range(1).select(x.math_score(F.lit("ab+×"), "+×")).first()[0] == 0.5
 
 
+def test_patterns_are_tried_where_they_can_match(spark):
+    """Every replacement of the chunker's against Python's, over random marks, and what a text needs for it."""
+    import random
+
+    from pyspark.sql import functions as F
+    from quire.functions import text as x
+
+    r = random.Random(9)
+    texts = ["".join(r.choices(["![", "](", "]", ")", "#", "# ", "*", "**", "_", "`", "```", "\n", "\n\n\n", " ", "  ", "\t", "ab", "é"], k=r.randint(0, 25))) for _ in range(2000)]
+    assert {p for p, _ in [*x.PLAIN, *x.SUMMARY, *x.TIDY[:2]]} == set(x.NEEDED)
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(4)
+    for rules, column in ((x.PLAIN, x.plain_text), (x.SUMMARY, x.summary_plain), (x.TIDY, x.normalize_markdown)):
+        got = dict(rows.select("i", column(F.col("t"))).collect())
+        for i, t in enumerate(texts):
+            for pattern, to in rules:
+                t = re.sub(pattern, to, t)
+            assert got[i] == t.strip(" \t\n\x0b\f\r"), texts[i]
+
+
 def test_phrases_are_compiled(spark, tmp_path):
     """Every phrase is one compiled condition over text that was made lower-case once."""
     from quire.plans import QUERIES
